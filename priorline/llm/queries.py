@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorline.llm import packing
+from priorline.llm import packing, pii, secrets, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -25,8 +25,57 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
+def _digest(spans) -> F.Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _counted(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
+
+
+def op3_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest are those of the base rules; ``spans`` also has what the transducers bring to light."""
+    return _counted(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+#: A digest's 40 hex digits are eight groups of 20 bits, each four base-32 digits.
+OP4_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as payload_bytes, sha1(html) as h, max(page_id) over (partition by html) as top from p),
+e as (
+  select page_id, payload_bytes, top,
+    array_to_string(list_transform(range(0, 8), lambda g:
+      array_to_string(list_transform([15, 10, 5, 0], lambda b:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(h, 1 + 5 * g, 5) as bigint) >> b) & 31 as int), 1)), '')), '') as payload_digest
+  from d)
+select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type,
+  case when page_id <> top then top end as refers_to
+from e
+"""
+
+
+def op9_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest are those of the base rules; ``spans`` also has the literals that sensitive names reach."""
+    return _counted(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.KINDS)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_pii_deobfuscation": op3_pii_deobfuscation,
+    "op4_warc_round_trip": op4_warc_round_trip,
+    "op9_secret_lexing": op9_secret_lexing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_round_trip": OP4_SQL,
+}
