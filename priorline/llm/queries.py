@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorline.llm import packing, pii, secrets, warc
+from priorline.llm import decontaminate, packing, pii, quality, secrets, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -38,6 +38,10 @@ def _counted(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
 
 
+def op2_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest are those of the base rules; ``spans`` also has what the transducers bring to light."""
     return _counted(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.KINDS)
@@ -64,6 +68,26 @@ from e
 """
 
 
+def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and how many of its shingles were found."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("row_key").distinct()
+
+
+OP7_SQL = """
+with words_of as (
+  select 'd' as side, doc_id as id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents
+  union all select 'b', item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') from benchmark),
+s as (
+  select distinct side, id, unnest(list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) as shingle
+  from words_of where len(w) >= 5),
+n as (select id, count(*) as n_item_shingles from s where side = 'b' group by id)
+select d.id as doc_id, b.id as item_id, n.n_item_shingles, count(*) as n_matched
+from s d join s b on d.shingle = b.shingle and d.side = 'd' and b.side = 'b' join n on n.id = b.id
+group by all having 100 * count(*) >= 80 * n.n_item_shingles
+"""
+
+
 def op9_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest are those of the base rules; ``spans`` also has the literals that sensitive names reach."""
     return _counted(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.KINDS)
@@ -71,11 +95,14 @@ def op9_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_ratio": op2_quality_ratio,
     "op3_pii_deobfuscation": op3_pii_deobfuscation,
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op7_benchmark_containment": op7_benchmark_containment,
     "op9_secret_lexing": op9_secret_lexing,
 }
 
 ORACLES: dict[str, str] = {
     "op4_warc_round_trip": OP4_SQL,
+    "op7_benchmark_containment": OP7_SQL,
 }
