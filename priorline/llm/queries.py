@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorline.llm import decontaminate, packing, pii, quality, secrets, warc
+from priorline.llm import decontaminate, packing, pii, quality, secrets, toxicity, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -88,6 +88,16 @@ group by all having 100 * count(*) >= 80 * n.n_item_shingles
 """
 
 
+#: From this score on a document is toxic.
+TOXIC_FROM = 0.3
+
+
+def op8_toxicity_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op9_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest are those of the base rules; ``spans`` also has the literals that sensitive names reach."""
     return _counted(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.KINDS)
@@ -99,6 +109,7 @@ QUERIES = {
     "op3_pii_deobfuscation": op3_pii_deobfuscation,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op7_benchmark_containment": op7_benchmark_containment,
+    "op8_toxicity_network": op8_toxicity_network,
     "op9_secret_lexing": op9_secret_lexing,
 }
 

@@ -40,7 +40,7 @@ NGRAMS = (3, 4, 5)
 CHAR_BUCKETS = 1 << 14
 VOCABULARY = 20_000
 #: Training steps to aim for, and the fewest and most rounds through the sample.
-STEPS, ROUNDS = 400, (8, 60)
+STEPS, ROUNDS = 400, (8, 20)
 #: Words whose projections a worker remembers.
 REMEMBERED = 300_000
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
