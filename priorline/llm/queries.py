@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorline.llm import decontaminate, packing, pii, quality, secrets, toxicity, warc
+from priorline.llm import decontaminate, jaccard, packing, pii, quality, secrets, toxicity, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -103,6 +103,31 @@ def op9_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.KINDS)
 
 
+def op10_jaccard_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: Pairs come from shared shingles; labels spread by rounds of minima until none changes.
+OP10_SQL = """
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (
+  select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as set from w),
+e as (select doc_id, unnest(set) as shingle from s),
+n as (select doc_id, len(set) as n_shingles from s),
+k as (select doc_id, md5_number(array_to_string(list_sort(set), chr(10))) as sig from s where len(set) > 0),
+r as (select sig, min(doc_id) as rep from k group by sig),
+f as (select e.doc_id, e.shingle from e join r on e.doc_id = r.rep),
+l as (
+  select a.doc_id as a, b.doc_id as b from f a join f b on a.shingle = b.shingle and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id
+  having 100 * count(*) >= 80 * ((select n_shingles from n where n.doc_id = a.doc_id) + (select n_shingles from n where n.doc_id = b.doc_id) - count(*))),
+u as (select a, b from l union all select b, a from l),
+c as (select rep as x, rep as y from r union select c.x, u.b from c join u on c.y = u.a)
+select n.doc_id, n.n_shingles, coalesce(m.component_id, n.doc_id) as component_id
+from n left join k on k.doc_id = n.doc_id left join r on r.sig = k.sig left join (select x, min(y) as component_id from c group by x) m on m.x = r.rep
+"""
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_ratio": op2_quality_ratio,
@@ -111,9 +136,11 @@ QUERIES = {
     "op7_benchmark_containment": op7_benchmark_containment,
     "op8_toxicity_network": op8_toxicity_network,
     "op9_secret_lexing": op9_secret_lexing,
+    "op10_jaccard_blocks": op10_jaccard_blocks,
 }
 
 ORACLES: dict[str, str] = {
     "op4_warc_round_trip": OP4_SQL,
     "op7_benchmark_containment": OP7_SQL,
+    "op10_jaccard_blocks": OP10_SQL,
 }
