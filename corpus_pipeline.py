@@ -1,21 +1,49 @@
-"""The corpus pipeline: stages that each call one operator of priorline.llm."""
+"""The corpus pipeline: stages that each call one operator of priorline.llm, in this order.
+
+toxicity: documents that the network rejects go. lines: recurring line templates are dropped. near_duplicates: one
+document of each component of the n-gram Jaccard join stays. leaks: documents that hold a benchmark item go. packing:
+what is left, in sequences of 4096 tokens. Each stage reads what its predecessor has written; all but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-import public_tokenizers  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import queries
+from priorline.llm import decontaminate, jaccard, queries, templates, toxicity
 from priorline.llm.common import durable
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: what is left, packed."""
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    net = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
+    return toxicity.below(docs, net, queries.TOXIC_FROM)
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return templates.without_lines(docs).drop("_pl_dropped")
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.packed_documents(docs)
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("lines", lines_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("leaks", leaks_stage),
+    ("packing", packing_stage),
+]
 
+#: A trained network decides the first stage, so SQL cannot give the rows; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

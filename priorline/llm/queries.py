@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorline.llm import decontaminate, jaccard, packing, pii, quality, secrets, toxicity, warc
+from priorline.llm import decontaminate, jaccard, packing, pii, quality, secrets, templates, token_counts, toxicity, warc
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,16 @@ from e
 """
 
 
+def op5_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with how many lines it lost, and a digest of what is left."""
+    left = templates.without_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", F.col("_pl_dropped").alias("n_dropped"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and how many of its shingles were found."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -133,6 +144,8 @@ QUERIES = {
     "op2_quality_ratio": op2_quality_ratio,
     "op3_pii_deobfuscation": op3_pii_deobfuscation,
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op5_template_lines": op5_template_lines,
+    "op6_trie_token_counts": op6_trie_token_counts,
     "op7_benchmark_containment": op7_benchmark_containment,
     "op8_toxicity_network": op8_toxicity_network,
     "op9_secret_lexing": op9_secret_lexing,

@@ -341,30 +341,42 @@ def fit(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = TRAIN_EACH,
 _scorers: dict[int, Scorer] = {}
 
 
+def _scores(texts, net: Network | float) -> np.ndarray:
+    """Scores of an Arrow column of texts; nulls count as empty."""
+    if isinstance(net, float):
+        return np.full(len(texts), net)
+    if id(net) not in _scorers:
+        _scorers.clear()
+        _scorers[id(net)] = Scorer(net)
+    scorer = _scorers[id(net)]
+    out, held, n = [], [], 0
+    for row in range(len(texts)):
+        held.append((texts[row].as_py() or "").split())
+        n += len(held[-1])
+        if n > 100_000 or row == len(texts) - 1:
+            out.append(scorer.score(held))
+            held, n = [], 0
+    return np.concatenate(out) if out else np.empty(0)
+
+
 def score(docs: DataFrame, net: Network | float) -> DataFrame:
     """doc_id and score for every row."""
     docs = id_text(docs)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        if isinstance(sent.value, float):
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sent.value] * len(batch), pa.float64())], names=["doc_id", "score"])
-            return
-        key = id(sent.value)
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(sent.value)
-        scorer = _scorers[key]
         for batch in batches:
-            texts = batch.column("text")
-            out, held, n = [], [], 0
-            for row in range(len(batch)):
-                held.append(texts[row].as_py().split())
-                n += len(held[-1])
-                if n > 100_000 or row == len(batch) - 1:
-                    out.append(scorer.score(held))
-                    held, n = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch.column("text"), sent.value), pa.float64())], names=["doc_id", "score"])
 
     return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+
+
+def below(docs: DataFrame, net: Network | float, limit: float) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, all columns as they were."""
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(batch.schema.names.index("text")), sent.value) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
