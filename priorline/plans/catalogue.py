@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from priorline.plans import forms
+
+QUERIES = {**forms.QUERIES}
+ORACLES = {**forms.ORACLES}
