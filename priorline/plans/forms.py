@@ -14,9 +14,12 @@ from priorline.plans.views import BOX, CONTESTS, SIDES, box, contests
 ONE_SEASON = 1997
 
 
-def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
-    """Quotients of small whole numbers get eight places: at six, halves would fall on the last one."""
-    return df.withColumns({n: F.round(n, places) for n in names})
+#: Added before rounding where quotients of small whole numbers would often fall on halves of the last place.
+NUDGE = 1e-9
+
+
+def rounded(df: DataFrame, *names: str, nudge: float = 0.0) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n) + nudge, 6) for n in names})
 
 
 def sides(spark, d) -> DataFrame:
@@ -182,15 +185,15 @@ def possessions_four_factors(spark, d):
     poss = box_math.possessions(own_, other)
     factors = box_math.four_factors(own_, other)
     complete = F.col("pts").isNotNull() & F.col("opp_pts").isNotNull()
-    return both.select("game_id", "team", F.round(poss, 8).alias("possessions"), F.round(box_math.efficiency(F.col("pts"), poss, complete), 8).alias("off_efficiency"), F.round(box_math.pace(poss, F.col("team_minutes"), complete), 8).alias("pace"), *[F.round(v, 8).alias(k) for k, v in factors.items()])
+    return both.select("game_id", "team", F.round(poss + NUDGE, 6).alias("possessions"), F.round(box_math.efficiency(F.col("pts"), poss, complete) + NUDGE, 6).alias("off_efficiency"), F.round(box_math.pace(poss, F.col("team_minutes"), complete) + NUDGE, 6).alias("pace"), *[F.round(v + NUDGE, 6).alias(k) for k, v in factors.items()])
 
 
 _P = "({0}fga + 0.44 * {0}fta - 1.07 * (case when {0}oreb + {1}dreb = 0 then 0 else {0}oreb / ({0}oreb + {1}dreb) end) * ({0}fga - {0}fgm) + {0}turnover)"
 POSSESSIONS = f"""with {TOTALS}, b as (select t.*, 0.5 * ({_P.format('t.', 'o.')} + {_P.format('o.', 't.')}) as poss, o.dreb as odreb, o.pts as opts from totals t left join totals o on o.game_id = t.game_id and o.team = t.opponent)
-select game_id, team, round(poss, 8) as possessions, case when poss > 0 and pts is not null and opts is not null then round(100 * pts / poss, 8) end as off_efficiency,
-  case when poss > 0 and team_minutes > 0 and pts is not null and opts is not null then round(48 * poss / (team_minutes / 5), 8) end as pace,
-  round((fgm + 0.5 * fg3m) / nullif(fga, 0), 8) as efg, round(turnover / nullif(fga + 0.44 * fta + turnover, 0), 8) as tov_rate, round(oreb / nullif(oreb + odreb, 0), 8) as oreb_rate, round(ftm / nullif(fga, 0), 8) as ft_rate,
-  round(pts / nullif(2 * (fga + 0.44 * fta), 0), 8) as true_shooting from b"""
+select game_id, team, round(poss + 1e-9, 6) as possessions, case when poss > 0 and pts is not null and opts is not null then round(100 * pts / poss + 1e-9, 6) end as off_efficiency,
+  case when poss > 0 and team_minutes > 0 and pts is not null and opts is not null then round(48 * poss / (team_minutes / 5) + 1e-9, 6) end as pace,
+  round((fgm + 0.5 * fg3m) / nullif(fga, 0) + 1e-9, 6) as efg, round(turnover / nullif(fga + 0.44 * fta + turnover, 0) + 1e-9, 6) as tov_rate, round(oreb / nullif(oreb + odreb, 0) + 1e-9, 6) as oreb_rate, round(ftm / nullif(fga, 0) + 1e-9, 6) as ft_rate,
+  round(pts / nullif(2 * (fga + 0.44 * fta), 0) + 1e-9, 6) as true_shooting from b"""
 
 
 def _rotation(spark, d, window):
@@ -212,26 +215,26 @@ ROTATION = f"with {NUMBERED}, {_window_sql('w', 'recent')} select season, team,
 
 
 def hhi_topn(spark, d):
-    return rounded(rotation.concentration(_rotation(spark, d, "recent")), "hhi", "top_share", places=8)
+    return rounded(rotation.concentration(_rotation(spark, d, "recent")), "hhi", "top_share", nudge=NUDGE)
 
 
-HHI = f"""with {NUMBERED}, {_window_sql('w', 'recent')} select season, team, game_no, round(sum(share * share), 8) as hhi, round(list_sum(list_sort(list(share), 'desc')[:5]), 8) as top_share, count(*) filter (where share > 0) as n_players from w group by all"""
+HHI = f"""with {NUMBERED}, {_window_sql('w', 'recent')} select season, team, game_no, round(sum(share * share) + 1e-9, 6) as hhi, round(list_sum(list_sort(list(share), 'desc')[:5]) + 1e-9, 6) as top_share, count(*) filter (where share > 0) as n_players from w group by all"""
 
 
 def minutes_overlap(spark, d):
-    return rounded(rotation.overlap(_rotation(spark, d, "recent"), _rotation(spark, d, "trailing5")), "overlap", places=8)
+    return rounded(rotation.overlap(_rotation(spark, d, "recent"), _rotation(spark, d, "trailing5")), "overlap", nudge=NUDGE)
 
 
 OVERLAP = f"""with {NUMBERED}, {_window_sql('x', 'recent')}, {_window_sql('y', 'trailing5')}
-select season, team, game_no, round(sum(least(coalesce(x.share, 0), coalesce(y.share, 0))), 8) as overlap from x full join y using (season, team, game_no, player) group by all"""
+select season, team, game_no, round(sum(least(coalesce(x.share, 0), coalesce(y.share, 0))) + 1e-9, 6) as overlap from x full join y using (season, team, game_no, player) group by all"""
 
 
 def disruption(spark, d):
-    return rounded(rotation.disruption(_rotation(spark, d, "baseline"), _rotation(spark, d, "recent3"), (7, 3)), "minutes_lost", "lost_ratio", places=8)
+    return rounded(rotation.disruption(_rotation(spark, d, "baseline"), _rotation(spark, d, "recent3"), (7, 3)), "minutes_lost", "lost_ratio", nudge=NUDGE)
 
 
 DISRUPTION = f"""with {NUMBERED}, {_window_sql('x', 'baseline')}, {_window_sql('y', 'recent3')}, j as (select x.season, x.team, x.game_no, x.minutes / 7 as b, coalesce(y.minutes / 3, 0) as r from x left join y using (season, team, game_no, player))
-select season, team, game_no, round(sum(greatest(0, b - r)), 8) as minutes_lost, count(*) filter (where b >= 20 and r = 0) as absent, round(sum(greatest(0, b - r)) / nullif(sum(b), 0), 8) as lost_ratio from j group by all"""
+select season, team, game_no, round(sum(greatest(0, b - r)) + 1e-9, 6) as minutes_lost, count(*) filter (where b >= 20 and r = 0) as absent, round(sum(greatest(0, b - r)) / nullif(sum(b), 0) + 1e-9, 6) as lost_ratio from j group by all"""
 
 
 def player_quality(spark, d):
