@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from priorline.plans import forms
+from priorline.plans import forms, joins
 
-QUERIES = {**forms.QUERIES}
-ORACLES = {**forms.ORACLES}
+QUERIES = {**forms.QUERIES, **joins.QUERIES}
+ORACLES = {**forms.ORACLES, **joins.ORACLES}
