@@ -17,6 +17,22 @@ BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _written: list[tuple[SparkSession, str]] = []
 
 
+_remembered: dict = {}
+
+
+def remembered(key, make):
+    """What a worker process keeps between tasks: one operator's memory at a time, so they don't add up."""
+    if key not in _remembered:
+        _remembered.clear()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
+def forget() -> None:
+    """Empty a worker's memory, for operators that keep none and need room."""
+    _remembered.clear()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,7 +70,14 @@ def durable(df: DataFrame, kind: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._pl_path = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``durable`` wrote for ``df``, once nothing reads it any more."""
+    delete(df.sparkSession, df._pl_path)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
