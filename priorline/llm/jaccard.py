@@ -3,16 +3,16 @@
 A text's row of the matrix is its set of distinct ``SHINGLE``-word shingles, as 64-bit hashes. Equal rows are one node
 (their signature), so copies are never paired. A pair of sizes (a, b) at 80 percent shares at least need = ceil(4(a+b)/9)
 shingles, so of any order of the columns the first n - ceil(0.8 n) + 1 of each row must meet: only these entries are
-multiplied. They are dealt by column into blocks; a block accumulates the overlap count of each pair that meets in it,
-and discards pairs whose sizes differ too much or whose places leave fewer than need to share. What is left is verified
-on whole rows. The order is any one order for all rows: columns that many rows hold come last (at most ``HOT_COLUMNS`` of
+multiplied. They are dealt by column into blocks; a block accumulates the overlap count of each pair that meets in it
+if their sizes allow a link; counts of all blocks are summed, and pairs are discarded whose count and whose entries yet
+unseen cannot make up need. What is left is verified on whole rows. The order is any one order for all rows: columns that many rows hold come last (at most ``HOT_COLUMNS`` of
 them, found by counting every row's first entries), the rest by hash. So a passage that many texts share meets only
 where a text is little else.
 
 Columns that still hold more than ``BLOCK_ROWS`` entries - large groups of near copies - are not squared: their entries
-are paired with one pivot for each size band, links are verified, and only rows that are then still in different
-components are paired with each other. Connected rows need no more pairs for their component, and no link between
-components is lost. Components are found on links by alternating large-star and small-star rounds of joins.
+are paired with one pivot for each size band. Verification has two rounds: each row with the partner it met most and
+with pivots, then all pairs - of large columns, all of their rows - that are still in different components. Connected
+rows need no more pairs for their component, and no link between components is lost. Components are found on links by alternating large-star and small-star rounds of joins.
 
 Hash collisions (2^-64 for any two shingles or sets) aside, the result is exact.
 
@@ -27,11 +27,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priorline.llm.common import durable, id_text, mixed, passages
+from priorline.llm.common import durable, forget, id_text, mixed, passages, release
 
 SHINGLE = 5
 #: Columns put last: at most so many, each among the first entries of more than HOT_FROM rows.
@@ -39,7 +39,7 @@ HOT_COLUMNS, HOT_FROM = 1 << 17, 48
 #: Entries of a column that are paired with each other.
 BLOCK_ROWS = 64
 #: Entries for a block's task.
-TASK_ENTRIES = 1_500_000
+TASK_ENTRIES = 500_000
 #: Rows below which a table is broadcast.
 BROADCAST_ROWS = 500_000
 #: Bits of the map that tells which rows have a candidate: 8 MB.
@@ -84,6 +84,7 @@ def signatures(texts: DataFrame) -> DataFrame:
     """row_key, doc_id, n, sig and the high halves of the first entries in hash order, once for each set and task."""
 
     def run(batches):
+        forget()
         seen: set[int] = set()
         for batch in batches:
             n, sig, heads, ends = [], [], [], [0]
@@ -122,6 +123,7 @@ def entries(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
+        forget()
         late = sent.value
         seen: set[int] = set()
         for batch in batches:
@@ -164,19 +166,18 @@ def entries(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "col long, sig long, n int, pos int, hot boolean")
 
 
-def _meet(ai, bi, sig, n, pos):
-    """Which of the entry pairs (ai, bi) of one column can belong to a link."""
+def _meet(ai, bi, n):
+    """Which of the entry pairs (ai, bi) of one column have sizes that can link."""
     na, nb = n[ai], n[bi]
-    need = -(-4 * (na + nb) // 9)
-    share = 1 + np.minimum(na - pos[ai], nb - pos[bi]) - 1
-    ok = (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (share >= need) & (sig[ai] != sig[bi])
+    ok = 5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)
     return ai[ok], bi[ok]
 
 
 def blocks(entry_rows: DataFrame, parts: int) -> DataFrame:
-    """a < b with the count of columns that met (kind 0), and entries of columns too large to square (kind 1: col, a, n, pos)."""
+    """a < b with sizes and the count of columns that met (kind 0), and entries of columns too large to square (kind 1: a, na, col, pos)."""
 
     def run(batches):
+        forget()
         cold = []
         for batch in batches:
             hot = batch.column("hot").to_numpy(zero_copy_only=False)
@@ -209,8 +210,8 @@ def blocks(entry_rows: DataFrame, parts: int) -> DataFrame:
             step = max(1, 2_000_000 // len(i))
             for s in range(0, len(at), step):
                 base = at[s : s + step, None]
-                ai, bi = _meet((base + i).ravel(), (base + j).ravel(), sig, n, pos)
-                pairs.append(np.stack([sig[ai], sig[bi]]))  # sorted by sig within a column, so a < b
+                ai, bi = _meet((base + i).ravel(), (base + j).ravel(), n)
+                pairs.append(np.stack([sig[ai], sig[bi], n[ai], n[bi]]))  # sorted by sig within a column, so a < b
                 held += len(ai)
                 if held > 4_000_000:
                     yield kind0(np.concatenate(pairs, axis=1))
@@ -218,22 +219,54 @@ def blocks(entry_rows: DataFrame, parts: int) -> DataFrame:
         if held:
             yield kind0(np.concatenate(pairs, axis=1))
 
-    def batch_of(kind, col, a, b, n, pos, met):
+    def batch_of(kind, a, na, *more):
         k = len(a)
-        full = lambda x, t: pa.array(np.asarray(x), t) if x is not None else pa.nulls(k, t)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), full(col, pa.int64()), full(a, pa.int64()), full(b, pa.int64()), full(n, pa.int64()), full(pos, pa.int64()), full(met, pa.int64())], names=["kind", "col", "a", "b", "n", "pos", "met"])
+        full = lambda x: pa.nulls(k, pa.int64()) if x is None else pa.array(np.asarray(x).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), *map(full, (a, na, *more))], names=["kind", "a", "na", "b", "nb", "met", "col", "pos"])
 
     def kind1(t):
-        return batch_of(1, t["col"], t["sig"], None, t["n"].astype(np.int64), t["pos"].astype(np.int64), None)
+        return batch_of(1, t["sig"], t["n"], None, None, None, t["col"], t["pos"])
 
     def kind0(pairs):
         order = np.lexsort((pairs[1], pairs[0]))
-        a, b = pairs[0][order], pairs[1][order]
+        a, b, na, nb = pairs[:, order]
         start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        return batch_of(0, None, a[start], b[start], None, None, np.diff(np.r_[start, len(a)]))
+        return batch_of(0, a[start], na[start], b[start], nb[start], np.diff(np.r_[start, len(a)]), None, None)
 
     salt = F.when(F.col("hot"), F.pmod(F.col("sig"), F.lit(4096))).otherwise(F.lit(0))
-    return entry_rows.repartition(parts, "col", salt).mapInArrow(run, "kind int, col long, a long, b long, n long, pos long, met long")
+    return entry_rows.repartition(parts, "col", salt).mapInArrow(run, "kind int, a long, na long, b long, nb long, met long, col long, pos long")
+
+
+def _first(n: Column) -> Column:
+    """``first_entries`` as a column."""
+    return n - F.ceil(4 * n / F.lit(5.0) - 1e-9) + 1
+
+
+def _room(met: Column, ua: Column, ub: Column) -> Column:
+    """Whether rows of sizes na and nb that met ``met`` times outside large columns, and have ua and ub entries in those, can link."""
+    na, nb = F.col("na"), F.col("nb")
+    rest = F.greatest(na - _first(na), nb - _first(nb))
+    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (met + F.least(ua, ub) + rest >= F.ceil(4 * (na + nb) / F.lit(9.0) - 1e-9))
+
+
+def enough(met: DataFrame) -> DataFrame:
+    """The pairs (a, b) of all blocks whose counts leave room for a link.
+
+    In the common order, every shared column up to the nearer end of the two rows' first entries has met, but for those in
+    columns too large to square; beyond that end there are at most n - first_entries(n) columns of the row that ends there.
+    """
+    large = met.where("kind = 1").select("a", "col").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("u"))
+    counted = met.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("met").alias("met"))
+    known = _small(large)
+    both = counted.join(known.select("a", F.col("u").alias("ua")), "a", "left").join(known.select(F.col("a").alias("b"), F.col("u").alias("ub")), "b", "left")
+    return both.where(_room(F.col("met"), F.coalesce("ua", F.lit(0)), F.coalesce("ub", F.lit(0)))).select("a", "b", "met")
+
+
+def best_partners(pairs: DataFrame) -> DataFrame:
+    """For each row the pair that met in most columns."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "met")
+    best = ends.groupBy("e.x").agg(F.max_by("e.y", F.struct("met", "e.y")).alias("y"))
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -241,8 +274,8 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig and whole row (binary) of the sets in ``wanted`` (sig), once each."""
-    spot = F.pmod(F.col("sig"), F.lit(MAP_BITS)) + 1
+    """sig and whole row (binary) of the texts in ``wanted`` (row_key), from one more scan; only those are moved."""
+    spot = F.pmod(F.col("row_key"), F.lit(MAP_BITS)) + 1
     maps = wanted.select(F.bitmap_bucket_number(spot).alias("k"), F.bitmap_bit_position(spot).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     bits = np.zeros(MAP_BITS // 8 + 4096, np.uint8)
     for r in maps:
@@ -252,44 +285,54 @@ def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         have = sent.value
-        seen: set[int] = set()
         for batch in batches:
-            sigs, sets, held = [], [], 0
-            for value in batch.column("text").cast(pa.binary()):
+            spots = batch.column("row_key").to_numpy() % MAP_BITS
+            rows = np.flatnonzero(have[spots >> 3] >> (spots & 7) & 1)
+            part = batch.take(pa.array(rows))
+            keys, sigs, sets, held = [], [], [], 0
+            for key, value in zip(part.column("row_key"), part.column("text").cast(pa.binary()), strict=True):
                 row = row_of(value.as_py())
                 if not len(row):
                     continue
-                one = signature(row)
-                bit = one % MAP_BITS
-                if one in seen or not have[bit >> 3] >> (bit & 7) & 1:
-                    continue
-                seen.add(one)
-                sigs.append(one)
+                keys.append(key)
+                sigs.append(signature(row))
                 sets.append(row.tobytes())
                 held += len(sets[-1])
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sets, pa.binary())], names=["sig", "set"])
-                    sigs, sets, held = [], [], 0
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sets, pa.binary())], names=["sig", "set"])
-            if len(seen) > 1_000_000:
-                seen.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sigs, pa.int64()), pa.array(sets, pa.binary())], names=["row_key", "sig", "set"])
+                    keys, sigs, sets, held = [], [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sigs, pa.int64()), pa.array(sets, pa.binary())], names=["row_key", "sig", "set"])
+
+    return texts.mapInArrow(run, "row_key long, sig long, set binary").join(_small(wanted), "row_key", "left_semi").drop("row_key")
+
+
+def prints(sets: DataFrame) -> DataFrame:
+    """The sets with two bytes for each shingle, sorted: what two of them share is at least what their sets share."""
+
+    def run(batches):
+        for batch in batches:
+            out = [np.sort(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint16)).tobytes() for x in batch.column("set")]
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(out, pa.binary())], names=["sig", "set"])
+
+    return sets.mapInArrow(run, "sig long, set binary")
+
 
-    return texts.mapInArrow(run, "sig long, set binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
+def shared(p: np.ndarray, q: np.ndarray) -> int:
+    """How many values two sorted arrays share, each as often as both have it."""
+    values, n = np.unique(p, return_counts=True)
+    return int(np.minimum(n, np.searchsorted(q, values, "right") - np.searchsorted(q, values, "left")).sum())
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole rows overlap enough."""
+def verified(pairs: DataFrame, sets: DataFrame, width: type = np.uint64) -> DataFrame:
+    """The pairs (a, b) whose sets (of values of ``width``) share enough."""
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                common = int((q[at] == p).sum())
+                p, q = np.frombuffer(x.as_buffer(), width), np.frombuffer(y.as_buffer(), width)
+                common = shared(p, q) if len(p) <= len(q) else shared(q, p)
                 keep.append(100 * common >= 80 * (len(p) + len(q) - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
@@ -320,45 +363,66 @@ def _rooted(hot: DataFrame, roots: DataFrame) -> DataFrame:
     return hot.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose rows are in different components."""
+    own = _small(roots)
+    rooted = pairs.join(own.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(own.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    return rooted.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def _crossing(hot: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of one large column whose rows are in different components and can still link."""
     rows = _rooted(hot, roots)
     mixed_cols = rows.groupBy("col").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("col")
     rows = durable(rows.join(mixed_cols, "col", "left_semi"), "crossing")
-    x = rows.select("col", F.col("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    y = rows.select("col", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-    need = F.ceil(4 * (F.col("na") + F.col("nb")) / F.lit(9.0) - 1e-9)
-    return x.join(y, "col").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)).select("a", "b").distinct()
+    x = rows.select("col", F.col("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("root").alias("ra"))
+    y = rows.select("col", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("root").alias("rb"))
+    # Pairs that also met outside large columns are among the squared ones.
+    return x.join(y, "col").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & _room(F.lit(0), F.col("ua"), F.col("ub"))).select("a", "b").distinct()
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """row_key, doc_id, n_shingles, component_id and first (one row of each component) for every row of ``docs``."""
     texts = id_text(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
     rows = durable(signatures(texts), "signatures")
+    first_rows = rows.where("sig is not null").groupBy("sig").agg(F.min("row_key").alias("row_key"))
     hot = hot_columns(rows)
     total = rows.agg(F.sum(F.size("heads"))).first()[0] or 0
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_ENTRIES))
     met = durable(blocks(entries(texts, hot), parts), "blocks")
-    squared = met.where("kind = 0").select("a", "b")
-    large = met.where("kind = 1").select("col", "a", "n", "pos").distinct()
+    squared = durable(enough(met), "squared")
+    large = met.where("kind = 1").select("col", "a", F.col("na").alias("n")).distinct()
+    unseen = large.groupBy("a").agg(F.count(F.lit(1)).alias("u"))
+    # Alone, its entries in large columns must leave room for a link with a row of its own size.
+    alone = F.col("u") + F.col("n") - _first(F.col("n")) >= F.ceil(8 * F.col("n") / F.lit(10.0) - 1e-9)
+    large = durable(large.join(_small(unseen), "a").where(alone), "large")
     band = F.floor(F.log("n") / math.log(1.1)).cast("int")
     banded = large.withColumn("band", band)
-    pivots = banded.groupBy("col", "band").agg(F.min("a").alias("pivot"))
-    steps = pivots.unionByName(pivots.withColumn("band", F.col("band") + 1)).unionByName(pivots.withColumn("band", F.col("band") + 2))
+    # An original has all its first entries in large columns, an edited copy some of its own: the fullest row is the pivot.
+    pivots = banded.groupBy("col", "band").agg(F.min_by("a", F.struct(-F.col("u") / _first(F.col("n")), F.col("a"))).alias("pivot"))
+    steps = pivots.unionByName(pivots.withColumn("band", F.col("band") + 1)).unionByName(pivots.withColumn("band", F.col("band") + 2)).unionByName(pivots.withColumn("band", F.col("band") - 1))
     stars = banded.join(steps, ["col", "band"]).where("a <> pivot").select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b"))
-    pairs = durable(squared.unionByName(stars).distinct(), "pairs")
 
     def check(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        return durable(verified(pairs, durable(sets_of(texts, wanted), "sets")), "links")
-
-    links = check(pairs)
+        own = durable(first_rows.join(_small(wanted), "sig", "left_semi").select("row_key"), "wanted")
+        sets = durable(sets_of(texts, own), "sets")
+        near = durable(verified(pairs, prints(sets), np.uint16).distinct(), "near")
+        links = durable(verified(near, sets).distinct(), "links")
+        release(sets)
+        return links
+
+    # First each row with its likeliest partner and with pivots: most components form here, and their other pairs are not needed.
+    likely = durable(best_partners(squared).unionByName(stars).distinct(), "pairs")
+    links = check(likely)
     roots = components(links)
+    more = _apart(squared.select("a", "b"), roots)
     if large.limit(1).count():
-        rest = durable(_crossing(large, roots).join(pairs, ["a", "b"], "left_anti"), "crossing")
-        if rest.limit(1).count():
-            roots = components(links.unionByName(check(rest)))
+        more = more.unionByName(_crossing(large, roots)).distinct()
+    more = durable(more.join(likely, ["a", "b"], "left_anti"), "pairs")
+    if more.limit(1).count():
+        roots = components(links.unionByName(check(more)))
     node = rows.drop("heads").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("node", F.coalesce("root", "sig"))
     head = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
     groups = node.where("node is not null").groupBy("node").agg(F.min(head).alias("head"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorline.llm.common import durable, id_text, passages
+from priorline.llm.common import durable, id_text, passages, remembered
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,9 +37,6 @@ SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
 #: The split of the vocabulary's pre-tokenizer, for such words in lower case.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-_tokenizers: dict[str, tuple] = {}
-
-
 def _byte_letters() -> dict[int, str]:
     """The usual printable letter for each byte: itself where it prints, else the next free one from 256."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,13 +46,15 @@ def _byte_letters() -> dict[int, str]:
 
 def _tokenizer(path: str):
     """The tokenizer of ``path``, its model, and the ids of words and word parts known so far; one for each worker process."""
-    if path not in _tokenizers:
+
+    def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        _tokenizers[path] = (own, own.model, {}, {})
-    return _tokenizers[path]
+        return own, own.model, {}, {}
+
+    return remembered(("tokenizer", path), make)
 
 
 LETTERS = _byte_letters()

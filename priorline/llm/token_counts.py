@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from priorline.llm.common import id_text, passages
+from priorline.llm.common import id_text, passages, remembered
 
 MARK = "▁"
 #: Words whose counts a worker remembers.
@@ -74,18 +74,17 @@ class Unigram:
         return out
 
 
-_models: dict[str, tuple[Unigram, dict[bytes, int]]] = {}
-
-
 def model(path: str) -> tuple[Unigram, dict[bytes, int]]:
     """The model of a vocabulary file and the counts known so far; one for each worker process."""
-    if path not in _models:
+
+    def make():
         import sentencepiece
 
         own = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = (i for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i) or own.is_unused(i)))
-        _models[path] = (Unigram(own.id_to_piece(i) for i in plain), {})
-    return _models[path]
+        return Unigram(own.id_to_piece(i) for i in plain), {}
+
+    return remembered(("pieces", path), make)
 
 
 def count(text: bytes, path: str) -> tuple[int, int]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priorline.llm.common import id_text
+from priorline.llm.common import id_text, remembered
 
 WINDOW, STRIDE = 64, 48
 #: Decay of parameters at each step, in learning rates.
@@ -40,9 +40,9 @@ NGRAMS = (3, 4, 5)
 CHAR_BUCKETS = 1 << 14
 VOCABULARY = 20_000
 #: Training steps to aim for, and the fewest and most rounds through the sample.
-STEPS, ROUNDS = 400, (8, 20)
+STEPS, ROUNDS = 280, (6, 20)
 #: Words whose projections a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
 
@@ -53,7 +53,7 @@ def plain(word: str) -> str:
 
 
 def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and buckets of all character n-grams of ``^word$``; words of like length are hashed together."""
+    """Rising row numbers and buckets of all character n-grams of ``^word$``; words of like length are hashed together."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     rows, found = [], []
     for width in np.unique(lengths):
@@ -71,8 +71,16 @@ def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 h ^= h >> np.uint64(29)
             found.append((h % np.uint64(CHAR_BUCKETS)).astype(np.int64).ravel())
             rows.append(np.repeat(at, h.shape[1]))
-    none = np.empty(0, np.int64)
-    return (np.concatenate(rows), np.concatenate(found)) if rows else (none, none)
+    if not rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    rows_, found_ = np.concatenate(rows), np.concatenate(found)
+    order = np.argsort(rows_, kind="stable")
+    return rows_[order], found_[order]
+
+
+def summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` added up by their number in ``at``."""
+    return np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -92,18 +100,18 @@ class Network:
             self.p |= {f"w{side}": draw(d, 3 * h), f"u{side}": draw(h, 3 * h), f"c{side}": np.zeros(3 * h, np.float32)}
         self.p |= {"att": draw(2 * h), "out": draw(2 * h), "bias": np.full(1, -1.0, np.float32)}
 
-    def features(self, words: list[str]) -> tuple[np.ndarray, tuple]:
-        """Input vectors of distinct words, and what their gradients need."""
-        ids = np.fromiter((self.known.get(w, 0) for w in words), np.int64, len(words))
-        rows, found = ngram_buckets(words)
-        count = np.maximum(np.bincount(rows, minlength=len(words)), 1).astype(np.float32)
-        order = np.argsort(rows, kind="stable")
-        rows, found = rows[order], found[order]
-        chars = np.zeros((len(words), CHAR_DIM), np.float32)
+    def features(self, ids: np.ndarray, rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Input vectors of words from their vocabulary ids and n-gram buckets (by rising row), and each word's n-gram count."""
+        count = np.maximum(np.bincount(rows, minlength=len(ids)), 1).astype(np.float32)
+        chars = np.zeros((len(ids), CHAR_DIM), np.float32)
         if len(rows):
             first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
             chars[rows[first]] = np.add.reduceat(self.p["char"][found], first, axis=0)
-        return np.concatenate([self.p["word"][ids], chars / count[:, None]], axis=1), (ids, rows, found, count)
+        return np.concatenate([self.p["word"][ids], chars / count[:, None]], axis=1), count
+
+    def features_of(self, words: list[str]) -> np.ndarray:
+        """Input vectors of distinct words."""
+        return self.features(np.fromiter((self.known.get(w, 0) for w in words), np.int64, len(words)), *ngram_buckets(words))[0]
 
     def projected(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {side: x @ self.p[f"w{side}"] + self.p[f"c{side}"] for side in "fb"}
@@ -154,10 +162,10 @@ class Network:
         d_e = alpha * (d_alpha - (alpha * d_alpha).sum(axis=0))
         grad["att"] = np.einsum("tn,tnh->h", d_e, states)
         d_states = alpha[:, :, None] * d_pooled + d_e[:, :, None] * p["att"]
-        tables = {}
+        tables, real = {}, ids >= 0
         for s, side in enumerate("fb"):
             u, d_u = p[f"u{side}"], np.zeros_like(p[f"u{side}"])
-            d_table = np.zeros((n_words, 3 * h), np.float32)
+            d_inputs = np.empty((*ids.shape, 3 * h), np.float32)
             carry = np.zeros_like(states[0, :, :h])
             for t, before, rz, new, gn in reversed(gates[side]):
                 d = (carry + d_states[t, :, s * h : (s + 1) * h]) * mask[t][:, None]
@@ -168,10 +176,9 @@ class Network:
                 d_g[:, 2 * h :] *= r
                 d_u += before.T @ d_g
                 carry = d * z + d_g @ u.T
-                real = ids[t] >= 0
-                np.add.at(d_table, ids[t][real], d_a[real])
+                d_inputs[t] = d_a
             grad[f"u{side}"] = d_u
-            tables[side] = d_table
+            tables[side] = summed(ids[real], d_inputs[real], n_words)
         return grad, tables
 
 
@@ -209,13 +216,21 @@ class Adam:
 
 def train(texts: list[str], labels: list[int], batch: int = 128, seed: int = 7) -> Network:
     """A network fitted on whole texts with one label each."""
-    split = [[plain(w) for w in t.split()] for t in texts]
-    seen: dict[str, int] = {}
-    for words in split:
-        for w in set(words):
-            seen[w] = seen.get(w, 0) + 1
-    kept = sorted((w for w, n in seen.items() if n > 2), key=lambda w: (-seen[w], w))[:VOCABULARY]
+    number: dict[str, int] = {}
+    split = [np.fromiter((number.setdefault(plain(w), len(number)) for w in t.split()), np.int32) for t in texts]
+    words = list(number)
+    seen = np.zeros(len(words), np.int64)
+    for own in split:
+        seen[np.unique(own)] += 1
+    often = np.flatnonzero(seen > 2)
+    kept = [words[i] for i in sorted(often.tolist(), key=lambda i: (-seen[i], words[i]))[:VOCABULARY]]
     net = Network(kept, seed)
+    vocabulary = np.fromiter((net.known.get(w, 0) for w in words), np.int64, len(words))
+    rows, buckets = ngram_buckets(words)
+    buckets = buckets.astype(np.int32)
+    n_grams = np.bincount(rows, minlength=len(words))
+    first_gram = np.r_[0, np.cumsum(n_grams)]
+    del rows, number
     rng = np.random.default_rng(seed)
     adam = Adam()
     y = np.array(labels, np.float32)
@@ -225,10 +240,7 @@ def train(texts: list[str], labels: list[int], batch: int = 128, seed: int = 7)
         order = rng.permutation(len(split))
         for b in range(0, len(order), batch):
             docs = order[b : b + batch]
-            flat = [w for i in docs for w in split[i]]
-            distinct = list(dict.fromkeys(flat))
-            number = {w: i for i, w in enumerate(distinct)}
-            ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+            distinct, ids = np.unique(np.concatenate([split[i] for i in docs]), return_inverse=True)
             spans, owner, at = [], [], 0
             for k, i in enumerate(docs):
                 for a, e in windows_of(len(split[i])):
@@ -236,7 +248,11 @@ def train(texts: list[str], labels: list[int], batch: int = 128, seed: int = 7)
                     owner.append(k)
                 at += len(split[i])
             owner = np.array(owner)
-            x, (word_ids, rows, found, count) = net.features(distinct)
+            own = n_grams[distinct]
+            rows = np.repeat(np.arange(len(distinct)), own)
+            found = buckets[np.repeat(first_gram[distinct] - np.r_[0, np.cumsum(own)[:-1]], own) + np.arange(own.sum())]
+            word_ids = vocabulary[distinct]
+            x, count = net.features(word_ids, rows, found)
             table = net.projected(x)
             grid = laid_out(ids, spans, WINDOW)
             if r >= 2:
@@ -254,10 +270,9 @@ def train(texts: list[str], labels: list[int], batch: int = 128, seed: int = 7)
                 grad[f"w{side}"] = x.T @ tables[side]
                 grad[f"c{side}"] = tables[side].sum(axis=0)
                 d_x += tables[side] @ net.p[f"w{side}"].T
-            grad["word"], grad["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(grad["word"], word_ids, d_x[:, :WORD_DIM])
+            grad["word"] = summed(word_ids, d_x[:, :WORD_DIM], len(net.p["word"]))
             grad["word"][0] = 0
-            np.add.at(grad["char"], found, (d_x[:, WORD_DIM:] / count[:, None])[rows])
+            grad["char"] = summed(found, (d_x[:, WORD_DIM:] / count[:, None])[rows], CHAR_BUCKETS)
             adam.step(net.p, grad)
     return net
 
@@ -278,7 +293,7 @@ class Scorer:
         if self.used + len(words) > REMEMBERED:
             self.clear()
         new = [w for w in words if w not in self.at]
-        table = self.net.projected(self.net.features([plain(w) for w in new])[0])
+        table = self.net.projected(self.net.features_of([plain(w) for w in new]))
         if self.used + len(new) > len(self.table["f"]):
             room = max(2 * len(self.table["f"]), self.used + len(new), 1 << 14)
             for side in "fb":
@@ -338,17 +353,11 @@ def fit(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = TRAIN_EACH,
     return train([r["text"] for r in rows], y)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scores(texts, net: Network | float) -> np.ndarray:
     """Scores of an Arrow column of texts; nulls count as empty."""
     if isinstance(net, float):
         return np.full(len(texts), net)
-    if id(net) not in _scorers:
-        _scorers.clear()
-        _scorers[id(net)] = Scorer(net)
-    scorer = _scorers[id(net)]
+    scorer = remembered(("toxicity", id(net)), lambda: Scorer(net))
     out, held, n = [], [], 0
     for row in range(len(texts)):
         held.append((texts[row].as_py() or "").split())
