@@ -98,7 +98,7 @@ def alias_table() -> dict[str, str | None]:
 
 
 def aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(alias_table().items()), "alias string, code string")
+    return spark.createDataFrame(list(alias_table().items()), "spelling string, code string")
 
 
 def teams(spark: SparkSession) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from priorline.plans import forms, joins
+from priorline.plans import forms, joins, tables
 
-QUERIES = {**forms.QUERIES, **joins.QUERIES}
-ORACLES = {**forms.ORACLES, **joins.ORACLES}
+QUERIES = {**forms.QUERIES, **joins.QUERIES, **tables.QUERIES}
+ORACLES = {**forms.ORACLES, **joins.ORACLES, **tables.ORACLES}
