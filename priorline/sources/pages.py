@@ -10,7 +10,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from priorline.functions import values
 
@@ -80,15 +79,15 @@ class Client:
         raise SourceError(f"{path}: more than {max_pages} pages")
 
 
-GAME = T._parse_datatype_string(
-    "id long, date string, season int, status string, period int, time string, postseason boolean, ist_stage string, home_team_score int, visitor_team_score int, datetime string, "
-    "home_team struct<id: long, abbreviation: string, full_name: string>, visitor_team struct<id: long, abbreviation: string, full_name: string>"
+GAME = (
+    "id: long, date: string, season: int, status: string, period: int, time: string, postseason: boolean, ist_stage: string, home_team_score: int, visitor_team_score: int, datetime: string, "
+    "home_team: struct<id: long, abbreviation: string, full_name: string>, visitor_team: struct<id: long, abbreviation: string, full_name: string>"
 )
 
 
-def flattened(pages: DataFrame, key: str, item: T.DataType) -> DataFrame:
+def flattened(pages: DataFrame, key: str, item: str) -> DataFrame:
     """Items of landed pages (``raw`` string: a page envelope), in order, with page and place; bad pages give none."""
-    parsed = F.from_json("raw", T.StructType([T.StructField(key, T.ArrayType(item))]))
+    parsed = F.from_json("raw", f"`{key}` array<struct<{item}>>")
     return pages.select("page", F.posexplode(parsed[key]).alias("place", "item"))
 
 
@@ -108,14 +107,14 @@ def games(pages: DataFrame) -> DataFrame:
 
 
 CANDLE_LEG = "struct<open: string, high: string, low: string, close: string, open_dollars: string, high_dollars: string, low_dollars: string, close_dollars: string>"
-CANDLE = T._parse_datatype_string(f"end_period_ts long, volume string, volume_fp string, open_interest string, open_interest_fp string, price {CANDLE_LEG}, yes_bid {CANDLE_LEG}, yes_ask {CANDLE_LEG}")
+CANDLE = (f"end_period_ts: long, volume: string, volume_fp: string, open_interest: string, open_interest_fp: string, price: {CANDLE_LEG}, yes_bid: {CANDLE_LEG}, yes_ask: {CANDLE_LEG}")
 
 
 def candles(pages: DataFrame) -> DataFrame:
     """Candle payloads in either spelling: market, ts, bid, ask, last price, volume, open interest; one for an instant, the last."""
     it = F.col("item")
     either = lambda leg: values.price(F.coalesce(it[leg]["close"], it[leg]["close_dollars"]))
-    parsed = F.from_json("raw", T.StructType([T.StructField("candlesticks", T.ArrayType(CANDLE))]))
+    parsed = F.from_json("raw", f"candlesticks array<struct<{CANDLE}>>")
     rows = pages.select("market", "page", F.posexplode(parsed["candlesticks"]).alias("place", "item")).select(
         "market", it["end_period_ts"].alias("ts"), either("yes_bid").alias("bid"), either("yes_ask").alias("ask"), either("price").alias("last_price"),
         values.number(F.coalesce(it["volume"], it["volume_fp"])).alias("volume"), values.number(F.coalesce(it["open_interest"], it["open_interest_fp"])).alias("open_interest"), F.struct("page", "place").alias("ordinal"),
