@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +99,19 @@ def passages(text: bytes, size: int = 1 << 20):
     yield text[at:] if at else text
 
 
+class Overlaps:
+    """Whether a span meets any of many, by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > start
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from priorline.llm.common import id_text
+from priorline.llm.common import Overlaps, id_text
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -207,10 +207,10 @@ def all_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, li
     both = {}
     for kind, find in FINDERS.items():
         own = base[kind]
-        new = []
+        taken, new = Overlaps(own), []
         for found in find(seen.text):
             start, end = seen.source(*found)
-            if not any(a < end and start < b for a, b in own):
+            if not taken(start, end):
                 new.append((start, end))
         both[kind] = sorted(own + new)
     return base, both

@@ -1,0 +1,160 @@
+"""PII, secrets, WARC and token counts against plain versions."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer, models
+
+from priorline.llm import pii, queries, secrets, token_counts, warc
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def plain_base(t: str) -> dict:
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    return {
+        "email": [m.span() for m in EMAIL.finditer(t)],
+        "ip": [m.span() for m in pii.IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))],
+        "card": [m.span() for m in pii.CARD.finditer(t) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))],
+        "phone": [m.span() for m in pii.PHONE.finditer(t) if 8 <= len(digits(m[0])) <= 15],
+    }
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="a1.@-+ 25()0", max_size=40))
+def test_pii_base_rules(text):
+    assert pii.base_spans(text) == plain_base(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("write jane (at) corp [dot] example.org now", "email", "jane (at) corp [dot] example.org"),
+        ("john at site dot com", "email", "john at site dot com"),
+        ("аdmin@exаmple.com", "email", "аdmin@exаmple.com"),
+        ("ｊｏｅ＠ｓｉｔｅ．ｃｏｍ", "email", "ｊｏｅ＠ｓｉｔｅ．ｃｏｍ"),
+        ("card ４１１１ 1111 1111 1111.", "card", "４１１１ 1111 1111 1111"),
+        ("+one two three four five five five six seven", "phone", "+one two three four five five five six seven"),
+        ("10.0.0​.1", "ip", "10.0.0​.1"),
+    ],
+)
+def test_disguises_map_back(text, kind, found):
+    base, both = pii.all_spans(text)
+    assert found in [text[a:b] for a, b in both[kind]]
+    assert all(s in both[k] for k in base for s in base[k] if s in base[k])
+
+
+def test_plain_prose_has_no_spans():
+    for text in ("we met at noon at the cafe", "one two three", "at dot at dot", "Look at this. Dot the i."):
+        assert not any(pii.all_spans(text)[1].values())
+
+
+def test_pii_stays_linear():
+    for text in ("a" * 300_000, "1." * 150_000, "@" * 200_000, "+1(" * 100_000, "one " * 80_000, "a@" * 150_000):
+        pii.all_spans(text)
+
+
+def test_pii_digest(spark):
+    docs = spark.createDataFrame([(1, "x a@b.co y 10.0.0.1", 1), (2, None, 1), (None, "", 1), (1, "x a@b.co y 10.0.0.1", 1)], "doc_id long, text string, spans int")
+    rows = queries._counted(pii.find_personal_data(docs), pii.KINDS).collect()
+    assert len(rows) == 4
+    one = [r for r in rows if r.doc_id == 1][0]
+    assert (one.n_email, one.n_ip, one.spans) == (1, 1, "email:2:8,ip:11:19")
+    assert one.base_sha256 == hashlib.sha256(b"email:2:8,ip:11:19").hexdigest()
+    assert [r for r in rows if r.doc_id == 2][0].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "password", "API_KEY", " ", "=", ":", "'", '"', "abcdef", "12", "AKIA", "ABCDEFGHIJKLMNOPQRST", "0a1b2c3d4e5f", "\n", "x", "-"]), max_size=14).map("".join))
+def test_secret_base_rules_stay(text):
+    base, both = secrets.all_spans(text)
+    want = [(m.start(), m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+    want += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    want += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    assert base == sorted(want, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+    assert all(s in both for s in base)
+
+
+def added(text: str) -> list[str]:
+    base, both = secrets.all_spans(text)
+    return [text[a:b] for a, b, k in both if (a, b, k) not in base]
+
+
+def test_lexing_adds_and_propagates():
+    assert added('DB_PASS = "x"\nsigning_key: "q8Zk1mP0vL2t"') == ["q8Zk1mP0vL2t"]
+    assert added('value = "Zk3x9dkq1Lm"\nprivate_key = value') == ["Zk3x9dkq1Lm"]
+    assert added('{"clientCredentials": "kq8Zt0LmX2v9"}') == ["kq8Zt0LmX2v9"]
+    assert added('color = "Zk3x9dkq1Lm"\nname: "Jonathan42"') == []
+    assert added('auth_signature = "changeme"\npwd = "${ENV_PWD}"') == []
+    assert added("It was: the key, and so on. Access = none") == []
+
+
+def test_warc_round_trip(spark):
+    html = ["<p>a</p>", None, "", "<p>a</p>", "x" * 300_000, "\x1f\x8b\x08 WARC/1.1\r\n", "<p>a</p>", "é"]
+    pages = spark.createDataFrame([(i, f"http://h/{i}" if i != 3 else None, h, 1) for i, h in enumerate(html)], "page_id long, url string, html string, type int").repartition(3)
+    for size in (32 << 20, 700):
+        got = {r.page_id: r for r in warc.round_trip(pages, range_bytes=size).collect()}
+        assert len(got) == len(html)
+        for i, h in enumerate(html):
+            body = (h or "").encode()
+            same = [j for j, g in enumerate(html) if (g or "") == (h or "")]
+            assert got[i].payload_bytes == len(body)
+            assert got[i].payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
+            assert (got[i].type, got[i].refers_to) == (("response", None) if i == max(same) else ("revisit", max(same)))
+            assert got[i].url == (f"http://h/{i}" if i != 3 else None)
+
+
+def test_warc_ranges_own_each_record_once(tmp_path):
+    rng = random.Random(4)
+    # Stored blocks hold whole members inside members: the magic must not be taken for a record that is not one.
+    inner = warc.member([(b"WARC-Type", b"response")], b"inner")
+    raws = [warc.record(i, "u", bytes(rng.choices(b"ab", k=rng.randint(0, 3000))) + inner[: rng.randint(0, 12)], None, False) for i in range(40)]
+    data = b"".join(raws)
+    (tmp_path / "x").write_bytes(data)
+    starts = [sum(map(len, raws[:i])) for i in range(40)]
+    for size in (1, 97, 1000, 5000, len(data)) if len(data) < 40_000 else (97, 1000, 5000, len(data)):
+        with open(tmp_path / "x", "rb") as f:
+            got = [at for b in range(0, len(data), size) for at, _ in warc.members(f, b, min(b + size, len(data)))]
+        assert got == starts
+
+
+def test_token_counts_equal_a_unigram_model(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    unigram, _ = token_counts.model(path)
+    other = Tokenizer(models.Unigram([("<unk>", unigram.unknown), *unigram.score.items()], 0, False))
+    words = [w for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect() for w in r.text.split()]
+    words = [w for w in dict.fromkeys(words) if all(c in unigram.score for c in w)]
+    assert unigram.counts(words) == {w: len(other.encode(token_counts.MARK + w).ids) for w in words}
+
+
+def plain_count(u: token_counts.Unigram, word: str) -> int:
+    text = token_counts.MARK + word
+    best = [(0.0, 0)]
+    for end in range(1, len(text) + 1):
+        options = [(best[end - 1][0] + u.unknown, -(best[end - 1][1] + len(text[end - 1].encode())))]
+        options += [(u.score[text[b:end]] + best[b][0], -(best[b][1] + 1)) for b in range(end) if text[b:end] in u.score]
+        top = max(options)
+        best.append((top[0], -top[1]))
+    return best[-1][1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abcé日x", max_size=9), max_size=12))
+def test_trie_shares_prefixes_rightly(words):
+    u = token_counts.Unigram([token_counts.MARK, "a", "b", "ab", "abc", "c", token_counts.MARK + "a", "bca", "é", "cé"])
+    assert u.counts(set(words)) == {w: plain_count(u, w) for w in set(words)}
+
+
+def test_token_count_rows(spark):
+    docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "hello hello\nworld", 5), (None, "a " * 5000, 5)], "doc_id long, text string, n_tokens int")
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.counted(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert got[1] == got[2] == (0, 0) and got[3][0] == 3 and got[None][0] == 5000
