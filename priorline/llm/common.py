@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from bisect import bisect_left
+from contextlib import contextmanager
 from itertools import accumulate
 
 import numpy as np
@@ -77,6 +78,18 @@ def durable(df: DataFrame, kind: str = "table") -> DataFrame:
     return back
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Plans run within send at most so many rows at once to Python: for rows of many kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(df: DataFrame) -> None:
     """Delete what ``durable`` wrote for ``df``, once nothing reads it any more."""
     delete(df.sparkSession, df._pl_path)

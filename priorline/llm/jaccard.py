@@ -11,8 +11,9 @@ where a text is little else.
 
 Columns that still hold more than ``BLOCK_ROWS`` entries - large groups of near copies - are not squared: their entries
 are paired with one pivot for each size band. Verification has two rounds: each row with the partner it met most and
-with pivots, then all pairs - of large columns, all of their rows - that are still in different components. Connected
-rows need no more pairs for their component, and no link between components is lost. Components are found on links by alternating large-star and small-star rounds of joins.
+with pivots, then all pairs that are still in different components. Connected rows need no more pairs for their
+component, and no link between components is lost. A pivot's group that is still of several components is multiplied
+tile by tile, ``TILE_ROWS`` rows by as many in one task, which returns a star for each connected part, never the pairs. Components are found on links by alternating large-star and small-star rounds of joins.
 
 Hash collisions (2^-64 for any two shingles or sets) aside, the result is exact.
 
@@ -25,13 +26,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priorline.llm.common import durable, forget, id_text, mixed, passages, release
+from priorline.llm.common import durable, forget, id_text, mixed, passages, release, small_batches
 
 SHINGLE = 5
 #: Columns put last: at most so many, each among the first entries of more than HOT_FROM rows.
@@ -40,6 +42,10 @@ HOT_COLUMNS, HOT_FROM = 1 << 17, 48
 BLOCK_ROWS = 64
 #: Entries for a block's task.
 TASK_ENTRIES = 500_000
+#: Rows with whole sets that go to Python at once.
+BATCH_ROWS = 500
+#: Rows of one chunk and columns of one slice where large columns are multiplied tile by tile.
+TILE_ROWS, TILE_COLUMNS = 1024, 2048
 #: Rows below which a table is broadcast.
 BROADCAST_ROWS = 500_000
 #: Bits of the map that tells which rows have a candidate: 8 MB.
@@ -207,13 +213,13 @@ def blocks(entry_rows: DataFrame, parts: int) -> DataFrame:
                     yield kind1({"col": col[part], "sig": sig[part], "n": n[part], "pos": pos[part]})
                 continue
             i, j = np.triu_indices(m, 1)
-            step = max(1, 2_000_000 // len(i))
+            step = max(1, 250_000 // len(i))
             for s in range(0, len(at), step):
                 base = at[s : s + step, None]
                 ai, bi = _meet((base + i).ravel(), (base + j).ravel(), n)
                 pairs.append(np.stack([sig[ai], sig[bi], n[ai], n[bi]]))  # sorted by sig within a column, so a < b
                 held += len(ai)
-                if held > 4_000_000:
+                if held > 400_000:
                     yield kind0(np.concatenate(pairs, axis=1))
                     pairs, held = [], 0
         if held:
@@ -359,10 +365,6 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(found)
 
 
-def _rooted(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    return hot.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-
-
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose rows are in different components."""
     own = _small(roots)
@@ -370,15 +372,71 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _crossing(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one large column whose rows are in different components and can still link."""
-    rows = _rooted(hot, roots)
-    mixed_cols = rows.groupBy("col").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("col")
-    rows = durable(rows.join(mixed_cols, "col", "left_semi"), "crossing")
-    x = rows.select("col", F.col("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("root").alias("ra"))
-    y = rows.select("col", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("root").alias("rb"))
-    # Pairs that also met outside large columns are among the squared ones.
-    return x.join(y, "col").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & _room(F.lit(0), F.col("ua"), F.col("ub"))).select("a", "b").distinct()
+def tile_links(ids: np.ndarray, chunk: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between the two chunks of a tile (or within its one chunk), as stars: enough edges to connect what links connect.
+
+    The product of the two incidence matrices, over columns that more than one row has, a slice of columns at a time.
+    """
+    sizes = np.array([len(x) for x in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    often = np.bincount(at, minlength=len(values)) > 1
+    number = np.cumsum(often) - 1
+    keep = often[at]
+    at, rows = number[at[keep]], rows[keep]
+    order = np.argsort(at, kind="stable")
+    at, rows = at[order], rows[order]
+    one = len(np.unique(chunk)) == 1
+    left = np.arange(len(sets)) if one else np.flatnonzero(chunk == chunk.min())
+    right = left if one else np.flatnonzero(chunk != chunk.min())
+    common = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(often.sum()), TILE_COLUMNS):
+        a, b = np.searchsorted(at, [first, first + TILE_COLUMNS])
+        part = np.zeros((len(sets), TILE_COLUMNS), np.float32)
+        part[rows[a:b], at[a:b] - first] = 1
+        common += part[left] @ part[right].T
+    linked_ = 100 * common >= 80 * (sizes[left][:, None] + sizes[right][None, :] - common)
+    links: list[tuple[int, int]] = []
+    todo = set(range(len(sets)))
+    place = {int(r): k for k, r in enumerate(right)}
+    spot = {int(r): k for k, r in enumerate(left)}
+    while todo:
+        start = todo.pop()
+        front = [start]
+        while front:
+            r = front.pop()
+            near = set()
+            if r in spot:
+                near |= set(right[linked_[spot[r]]].tolist())
+            if r in place:
+                near |= set(left[linked_[:, place[r]]].tolist())
+            near &= todo
+            todo -= near
+            front += near
+            links += [(int(ids[start]), int(ids[x])) for x in near]
+    return [(min(p), max(p)) for p in links]
+
+
+def _tiled(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within groups (pivot, a) that are still of several components, found tile by tile."""
+    own = roots.select(F.col("node").alias("a"), "root")
+    rooted = groups.join(_small(own), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    open_ = rooted.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    chunks = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
+    rows = groups.join(open_.select("pivot", chunks.alias("chunks")), "pivot").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
+    rows = rows.join(sets.select(F.col("sig").alias("a"), "set").dropDuplicates(["a"]), "a")
+    tiles = rows.select("pivot", "a", "chunk", "set", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    tiles = tiles.select("pivot", "a", "chunk", "set", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"))
+
+    def run(pdf):
+        pdf = pdf.sort_values("a", kind="stable")
+        chunk = pdf["chunk"].to_numpy()
+        if pdf["ti"].iloc[0] != pdf["tj"].iloc[0] and len(np.unique(chunk)) == 1:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        links = tile_links(pdf["a"].to_numpy(), chunk, [np.frombuffer(x, np.uint64) for x in pdf["set"]])
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return tiles.groupBy("pivot", "ti", "tj").applyInPandas(run, "a long, b long")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -394,22 +452,25 @@ def linked(docs: DataFrame) -> DataFrame:
     squared = durable(enough(met), "squared")
     large = met.where("kind = 1").select("col", "a", F.col("na").alias("n")).distinct()
     unseen = large.groupBy("a").agg(F.count(F.lit(1)).alias("u"))
-    # Alone, its entries in large columns must leave room for a link with a row of its own size.
-    alone = F.col("u") + F.col("n") - _first(F.col("n")) >= F.ceil(8 * F.col("n") / F.lit(10.0) - 1e-9)
-    large = durable(large.join(_small(unseen), "a").where(alone), "large")
+    large = durable(large.join(_small(unseen), "a"), "large")
     band = F.floor(F.log("n") / math.log(1.1)).cast("int")
     banded = large.withColumn("band", band)
     # An original has all its first entries in large columns, an edited copy some of its own: the fullest row is the pivot.
     pivots = banded.groupBy("col", "band").agg(F.min_by("a", F.struct(-F.col("u") / _first(F.col("n")), F.col("a"))).alias("pivot"))
-    steps = pivots.unionByName(pivots.withColumn("band", F.col("band") + 1)).unionByName(pivots.withColumn("band", F.col("band") + 2)).unionByName(pivots.withColumn("band", F.col("band") - 1))
-    stars = banded.join(steps, ["col", "band"]).where("a <> pivot").select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b"))
+    # Sizes that can link are at most three bands apart.
+    steps = pivots.withColumn("band", F.explode(F.sequence(F.col("band"), F.col("band") + 3)))
+    groups = durable(banded.join(steps, ["col", "band"]).select("pivot", "a").distinct(), "groups")
+    stars = groups.where("a <> pivot").select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b"))
 
     def check(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
         own = durable(first_rows.join(_small(wanted), "sig", "left_semi").select("row_key"), "wanted")
         sets = durable(sets_of(texts, own), "sets")
-        near = durable(verified(pairs, prints(sets), np.uint16).distinct(), "near")
-        links = durable(verified(near, sets).distinct(), "links")
+        with small_batches(spark, BATCH_ROWS):
+            short = durable(prints(sets), "prints")  # written, so that no stage runs two kinds of Python workers at once
+            near = durable(verified(pairs, short, np.uint16).distinct(), "near")
+            release(short)
+            links = durable(verified(near, sets).distinct(), "links")
         release(sets)
         return links
 
@@ -417,12 +478,17 @@ def linked(docs: DataFrame) -> DataFrame:
     likely = durable(best_partners(squared).unionByName(stars).distinct(), "pairs")
     links = check(likely)
     roots = components(links)
-    more = _apart(squared.select("a", "b"), roots)
-    if large.limit(1).count():
-        more = more.unionByName(_crossing(large, roots)).distinct()
-    more = durable(more.join(likely, ["a", "b"], "left_anti"), "pairs")
+    found = links
+    more = durable(_apart(squared.select("a", "b"), roots).join(likely, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
-        roots = components(links.unionByName(check(more)))
+        found = found.unionByName(check(more))
+    if groups.limit(1).count():
+        members = durable(first_rows.join(_small(groups.select(F.col("a").alias("sig")).distinct()), "sig", "left_semi").select("row_key"), "wanted")
+        sets = durable(sets_of(texts, members), "sets")
+        found = found.unionByName(durable(_tiled(groups, roots, sets), "tiles"))
+        release(sets)
+    if found is not links:
+        roots = components(found)
     node = rows.drop("heads").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("node", F.coalesce("root", "sig"))
     head = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
     groups = node.where("node is not null").groupBy("node").agg(F.min(head).alias("head"))
