@@ -226,11 +226,15 @@ def train(texts: list[str], labels: list[int], batch: int = 128, seed: int = 7)
     kept = [words[i] for i in sorted(often.tolist(), key=lambda i: (-seen[i], words[i]))[:VOCABULARY]]
     net = Network(kept, seed)
     vocabulary = np.fromiter((net.known.get(w, 0) for w in words), np.int64, len(words))
-    rows, buckets = ngram_buckets(words)
-    buckets = buckets.astype(np.int32)
-    n_grams = np.bincount(rows, minlength=len(words))
+    parts, grams = [], []
+    for at in range(0, len(words), 20_000):  # a part of the words at a time: the driver has little room
+        rows, found = ngram_buckets(words[at : at + 20_000])
+        parts.append(found.astype(np.int32))
+        grams.append(np.bincount(rows, minlength=len(words[at : at + 20_000])))
+    buckets = np.concatenate(parts) if parts else np.empty(0, np.int32)
+    n_grams = np.concatenate(grams) if grams else np.empty(0, np.int64)
     first_gram = np.r_[0, np.cumsum(n_grams)]
-    del rows, number
+    del parts, grams, number
     rng = np.random.default_rng(seed)
     adam = Adam()
     y = np.array(labels, np.float32)
