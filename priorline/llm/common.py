@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
 from bisect import bisect_left
@@ -11,6 +14,7 @@ from contextlib import contextmanager
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +30,34 @@ _remembered: dict = {}
 def remembered(key, make):
     """What a worker process keeps between tasks: one operator's memory at a time, so they don't add up."""
     if key not in _remembered:
-        _remembered.clear()
+        forget()
         _remembered[key] = make()
     return _remembered[key]
 
 
 def forget() -> None:
-    """Empty a worker's memory, for operators that keep none and need room."""
+    """Empty a worker's memory, for operators that keep none and need room, and give it back to the system."""
     _remembered.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks, beside an executor whose heap is full."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Most rows of a table of texts that go to Python at once.
+TEXT_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most TEXT_ROWS rows from now on in this session: at the default, a batch of texts takes tens of megabytes on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -97,6 +121,7 @@ def release(df: DataFrame) -> None:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads; whatever else the table holds cannot clash with its own names."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

@@ -290,6 +290,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
+        forget()
         have = sent.value
         for batch in batches:
             spots = batch.column("row_key").to_numpy() % MAP_BITS
@@ -317,6 +318,7 @@ def prints(sets: DataFrame) -> DataFrame:
     """The sets with two bytes for each shingle, sorted: what two of them share is at least what their sets share."""
 
     def run(batches):
+        forget()
         for batch in batches:
             out = [np.sort(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint16)).tobytes() for x in batch.column("set")]
             yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(out, pa.binary())], names=["sig", "set"])
@@ -334,6 +336,7 @@ def verified(pairs: DataFrame, sets: DataFrame, width: type = np.uint64) -> Data
     """The pairs (a, b) whose sets (of values of ``width``) share enough."""
 
     def run(batches):
+        forget()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
@@ -491,8 +494,8 @@ def linked(docs: DataFrame) -> DataFrame:
         roots = components(found)
     node = rows.drop("heads").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("node", F.coalesce("root", "sig"))
     head = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
-    groups = node.where("node is not null").groupBy("node").agg(F.min(head).alias("head"))
-    joined = node.join(groups, "node", "left")
+    heads = node.where("node is not null").groupBy("node").agg(F.min(head).alias("head"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1").drop("_rows")
+    joined = node.join(_small(durable(heads, "heads")), "node", "left")  # a row alone is its own component
     return joined.select(
         "row_key", "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head")["doc_id"]).alias("component_id"),

@@ -29,8 +29,8 @@ from priorline.llm.common import durable, id_text, passages, remembered
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 8192
-#: Words whose ids a worker remembers between rows.
-REMEMBERED = 400_000
+#: Words and word parts whose ids a worker remembers between rows.
+REMEMBERED, REMEMBERED_PARTS = 300_000, 150_000
 
 #: Words of these characters alone take the short way: one code point each in either case and already composed.
 SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
@@ -88,15 +88,11 @@ def encode(text: bytes, path: str) -> bytes:
     out = []
     for passage in passages(text):
         words = passage.split()
-        try:
-            out.append(b"".join(map(known.__getitem__, words)))
-            continue
-        except KeyError:
-            new = {w for w in words if w not in known}
+        new = set(words).difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = set(words)
-        if len(parts) > REMEMBERED:
+        if len(parts) > REMEMBERED_PARTS:
             parts.clear()
         for word in new:
             known[word] = _ids(word, path)

@@ -94,16 +94,13 @@ def count(text: bytes, path: str) -> tuple[int, int]:
     for part in passages(text):
         words = part.split()
         n_words += len(words)
-        try:
-            n_tokens += sum(map(known.__getitem__, words))
-            continue
-        except KeyError:
-            new = {w for w in words if w not in known}
+        new = set(words).difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = set(words)
-        named = {w.decode(): w for w in new}
-        known.update((named[w], n) for w, n in unigram.counts(named).items())
+        if new:
+            named = {w.decode(): w for w in new}
+            known.update((named[w], n) for w, n in unigram.counts(named).items())
         n_tokens += sum(map(known.__getitem__, words))
     return n_words, n_tokens
 
@@ -114,7 +111,7 @@ def learn(texts: list[bytes], path: str) -> None:
     new: set[bytes] = set()
     for text in texts:
         for part in passages(text):
-            new.update(w for w in part.split() if w not in known)
+            new |= set(part.split()).difference(known)
     if len(known) + len(new) > REMEMBERED:
         known.clear()
     if len(new) <= REMEMBERED:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priorline.llm.common import id_text, remembered
+from priorline.llm.common import bounded_batches, id_text, remembered
 
 WINDOW, STRIDE = 64, 48
 #: Decay of parameters at each step, in learning rates.
@@ -42,7 +42,7 @@ VOCABULARY = 20_000
 #: Training steps to aim for, and the fewest and most rounds through the sample.
 STEPS, ROUNDS = 280, (6, 20)
 #: Words whose projections a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
 
@@ -297,6 +297,10 @@ class Scorer:
         if self.used + len(words) > REMEMBERED:
             self.clear()
         new = [w for w in words if w not in self.at]
+        for part in range(0, len(new), 20_000):
+            self._append(new[part : part + 20_000])
+
+    def _append(self, new: list[str]) -> None:
         table = self.net.projected(self.net.features_of([plain(w) for w in new]))
         if self.used + len(new) > len(self.table["f"]):
             room = max(2 * len(self.table["f"]), self.used + len(new), 1 << 14)
@@ -386,6 +390,7 @@ def score(docs: DataFrame, net: Network | float) -> DataFrame:
 
 def below(docs: DataFrame, net: Network | float, limit: float) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``, all columns as they were."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
