@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from priorline.plans import flows, forms, joins, models, tables
+from priorline.plans import coverage, flows, forms, joins, models, tables
 
-QUERIES = {**forms.QUERIES, **joins.QUERIES, **tables.QUERIES, **models.QUERIES, **flows.QUERIES}
-ORACLES = {**forms.ORACLES, **joins.ORACLES, **tables.ORACLES, **models.ORACLES, **flows.ORACLES}
+QUERIES = {**forms.QUERIES, **joins.QUERIES, **tables.QUERIES, **models.QUERIES, **flows.QUERIES, **coverage.QUERIES}
+ORACLES = {**forms.ORACLES, **joins.ORACLES, **tables.ORACLES, **models.ORACLES, **flows.ORACLES, **coverage.ORACLES}

@@ -111,3 +111,28 @@ def test_stream_candles_and_captures_plan(spark):
     assert sequences.candles(ticks).isStreaming
     cap = ticks.select("at", F.lit("s").alias("source"), F.lit("r").alias("request"), F.col("price").cast("string").alias("payload"))
     assert sequences.captures_once(cap).isStreaming
+
+
+def test_runner_outcomes():
+    from priorline.sources.capture import Runner
+
+    answers = {1: (200, b"x"), 2: (404, None), 3: (403, None), 9: (403, None)}
+    tasks = [{"task_id": i, "capture_ts": i, "anchor_ts": 50} for i in (3, 1, 2, 4)] + [{"task_id": 8, "capture_ts": 60, "anchor_ts": 70}, {"task_id": 7, "capture_ts": 1, "anchor_ts": 5}]
+
+    def fetch(task):
+        if task["task_id"] == 4:
+            raise OSError("gone")
+        return answers[task["task_id"]]
+
+    run = Runner(fetch, set(), {"task_id": 9}, sleep=lambda s: None)
+    assert [(r["task_id"], r["outcome"], r["trustworthy"]) for r in run.run(tasks, 10)] == [(1, "captured", True), (2, "missing", True), (3, "refused", False), (4, "failed", True)]
+    assert next(run.run(tasks[1:2], 10))["outcome"] == "already_captured"
+
+
+def test_parse_failures_are_rows(spark):
+    from priorline.sources.capture import parsed
+
+    files = spark.createDataFrame([("a", b"1 2"), ("b", b"x"), ("c", b"")], "path string, content binary")
+    rows = parsed(files, lambda b: [{"n": int(x)} for x in b.split()], "n long").collect()
+    assert sorted((r.path, r.n, bool(r.error)) for r in rows if r.path == "a") == [("a", 1, False), ("a", 2, False)]
+    assert [(r.path, bool(r.error)) for r in rows if r.path != "a"] == [("b", True)]
