@@ -32,7 +32,8 @@ def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return queries.packed_documents(docs)
+    # After four stages an executor's heap is full, so the workers beside it remember fewer words.
+    return queries.packed_documents(docs, remembered=(250_000, 150_000))
 
 
 STAGES = [

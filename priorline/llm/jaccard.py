@@ -45,7 +45,7 @@ TASK_ENTRIES = 500_000
 #: Rows with whole sets that go to Python at once.
 BATCH_ROWS = 500
 #: Rows of one chunk and columns of one slice where large columns are multiplied tile by tile.
-TILE_ROWS, TILE_COLUMNS = 1024, 2048
+TILE_ROWS, TILE_COLUMNS = 2048, 1024
 #: Rows below which a table is broadcast.
 BROADCAST_ROWS = 500_000
 #: Bits of the map that tells which rows have a candidate: 8 MB.
@@ -423,6 +423,9 @@ def tile_links(ids: np.ndarray, chunk: np.ndarray, sets: list[np.ndarray]) -> li
 def _tiled(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Links within groups (pivot, a) that are still of several components, found tile by tile."""
     own = roots.select(F.col("node").alias("a"), "root")
+    # Groups whose pivots are connected are one: several columns of one large group may have chosen different pivots.
+    named = groups.join(_small(own.withColumnRenamed("a", "pivot")), "pivot", "left")
+    groups = durable(named.select(F.coalesce("root", "pivot").alias("pivot"), "a").distinct(), "groups")
     rooted = groups.join(_small(own), "a", "left").withColumn("root", F.coalesce("root", "a"))
     open_ = rooted.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     chunks = F.ceil(F.col("rows") / TILE_ROWS).cast("int")

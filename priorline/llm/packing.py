@@ -30,7 +30,7 @@ CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 8192
 #: Words and word parts whose ids a worker remembers between rows.
-REMEMBERED, REMEMBERED_PARTS = 300_000, 150_000
+REMEMBERED = (400_000, 400_000)
 
 #: Words of these characters alone take the short way: one code point each in either case and already composed.
 SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
@@ -78,7 +78,7 @@ def _ids(word: bytes, path: str) -> bytes:
     return b"".join(out)
 
 
-def encode(text: bytes, path: str) -> bytes:
+def encode(text: bytes, path: str, remembered: tuple[int, int] = REMEMBERED) -> bytes:
     """Ids of ``text`` as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space before it merges, so the ids of a text are those of its blank-separated words in a
@@ -89,10 +89,10 @@ def encode(text: bytes, path: str) -> bytes:
     for passage in passages(text):
         words = passage.split()
         new = set(words).difference(known)
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > remembered[0]:
             known.clear()
             new = set(words)
-        if len(parts) > REMEMBERED_PARTS:
+        if len(parts) > remembered[1]:
             parts.clear()
         for word in new:
             known[word] = _ids(word, path)
@@ -100,7 +100,7 @@ def encode(text: bytes, path: str) -> bytes:
     return b"".join(out)
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, remembered: tuple[int, int] = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit) for every document; only those longer than ``capacity`` are cut."""
     docs = id_text(docs)
     kind = docs.schema["doc_id"].dataType
@@ -112,7 +112,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
             at, piece, start, ids = [], [], [], []
             held = 0
             for row in range(len(texts)):
-                whole = encode(texts[row].as_py(), tokenizer_path) + end
+                whole = encode(texts[row].as_py(), tokenizer_path, remembered) + end
                 for k, b in enumerate(range(0, len(whole), 4 * capacity)):
                     at.append(row)
                     piece.append(k)

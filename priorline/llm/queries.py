@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
+def packed_documents(docs: DataFrame, remembered: tuple[int, int] = packing.REMEMBERED) -> DataFrame:
     """Documents in sequences of 4096 tokens, with a checksum of each piece's ids in place of the ids."""
-    pieces = packing.tokenized_pieces(docs, public_tokenizers.path(WORD_BPE))
+    pieces = packing.tokenized_pieces(docs, public_tokenizers.path(WORD_BPE), remembered=remembered)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
