@@ -445,8 +445,8 @@ def _tiled(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     return tiles.groupBy("pivot", "ti", "tj").applyInPandas(run, "a long, b long")
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, n_shingles, component_id and first (one row of each component) for every row of ``docs``."""
+def nodes(docs: DataFrame) -> DataFrame:
+    """row_key, doc_id, n (shingles) and node (the same in each row of a component, null without shingles) for every row of ``docs``."""
     texts = id_text(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
     rows = durable(signatures(texts), "signatures")
     first_rows = rows.where("sig is not null").groupBy("sig").agg(F.min("row_key").alias("row_key"))
@@ -495,7 +495,12 @@ def linked(docs: DataFrame) -> DataFrame:
         release(sets)
     if found is not links:
         roots = components(found)
-    node = rows.drop("heads").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("node", F.coalesce("root", "sig"))
+    return rows.drop("heads").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("node", F.coalesce("root", "sig"))
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """row_key, doc_id, n_shingles, component_id and first (one row of each component) for every row of ``docs``."""
+    node = nodes(docs)
     head = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))
     heads = node.where("node is not null").groupBy("node").agg(F.min(head).alias("head"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1").drop("_rows")
     joined = node.join(_small(durable(heads, "heads")), "node", "left")  # a row alone is its own component

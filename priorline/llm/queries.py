@@ -71,7 +71,7 @@ from e
 
 def op5_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with how many lines it lost, and a digest of what is left."""
-    left = templates.without_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = templates.without_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), components=True)
     return left.select("doc_id", F.col("_pl_dropped").alias("n_dropped"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -7,9 +7,11 @@ Lines that are equal but for words with digits are one line there, so a leaf see
 their hashes: the result does not depend on the order of rows. A leaf of more than ``LEAF_LINES`` distinct lines descends
 by twice as many tokens, and one that is still larger by all of them, where each line is its own template.
 
-A template that recurs in ``MIN_DOCS`` documents is dropped from them. Documents of which ``COPY_WORDS`` percent or more
-of the words recur are copies as a whole, not texts with repeated passages: they do not count, and are left as they are
-for near-duplicate search. Lines of fewer than ``MIN_TOKENS`` tokens are never dropped.
+Documents of one near-duplicate component (the n-gram Jaccard join of ``jaccard``) hold the same lines because they are
+copies as a whole, and count as one occurrence. A template that occurs in ``MIN_DOCS`` components is dropped from all
+its documents, copies too; one that stays within a component is left for near-duplicate search. Lines of fewer than
+``MIN_TOKENS`` tokens are never dropped. Without ``components``, which no query does, documents of which ``COPY_WORDS``
+percent or more of the words recur are taken for copies, neither counted nor changed.
 
 Null text stays null, empty text empty. Rows with equal ids are documents of their own unless their texts are equal too,
 which count as one. Dropped lines go with their line end; all else stays byte for byte.
@@ -17,6 +19,7 @@ which count as one. Dropped lines go with their line end; all else stays byte fo
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
@@ -25,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from priorline.llm import jaccard
 from priorline.llm.common import bounded_batches, durable, forget, release
 
 MIN_TOKENS, MIN_DOCS, COPY_WORDS = 5, 2, 75
@@ -155,12 +159,16 @@ def templates(lines: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "line long, template long")
 
 
-def recurring(rows: DataFrame) -> DataFrame:
-    """Templates of at least MIN_DOCS documents."""
-    return rows.select("template", "row_key").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("template")
+def recurring(rows: DataFrame, by: str) -> DataFrame:
+    """Templates with at least MIN_DOCS values of ``by``."""
+    return rows.select("template", by).distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).select("template")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def lines_by_row(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("row_key").agg(F.array_sort(F.collect_set("line_no")).alias("line_nos"))
+
+
+def dropped_lines(docs: DataFrame, components: bool) -> DataFrame:
     """row_key and the line numbers (from 0) that its document loses."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -170,20 +178,33 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     renamed = durable(templates(lines, parts), "templates")
     named = lines.where("line is not null").select("row_key", "line_no", "words", "line").join(renamed, "line", "left")
     rows = durable(named.select("row_key", "line_no", "words", F.coalesce("template", "line").alias("template")), "rows")
-    often = rows.join(recurring(rows), "template", "left_semi")
+    often = durable(rows.join(recurring(rows, "row_key"), "template", "left_semi"), "often")
+    if components:
+        for done in (lines, renamed, rows):
+            release(done)
+        if not often.limit(1).count():
+            return lines_by_row(often)
+        # The join needs as much room as what has run so far: shuffle files go when the driver collects its garbage.
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        copies = durable(jaccard.nodes(docs).select("row_key", F.coalesce("node", "row_key").alias("node")).distinct(), "copies")
+        drops = durable(lines_by_row(often.join(recurring(often.join(copies, "row_key"), "node"), "template", "left_semi")), "drops")
+        for done in (often, copies):
+            release(done)
+        return drops
     length = lines.groupBy("row_key").agg(F.sum("words").alias("all"))
     copies = often.groupBy("row_key").agg(F.sum("words").alias("again")).join(length, "row_key").where(F.col("again") * 100 >= F.col("all") * COPY_WORDS).select("row_key")
     copies = durable(copies, "copies")
     mixed_rows = durable(often.join(copies, "row_key", "left_anti"), "mixed")
-    drops = durable(mixed_rows.join(recurring(mixed_rows), "template", "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set("line_no")).alias("line_nos")), "drops")
-    for done in (lines, renamed, rows, copies, mixed_rows):
+    drops = durable(lines_by_row(mixed_rows.join(recurring(mixed_rows, "row_key"), "template", "left_semi")), "drops")
+    for done in (lines, renamed, rows, often, copies, mixed_rows):
         release(done)
     return drops
 
 
-def without_lines(docs: DataFrame) -> DataFrame:
+def without_lines(docs: DataFrame, components: bool = False) -> DataFrame:
     """``docs`` with its recurring lines dropped from ``text`` and their number in ``_pl_dropped``; all other columns as they were."""
-    drops = dropped_lines(docs).select(F.col("row_key").alias("_pl_row_key"), F.col("line_nos").alias("_pl_lines"))
+    drops = dropped_lines(docs, components).select(F.col("row_key").alias("_pl_row_key"), F.col("line_nos").alias("_pl_lines"))
     if (drops.agg(F.sum(F.size("_pl_lines"))).first()[0] or 0) <= BROADCAST_LINES:
         drops = F.broadcast(drops)
     joined = docs.withColumn("_pl_key", row_key(docs)).join(drops, F.col("_pl_key") == F.col("_pl_row_key"), "left")

@@ -130,6 +130,19 @@ def test_templates_equal_the_plain_tree(spark):
     assert not any(common[2] in got[i] for i in range(60)) and got[60] == texts[7]
 
 
+def test_templates_recur_across_components(spark):
+    rng = random.Random(3)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passage, other, inner = own(20), own(20), own(40)
+    copied = f"{passage}\n{inner}\n{own(40)}"
+    texts = [copied, copied + "\nthe end", f"{own(90)}\n{passage}", f"{passage}\n{other}", f"{own(90)}\n{other}", own(50)]
+    left = {r.doc_id: r.text for r in templates.without_lines(docs_of(spark, texts), components=True).collect()}
+    # Near copies lose what they share with others and keep what they share with each other; patchworks lose all.
+    assert not any(x in t for t in left.values() for x in (passage, other))
+    assert all(inner in left[i] for i in (0, 1)) and left[0] == copied.split("\n", 1)[1]
+    assert left[3] == "" and left[5] == texts[5]
+
+
 def test_templates_edge_rows(spark):
     line = "all of this comes back again and again"
     docs = docs_of(spark, [None, "", f"{line}\nfirst of its own kind here now\nanother one that nobody has seen", f"something else was said before it\nand then more of the same\n{line}", f"{line}\nfirst of its own kind here now\nanother one that nobody has seen"], [1, 2, 3, None, 3])
