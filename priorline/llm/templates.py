@@ -4,8 +4,10 @@ A line's tokens are its blank-separated words; words with a digit are variable f
 count and by their ``DEPTH`` leading tokens to a leaf. In a leaf, a line joins the template it agrees with in most
 places, if at least ``SIMILAR`` of them, and the places where they differ become variable; else it starts a template.
 Lines that are equal but for words with digits are one line there, so a leaf sees distinct lines only, in the order of
-their hashes: the result does not depend on the order of rows. A leaf of more than ``LEAF_LINES`` distinct lines descends
-by twice as many tokens, and one that is still larger by all of them, where each line is its own template.
+their hashes: the result does not depend on the order of rows. The rule is the same whatever the size of a leaf: lines
+stream past the leaf's templates, and once there are more than ``DENSE`` of them, those that can agree in enough places
+are looked up. Past the leading tokens, which all lines of a leaf share, the places are cut into one block more than
+may differ, so a template that a line may join has a block equal to the line's.
 
 Documents of one near-duplicate component (the n-gram Jaccard join of ``jaccard``) hold the same lines because they are
 copies as a whole, and count as one occurrence. A template that occurs in ``MIN_DOCS`` components is dropped from all
@@ -32,8 +34,10 @@ from priorline.llm import jaccard
 from priorline.llm.common import bounded_batches, durable, forget, release
 
 MIN_TOKENS, MIN_DOCS, COPY_WORDS = 5, 2, 75
-DEPTH, LEAF_LINES = 3, 2000
+DEPTH = 3
 SIMILAR = 0.8
+#: Up to so many templates of a leaf are compared with a line without a look-up.
+DENSE = 64
 BROADCAST_LINES = 1_000_000
 DIGIT = re.compile(rb"[0-9]")
 VARIABLE = xxhash.xxh3_64_intdigest(b"<*>")
@@ -58,19 +62,19 @@ def _signed(x: int) -> int:
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
-    """row_key, line_no, words, line (hash) and leaf at three depths; tokens (32-bit hashes) once for each line and task. Short lines have words alone."""
+    """row_key, line_no, words, line (hash) and leaf; tokens (32-bit hashes) once for each line and task. Short lines have words alone."""
 
     def run(batches):
         forget()
         seen: set[int] = set()
         for batch in batches:
-            cols: dict[str, list] = {k: [] for k in ("row", "line_no", "words", "line", "leaf", "deep", "tokens")}
+            cols: dict[str, list] = {k: [] for k in ("row", "line_no", "words", "line", "leaf", "tokens")}
             held = 0
 
             def flushed():
                 return pa.RecordBatch.from_arrays(
-                    [batch.column("row_key").take(pa.array(cols["row"], pa.int64())), pa.array(cols["line_no"], pa.int32()), pa.array(cols["words"], pa.int32()), pa.array(cols["line"], pa.int64()), pa.array(cols["leaf"], pa.int64()), pa.array(cols["deep"], pa.int64()), pa.array(cols["tokens"], pa.binary())],
-                    names=["row_key", "line_no", "words", "line", "leaf", "deep", "tokens"],
+                    [batch.column("row_key").take(pa.array(cols["row"], pa.int64())), pa.array(cols["line_no"], pa.int32()), pa.array(cols["words"], pa.int32()), pa.array(cols["line"], pa.int64()), pa.array(cols["leaf"], pa.int64()), pa.array(cols["tokens"], pa.binary())],
+                    names=["row_key", "line_no", "words", "line", "leaf", "tokens"],
                 )
 
             for row, value in enumerate(batch.column("text").cast(pa.binary())):
@@ -79,17 +83,16 @@ def lines_of(texts: DataFrame) -> DataFrame:
                     n = len(words)
                     if not n:
                         continue
-                    one = leaf = deep = tokens = None
+                    one = leaf = tokens = None
                     if n >= MIN_TOKENS:
                         hashed = token_hashes(words)
                         one = _signed(xxhash.xxh3_64_intdigest(hashed.tobytes()))
                         leaf = _signed(xxhash.xxh3_64_intdigest(hashed[:DEPTH].tobytes(), seed=n))
                         if one not in seen:
                             seen.add(one)
-                            deep = _signed(xxhash.xxh3_64_intdigest(hashed[: 2 * DEPTH].tobytes(), seed=n))
                             tokens = np.where(hashed == VARIABLE, 0, hashed | np.uint64(1)).astype(np.uint32).tobytes()
                             held += len(tokens)
-                    for k, v in zip(cols, (row, number, n, one, leaf, deep, tokens), strict=True):
+                    for k, v in zip(cols, (row, number, n, one, leaf, tokens), strict=True):
                         cols[k].append(v)
                     held += 50
                 if held > 8 << 20:
@@ -101,61 +104,87 @@ def lines_of(texts: DataFrame) -> DataFrame:
             if len(seen) > 2_000_000:
                 seen.clear()
 
-    return texts.mapInArrow(run, "row_key long, line_no int, words int, line long, leaf long, deep long, tokens binary")
-
-
-def clustered(lines: list[int], tokens: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(line, template) of the lines of one leaf that joined another's template; a template is named by its first line."""
-    grid = np.stack(tokens)
-    width = grid.shape[1]
-    held = np.empty_like(grid)
-    names: list[int] = []
-    joined = []
-    for line, row in zip(lines, grid, strict=True):
-        k = len(names)
-        if k:
-            same = ((held[:k] == row) & (row != 0)).sum(axis=1)
-            at = int(same.argmax())
-            if same[at] >= SIMILAR * width:
-                held[at][held[at] != row] = 0
-                joined.append((line, names[at]))
-                continue
-        held[k] = row
-        names.append(line)
-    return joined
+    return texts.mapInArrow(run, "row_key long, line_no int, words int, line long, leaf long, tokens binary")
+
+
+class Leaf:
+    """The templates of one leaf, each named by its first line."""
+
+    def __init__(self, width: int) -> None:
+        self.held = np.empty((4, width), np.uint32)
+        self.names: list[int] = []
+        self.least = next(n for n in range(width + 1) if n >= SIMILAR * width)
+        self.blocks: list[tuple[int, int]] = []
+        self.seen: dict[tuple[int, bytes], list[int]] | None = None
+
+    def _enter(self, k: int) -> None:
+        row = self.held[k]
+        for i, (a, b) in enumerate(self.blocks):
+            if row[a:b].all():
+                self.seen.setdefault((i, row[a:b].tobytes()), []).append(k)
+
+    def _index(self) -> None:
+        """Blocks of the places past the leading ones; those of them that vary already count as differing."""
+        width = self.held.shape[1]
+        spare = width - self.least - int((self.held[0, :DEPTH] == 0).sum())
+        if spare >= 0:
+            cuts = np.linspace(DEPTH, width, min(spare + 1, width - DEPTH) + 1).astype(int)
+            self.blocks = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        self.seen = {}
+        for k in range(len(self.names)):
+            self._enter(k)
+
+    def _near(self, row: np.ndarray):
+        """Templates that ``row`` may join, in their order."""
+        k = len(self.names)
+        if k <= DENSE:
+            return np.arange(k)
+        if self.seen is None:
+            self._index()
+        found = {t for i, (a, b) in enumerate(self.blocks) for t in self.seen.get((i, row[a:b].tobytes()), ())}
+        return np.array(sorted(found), np.int64)
+
+    def join(self, line: int, row: np.ndarray) -> int | None:
+        """The name of the template that the line joins, None where it starts one."""
+        near = self._near(row)
+        if len(near):
+            same = ((self.held[near] == row) & (row != 0)).sum(axis=1)
+            best = int(same.argmax())
+            if same[best] >= self.least:
+                own = self.held[near[best]]
+                own[own != row] = 0
+                return self.names[near[best]]
+        k = len(self.names)
+        if k == len(self.held):
+            self.held = np.concatenate([self.held, np.empty_like(self.held)])
+        self.held[k] = row
+        self.names.append(line)
+        if self.seen is not None:
+            self._enter(k)
+        return None
 
 
 def templates(lines: DataFrame, parts: int) -> DataFrame:
     """line and template of every line that is not its template's first."""
     shared = durable(lines.where("line is not null").groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf"), "shared")
-    own = lines.where("tokens is not null").select("line", "leaf", "deep", "tokens")
+    own = lines.where("tokens is not null").select("line", "leaf", "tokens")
     # Most leaves hold one line; only the others' tokens are moved.
-    own = durable(own.join(F.broadcast(shared) if shared.count() <= BROADCAST_LINES else shared, "leaf", "left_semi").dropDuplicates(["line"]), "leaves")
-    size = own.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    deep = own.groupBy("deep").agg(F.count(F.lit(1)).alias("n_deep"))
-    sized = own.join(size, "leaf").join(deep, "deep")
-    placed = sized.withColumn("place", F.when(F.col("n") <= LEAF_LINES, F.col("leaf")).when(F.col("n_deep") <= LEAF_LINES, F.col("deep"))).where("place is not null")
+    own = own.join(F.broadcast(shared) if shared.count() <= BROADCAST_LINES else shared, "leaf", "left_semi").dropDuplicates(["line"])
 
     def run(batches):
-        place, lines_, tokens = None, [], []
-
-        def done():
-            return clustered(lines_, tokens) if len(lines_) > 1 else []
-
+        now, held = None, None
         for batch in batches:
             out = []
-            for p, line, raw in zip(batch.column("place").to_pylist(), batch.column("line").to_pylist(), batch.column("tokens"), strict=True):
+            for leaf, line, raw in zip(batch.column("leaf").to_pylist(), batch.column("line").to_pylist(), batch.column("tokens"), strict=True):
                 row = np.frombuffer(raw.as_buffer(), np.uint32)
-                if p != place or (tokens and len(tokens[0]) != len(row)):
-                    out += done()
-                    place, lines_, tokens = p, [], []
-                lines_.append(line)
-                tokens.append(row)
+                if now != (leaf, len(row)):
+                    now, held = (leaf, len(row)), Leaf(len(row))
+                name = held.join(line, row)
+                if name is not None:
+                    out.append((line, name))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["line", "template"])
-        out = done()
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["line", "template"])
 
-    dealt = placed.select("place", "line", "tokens").repartition(parts, "place").sortWithinPartitions("place", F.octet_length("tokens"), "line")
+    dealt = own.repartition(parts, "leaf").sortWithinPartitions("leaf", F.octet_length("tokens"), "line")
     return dealt.mapInArrow(run, "line long, template long")
 
 

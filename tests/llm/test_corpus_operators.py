@@ -130,6 +130,24 @@ def test_templates_equal_the_plain_tree(spark):
     assert not any(common[2] in got[i] for i in range(60)) and got[60] == texts[7]
 
 
+def test_templates_one_rule_in_large_leaves(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=3))
+    # One leaf of 5,000 distinct lines that also agree in their first six words; the other words vary, or one name does.
+    texts = [f"the same six words come first {word()} {word()} {word()} {word()}" for _ in range(4400)]
+    texts += [f"the same six words come first {word()} but little else" for _ in range(600)]
+    got = {r.doc_id: r.text for r in templates.without_lines(docs_of(spark, texts), components=True).collect()}
+    assert not any(got[i] for i in range(4400, 5000))
+    # Every line as the plain rule names it, in the same order.
+    name = plain_templates([t.split() for t in sorted(set(texts[:900] + texts[4900:]))])
+    rows = {t: np.array([x | 1 for x in templates.token_hashes([w.encode() for w in t.split()]).tolist()], np.uint64).astype(np.uint32) for t in set(texts[:900] + texts[4900:])}
+    order = lambda t: templates._signed(templates.xxhash.xxh3_64_intdigest(templates.token_hashes([w.encode() for w in t.split()]).tobytes()))
+    leaf = templates.Leaf(10)
+    for t in sorted(rows, key=order):
+        first = leaf.join(order(t), rows[t])
+        assert (first if first is not None else order(t)) == order(" ".join(name[tuple(t.split())]))
+
+
 def test_templates_recur_across_components(spark):
     rng = random.Random(3)
     own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
