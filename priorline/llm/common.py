@@ -9,7 +9,7 @@ import re
 import sys
 import tempfile
 import uuid
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from contextlib import contextmanager
 from itertools import accumulate
 
@@ -150,6 +150,19 @@ class Overlaps:
         return before > 0 and self.ends[before - 1] > start
 
 
+class Inside:
+    """Whether a span lies within one of many, by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        before = bisect_right(self.starts, start)
+        return before > 0 and self.ends[before - 1] >= end
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))
