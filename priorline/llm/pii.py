@@ -8,8 +8,8 @@ homoglyphs (full-width, Cyrillic and Greek look-alikes; zero-width characters va
 languages, and at/dot written in words or brackets. The base rules then run over what was written and each match goes
 back to the source span of its first to last character. A text that no transducer changes is searched once.
 
-Spans found only after rewriting are added; those of the base rules always stay. An added span that overlaps a base
-span of the same kind is dropped, as it is the same identifier seen again.
+Spans found only after rewriting are added; those of the base rules always stay. An added span inside a base span of the
+same kind is dropped, as it is the same identifier seen again; one that is longer stays beside it.
 
 Null text counts as empty and gives no spans. Repeated rows and equal ids are scanned row by row.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from priorline.llm.common import Overlaps, id_text
+from priorline.llm.common import Inside, id_text
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -207,10 +207,10 @@ def all_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, li
     both = {}
     for kind, find in FINDERS.items():
         own = base[kind]
-        taken, new = Overlaps(own), []
+        inside, new = Inside(own), []
         for found in find(seen.text):
             start, end = seen.source(*found)
-            if not taken(start, end):
+            if not inside(start, end):
                 new.append((start, end))
         both[kind] = sorted(own + new)
     return base, both

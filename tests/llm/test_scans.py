@@ -53,6 +53,12 @@ def test_disguises_map_back(text, kind, found):
     assert all(s in both[k] for k in base for s in base[k] if s in base[k])
 
 
+@pytest.mark.parametrize("address", ["j\u043ehn.smith@example.com", "john@example.c\u043em", "john@m\u0430il.example.com"])
+def test_look_alikes_are_whole_beside_base_fragments(address):
+    base, both = pii.all_spans(f"to {address} now")
+    assert (3, 3 + len(address)) in both["email"] and all(x in both["email"] for x in base["email"])
+
+
 def test_plain_prose_has_no_spans():
     for text in ("we met at noon at the cafe", "one two three", "at dot at dot", "Look at this. Dot the i."):
         assert not any(pii.all_spans(text)[1].values())
