@@ -6,7 +6,9 @@ that fails its check is dropped and not tried again from within.
 Disguises: three transducers rewrite a text and keep, for each character they write, the source span it stands for:
 homoglyphs (full-width, Cyrillic and Greek look-alikes; zero-width characters vanish), runs of spelled digits in four
 languages, and at/dot written in words or brackets. The base rules then run over what was written and each match goes
-back to the source span of its first to last character. A text that no transducer changes is searched once.
+back to the source span of its first to last character. A text that no transducer changes is searched once. A text with
+spelled digits or worded dots beside other digits is read once more with all of these rewritten, however few stand
+together, and with the figures and signs between them kept; the base checks decide.
 
 Spans found only after rewriting are added; those of the base rules always stay. An added span inside a base span of the
 same kind is dropped, as it is the same identifier seen again; one that is longer stays beside it.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from priorline.llm.common import Inside, id_text
+from priorline.llm.common import Inside, Overlaps, id_text
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -72,6 +74,15 @@ ONE_DIGIT = re.compile(rf"(?i)\b(?:{WORD_DIGIT})\b")
 AT_WORDS, DOT_WORDS = "at|arroba|arobase", "dot|punkt|point|punto"
 BRACKET_AT = re.compile(rf"(?i)\x20?[\[({{<]\x20?(?:{AT_WORDS}|@)\x20?[\])}}>]\x20?")
 BRACKET_DOT = re.compile(rf"(?i)\x20?[\[({{<]\x20?(?:{DOT_WORDS}|\.)\x20?[\])}}>]\x20?")
+#: Spelled digits and figures with signs or worded dots between them. A figure is read once, from its start.
+DIGIT_PART = rf"(?:\b(?:{WORD_DIGIT})\b|(?<![0-9])[0-9]++)"
+BETWEEN = rf"(?:\x20(?:{DOT_WORDS})\x20|[\x20,.()-]{{1,3}})"
+MIXED_RUN = re.compile(rf"(?i){DIGIT_PART}(?:{BETWEEN}{DIGIT_PART})++")
+JOINED, DASHED = re.compile(r"[\x20,-]{1,2}"), re.compile(r"\x20-\x20?")
+#: Words before "at host.tld" that make it prose, not an address.
+NO_NAMES = frozenset("""a all also and any anyone arrive arrived available be been but buy check click come data day details down event everyone find for found free
+go here him home hosted i in info is it it's join learn left live located look looking me meet more now off on one online order out over page people posted price
+published read register see shop shown sign site stay store that them there these this time today up us visit was we website were work working works you""".split())
 #: Bare words count only as a whole: name AT host DOT domain.
 BARE = re.compile(rf"(?i)(?<![{LOCAL}])[A-Za-z0-9._%+-]{{1,64}}(\x20(?:{AT_WORDS})\x20|@)[A-Za-z0-9-]{{1,63}}(?:(?:\x20(?:{DOT_WORDS})\x20|\.)[A-Za-z0-9-]{{1,63}}){{1,4}}(?![A-Za-z0-9-])")
 BARE_AT = re.compile(rf"(?i)\x20(?:{AT_WORDS})\x20")
@@ -175,6 +186,36 @@ class Rewritten:
         return (start, end) if self.first is None else (self.first[start], self.last[end - 1])
 
 
+def _mixed_digits(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write every spelled digit and worded dot of runs of digit parts; the gap of two spelled digits goes, a spaced hyphen loses its blanks."""
+    edits = []
+    for run in MIXED_RUN.finditer(text):
+        words = list(ONE_DIGIT.finditer(text, run.start(), run.end()))
+        for k, m in enumerate(words):
+            end = m.end()
+            if k + 1 < len(words) and JOINED.fullmatch(text, end, words[k + 1].start()):
+                end = words[k + 1].start()
+            edits.append((m.start(), end, DIGIT_OF[m[0].lower()]))
+        taken = Overlaps([e[:2] for e in edits])
+        edits += [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(text, run.start(), run.end())]
+        if words:
+            edits += [(d.start(), d.end(), "-") for d in DASHED.finditer(text, run.start(), run.end()) if not taken(*d.span())]
+    return sorted(edits)
+
+
+def mixed_digits(text: str) -> Rewritten:
+    """``text`` with look-alikes and digits rewritten wherever they stand beside other digits."""
+    out = Rewritten(text)
+    if not text.isascii():
+        out.replace([(m.start(), m.end(), GLYPHS[ord(m[0])] or "") for m in ODD.finditer(text)])
+    out.replace([(m.start(), m.end(), ".") for m in BRACKET_DOT.finditer(out.text)])
+    edits = _mixed_digits(out.text)
+    if not edits:
+        return Rewritten(text)  # nothing that normalised() does not see
+    out.replace(edits)
+    return out
+
+
 def normalised(text: str) -> Rewritten:
     """``text`` after the three transducers."""
     out = Rewritten(text)
@@ -191,7 +232,8 @@ def normalised(text: str) -> Rewritten:
     if HAS_WORD_DOT.search(out.text):
         edits = []
         for m in BARE.finditer(out.text):
-            if BARE_DOT.search(m[0]):
+            word = BARE_AT.search(m[0])
+            if BARE_DOT.search(m[0]) or (word and m[0][: word.start()].lower() not in NO_NAMES):
                 edits += [(a.start(), a.end(), "@") for a in BARE_AT.finditer(out.text, m.start(), m.end())]
                 edits += [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(out.text, m.start(), m.end())]
         out.replace(sorted(edits))
@@ -201,17 +243,16 @@ def normalised(text: str) -> Rewritten:
 def all_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """The base spans, and base with added spans, each by kind and then start."""
     base = base_spans(text)
-    seen = normalised(text)
-    if seen.first is None:
+    read = [x for x in (normalised(text), mixed_digits(text)) if x.first is not None]
+    if not read:
         return base, base
     both = {}
     for kind, find in FINDERS.items():
         own = base[kind]
-        inside, new = Inside(own), []
-        for found in find(seen.text):
-            start, end = seen.source(*found)
-            if not inside(start, end):
-                new.append((start, end))
+        new: list[tuple[int, int]] = []
+        for seen in read:
+            inside = Inside(own + new)
+            new += [x for x in (seen.source(*found) for found in find(seen.text)) if not inside(*x)]
         both[kind] = sorted(own + new)
     return base, both
 

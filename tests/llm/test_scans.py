@@ -59,6 +59,29 @@ def test_look_alikes_are_whole_beside_base_fragments(address):
     assert (3, 3 + len(address)) in both["email"] and all(x in both["email"] for x in base["email"])
 
 
+@pytest.mark.parametrize(
+    ("kind", "found"),
+    [
+        ("ip", "one nine two dot one six eight dot zero dot one"),
+        ("ip", "192 dot 168 dot 0 dot 1"),
+        ("phone", "+1 five five five 123 4567"),
+        ("phone", "+one five five five - one two three - four five six seven"),
+        ("card", "four one one one - one one one one - one one one one - one one one one"),
+        ("email", "john at example.com"),
+    ],
+)
+def test_short_and_mixed_disguises(kind, found):
+    _, both = pii.all_spans(f"see {found}, then")
+    assert both[kind] == [(4, 4 + len(found))]
+
+
+def test_mixed_disguises_need_the_base_checks():
+    for text in ("one. two. three. four", "look at example.com", "one dot two", "1 dot 2 dot 3", "300 dot 1 dot 1 dot 1"):
+        assert not any(pii.all_spans(text)[1].values())
+    for text in ("1 " * 150_000, "one 1 dot " * 30_000, "1" * 300_000, "one - " * 50_000, " dot " * 60_000):
+        pii.all_spans(text)
+
+
 def test_plain_prose_has_no_spans():
     for text in ("we met at noon at the cafe", "one two three", "at dot at dot", "Look at this. Dot the i."):
         assert not any(pii.all_spans(text)[1].values())
