@@ -81,8 +81,8 @@ MIXED_RUN = re.compile(rf"(?i){DIGIT_PART}(?:{BETWEEN}{DIGIT_PART})++")
 JOINED, DASHED = re.compile(r"[\x20,-]{1,2}"), re.compile(r"\x20-\x20?")
 #: Words before "at host.tld" that make it prose, not an address.
 NO_NAMES = frozenset("""a all also and any anyone arrive arrived available be been but buy check click come data day details down event everyone find for found free
-go here him home hosted i in info is it it's join learn left live located look looking me meet more now off on one online order out over page people posted price
-published read register see shop shown sign site stay store that them there these this time today up us visit was we website were work working works you""".split())
+go here him home hosted i in is it it's join learn left live located look looking me meet more now off on one online out over page people posted price
+published read register see shown sign site stay store that them there these this time today up us visit was we website were work working works you""".split())
 #: Bare words count only as a whole: name AT host DOT domain.
 BARE = re.compile(rf"(?i)(?<![{LOCAL}])[A-Za-z0-9._%+-]{{1,64}}(\x20(?:{AT_WORDS})\x20|@)[A-Za-z0-9-]{{1,63}}(?:(?:\x20(?:{DOT_WORDS})\x20|\.)[A-Za-z0-9-]{{1,63}}){{1,4}}(?![A-Za-z0-9-])")
 BARE_AT = re.compile(rf"(?i)\x20(?:{AT_WORDS})\x20")
