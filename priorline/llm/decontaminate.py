@@ -84,5 +84,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item; all columns as they were."""
-    found = durable(contaminated(docs, benchmark).select(F.col("row_key").alias("_pl_row_key")).distinct(), "leaks")
-    return docs.withColumn("_pl_key", row_key(docs)).join(_small(found, BROADCAST_ROWS), F.col("_pl_key") == F.col("_pl_row_key"), "left_anti").drop("_pl_key")
+    found = durable(contaminated(docs, benchmark).select("row_key").distinct(), "leaks")
+    keyed = docs.select(row_key(docs).alias("row_key"), F.struct("*").alias("row"))
+    return keyed.join(_small(found, BROADCAST_ROWS), "row_key", "left_anti").select("row.*")

@@ -9,11 +9,18 @@ unseen cannot make up need. What is left is verified on whole rows. The order is
 them, found by counting every row's first entries), the rest by hash. So a passage that many texts share meets only
 where a text is little else.
 
+A meeting also has room only if what lies before and after it in the two rows can still make up need, and the first
+meeting of rows that link needs no help from before it: in a column where a row of n entries has ``pos`` entries ahead,
+its partner is of at most (5 n - 9 pos) / 4.
+
 Columns that still hold more than ``BLOCK_ROWS`` entries - large groups of near copies - are not squared: their entries
-are paired with one pivot for each size band. Verification has two rounds: each row with the partner it met most and
-with pivots, then all pairs that are still in different components. Connected rows need no more pairs for their
-component, and no link between components is lost. A pivot's group that is still of several components is multiplied
-tile by tile, ``TILE_ROWS`` rows by as many in one task, which returns a star for each connected part, never the pairs. Components are found on links by alternating large-star and small-star rounds of joins.
+are paired with one pivot for each size band. Each row is verified with the partner it met most and with pivots; rows
+that are connected then need no more pairs for their component. The rows of a pivot's group that is still of several
+components are multiplied again with the columns in a second order, in which what is frequent among *these* rows comes
+last: copies edited too much to link have enough columns of their own to meet nowhere. Columns that are large even then
+are multiplied tile by tile, rows outside the group's largest component by all others; a tile is bounded in rows and
+bytes and returns a star for each connected part, never the pairs. Components are found on links by alternating
+large-star and small-star rounds of joins.
 
 Hash collisions (2^-64 for any two shingles or sets) aside, the result is exact.
 
@@ -44,8 +51,10 @@ BLOCK_ROWS = 64
 TASK_ENTRIES = 500_000
 #: Rows with whole sets that go to Python at once.
 BATCH_ROWS = 500
-#: Rows of one chunk and columns of one slice where large columns are multiplied tile by tile.
-TILE_ROWS, TILE_COLUMNS = 2048, 1024
+#: Rows and bytes of one chunk, and columns of one slice, where large columns are multiplied tile by tile.
+TILE_ROWS, TILE_BYTES, TILE_COLUMNS = 2048, 16 << 20, 1024
+#: Columns put last in the second order: 4 bytes each.
+HOT_AGAIN = 1 << 21
 #: Rows below which a table is broadcast.
 BROADCAST_ROWS = 500_000
 #: Bits of the map that tells which rows have a candidate: 8 MB.
@@ -117,16 +126,36 @@ def signatures(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def hot_columns(rows: DataFrame) -> np.ndarray:
-    """High halves of the columns that come last, sorted."""
-    counted = rows.select(F.explode("heads").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_FROM)
-    top = counted.orderBy(F.desc("c"), "h").limit(HOT_COLUMNS).select("h").toPandas()["h"].to_numpy(np.int32)
+def hot_columns(halves: DataFrame, most: int) -> np.ndarray:
+    """The ``most`` high halves of columns (h, c times) that come last, sorted: those of more than HOT_FROM rows."""
+    counted = halves.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > HOT_FROM)
+    top = counted.orderBy(F.desc("c"), "h").limit(most).select("h").toPandas()["h"].to_numpy(np.int32)
     return np.sort(top.view(np.uint32))
 
 
-def entries(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """col, sig, n, pos and hot of every row's first entries, once for each set and task."""
-    sent = texts.sparkSession.sparkContext.broadcast(hot)
+def all_halves(sets: DataFrame) -> DataFrame:
+    """h and how often (c) each batch of whole rows has it."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32) for x in batch.column("set")]
+            if rows:
+                h, c = np.unique(np.concatenate(rows).astype(np.uint32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int32)), pa.array(c)], names=["h", "c"])
+
+    return sets.select("set").mapInArrow(run, "h int, c long")
+
+
+def _rows_of(batch: pa.RecordBatch):
+    """The rows of a batch of texts, or of whole rows."""
+    if "set" in batch.schema.names:
+        return (np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("set"))
+    return (row_of(x.as_py()) for x in batch.column("text").cast(pa.binary()))
+
+
+def entries(source: DataFrame, hot: np.ndarray) -> DataFrame:
+    """col, sig, n, pos and hot of the first entries of every row (of ``text`` or ``set``), once for each set and task."""
+    sent = source.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         forget()
@@ -138,10 +167,12 @@ def entries(texts: DataFrame, hot: np.ndarray) -> DataFrame:
             def flushed():
                 reps = np.array(counts, np.int64)
                 pos = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
-                return pa.RecordBatch.from_arrays([_longs(cols), pa.array(np.repeat(np.array(sigs, np.int64), reps)), pa.array(np.repeat(np.array(sizes, np.int32), reps)), pa.array(pos), pa.array(np.concatenate(hots))], names=["col", "sig", "n", "pos", "hot"])
+                sig = np.repeat(np.array(sigs, np.int64), reps)
+                n = np.repeat(np.array(sizes, np.int32), reps)
+                made = [_longs(cols), pa.array(sig), pa.array(n), pa.array(pos), pa.array(np.concatenate(hots))]
+                return pa.RecordBatch.from_arrays(made, names=["col", "sig", "n", "pos", "hot"])
 
-            for value in batch.column("text").cast(pa.binary()):
-                row = row_of(value.as_py())
+            for row in _rows_of(batch):
                 if not len(row):
                     continue
                 one = signature(row)
@@ -169,13 +200,14 @@ def entries(texts: DataFrame, hot: np.ndarray) -> DataFrame:
             if len(seen) > 1_000_000:
                 seen.clear()
 
-    return texts.mapInArrow(run, "col long, sig long, n int, pos int, hot boolean")
+    return source.mapInArrow(run, "col long, sig long, n int, pos int, hot boolean")
 
 
-def _meet(ai, bi, n):
-    """Which of the entry pairs (ai, bi) of one column have sizes that can link."""
-    na, nb = n[ai], n[bi]
+def _meet(ai, bi, n, pos):
+    """Which of the entry pairs (ai, bi) of one column have sizes and places that can link."""
+    na, nb, pa_, pb = n[ai], n[bi], pos[ai], pos[bi]
     ok = 5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)
+    ok &= 9 * (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)) >= 4 * (na + nb)
     return ai[ok], bi[ok]
 
 
@@ -216,7 +248,7 @@ def blocks(entry_rows: DataFrame, parts: int) -> DataFrame:
             step = max(1, 250_000 // len(i))
             for s in range(0, len(at), step):
                 base = at[s : s + step, None]
-                ai, bi = _meet((base + i).ravel(), (base + j).ravel(), n)
+                ai, bi = _meet((base + i).ravel(), (base + j).ravel(), n, pos)
                 pairs.append(np.stack([sig[ai], sig[bi], n[ai], n[bi]]))  # sorted by sig within a column, so a < b
                 held += len(ai)
                 if held > 400_000:
@@ -420,19 +452,67 @@ def tile_links(ids: np.ndarray, chunk: np.ndarray, sets: list[np.ndarray]) -> li
     return [(min(p), max(p)) for p in links]
 
 
-def _tiled(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within groups (pivot, a) that are still of several components, found tile by tile."""
-    own = roots.select(F.col("node").alias("a"), "root")
-    # Groups whose pivots are connected are one: several columns of one large group may have chosen different pivots.
-    named = groups.join(_small(own.withColumnRenamed("a", "pivot")), "pivot", "left")
-    groups = durable(named.select(F.coalesce("root", "pivot").alias("pivot"), "a").distinct(), "groups")
-    rooted = groups.join(_small(own), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    open_ = rooted.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    chunks = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
-    rows = groups.join(open_.select("pivot", chunks.alias("chunks")), "pivot").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
-    rows = rows.join(sets.select(F.col("sig").alias("a"), "set").dropDuplicates(["a"]), "a")
-    tiles = rows.select("pivot", "a", "chunk", "set", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    tiles = tiles.select("pivot", "a", "chunk", "set", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"))
+def grouped(met: DataFrame) -> DataFrame:
+    """Rows of large columns with the pivot of every group in which they may link: pivot and a.
+
+    A group is a column and a size band, the smaller partner's; the other's size is at most three bands up. Of each
+    pair that first meets in this column, both rows are in the group: the smaller has at most a ninth of its entries
+    ahead, and neither has so many that the group's least such row is out of its reach.
+    """
+    large = met.where("kind = 1").select("col", "a", F.col("na").alias("n"), "pos").distinct()
+    unseen = large.groupBy("a").agg(F.count(F.lit(1)).alias("u"))
+    band = F.floor(F.log("n") / math.log(1.1)).cast("int")
+    banded = durable(large.join(_small(unseen), "a").withColumn("band", band), "large")
+    # An original has all its first entries in large columns, an edited copy some of its own: the fullest is the pivot.
+    fullest = F.min_by("a", F.struct(-F.col("u") / _first(F.col("n")), F.col("a")))
+    least = F.min(F.when(9 * F.col("pos") <= F.col("n"), F.col("n")))
+    pivots = banded.groupBy("col", "band").agg(fullest.alias("pivot"), least.alias("least")).where("least is not null")
+    steps = durable(pivots.withColumn("band", F.explode(F.sequence(F.col("band"), F.col("band") + 3))), "pivots")
+    near = banded.join(_small(steps), ["col", "band"]).where(4 * F.col("least") <= 5 * F.col("n") - 9 * F.col("pos"))
+    groups = durable(near.select("pivot", "a").distinct(), "groups")
+    release(banded)
+    release(steps)
+    return groups
+
+
+def _stars(groups: DataFrame) -> DataFrame:
+    ends = F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b")
+    return groups.where("a <> pivot").select(*ends)
+
+
+def still_open(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Group, row (a) and root in every group that is still of several components.
+
+    Groups whose pivots are connected are one: several columns of one large group may have chosen different pivots.
+    """
+    own = _small(roots.select(F.col("node").alias("a"), "root"))
+    named = groups.join(own.withColumnRenamed("a", "pivot"), "pivot", "left")
+    rows = named.select(F.coalesce("root", "pivot").alias("group"), "a").distinct()
+    rooted = durable(rows.join(own, "a", "left").withColumn("root", F.coalesce("root", "a")), "rooted")
+    several = rooted.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    return durable(rooted.join(several.select("group"), "group", "left_semi"), "open")
+
+
+def tiled(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of each group of ``rows`` (group, a, root), found tile by tile.
+
+    Rows of a group's largest component meet all others, but not one another.
+    """
+    sized = durable(rows.join(sets.select(F.col("sig").alias("a"), "set").dropDuplicates(["a"]), "a"), "sized")
+    per = sized.groupBy("group", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("set")).alias("bytes"))
+    top = F.max_by("root", F.struct("rows", "root")).alias("top")
+    tops = per.groupBy("group").agg(top, *[F.sum(c).alias(c) for c in ("rows", "bytes")], F.max_by(F.struct("rows", "bytes"), F.struct("rows", "root")).alias("_t"))
+    chunks = lambda n, size: F.ceil(F.greatest(n / TILE_ROWS, size / TILE_BYTES)).cast("int")
+    tops = tops.select(
+        "group", "top", chunks(F.col("_t.rows"), F.col("_t.bytes")).alias("ta"),
+        chunks(F.col("rows") - F.col("_t.rows"), F.col("bytes") - F.col("_t.bytes")).alias("tb"),
+    )
+    dealt = sized.join(_small(durable(tops, "tops")), "group").withColumn("first", F.col("root") == F.col("top"))
+    own = F.pmod(F.xxhash64("a"), F.when(F.col("first"), F.col("ta")).otherwise(F.col("tb")))
+    dealt = dealt.withColumn("chunk", (own + F.when(F.col("first"), 0).otherwise(F.col("ta"))).cast("int"))
+    others = F.sequence(F.when(F.col("first"), F.col("ta")).otherwise(F.lit(0)), F.col("ta") + F.col("tb") - 1)
+    tiles = dealt.select("group", "a", "chunk", "set", F.explode(others).alias("other"))
+    tiles = tiles.select("group", "a", "chunk", "set", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"))
 
     def run(pdf):
         pdf = pdf.sort_values("a", kind="stable")
@@ -442,59 +522,70 @@ def _tiled(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
         links = tile_links(pdf["a"].to_numpy(), chunk, [np.frombuffer(x, np.uint64) for x in pdf["set"]])
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return tiles.groupBy("pivot", "ti", "tj").applyInPandas(run, "a long, b long")
+    return tiles.groupBy("group", "ti", "tj").applyInPandas(run, "a long, b long")
+
+
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among ``pairs``, first by two-byte prints, then by whole rows."""
+    with small_batches(pairs.sparkSession, BATCH_ROWS):
+        short = durable(prints(sets), "prints")  # written, so that no stage runs two kinds of Python workers at once
+        near = durable(verified(pairs, short, np.uint16).distinct(), "near")
+        release(short)
+        links = durable(verified(near, sets).distinct(), "links")
+    release(near)
+    return links
 
 
 def nodes(docs: DataFrame) -> DataFrame:
     """row_key, doc_id, n (shingles) and node (the same in each row of a component, null without shingles) for every row of ``docs``."""
+    spark = docs.sparkSession
     texts = id_text(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
     rows = durable(signatures(texts), "signatures")
     first_rows = rows.where("sig is not null").groupBy("sig").agg(F.min("row_key").alias("row_key"))
-    hot = hot_columns(rows)
-    total = rows.agg(F.sum(F.size("heads"))).first()[0] or 0
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_ENTRIES))
-    met = durable(blocks(entries(texts, hot), parts), "blocks")
-    squared = durable(enough(met), "squared")
-    large = met.where("kind = 1").select("col", "a", F.col("na").alias("n")).distinct()
-    unseen = large.groupBy("a").agg(F.count(F.lit(1)).alias("u"))
-    large = durable(large.join(_small(unseen), "a"), "large")
-    band = F.floor(F.log("n") / math.log(1.1)).cast("int")
-    banded = large.withColumn("band", band)
-    # An original has all its first entries in large columns, an edited copy some of its own: the fullest row is the pivot.
-    pivots = banded.groupBy("col", "band").agg(F.min_by("a", F.struct(-F.col("u") / _first(F.col("n")), F.col("a"))).alias("pivot"))
-    # Sizes that can link are at most three bands apart.
-    steps = pivots.withColumn("band", F.explode(F.sequence(F.col("band"), F.col("band") + 3)))
-    groups = durable(banded.join(steps, ["col", "band"]).select("pivot", "a").distinct(), "groups")
-    stars = groups.where("a <> pivot").select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b"))
-
-    def check(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        own = durable(first_rows.join(_small(wanted), "sig", "left_semi").select("row_key"), "wanted")
-        sets = durable(sets_of(texts, own), "sets")
-        with small_batches(spark, BATCH_ROWS):
-            short = durable(prints(sets), "prints")  # written, so that no stage runs two kinds of Python workers at once
-            near = durable(verified(pairs, short, np.uint16).distinct(), "near")
-            release(short)
-            links = durable(verified(near, sets).distinct(), "links")
-        release(sets)
-        return links
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def product(source: DataFrame, hot: np.ndarray, total: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs with room for a link, and groups, of the rows in ``source``."""
+        met = durable(blocks(entries(source, hot), max(least_parts, math.ceil(total / TASK_ENTRIES))), "blocks")
+        squared, groups = durable(enough(met), "squared"), grouped(met)
+        release(met)
+        return squared, groups
 
+    def whole(sigs: DataFrame) -> DataFrame:
+        """sig and set of one row of each of ``sigs``."""
+        wanted = durable(first_rows.join(_small(durable(sigs.distinct(), "sigs")), "sig", "left_semi").select("row_key"), "wanted")
+        return durable(sets_of(texts, wanted), "sets")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("sig"))
+
+    hot = hot_columns(rows.select(F.explode("heads").alias("h"), F.lit(1).alias("c")), HOT_COLUMNS)
+    squared, groups = product(texts, hot, rows.agg(F.sum(F.size("heads"))).first()[0] or 0)
     # First each row with its likeliest partner and with pivots: most components form here, and their other pairs are not needed.
-    likely = durable(best_partners(squared).unionByName(stars).distinct(), "pairs")
-    links = check(likely)
-    roots = components(links)
-    found = links
-    more = durable(_apart(squared.select("a", "b"), roots).join(likely, ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        found = found.unionByName(check(more))
-    if groups.limit(1).count():
-        members = durable(first_rows.join(_small(groups.select(F.col("a").alias("sig")).distinct()), "sig", "left_semi").select("row_key"), "wanted")
-        sets = durable(sets_of(texts, members), "sets")
-        found = found.unionByName(durable(_tiled(groups, roots, sets), "tiles"))
-        release(sets)
-    if found is not links:
+    likely = durable(best_partners(squared).unionByName(_stars(groups)).distinct(), "pairs")
+    sets = whole(ends(likely))
+    found = checked(likely, sets)
+    release(sets)
+    roots = components(found)
+    more = _apart(squared.select("a", "b"), roots).join(likely, ["a", "b"], "left_anti")
+    more = durable(more, "pairs")
+    rest = still_open(groups, roots)
+    members = durable(rest.select(F.col("a").alias("sig")).distinct(), "members")
+    release(squared)
+    release(groups)
+    if more.limit(1).count() or members.limit(1).count():
+        sets = whole(ends(more).unionByName(members))
+        again = sets.join(_small(members), "sig", "left_semi")
+        hot = hot_columns(all_halves(again), HOT_AGAIN)
+        squared, groups = product(again, hot, again.agg(F.sum(F.octet_length("set") / 40)).first()[0] or 0)
+        more = _apart(squared.select("a", "b").unionByName(_stars(groups)), roots).unionByName(more)
+        found = found.unionByName(checked(durable(more.join(likely, ["a", "b"], "left_anti").distinct(), "pairs"), sets))
         roots = components(found)
+        rest = still_open(groups, roots)
+        if rest.limit(1).count():
+            found = found.unionByName(durable(tiled(rest, sets), "tiles"))
+            roots = components(found)
+        release(sets)
     return rows.drop("heads").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("node", F.coalesce("root", "sig"))
 
 
@@ -513,11 +604,13 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, all columns as they were; equal rows count once, rows without shingles stay."""
-    keep = durable(linked(docs).where("first").groupBy(F.col("row_key").alias("_pl_kept")).agg(F.count(F.lit(1)).alias("_pl_rows"), F.max("n_shingles").alias("_pl_n")), "kept")
-    keyed = docs.withColumn("_pl_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    kept = keyed.join(keep.select("_pl_kept"), F.col("_pl_key") == F.col("_pl_kept"), "left_semi")
-    twice = keep.where("_pl_rows > 1 and _pl_n > 0").select("_pl_kept")
+    first = linked(docs).where("first").groupBy("row_key")
+    keep = durable(first.agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")), "kept")
+    # The columns of docs travel as one, so that no name of theirs can clash.
+    keyed = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"), F.struct("*").alias("row"))
+    kept = keyed.join(keep.select("row_key"), "row_key", "left_semi")
+    twice = keep.where("rows > 1 and n > 0").select("row_key")
     if twice.limit(1).count():
-        again = F.col("_pl_key") == F.col("_pl_kept")
-        kept = kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["_pl_key"]))
-    return kept.drop("_pl_key")
+        again = kept.join(twice, "row_key", "left_semi").dropDuplicates(["row_key"])
+        kept = kept.join(twice, "row_key", "left_anti").unionByName(again)
+    return kept.select("row.*")

@@ -9,8 +9,8 @@ stream past the leaf's templates, and once there are more than ``DENSE`` of them
 are looked up. Past the leading tokens, which all lines of a leaf share, the places are cut into one block more than
 may differ, so a template that a line may join has a block equal to the line's.
 
-Documents of one near-duplicate component (the n-gram Jaccard join of ``jaccard``) hold the same lines because they are
-copies as a whole, and count as one occurrence. A template that occurs in ``MIN_DOCS`` components is dropped from all
+Documents of one near-duplicate component (the n-gram Jaccard join of ``jaccard``, over all documents that hold a line
+whose template another has too) hold the same lines because they are copies as a whole, and count as one occurrence. A template that occurs in ``MIN_DOCS`` components is dropped from all
 its documents, copies too; one that stays within a component is left for near-duplicate search. Lines of fewer than
 ``MIN_TOKENS`` tokens are never dropped. Without ``components``, which no query does, documents of which ``COPY_WORDS``
 percent or more of the words recur are taken for copies, neither counted nor changed.
@@ -216,9 +216,12 @@ def dropped_lines(docs: DataFrame, components: bool) -> DataFrame:
         # The join needs as much room as what has run so far: shuffle files go when the driver collects its garbage.
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        copies = durable(jaccard.nodes(docs).select("row_key", F.coalesce("node", "row_key").alias("node")).distinct(), "copies")
+        holders = durable(often.select("row_key").distinct(), "holders")
+        small = F.broadcast(holders) if holders.count() <= BROADCAST_LINES else holders
+        held = docs.select("doc_id", "text").join(small, row_key(docs) == small["row_key"], "left_semi")
+        copies = durable(jaccard.nodes(held).select("row_key", F.coalesce("node", "row_key").alias("node")).distinct(), "copies")
         drops = durable(lines_by_row(often.join(recurring(often.join(copies, "row_key"), "node"), "template", "left_semi")), "drops")
-        for done in (often, copies):
+        for done in (often, holders, copies):
             release(done)
         return drops
     length = lines.groupBy("row_key").agg(F.sum("words").alias("all"))
@@ -233,12 +236,14 @@ def dropped_lines(docs: DataFrame, components: bool) -> DataFrame:
 
 def without_lines(docs: DataFrame, components: bool = False) -> DataFrame:
     """``docs`` with its recurring lines dropped from ``text`` and their number in ``_pl_dropped``; all other columns as they were."""
-    drops = dropped_lines(docs, components).select(F.col("row_key").alias("_pl_row_key"), F.col("line_nos").alias("_pl_lines"))
-    if (drops.agg(F.sum(F.size("_pl_lines"))).first()[0] or 0) <= BROADCAST_LINES:
+    drops = dropped_lines(docs, components)
+    if (drops.agg(F.sum(F.size("line_nos"))).first()[0] or 0) <= BROADCAST_LINES:
         drops = F.broadcast(drops)
-    joined = docs.withColumn("_pl_key", row_key(docs)).join(drops, F.col("_pl_key") == F.col("_pl_row_key"), "left")
-    lines = F.split("text", "\n")
-    fresh = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_pl_lines"), i)), "\n")
-    text = F.when(F.col("_pl_lines").isNull(), F.col("text")).otherwise(fresh)
-    dropped = F.coalesce(F.size("_pl_lines"), F.lit(0)).cast("long")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.when(F.col("_pl_lines").isNull(), F.lit(0).cast("long")).otherwise(dropped).alias("_pl_dropped"))
+    # The columns of docs travel as one, so that no name of theirs can clash; a column named _pl_dropped is replaced.
+    keyed = docs.select(row_key(docs).alias("row_key"), F.struct("*").alias("row"))
+    joined = keyed.join(drops, "row_key", "left")
+    kept = F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains(F.col("line_nos"), i))
+    text = F.when(F.col("line_nos").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(F.col("line_nos").isNull(), F.lit(0)).otherwise(F.size("line_nos")).cast("long")
+    own = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "_pl_dropped"]
+    return joined.select(*own, dropped.alias("_pl_dropped"))

@@ -259,6 +259,47 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, block, hot_from):
     assert kept.count() == len(keys) + empties
 
 
+def heavy_copies(rng, originals, copies, words, share):
+    """Copies of texts that are not there themselves, each with up to ``share`` of its words changed in one run."""
+    texts = []
+    for o in range(originals):
+        base = [f"b{o}x{i}" for i in range(words)]
+        for c in range(copies):
+            w, n = base[:], rng.randint(0, int(share * words))
+            at = rng.randint(0, words - n)
+            w[at : at + n] = [f"o{o}c{c}n{i}" for i in range(n)]
+            texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("tile_rows,tile_bytes,block,hot_from", [(4, 16 << 20, 4, 6), (2048, 3000, 4, 6)])
+def test_jaccard_open_groups_equal_brute_force(spark, monkeypatch, tile_rows, tile_bytes, block, hot_from):
+    for name, value in (("TILE_ROWS", tile_rows), ("TILE_BYTES", tile_bytes), ("BLOCK_ROWS", block), ("HOT_FROM", hot_from)):
+        monkeypatch.setattr(jaccard, name, value)
+    used, plain = [], jaccard.tiled
+    monkeypatch.setattr(jaccard, "tiled", lambda rows, sets: used.append(rows.count()) or plain(rows, sets))
+    rng = random.Random(4)
+    texts = heavy_copies(rng, 3, 24, 60, 0.3) + heavy_copies(rng, 1, 20, 200, 0.15) + [" ".join(f"f{i}" for i in range(50))]
+    docs = docs_of(spark, texts)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked(docs).collect()), key=str)
+    assert got == plain_components(texts, list(range(len(texts))))
+    assert used, "no group was left for the tiles"
+
+
+def test_jaccard_keeps_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    docs = docs_of(spark, ["a b c d e f", "a b c d e f", "g h i j k l m"])
+    odd = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("row_key", "row", "first", "n", "_pl_key", "_pl_kept", "a.b"))])
+    kept = jaccard.one_of_each(odd)
+    assert kept.columns == odd.columns and kept.count() == 2
+    left = templates.without_lines(odd, components=True)
+    assert left.drop("_pl_dropped").columns == odd.columns and left.count() == 3
+    benchmark = spark.createDataFrame([(1, "g h i j k l m")], "item_id long, text string")
+    clean = decontaminate.decontaminated(odd, benchmark)
+    assert clean.columns == odd.columns and clean.count() == 2
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard.linked(docs_of(spark, [])).count() == 0
     assert jaccard.one_of_each(docs_of(spark, [None, ""])).count() == 2
