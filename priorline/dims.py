@@ -114,5 +114,14 @@ def corrections(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CORRECTIONS, "game_id long, date string, away string, home string, away_score int, home_score int, tipoff string, new_away int, new_home int")
 
 
+def correction_guards(spark: SparkSession) -> DataFrame:
+    """The corrections as what a record must be (expects_) and what it becomes (new_)."""
+    names = {
+        "date": "expects_date", "home": "expects_home", "away": "expects_away", "home_score": "expects_home_score",
+        "away_score": "expects_away_score", "tipoff": "new_tipoff", "new_home": "new_home_score", "new_away": "new_away_score",
+    }
+    return corrections(spark).withColumnsRenamed(names)
+
+
 def statuses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(STATUSES.items()), "phrase string, status string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,14 +28,42 @@ def four_factors(own: dict[str, Column], other: dict[str, Column]) -> dict[str,
         "efg": ratio(own["fgm"] + 0.5 * own["fg3m"], own["fga"]),
         "tov_rate": ratio(own["turnover"], own["fga"] + 0.44 * own["fta"] + own["turnover"]),
         "oreb_rate": ratio(own["oreb"], own["oreb"] + other["dreb"]),
-        "ft_rate": ratio(own["ftm"], own["fga"]),
+        "ft_rate": ratio(own["fta"], own["fga"]),
         "true_shooting": ratio(own["pts"], 2 * (own["fga"] + 0.44 * own["fta"])),
     }
 
 
-def efficiency(points: Column, poss: Column, complete: Column) -> Column:
-    return F.when(complete & (poss > 0), 100 * points / poss)
+def pace(poss: Column, minutes: Column) -> Column:
+    """Possessions for 48 minutes of five players."""
+    return F.when((poss > 0) & (minutes > 0), 48 * poss / (minutes / 5))
+
+
+#: The counts that a side's row must have for its opponent's figures.
+COUNTS = ("pts", "fgm", "fga", "fg3m", "ftm", "fta", "oreb", "dreb", "turnover")
+
 
+def derived(sides: DataFrame) -> DataFrame:
+    """Possessions, efficiencies, pace and factors of side rows (counts, trusted_pts, team_minutes, opponent).
 
-def pace(poss: Column, minutes: Column, complete: Column) -> Column:
-    return F.when(complete & (poss > 0) & (minutes > 0), 48 * poss / (minutes / 5))
+    A side is complete where its players' points are exactly the trusted score and its attempts are known. Whatever is
+    not complete, has no complete set of the opponent's counts, or comes to no possessions has no figure at all.
+    Adds points_delta, complete and the figures; opp_ figures are the opponent's, from the same possessions.
+    """
+    other = sides.select("game_id", F.col("team").alias("opponent"), *[F.col(s).alias(f"opp_{s}") for s in COUNTS])
+    both = sides.join(other, ["game_id", "opponent"], "left")
+    own, opp = {s: F.col(s) for s in COUNTS}, {s: F.col(f"opp_{s}") for s in COUNTS}
+    delta = F.col("pts") - F.col("trusted_pts")
+    complete = F.coalesce((delta == 0) & F.col("fga").isNotNull(), F.lit(False))
+    both = both.withColumn("points_delta", delta).withColumn("complete", complete)
+    known = reduce(lambda a, b: a & b, [c.isNotNull() for c in opp.values()])
+    poss = F.when(F.col("complete") & known, possessions(own, opp))
+    both = both.withColumn("possessions", F.when(poss > 0, poss))
+    p = F.col("possessions")
+    figure = lambda c: F.when(p.isNotNull(), c)
+    factors = {k: figure(v) for k, v in four_factors(own, opp).items()}
+    against = {f"opp_{k}": figure(v) for k, v in four_factors(opp, own).items() if k != "true_shooting"}
+    off, dff = 100 * F.col("pts") / p, 100 * F.col("opp_pts") / p
+    return both.withColumns({
+        "off_efficiency": off, "def_efficiency": dff, "net_efficiency": off - dff,
+        "pace": pace(p, F.col("team_minutes")), **factors, **against,
+    })

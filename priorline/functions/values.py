@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY_SECONDS = 86_400
 #: A side that rested at most so many days played back to back.
 BACK_TO_BACK_DAYS = 1.5
-#: Accents that names are folded by, letter for letter.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčćđŠŽČĆĐģķļņū"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyszccdSZCCDgklnu"
+EASTERN = "America/New_York"
+
+
+def _unaccented() -> tuple[str, str]:
+    """Letters that decompose into one letter and marks, and that letter: by Unicode's compatibility decomposition."""
+    accented, plain = [], []
+    for point in (*range(0xA0, 0x2000), *range(0x2100, 0x2190), *range(0xFF01, 0xFF5F)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(point):
+            accented.append(chr(point))
+            plain.append(base)
+    return "".join(accented), "".join(plain)
+
+
+ACCENTED, UNACCENTED = _unaccented()
 #: Generation suffixes that player names drop.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 
@@ -93,9 +107,9 @@ def anchor_label(minutes_before: Column) -> Column:
 
 
 def folded(x: Column) -> Column:
-    """Names for exact comparison: accents, dots and apostrophes off, blanks collapsed, lower case."""
-    plain = F.translate(x, ACCENTED + ".'’`", UNACCENTED)
-    return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
+    """Names for exact comparison: accents, marks, dots and apostrophes off, blanks collapsed, case folded."""
+    plain = F.regexp_replace(F.translate(x, ACCENTED + ".'’`", UNACCENTED), r"\p{Mn}+", "")
+    return F.replace(F.lower(F.trim(F.regexp_replace(plain, r"\s+", " "))), F.lit("ß"), F.lit("ss"))
 
 
 def player_name(x: Column) -> Column:
@@ -124,3 +138,60 @@ def blend(p: Column, q: Column, weight: Column | float) -> Column:
 
 def recency_weight(age: Column, half_life: float) -> Column:
     return F.pow(F.lit(0.5), age / half_life)
+
+
+def season_slug(season: Column) -> Column:
+    return F.replace(season_label(season), F.lit("-"), F.lit("_"))
+
+
+def season_window(season: Column) -> tuple[Column, Column]:
+    """First and last day of a season: July to June."""
+    return F.make_date(season, F.lit(7), F.lit(1)), F.make_date(season + 1, F.lit(6), F.lit(30))
+
+
+def eastern(ts: Column) -> Column:
+    """Epoch seconds as the wall clock of New York, summer time and all."""
+    utc = F.timestamp_add("SECOND", ts, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(EASTERN), utc)
+
+
+def from_eastern(clock: Column) -> Column:
+    """The wall clock of New York as epoch seconds; of an hour that comes twice, the first."""
+    utc = F.convert_timezone(F.lit(EASTERN), F.lit("UTC"), clock)
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), utc)
+
+
+def eastern_floor(ts: Column, step: int) -> Column:
+    """The latest multiple of ``step`` seconds of New York's clock at or before an instant."""
+    clock = eastern(ts)
+    past = F.hour(clock) * 3600 + F.minute(clock) * 60 + F.second(clock)
+    return ts - F.pmod(past, F.lit(step))
+
+
+def slot_file(slot: Column) -> Column:
+    """The file name of a report's slot: day and twelve-hour clock of New York."""
+    clock = eastern(slot)
+    return F.concat(F.lit("Injury-Report_"), F.date_format(clock, "yyyy-MM-dd_hh"), F.lit("_"), F.date_format(clock, "mma"), F.lit(".pdf"))
+
+
+def slot_of_file(name: Column) -> Column:
+    """The slot's instant, null for any other name."""
+    text = F.regexp_extract(name, r"^Injury-Report_(\d{4}-\d{2}-\d{2}_\d{2}_\d{2}[AP]M)\.pdf$", 1)
+    clock = F.try_to_timestamp(F.nullif(text, F.lit("")), F.lit("yyyy-MM-dd_hh_mma")).cast("timestamp_ntz")
+    return from_eastern(clock)
+
+
+def season_list(spec: str) -> list[int]:
+    """``2006-2025`` or ``2006,2011,2019``, sorted; a spec without any season is an error."""
+    found: set[int] = set()
+    for part in filter(None, map(str.strip, spec.split(","))):
+        first, _, last = part.partition("-")
+        found |= set(range(int(first), int(last or first) + 1))
+    if not found:
+        raise ValueError(f"no season in {spec!r}")
+    return sorted(found)
+
+
+def near_date(tipoff: Column, date: Column) -> Column:
+    """Whether a tip-off's day is its scheduled one or next to it; null where either is missing."""
+    return F.abs(F.datediff(tipoff.cast("date"), date)) <= 1

@@ -65,3 +65,56 @@ def report(parts: dict[str, DataFrame]) -> DataFrame:
     """Small audit tables as one JSON document: section and its rows, in order of their text."""
     one = [df.select(F.to_json(F.struct(*df.columns)).alias("j")).agg(F.array_sort(F.collect_list("j")).alias("rows")).select(F.lit(name).alias("section"), F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]")).alias("body")) for name, df in parts.items()]
     return reduce(DataFrame.unionByName, one)
+
+
+def corrected(records: DataFrame, fixes: DataFrame, keys: list[str], strict: bool = True) -> DataFrame:
+    """``records`` with declared overrides: ``expects_x`` must be what the record has, ``new_x`` takes its place.
+
+    A null expectation asks nothing, a null new value changes nothing. Guards are checked before anything changes. A
+    record that is not as declared fails the job (strict), or keeps its values and is marked ``refused``. Adds source_x
+    for each changed column, corrected and refused; home_win follows from corrected scores.
+    """
+    guards = [c for c in fixes.columns if c.startswith("expects_")]
+    changed = [c.removeprefix("new_") for c in fixes.columns if c.startswith("new_")]
+    j = records.join(F.broadcast(fixes.withColumn("_declared", F.lit(True))), keys, "left")
+    same = reduce(lambda a, b: a & b, [F.col(g).isNull() | F.coalesce(F.col(g.removeprefix("expects_")) == F.col(g), F.lit(False)) for g in guards], F.lit(True))
+    declared = F.col("_declared").isNotNull()
+    if strict:
+        text = F.concat(F.lit("a correction's record is not as declared: "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))
+        same = F.when(declared & ~same, F.raise_error(text).cast("boolean")).otherwise(same)
+    ok = declared & same
+    j = j.withColumn("corrected", ok).withColumn("refused", declared & ~F.col("corrected"))
+    now = {x: F.when(F.col("corrected"), F.coalesce(F.col(f"new_{x}"), F.col(x))).otherwise(F.col(x)) for x in changed}
+    out = j.select(*[F.col(c).alias(f"source_{c}") for c in changed], *[now.get(c, F.col(c)).alias(c) for c in records.columns], "corrected", "refused")
+    if "home_win" in records.columns and "home_score" in changed:
+        win = F.when(F.col("home_score") != F.col("away_score"), F.col("home_score") > F.col("away_score"))
+        out = out.withColumn("home_win", F.when(F.col("corrected"), win).otherwise(F.col("home_win")))
+    return out
+
+
+#: Part of a day's slots that must be missing for a suspicion.
+SUSPECT_MISSING = 0.9
+
+
+def suspect_days(days: DataFrame, day: str, filled: str, slots: int) -> DataFrame:
+    """Every day of the span with its filled slots and missing part; suspect where nearly all is missing between two
+    complete days. The first and last day never are: there the archive may just begin or end."""
+    span = days.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias(day))
+    every = span.join(days, day, "left").select(day, F.coalesce(filled, F.lit(0)).cast("long").alias(filled))
+    complete = every.where(F.col(filled) == slots).select(day)
+    beside = lambda step, name: complete.select((F.col(day) + step).alias(day), F.lit(True).alias(name))
+    both = every.join(beside(1, "_before"), day, "left").join(beside(-1, "_after"), day, "left")
+    missing = 1 - F.col(filled) / slots
+    flag = (missing >= SUSPECT_MISSING) & F.col("_before").isNotNull() & F.col("_after").isNotNull()
+    return both.select(day, filled, F.round(missing + 1e-9, 6).alias("missing"), flag.alias("suspect"))
+
+
+def lookahead(rows: DataFrame) -> DataFrame:
+    """Whether side rows with games_played and win_rate can be of what came before alone."""
+    w = W.partitionBy("season", "team").orderBy("ts", "game_id")
+    rows = rows.withColumn("_before", F.lag("games_played").over(w)).withColumn("_won", F.lag("won").over(w))
+    return invariants(rows, {
+        "first_has_none": F.col("_before").isNotNull() | ((F.col("games_played") == 0) & F.col("win_rate").isNull()),
+        "rate_in_bounds": F.col("win_rate").isNull() | F.col("win_rate").between(0, 1),
+        "counts_follow": F.col("_before").isNull() | (F.col("games_played") == F.col("_before") + F.when(F.col("_won").isNull(), 0).otherwise(1)),
+    })

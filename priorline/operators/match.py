@@ -30,7 +30,9 @@ def two_tier(left: DataFrame, right: DataFrame, tolerance: int = 1) -> DataFrame
     amb_r = r1.where(many).select(*row("ambiguous", "exact", none, F.col("right_id"), _list("ls")))
     open_ = F.col("nl").isNull() | (F.col("nl") == 0) | (F.col("nr") == 0)
     lp, rp = l1.where(open_).select("left_id", "pair", F.col("day").alias("ld")), r1.where(open_).select("right_id", "pair", F.col("day").alias("rd"))
-    near = lp.join(rp, "pair").where(F.abs(F.col("ld") - F.col("rd")) <= tolerance)
+    # Each right row is sent to the days that it is near: rows of one pair meet within days, not over all its history.
+    days = F.explode(F.sequence(F.col("rd") - tolerance, F.col("rd") + tolerance))
+    near = lp.join(rp.select("right_id", "pair", "rd", days.alias("ld")), ["pair", "ld"])
     near = near.withColumn("dl", F.count(F.lit(1)).over(W.partitionBy("left_id"))).withColumn("dr", F.count(F.lit(1)).over(W.partitionBy("right_id")))
     unique = near.where("dl = 1 and dr = 1")
     matched2 = unique.select(*row("matched", "near", F.col("left_id"), F.col("right_id"), _list(None)))

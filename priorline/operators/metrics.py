@@ -31,14 +31,22 @@ def scores(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFr
     return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), brier(F.col(y), F.col(p)).alias("brier"), log_loss(F.col(y), F.col(p)).alias("log_loss"), accuracy(F.col(y), F.col(p)).alias("accuracy"))
 
 
+#: Spans of probability within which ranks are counted apart.
+RANK_SPANS = 4096
+
+
 def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
     """Mann-Whitney with tied ranks averaged; null where a class is absent.
 
-    Counts by distinct probability come first, so the running total runs over those, not over rows.
+    Counts by distinct probability come first. Their running total is made of two: over the spans of probability, which
+    are few whatever the rows, and within each span, each in its own task.
     """
     levels = df.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(y)).alias("_pos"))
-    below = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = levels.select("_n", "_pos", (below + (F.col("_n") + 1) / 2).alias("_rank"))
+    levels = levels.withColumn("_span", F.floor(F.col("_p") * RANK_SPANS))
+    ahead = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = levels.groupBy("_span").agg(F.sum("_n").alias("_n")).select("_span", ahead(W.orderBy("_span")).alias("_below"))
+    below = F.col("_below") + ahead(W.partitionBy("_span").orderBy("_p"))
+    ranked = levels.join(F.broadcast(spans), "_span").select("_n", "_pos", (below + (F.col("_n") + 1) / 2).alias("_rank"))
     pos, neg = F.sum("_pos"), F.sum(F.col("_n") - F.col("_pos"))
     return ranked.agg(F.when((pos > 0) & (neg > 0), (F.sum(F.col("_rank") * F.col("_pos")) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
 

@@ -1,128 +1,201 @@
 """State that no window frame can express: ratings that feed on themselves.
 
-One ordered pass over a group's contests; groups (configurations, seasons) run apart. A contest's row is written before
-its own result changes anything.
+Contests stream past in order, in bounded batches; what is held is one number a side (and configuration), never the
+contests. Groups (sets of configurations, seasons) run apart. A contest's row is written before its own result changes
+anything.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import asdict, dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorline.functions.rating import NORMALISERS
 
-#: Every season starts from here, and ratings regress to here between seasons.
+#: Every side starts from here, and ratings are drawn to here between seasons.
 START = 1500.0
 #: Rounds of the adjusted-margin iteration, from zero: fixed, as it need not converge on sparse graphs.
 ROUNDS, LEAST_GAMES = 25, 3
+#: Configurations rated side by side in one pass over the contests.
+SIDE_BY_SIDE = 96
+#: Contests whose states are solved at once.
+SOLVED_AT_ONCE = 256
+#: Numbers that the states solved at once may hold; leagues of very many sides take fewer at a time.
+MOST_NUMBERS = 8 << 20
 
 
 @dataclass(frozen=True)
 class EloConfig:
-    """k: points at stake; advantage: home points; regress: share taken back at a season's start; first_season: None for all."""
+    """k: points at stake; advantage: home points; kept: share of its distance from START that a rating keeps between
+    seasons; first_season: None for all; margin: None, "sqrt", "log" or "fivethirtyeight"."""
 
     k: float = 20.0
     advantage: float = 40.0
-    regress: float = 0.5
+    kept: float = 0.5
     first_season: int | None = None
     margin: str | None = None
 
 
-def _factor(kind: str | None, margin: float, winner_diff: float) -> float:
-    if kind is None:
-        return 1.0
-    size = abs(margin)
-    raw = math.sqrt(size) if kind == "sqrt" else math.log1p(size)
-    if kind == "fivethirtyeight":
-        raw *= 2.2 / (0.001 * winner_diff + 2.2)
-    return raw / NORMALISERS[kind]
-
-
-def rate(games: pd.DataFrame, config: EloConfig) -> pd.DataFrame:
-    """home_rating, away_rating and home_probability before each game (season, home, away, home_score, away_score, home_win), in order."""
-    ratings: dict = {}
-    season = None
-    out = np.empty((len(games), 3))
-    for i, g in enumerate(games.itertuples(index=False)):
-        if config.first_season is not None and g.season < config.first_season:
-            out[i] = np.nan
-            continue
-        if season is not None and g.season > season:
-            for _ in range(int(g.season - season)):
-                for team in ratings:
-                    ratings[team] += config.regress * (START - ratings[team])
-        season = g.season
-        h, a = ratings.setdefault(g.home, START), ratings.setdefault(g.away, START)
-        p = 1 / (1 + 10 ** (-((h + config.advantage) - a) / 400))
-        out[i] = h, a, p
-        if g.home_win is None or pd.isna(g.home_win):
-            continue
-        won = bool(g.home_win)
-        lead = (h + config.advantage - a) * (1 if won else -1)
-        step = config.k * _factor(config.margin, g.home_score - g.away_score, lead) * (float(won) - p)
-        ratings[g.home], ratings[g.away] = h + step, a - step
-    return games.assign(home_rating=out[:, 0], away_rating=out[:, 1], home_probability=out[:, 2])
+class Ratings:
+    """One rating a side for each configuration: plain floats for one, vectors for many."""
+
+    def __init__(self, configs: list[EloConfig]) -> None:
+        one = len(configs) == 1
+        each = lambda f: float(f(configs[0])) if one else np.array([f(c) for c in configs], float)
+        self.k, self.advantage, self.kept = each(lambda c: c.k), each(lambda c: c.advantage), each(lambda c: c.kept)
+        self.first = each(lambda c: -math.inf if c.first_season is None else c.first_season)
+        weigh = lambda kind: each(lambda c: 1 / NORMALISERS[kind] if c.margin == kind else 0.0)
+        self.plain = each(lambda c: c.margin is None)
+        self.root, self.log, self.drawn = weigh("sqrt"), weigh("log"), weigh("fivethirtyeight")
+        self.by_margin = any(c.margin for c in configs)
+        self.start = START if one else np.full(len(configs), START)
+        self.held: dict = {}
+        self.season: int | None = None
+
+    def _stake(self, margin: float, lead):
+        """How many points a result moves, before surprise."""
+        if not self.by_margin:
+            return self.k
+        size = abs(margin)
+        by_log = math.log1p(size)
+        return self.k * (self.plain + self.root * math.sqrt(size) + by_log * (self.log + self.drawn * 2.2 / (0.001 * lead + 2.2)))
+
+    def before(self, season: int, home, away, home_score, away_score, home_win):
+        """Ratings of both sides and home's chance before the contest; then the result is taken in."""
+        if self.season is not None and season > self.season:
+            part = self.kept ** (season - self.season)
+            self.held = {side: START + part * (r - START) for side, r in self.held.items()}
+        self.season = season
+        h, a = self.held.get(home, self.start), self.held.get(away, self.start)
+        ahead = h + self.advantage - a
+        chance = 1 / (1 + 10.0 ** (-ahead / 400))
+        if home_win is not None:
+            stake = self._stake((home_score or 0) - (away_score or 0), ahead if home_win else -ahead)
+            step = stake * ((1.0 if home_win else 0.0) - chance) * (self.first <= season)
+            self.held[home], self.held[away] = h + step, a - step
+        return h, a, chance
 
 
 COLUMNS = ("game_id", "ts", "season", "home", "away", "home_score", "away_score", "home_win")
-RATED = "config_id int, game_id long, season int, home int, away int, home_rating double, away_rating double, home_probability double"
+RATED = (
+    "config_id int, game_id long, season int, home int, away int, home_rating double, away_rating double, "
+    "home_probability double"
+)
 
 
 def elo(contests: DataFrame, configs: list[EloConfig]) -> DataFrame:
-    """Ratings before every contest for each configuration; a configuration is a group of its own."""
-    fields = [f for f in asdict(EloConfig())]
-    kinds = {"k": "double", "advantage": "double", "regress": "double", "first_season": "int", "margin": "string"}
-    grid = F.array(*[F.struct(F.lit(i).alias("config_id"), *[F.lit(getattr(c, f)).cast(kinds[f]).alias(f) for f in fields]) for i, c in enumerate(configs)])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        config = EloConfig(*[None if pd.isna(one[f]) else one[f] for f in fields])
-        rated = rate(pdf.sort_values(["ts", "game_id"], kind="stable")[list(COLUMNS)], config)
-        return rated.assign(config_id=one["config_id"])[["config_id", "game_id", "season", "home", "away", "home_rating", "away_rating", "home_probability"]]
-
-    return contests.select(*COLUMNS, F.explode(grid).alias("_c")).select(*COLUMNS, "_c.*").groupBy("config_id").applyInPandas(run, RATED)
-
-
-def adjusted_margins(games: pd.DataFrame) -> pd.DataFrame:
-    """home_srs and away_srs before each game of one season, in order; null for a side of fewer than LEAST_GAMES games."""
-    index: dict = {}
-    for team in pd.concat([games["home"], games["away"]]):
-        index.setdefault(team, len(index))
-    n = len(index)
-    met, margin, played = np.zeros((n, n)), np.zeros(n), np.zeros(n)
-    out = np.full((len(games), 2), np.nan)
-    solved: np.ndarray | None = None
-    for i, g in enumerate(games.itertuples(index=False)):
-        h, a = index[g.home], index[g.away]
-        if played[h] >= LEAST_GAMES or played[a] >= LEAST_GAMES:
-            if solved is None:
-                some = played > 0
-                solved = np.zeros(n)
-                for _ in range(ROUNDS):
-                    solved = np.where(some, (margin + met @ solved) / np.where(some, played, 1), 0.0)
-                    solved = np.where(some, solved - solved[some].mean(), 0.0)
-            out[i] = solved[h] if played[h] >= LEAST_GAMES else np.nan, solved[a] if played[a] >= LEAST_GAMES else np.nan
-        if not (pd.isna(g.home_score) or pd.isna(g.away_score)):
-            diff = float(g.home_score - g.away_score)
-            met[h, a] += 1
-            met[a, h] += 1
-            margin[h] += diff
-            margin[a] -= diff
-            played[h] += 1
-            played[a] += 1
-            solved = None
-    return games.assign(home_srs=out[:, 0], away_srs=out[:, 1])
+    """Ratings before every contest for each configuration; null before a configuration's first season.
+
+    Up to SIDE_BY_SIDE configurations share one ordered pass; more are dealt to further tasks.
+    """
+    sets = [configs[i : i + SIDE_BY_SIDE] for i in range(0, len(configs), SIDE_BY_SIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rated, own = None, None, []
+        for batch in batches:
+            cols = {c: batch.column(c).to_pylist() for c in ("_set", *COLUMNS)}
+            found: dict[int, list] = {}
+            for i, which in enumerate(cols["_set"]):
+                if which != now:
+                    now, own = which, sets[which]
+                    rated = Ratings(own)
+                found.setdefault(which, []).append((i, rated.before(*(cols[c][i] for c in COLUMNS[2:]))))
+            for which, rows in found.items():
+                n, of = len(rows), sets[which]
+                at = pa.array(np.tile([i for i, _ in rows], len(of)))
+                values = np.array([r for _, r in rows], float).reshape(n, 3, len(of))
+                seasons = batch.column("season").take(at).to_numpy(zero_copy_only=False)
+                first = np.repeat([-math.inf if c.first_season is None else c.first_season for c in of], n)
+                config = np.repeat(np.arange(len(of)) + which * SIDE_BY_SIDE, n).astype(np.int32)
+                made = [np.ascontiguousarray(values[:, k].T).ravel() for k in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(config), *(batch.column(c).take(at) for c in ("game_id", "season", "home", "away"))]
+                    + [pa.array(x, pa.float64(), mask=seasons < first) for x in made],
+                    names=[f.split()[0] for f in RATED.split(", ")],
+                )
+
+    dealt = contests.select(F.explode(F.array(*map(F.lit, range(len(sets))))).alias("_set"), *COLUMNS)
+    ordered = dealt.repartition(len(sets), "_set").sortWithinPartitions("_set", "ts", "game_id")
+    return ordered.mapInArrow(run, RATED)
+
+
+class Margins:
+    """What a season's contests so far say of its sides: margins, games, and who met whom."""
+
+    def __init__(self) -> None:
+        self.index: dict = {}
+        self.met, self.margin, self.played = np.zeros((0, 0)), np.zeros(0), np.zeros(0)
+
+    def _grow(self, sides: list) -> None:
+        for side in sides:
+            self.index.setdefault(side, len(self.index))
+        more = len(self.index) - len(self.played)
+        if more:
+            self.met = np.pad(self.met, (0, more))
+            self.margin, self.played = np.pad(self.margin, (0, more)), np.pad(self.played, (0, more))
+
+    def before(self, home: list, away: list, diff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Adjusted margins of both sides before each contest, in order; a result that is NaN counts for nothing.
+
+        All states at once: running totals are cumulated over the contests, and the rounds run on every state together.
+        """
+        self._grow([*home, *away])
+        h, a = (np.array([self.index[s] for s in x]) for x in (home, away))
+        n, k = len(h), len(self.played)
+        at, counts = np.arange(n), np.isfinite(diff)
+        margin, played, met = np.zeros((n + 1, k)), np.zeros((n + 1, k)), np.zeros((n + 1, k, k))
+        margin[0], played[0], met[0] = self.margin, self.played, self.met
+        value, one = np.where(counts, diff, 0.0), counts.astype(float)
+        np.add.at(margin, (at + 1, h), value)
+        np.add.at(margin, (at + 1, a), -value)
+        for x, y in ((h, a), (a, h)):
+            np.add.at(played, (at + 1, x), one)
+            np.add.at(met, (at + 1, x, y), one)
+        for total in (margin, played, met):
+            np.cumsum(total, axis=0, out=total)
+        self.margin, self.played, self.met = margin[n].copy(), played[n].copy(), met[n].copy()
+        seen = played[:n] > 0
+        games, sides = np.where(seen, played[:n], 1.0), np.maximum(seen.sum(axis=1, keepdims=True), 1)
+        share, mean = met[:n] / games[:, :, None], margin[:n] / games
+        level = np.zeros((n, k))
+        for _ in range(ROUNDS):
+            level = np.where(seen, mean + (share @ level[:, :, None])[:, :, 0], 0.0)
+            level = np.where(seen, level - level.sum(axis=1, keepdims=True) / sides, 0.0)
+        enough = lambda x: np.where(played[at, x] >= LEAST_GAMES, level[at, x], np.nan)
+        return enough(h), enough(a)
 
 
 def srs(contests: DataFrame) -> DataFrame:
-    """Adjusted margins before every contest; seasons are groups of their own."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return adjusted_margins(pdf.sort_values(["ts", "game_id"], kind="stable"))[["game_id", "season", "home_srs", "away_srs"]]
-
-    return contests.select(*COLUMNS).groupBy("season").applyInPandas(run, "game_id long, season int, home_srs double, away_srs double")
+    """Adjusted margins before every contest; null for a side of fewer than LEAST_GAMES games. Seasons run apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            season = batch.column("season").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, season[1:] != season[:-1]]).tolist() + [len(season)] if len(season) else []
+            made: list[tuple[np.ndarray, np.ndarray]] = []
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if season[begin] != now:
+                    now, state = season[begin], Margins()
+                step = max(1, min(SOLVED_AT_ONCE, MOST_NUMBERS // max(1, len(state.played)) ** 2))
+                for first in range(begin, end, step):
+                    part = batch.slice(first, min(step, end - first))
+                    scores = [part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("home_score", "away_score")]
+                    sides = [part.column(c).to_pylist() for c in ("home", "away")]
+                    made.append(state.before(*sides, scores[0] - scores[1]))
+            if made:
+                both = [np.concatenate(x) for x in zip(*made, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("game_id"), batch.column("season")]
+                    + [pa.array(x, pa.float64(), mask=np.isnan(x)) for x in both],
+                    names=["game_id", "season", "home_srs", "away_srs"],
+                )
+
+    ordered = contests.select(*COLUMNS).repartition("season").sortWithinPartitions("season", "ts", "game_id")
+    return ordered.mapInArrow(run, "game_id long, season int, home_srs double, away_srs double")

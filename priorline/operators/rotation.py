@@ -43,13 +43,20 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(*keys[:-1]).agg(F.sum(F.least(F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0)))).alias("overlap"))
 
 
-def disruption(baseline: DataFrame, recent: DataFrame, games: tuple[int, int]) -> DataFrame:
+def games_in(window: str, game_no: Column) -> Column:
+    """How many recorded games are in a side's window before its game of that number; the first games have fewer."""
+    first, last = WINDOWS[window]
+    return F.greatest(game_no - last - F.greatest(game_no - first, F.lit(1)) + 1, F.lit(0))
+
+
+def disruption(baseline: DataFrame, recent: DataFrame, windows: tuple[str, str] = ("baseline", "recent3")) -> DataFrame:
     """Mean minutes lost against the baseline, regulars absent from the recent window, and the lost part of all.
 
-    Means are for each game of the window, not for each appearance.
+    Means are for each game that is in the window, not for each appearance and not for the games it could hold.
     """
     keys = ["season", "team", "game_no", "player"]
-    both = baseline.select(*keys, (F.col("minutes") / games[0]).alias("b")).join(recent.select(*keys, (F.col("minutes") / games[1]).alias("r")), keys, "left")
+    mean = lambda rows, window, name: rows.where("minutes > 0").select(*keys, (F.col("minutes") / games_in(window, F.col("game_no"))).alias(name))
+    both = mean(baseline, windows[0], "b").join(mean(recent, windows[1], "r"), keys, "left")
     r = F.coalesce("r", F.lit(0.0))
     lost: Column = F.greatest(F.lit(0.0), F.col("b") - r)
     return both.groupBy(*keys[:-1]).agg(F.sum(lost).alias("minutes_lost"), F.count_if((F.col("b") >= ABSENT_FROM) & (r == 0)).alias("absent"), F.try_divide(F.sum(lost), F.sum("b")).alias("lost_ratio"))

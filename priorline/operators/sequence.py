@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from priorline.functions import values
 
@@ -33,14 +38,24 @@ def trailing(seconds: int, by: list[str] | None = None):
     return W.partitionBy(*(by or SIDE)).orderBy("ts").rangeBetween(-seconds, -1)
 
 
+def settled(x: str | Column) -> Column:
+    """A value that counts only where the contest has a result."""
+    return F.when(F.col("won").isNotNull(), F.col(x) if isinstance(x, str) else x)
+
+
 def form(rows: DataFrame, lasts: tuple[int, ...] = (5, 10)) -> DataFrame:
-    """Games played, win rate, recent win rates and margins, rest and back-to-back before each row; one sort."""
+    """Games played, win rate, recent win rates and margins, rest and back-to-back before each row.
+
+    A contest without a result has its row but leaves nothing behind: it takes no place among the last so many, adds no
+    margin and is no day of play. The recent frames therefore run over how many results came before, not over rows.
+    """
     won = F.col("won").cast("double")
-    before = F.lag("ts").over(W.partitionBy(*SIDE).orderBy(*ORDER))
+    before = F.last(settled("ts"), ignorenulls=True).over(prior())
     rest = values.rest_days(F.col("ts"), before)
     out = rows.select("*", F.count("won").over(prior()).alias("games_played"), F.avg(won).over(prior()).alias("win_rate"), rest.alias("rest_days"), values.back_to_back(rest).alias("back_to_back"))
     for n in lasts:
-        out = out.withColumn(f"win_rate_{n}", F.avg(won).over(prior(n))).withColumn(f"margin_{n}", F.avg("margin").over(prior(n)))
+        recent = W.partitionBy(*SIDE).orderBy("games_played").rangeBetween(-n, -1)
+        out = out.withColumns({f"win_rate_{n}": F.avg(won).over(recent), f"margin_{n}": F.avg(settled("margin")).over(recent)})
     return out
 
 
@@ -51,31 +66,99 @@ def both_sides(features: DataFrame, names: list[str]) -> DataFrame:
     return wide.select("*", *[(F.col(f"home_{n}") - F.col(f"away_{n}")).alias(f"diff_{n}") for n in names])
 
 
-def decayed_mean(x: str, half_life: float, w) -> Column:
-    """Mean of earlier values, each weighing half as much as one ``half_life`` rows later; nulls are passed over."""
-    d = 0.5 ** (1 / half_life)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    # Oldest first: what is held decays by one step before each newer value comes in.
-    step = lambda a, v: F.struct((a["s"] * d + v).alias("s"), (a["w"] * d + 1).alias("w"))
-    return F.aggregate(F.collect_list(F.col(x).cast("double")).over(w), start, step, lambda a: F.when(a["w"] > 0, a["s"] / a["w"]))
-
-
-def last_values_mean(x: str, n: int, w) -> Column:
-    """Mean of the ``n`` newest earlier values that are not null."""
-    got = F.collect_list(F.col(x).cast("double")).over(w)
-    last = F.slice(got, F.greatest(F.size(got) - n + 1, F.lit(1)), F.lit(n))
-    return F.when(F.size(got) > 0, F.aggregate(last, F.lit(0.0), lambda a, v: a + v) / F.size(last))
+class _Trail:
+    """What came before of one value: its sum, its last so many, and its decayed sum."""
+
+    __slots__ = ("n", "total", "last", "sum", "weight")
+
+    def __init__(self, keep: int) -> None:
+        self.n, self.total, self.last, self.sum, self.weight = 0, 0.0, deque(maxlen=keep), 0.0, 0.0
+
+    def means(self, lasts: tuple[int, ...]) -> list[float | None]:
+        if not self.n:
+            return [None] * (len(lasts) + 2)
+        held = list(self.last)
+        recent = [sum(held[-k:]) / len(held[-k:]) for k in lasts]
+        return [self.total / self.n, *recent, self.sum / self.weight]
+
+    def add(self, x: float, decay: float) -> None:
+        self.n += 1
+        self.total += x
+        self.last.append(x)
+        self.sum, self.weight = self.sum * decay + x, self.weight * decay + 1
+
+
+def trailing_means(
+    rows: DataFrame, cols: dict[str, str], lasts: tuple[int, ...] = (3, 5, 10), half_life: float = 5.0,
+    by: list[str] | None = None,
+) -> DataFrame:
+    """For each of ``cols`` (name -> column) the means of its earlier values: all, the last so many, and decayed.
+
+    Adds name_mean, name_last{n} and name_ewma, where a value weighs half as much as one ``half_life`` values later.
+    Nulls are passed over and take no place. One sort a group, one pass in constant memory; the row is written before
+    its own values are taken in.
+    """
+    by = by or SIDE
+    added = [f"{name}_{kind}" for name in cols for kind in ("mean", *(f"last{n}" for n in lasts), "ewma")]
+    own = rows.withColumns({f"_v_{name}": F.col(c).cast("double") for name, c in cols.items()})
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.DoubleType()) for n in added)])
+    decay, keep, names, held = 0.5 ** (1 / half_life), max(lasts, default=1), schema.names, rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, trails = None, {}
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            values_ = {name: batch.column(f"_v_{name}").to_pylist() for name in cols}
+            out: list[list] = [[] for _ in added]
+            for i, key in enumerate(keys):
+                if key != now:
+                    now, trails = key, {name: _Trail(keep) for name in cols}
+                at = 0
+                for name, trail in trails.items():
+                    for x in trail.means(lasts):
+                        out[at].append(x)
+                        at += 1
+                    value = values_[name][i]
+                    if value is not None and value == value:
+                        trail.add(value, decay)
+            kept = [batch.column(c) for c in held]
+            yield pa.RecordBatch.from_arrays(kept + [pa.array(x, pa.float64()) for x in out], names=names)
+
+    return own.repartition(*by).sortWithinPartitions(*by, *ORDER).mapInArrow(run, schema)
 
 
 def load(rows: DataFrame) -> DataFrame:
-    """Games in the 3, 5 and 7 days before, and whether this one is the third in 4 or the fourth in 6 days."""
-    n = lambda days: F.count(F.lit(1)).over(trailing(days * values.DAY_SECONDS))
+    """Games with a result in the 3, 5 and 7 days before, and whether this one is the third in 4 or the fourth in 6 days."""
+    n = lambda days: F.count("won").over(trailing(days * values.DAY_SECONDS))
     return rows.select("*", n(3).alias("games_3d"), n(5).alias("games_5d"), n(7).alias("games_7d"), (n(4) >= 2).alias("third_in_4"), (n(6) >= 3).alias("fourth_in_6"))
 
 
-def league_mean(rows: DataFrame, x: str) -> Column:
-    """Mean of ``x`` over the side rows of contests processed earlier this season, also of the same instant."""
-    return F.avg(x).over(W.partitionBy("season").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1))
+def totals_before(rows: DataFrame, by: list[str], span: int, sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with each of ``sums`` over the earlier rows of its group, 0 where none, however large the group is.
+
+    Sums of whole spans of ``span`` seconds come first and are cumulated over spans; within a span its own rows are. So
+    no task sorts more than one group's span, and what is cumulated over a group is one row a span.
+    """
+    own = rows.withColumns({f"_{n}": c for n, c in sums.items()}).withColumn("_span", F.floor(F.col("ts") / span))
+    earlier = W.partitionBy(*by).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    spans = own.groupBy(*by, "_span").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
+    carried_in = spans.select(*by, "_span", *[zero(F.sum(f"_{n}").over(earlier)).alias(f"_in_{n}") for n in sums])
+    within = W.partitionBy(*by, "_span").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    both = own.join(carried_in, [*by, "_span"])
+    return both.select(*rows.columns, *[(F.col(f"_in_{n}") + zero(F.sum(f"_{n}").over(within))).alias(n) for n in sums])
+
+
+def league_mean(rows: DataFrame, x: str, span: int = values.DAY_SECONDS) -> DataFrame:
+    """``rows`` with ``league``: the mean of ``x`` over the side rows of contests processed earlier this season.
+
+    The other side of the same contest is not earlier.
+    """
+    one = rows.groupBy("season", "game_id", "ts").agg(F.sum(settled(x)).alias("_x"), F.count(settled(x)).alias("_n"))
+    sums = {"league_sum": F.coalesce("_x", F.lit(0)), "league_n": F.col("_n")}
+    before = totals_before(one, ["season"], span, sums)
+    mean = before.select("game_id", F.try_divide("league_sum", "league_n").alias("league"))
+    return rows.join(mean, "game_id")
 
 
 def islands(days: DataFrame, key: list[str], day: str) -> DataFrame:

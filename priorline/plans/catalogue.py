@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from priorline.plans import coverage, flows, forms, joins, models, tables
+from priorline.plans import coverage, feeds, flows, forms, joins, models, tables
 
-QUERIES = {**forms.QUERIES, **joins.QUERIES, **tables.QUERIES, **models.QUERIES, **flows.QUERIES, **coverage.QUERIES}
-ORACLES = {**forms.ORACLES, **joins.ORACLES, **tables.ORACLES, **models.ORACLES, **flows.ORACLES, **coverage.ORACLES}
+MODULES = (forms, joins, tables, models, flows, coverage, feeds)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -1,12 +1,9 @@
-"""Queries on plans, coverage and windows that skip what is missing."""
+"""Queries on plans and coverage."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from priorline.functions import box as box_math
-from priorline.operators import sequence
-from priorline.plans.forms import STATS, TOTALS, _P, side_totals
 from priorline.plans.views import CONTESTS, contests, seconds, table
 from priorline.sources import capture
 
@@ -17,13 +14,13 @@ def slot_grid(spark, d):
 
 def anchor_guarantee(spark, d):
     """Every contest's capture tasks before its anchor."""
-    c = contests(spark, d).where("season = 1997")
+    c = contests(spark, d)
     before = F.when(F.col("game_id") % 3 == 0, F.array(F.lit(900))).otherwise(F.array(F.lit(900), F.lit(3600), F.lit(7200)))
     tasks = c.select("game_id", "ts", F.explode(before).alias("before")).select("game_id", (F.col("ts") - F.col("before")).alias("capture_ts"))
     return capture.guaranteed(c.select("game_id", (F.col("ts") - 1800).alias("anchor_ts")), tasks)
 
 
-GUARANTEE = f"with {CONTESTS} select game_id, ts - 1800 as anchor_ts, case when game_id % 3 = 0 then 0 else 2 end as n_tasks, game_id % 3 <> 0 as covered from contests where season = 1997"
+GUARANTEE = f"with {CONTESTS} select game_id, ts - 1800 as anchor_ts, case when game_id % 3 = 0 then 0 else 2 end as n_tasks, game_id % 3 <> 0 as covered from contests"
 
 
 def anchor_health(spark, d):
@@ -62,25 +59,8 @@ REPORT_GAME = f"""with {CONTESTS}, n as (select day, home, away, count(*) as n,
 select report_id, case when n = 1 then game_id end as game_id, case when n = 1 then 'matched' when n > 1 then 'ambiguous' when day > 11600 then 'unmatched_after' else 'unmatched_within' end as status from r left join n using (day, home, away)"""
 
 
-def efficiency_windows(spark, d):
-    """Efficiency before each contest: season mean, last three and decayed, of complete games alone."""
-    t = side_totals(spark, d).join(contests(spark, d).select("game_id", F.col("ts").alias("at"), F.col("season").alias("of")), "game_id")
-    opp = t.select("game_id", F.col("team").alias("opponent"), *[F.col(s).alias(f"opp_{s}") for s in STATS])
-    both = t.join(opp, ["game_id", "opponent"], "left")
-    poss = box_math.possessions({s: F.col(s) for s in STATS}, {s: F.col(f"opp_{s}") for s in STATS})
-    complete = F.col("pts").isNotNull() & F.col("opp_pts").isNotNull()
-    rows = both.select("game_id", "team", F.col("at").alias("ts"), F.col("of").alias("season"), box_math.efficiency(F.col("pts"), poss, complete).alias("eff"))
-    w = sequence.prior()
-    return rows.select("game_id", "team", F.round(F.avg("eff").over(w) + 1e-9, 6).alias("eff_season"), F.round(sequence.last_values_mean("eff", 3, w) + 1e-9, 6).alias("eff_last3"), F.round(sequence.decayed_mean("eff", 5, w) + 1e-9, 6).alias("eff_ewma"))
-
-
-EFFICIENCY = f"""with {TOTALS}, b as (select t.game_id, t.team, c.ts, c.season, 0.5 * ({_P.format('t.', 'o.')} + {_P.format('o.', 't.')}) as poss, t.pts from totals t left join totals o on o.game_id = t.game_id and o.team = t.opponent join contests c on c.game_id = t.game_id),
-e as (select *, case when poss > 0 then 100 * pts / poss end as eff from b), n as (select *, list(eff) filter (where eff is not null) over (partition by season, team order by ts, game_id rows between unbounded preceding and 1 preceding) as h from e)
-select game_id, team, case when len(h) > 0 then round(list_avg(h) + 1e-9, 6) end as eff_season, case when len(h) > 0 then round(list_avg(h[greatest(len(h) - 2, 1):]) + 1e-9, 6) end as eff_last3,
-  case when len(h) > 0 then round(list_sum(list_transform(range(1, len(h) + 1), lambda i: h[i] * pow(pow(0.5, 0.2), len(h) - i))) / list_sum(list_transform(range(1, len(h) + 1), lambda i: pow(pow(0.5, 0.2), len(h) - i))) + 1e-9, 6) end as eff_ewma from n"""
-
-QUERIES = {f.__name__: f for f in (slot_grid, anchor_guarantee, anchor_health, join_coverage, report_to_game, efficiency_windows)}
+QUERIES = {f.__name__: f for f in (slot_grid, anchor_guarantee, anchor_health, join_coverage, report_to_game)}
 ORACLES = {
     "slot_grid": "select day, day * 86400 + s as slot_ts from (select unnest(range(19723, 19754)) as day), (select unnest(range(0, 86400, 1800)) as s)",
-    "anchor_guarantee": GUARANTEE, "anchor_health": HEALTH, "join_coverage": JOIN_COVERAGE, "report_to_game": REPORT_GAME, "efficiency_windows": EFFICIENCY,
+    "anchor_guarantee": GUARANTEE, "anchor_health": HEALTH, "join_coverage": JOIN_COVERAGE, "report_to_game": REPORT_GAME,
 }

@@ -55,7 +55,7 @@ CANDLES = """select market, ts, case when bid between 0 and 1 then bid end as bi
 
 def idempotent_append(spark, d):
     """Captures stored twice over: the second time adds none."""
-    e = table(spark, d, "events").where("event_id < 3000")
+    e = table(spark, d, "events")
     cap = e.select(F.col("event_type").alias("source"), seconds(F.col("ts")).alias("retrieved_ts"), F.col("user_id").cast("string").alias("request"), F.col("value").cast("string").alias("payload"))
     path = scratch(spark, "snapshots")
     first = stores.append_snapshots(cap, path)
@@ -64,13 +64,13 @@ def idempotent_append(spark, d):
     return replayed.select(F.lit(first).cast("long").alias("n_first"), F.lit(again).cast("long").alias("n_again"), "n_replayed")
 
 
-APPEND = """with e as (select distinct event_type as source, cast(floor(epoch(ts)) as bigint) as s, user_id, value from events where event_id < 3000)
+APPEND = """with e as (select distinct event_type as source, cast(floor(epoch(ts)) as bigint) as s, user_id, value from events)
 select count(*) as n_first, 0 as n_again, count(*) filter (where source = 'view' and s between 1704067200 and 1705276800) as n_replayed from e"""
 
 
 def report_row_parse(spark, d):
     """Glyph cells laid out from events and read back into entries."""
-    e = table(spark, d, "events").where("event_id < 2000").select("event_id", "user_id", "event_type")
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
     y = F.col("event_id").cast("double")
     cell = lambda x, text: F.struct(F.lit(x).alias("x"), text.cast("string").alias("text"))
     some = F.array_compact(F.array(F.when(F.col("event_id") % 40 == 0, cell(10.0, F.concat(F.lit("G"), F.col("event_id")))), F.when(F.col("event_id") % 8 == 0, cell(99.0, F.concat(F.lit("T"), F.col("user_id")))), F.when(F.col("event_type") != "error", cell(201.5, F.concat(F.lit("Doe,P"), F.col("user_id")))), cell(300.0, F.col("event_type"))))
@@ -80,23 +80,33 @@ def report_row_parse(spark, d):
     return report_rows.entries(full).select("entry", "game_date", "team", "player", "reason")
 
 
-REPORT_ROWS = """with e as (select event_id, case when event_id % 40 = 0 then 'G' || event_id end as g, case when event_id % 8 = 0 then 'T' || user_id end as t, case when event_type <> 'error' then 'Doe, P' || user_id end as p, event_type from events where event_id < 2000),
+REPORT_ROWS = """with e as (select event_id, case when event_id % 40 = 0 then 'G' || event_id end as g, case when event_id % 8 = 0 then 'T' || user_id end as t, case when event_type <> 'error' then 'Doe, P' || user_id end as p, event_type from events),
 f as (select *, last_value(g ignore nulls) over w as game_date, last_value(t ignore nulls) over w as team, sum((p is not null)::int) over w as entry from e window w as (order by event_id rows between unbounded preceding and current row))
 select entry, min_by(game_date, event_id) as game_date, min_by(team, event_id) as team, min_by(p, event_id) as player, string_agg(event_type, ' ' order by event_id) as reason from f where entry > 0 group by entry"""
 
 
 def stream_emit_then_update(spark, d):
-    """Form of one season as a stream with keyed state, replayed to its end from files."""
-    rows = sequence.side_rows(contests(spark, d)).where("season = 1997").select("game_id", "ts", "season", "team", "won", "margin")
+    """Form as a stream with keyed state, replayed to its end from files that come one at a time, each unordered."""
+    rows = sequence.side_rows(contests(spark, d)).select("game_id", "ts", "season", "team", "won", "margin")
+    # The row that ends the feed: nothing is left waiting for the watermark.
+    last = spark.sql("select 0L as game_id, 4102444800L as ts, 9999 as season, 0 as team, cast(null as boolean) as won, 0 as margin")
     source = scratch(spark, "sides")
-    rows.repartition(1).sortWithinPartitions("ts", "game_id").write.parquet(source)
-    stream = sequences.form_stream(spark.readStream.schema(rows.schema).parquet(source))
-    out = sequences.run_to_end(stream, scratch(spark, "stream"), scratch(spark, "form"))
-    return out.select("game_id", "team", "games_played", F.round("win_rate", 6).alias("win_rate"), F.round("mean_margin", 6).alias("mean_margin"), F.round("rest_days", 6).alias("rest_days"))
-
-
-STREAM = f"""with {SIDES} select game_id, team, count(won) over w as games_played, round(avg(won::int) over w, 6) as win_rate, round(avg(margin) over w, 6) as mean_margin, round((ts - lag(ts) over o) / 86400.0, 6) as rest_days
-from sides where season = 1997 window o as (partition by season, team order by ts, game_id), w as (partition by season, team order by ts, game_id rows between unbounded preceding and 1 preceding)"""
+    ordered = rows.repartitionByRange(4, "ts").sortWithinPartitions(F.xxhash64("game_id"))
+    ordered.write.parquet(f"{source}/rows")
+    files = sorted(r[0] for r in spark.read.parquet(f"{source}/rows").select(F.input_file_name()).distinct().collect())
+    for i, name in enumerate(files):  # a handful of files: one micro-batch each
+        spark.read.parquet(name).coalesce(1).write.parquet(f"{source}/feed/part={i}")
+    last.coalesce(1).write.parquet(f"{source}/feed/part={len(files)}")
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/feed")
+    out = sequences.run_to_end(sequences.form_stream(feed), scratch(spark, "stream"), scratch(spark, "form"))
+    return out.where("season < 9999").select(
+        "game_id", "team", "games_played", *[F.round(c, 6).alias(c) for c in ("win_rate", "mean_margin", "rest_days")]
+    )
+
+
+STREAM = f"""with {SIDES} select game_id, team, count(won) over w as games_played, round(avg(won::int) over w, 6) as win_rate,
+  round(avg(case when won is not null then margin end) over w, 6) as mean_margin, round((ts - max(case when won is not null then ts end) over w) / 86400.0, 6) as rest_days
+from sides window w as (partition by season, team order by ts, game_id rows between unbounded preceding and 1 preceding)"""
 
 
 def json_report(spark, d):

@@ -183,13 +183,13 @@ OPPONENT = f"with {SIDES} select s.game_id, s.team, s.opponent, s.scored, s.won,
 
 
 def cross_plan(spark, d):
-    """Capture tasks: every contest of a season, source and offset, but none at or after its anchor."""
-    c = contests(spark, d).where("season = 1997").select("game_id", (F.col("ts") - 1800).alias("anchor_ts"), "ts")
+    """Capture tasks: every contest, source and offset, but none at or after its anchor."""
+    c = contests(spark, d).select("game_id", (F.col("ts") - 1800).alias("anchor_ts"), "ts")
     tasks = c.withColumn("source", F.explode(F.array(F.lit("market"), F.lit("report"), F.lit("lineup")))).withColumn("before", F.explode(F.array(*map(F.lit, (86400, 3600, 1800, 600)))))
     return tasks.withColumn("capture_ts", F.col("ts") - F.col("before")).where("capture_ts < anchor_ts").select("game_id", "source", F.col("before").cast("long").alias("before"), "capture_ts", "anchor_ts")
 
 
-CROSS = f"with {CONTESTS} select game_id, source, cast(before as bigint) as before, ts - before as capture_ts, ts - 1800 as anchor_ts from contests, (select unnest(['market', 'report', 'lineup']) as source), (select unnest([86400, 3600, 1800, 600]) as before) where season = 1997 and ts - before < ts - 1800"
+CROSS = f"with {CONTESTS} select game_id, source, cast(before as bigint) as before, ts - before as capture_ts, ts - 1800 as anchor_ts from contests, (select unnest(['market', 'report', 'lineup']) as source), (select unnest([86400, 3600, 1800, 600]) as before) where ts - before < ts - 1800"
 
 
 def theta_bucket(spark, d):

@@ -65,7 +65,7 @@ def constant_baseline(spark, d):
     """The development seasons' home rate, scored on the seasons after them."""
     c = contests(spark, d).where(F.col("home_win").isNotNull())
     rate = c.where("season < 1999").agg(F.avg(F.col("home_win").cast("double")).alias("p"))
-    scored = c.where("season >= 1999").select("season", "home_win").withColumn("p", F.lit(rate.first()["p"]))
+    scored = c.where("season >= 1999").select("season", "home_win").crossJoin(F.broadcast(rate))  # one row
     return rounded(metrics.scores(scored, "home_win", "p", ["season"]), "brier", "log_loss", "accuracy")
 
 
@@ -124,7 +124,7 @@ def bootstrap_ci(spark, d):
     p = predictions(spark, d)
     y = F.col("y").cast("double")
     loss = p.select(F.col("doc_id").alias("key"), F.pow(F.col("p") - y, 2).alias("a"), F.pow(F.col("q") - y, 2).alias("b"))
-    return metrics.paired_bootstrap(loss, "a", "b", resamples=2000)
+    return metrics.paired_bootstrap(loss, "a", "b")
 
 
 QUERIES = {f.__name__: f for f in (brier_logloss_accuracy, roc_auc, calibration_table, calibration_ece, segments, constant_baseline, blend_search, tie_band_preference, logistic_walk_forward, grid_select_tie_rule, bootstrap_ci)}

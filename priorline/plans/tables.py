@@ -98,18 +98,47 @@ def dual_schema_json(spark, d):
 
 
 def corrections_guarded(spark, d):
-    """Overrides that apply only where every old value is as declared; what they touch is marked."""
-    c = contests(spark, d).select("game_id", "home", "away", "home_score", "away_score", "ts")
-    fix = c.where("game_id % 500 = 0").select("game_id", F.col("home").alias("x_home"), F.when(F.col("game_id") % 1000 == 0, F.col("home_score")).otherwise(F.lit(-1)).alias("old_home"), (F.col("home_score") + 7).alias("new_home"))
-    j = c.join(fix, "game_id", "left")
-    ok = F.coalesce((F.col("home") == F.col("x_home")) & (F.col("home_score") == F.col("old_home")), F.lit(False))
-    score = F.when(ok, F.col("new_home")).otherwise(F.col("home_score"))
-    return j.select("game_id", score.alias("home_score"), "away_score", values.guarded_outcome(F.lit(True), score, F.col("away_score")).alias("home_win"), ok.alias("corrected"), (F.col("x_home").isNotNull() & ~ok).alias("refused"), F.when(ok, F.col("old_home")).alias("source_home_score"))
+    """Overrides that apply only where every old value is as declared; what they touch is marked, the rest reported."""
+    c = contests(spark, d).select("game_id", "home", "away", "home_score", "away_score", "home_win")
+    old = F.when(F.col("game_id") % 1000 == 0, F.col("home_score")).otherwise(F.lit(-1))
+    fix = c.where("game_id % 500 = 0").select(
+        "game_id", F.col("home").alias("expects_home"), old.alias("expects_home_score"), (F.col("home_score") + 7).alias("new_home_score")
+    )
+    return audit.corrected(c, fix, ["game_id"], strict=False).select(
+        "game_id", "home_score", "away_score", "home_win", "corrected", "refused", F.when(F.col("corrected"), F.col("source_home_score")).alias("source_home_score")
+    )
+
+
+CORRECTIONS_SQL = f"""with {CONTESTS},
+f as (
+  select game_id, home as x_home, case when game_id % 1000 = 0 then home_score else -1 end as old_home, home_score + 7 as new_home
+  from contests where game_id % 500 = 0),
+j as (select c.*, f.x_home, f.old_home, f.new_home, coalesce(c.home = f.x_home and c.home_score = f.old_home, false) as ok from contests c left join f using (game_id)),
+k as (select *, case when ok then new_home else home_score end as s from j)
+select game_id, s as home_score, away_score, case when s <> away_score then s > away_score end as home_win, ok as corrected,
+  x_home is not null and not ok as refused, case when ok then old_home end as source_home_score from k"""
+
+
+def declared_corrections(spark, d):
+    """The declared corrections of the dimension on records as their source has them; a record that differs is refused."""
+    fixes = dims.corrections(spark)
+    odd = F.col("game_id") % 2 == 1
+    score = lambda side: F.col(f"{side}_score") + F.when(odd & F.lit(side == "home"), 1).otherwise(0)
+    records = fixes.select("game_id", "date", "home", "away", score("home").alias("home_score"), score("away").alias("away_score"), F.lit(None).cast("string").alias("tipoff"))
+    records = records.withColumn("home_win", F.col("home_score") > F.col("away_score"))
+    return audit.corrected(records, dims.correction_guards(spark), ["game_id"], strict=False).select(
+        "game_id", "home_score", "away_score", "tipoff", "home_win", "corrected", "refused"
+    )
 
 
-CORRECTIONS_SQL = f"""with {CONTESTS}, f as (select game_id, home as x_home, case when game_id % 1000 = 0 then home_score else -1 end as old_home, home_score + 7 as new_home from contests where game_id % 500 = 0),
-j as (select c.*, f.x_home, f.old_home, f.new_home, coalesce(c.home = f.x_home and c.home_score = f.old_home, false) as ok from contests c left join f using (game_id)), k as (select *, case when ok then new_home else home_score end as s from j)
-select game_id, s as home_score, away_score, case when s <> away_score then s > away_score end as home_win, ok as corrected, x_home is not null and not ok as refused, case when ok then old_home end as source_home_score from k"""
+def _declared_sql() -> str:
+    q = lambda x: "null" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    rows = ", ".join("(" + ", ".join(map(q, (g, a, h, at, na, nh))) + ")" for g, _, _, _, a, h, at, na, nh in dims.CORRECTIONS)
+    return f"""with f(game_id, a, h, tipoff, na, nh) as (values {rows})
+select cast(game_id as bigint) as game_id, case when game_id % 2 = 1 then h + 1 else coalesce(nh, h) end as home_score,
+  case when game_id % 2 = 1 then a else coalesce(na, a) end as away_score, case when game_id % 2 = 0 then tipoff end as tipoff,
+  case when game_id % 2 = 1 then case when h + 1 <> a then h + 1 > a end else case when coalesce(nh, h) <> coalesce(na, a) then coalesce(nh, h) > coalesce(na, a) end end as home_win,
+  game_id % 2 = 0 as corrected, game_id % 2 = 1 as refused from f"""
 
 
 def minutes_and_prices(spark, d):
@@ -126,14 +155,14 @@ select l_orderkey, l_linenumber, l_partkey, max(case when x like '%:%' then try_
 
 def midpoints(spark, d):
     """Midpoint, spread and share of two sides without overround; null unless two-sided."""
-    q = quotes(spark, d).where("market % 2 = 0").groupBy("market", "ts").agg(F.max("bid").alias("bid"), F.max("ask").alias("ask"))
+    q = quotes(spark, d).groupBy("market", "ts").agg(F.max("bid").alias("bid"), F.max("ask").alias("ask"))
     other = F.lit(1.02) - values.midpoint(F.col("bid"), F.col("ask"))
     mid = values.midpoint(F.col("bid") + 1e-9, F.col("ask") + 1e-9)
     return q.select("market", "ts", mid.alias("midpoint"), values.spread(F.col("bid"), F.col("ask") + 1e-9).alias("spread"), F.round(values.share(mid, other), 6).alias("share"), F.round(F.abs(mid + other - 1), 6).alias("deviation"))
 
 
 MIDPOINTS_SQL = """with q as (select user_id as market, cast(floor(epoch(ts)) as bigint) as ts, max(case when event_type <> 'click' then round(value / 500, 6) end) as bid, max(case when event_type not in ('click', 'error') then round(value / 500 + 0.01, 6) end) as ask
-  from events where event_type <> 'purchase' and user_id % 2 = 0 group by all), m as (select *, round((bid + 1e-9 + ask + 1e-9) / 2, 6) as mid, 1.02 - round((bid + ask) / 2, 6) as other from q)
+  from events where event_type <> 'purchase' group by all), m as (select *, round((bid + 1e-9 + ask + 1e-9) / 2, 6) as mid, 1.02 - round((bid + ask) / 2, 6) as other from q)
 select market, ts, mid as midpoint, round(ask + 1e-9 - bid, 6) as spread, round(mid / nullif(mid + other, 0), 6) as share, round(abs(mid + other - 1), 6) as deviation from m"""
 
 
@@ -162,12 +191,12 @@ select game_id, round(1 / (1 + pow(10, -((h + 40) - a) / 400)), 6) as p, round(l
 
 
 def player_name_normalization(spark, d):
-    names = F.array(*map(F.lit, ("Dončić, Luka", "Jokić,Nikola", "Porter Jr., Michael", "P.J. Tucker", "O'Neale,  Royce", "Tim Hardaway Jr.", "Payton II, Gary", "José Álvarez")))
-    c = table(spark, d, "customer").select("c_custkey", F.element_at(names, (F.col("c_custkey") % 8 + 1).cast("int")).alias("name"))
+    names = F.array(*map(F.lit, ("Dončić, Luka", "Jokić,Nikola", "Porter Jr., Michael", "P.J. Tucker", "O'Neale,  Royce", "Tim Hardaway Jr.", "Payton II, Gary", "José Álvarez", "Şengün, Alperen", "Sengu\u0308n,  Alperen", "Bogdanović, Bogdan", "Ģīrts Ābele")))
+    c = table(spark, d, "customer").select("c_custkey", F.element_at(names, (F.col("c_custkey") % 12 + 1).cast("int")).alias("name"))
     return c.select("c_custkey", values.player_name(F.col("name")).alias("player"))
 
 
-PLAYER_SQL = """with n as (select c_custkey, ['Dončić, Luka', 'Jokić,Nikola', 'Porter Jr., Michael', 'P.J. Tucker', 'O''Neale,  Royce', 'Tim Hardaway Jr.', 'Payton II, Gary', 'José Álvarez'][c_custkey % 8 + 1] as name from customer),
+PLAYER_SQL = """with n as (select c_custkey, ['Dončić, Luka', 'Jokić,Nikola', 'Porter Jr., Michael', 'P.J. Tucker', 'O''Neale,  Royce', 'Tim Hardaway Jr.', 'Payton II, Gary', 'José Álvarez', 'Şengün, Alperen', 'Sengu\u0308n,  Alperen', 'Bogdanović, Bogdan', 'Ģīrts Ābele'][c_custkey % 12 + 1] as name from customer),
 t as (select c_custkey, case when contains(name, ',') then trim(split_part(name, ',', 2)) || ' ' || trim(split_part(name, ',', 1)) else name end as name from n)
 select c_custkey, array_to_string(list_filter(string_split(lower(trim(regexp_replace(replace(replace(strip_accents(name), '.', ''), '''', ''), '\\s+', ' ', 'g'))), ' '), lambda x: x not in ('jr', 'sr', 'ii', 'iii', 'iv', 'v', '')), ' ') as player from t"""
 
@@ -215,18 +244,17 @@ FINGERPRINT_SQL = "select c_custkey, sha256(c_name || chr(31) || c_mktsegment)[1
 
 
 def slot_filename(spark, d):
-    """Eastern twelve-hour file names to instants and back."""
-    e = table(spark, d, "events").where("event_id % 20 = 0").select("event_id", seconds(F.col("ts")).alias("s"))
-    slot = values.grid_floor(F.col("s"), 1800)
-    # Wall clock of New York without the session's zone: winter months are five hours behind.
-    local = F.timestamp_add("SECOND", slot - 5 * 3600, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    name = F.concat(F.lit("Report_"), F.date_format(local, "yyyy-MM-dd_hh"), F.lit("_"), F.date_format(local, "mma"), F.lit(".pdf"))
-    back = F.try_to_timestamp(F.regexp_extract(F.upper(name), r"REPORT_(.*)\.PDF", 1), F.lit("yyyy-MM-dd_hh_mma"))
-    return e.select("event_id", F.upper(name).alias("file"), (seconds(back.cast("timestamp_ntz")) + 5 * 3600).alias("slot_ts"))
+    """Eastern twelve-hour file names to instants and back, in winter and in summer."""
+    e = table(spark, d, "events").select("event_id", (seconds(F.col("ts")) + F.col("event_id") % 12 * 30 * 86400).alias("s"))
+    name = values.slot_file(values.grid_floor(F.col("s"), 1800))
+    return e.select("event_id", name.alias("file"), values.slot_of_file(name).alias("slot_ts"))
 
 
-SLOT_SQL = """with e as (select event_id, cast(floor(epoch(ts)) as bigint) as s from events where event_id % 20 = 0), f as (select event_id, s - s % 1800 as slot_ts, make_timestamp((s - s % 1800 - 18000) * 1000000) as l from e)
-select event_id, upper(strftime(l, 'Report_%Y-%m-%d_%I_%M%p.pdf')) as file, slot_ts from f"""
+SLOT_SQL = """with e as (select event_id, cast(floor(epoch(ts)) as bigint) + event_id % 12 * 2592000 as s from events),
+f as (select event_id, timezone('America/New_York', to_timestamp(s - s % 1800)) as l from e),
+g as (select event_id, l, cast(epoch(timezone('America/New_York', l)) as bigint) as back from f)
+select event_id, strftime(l, 'Injury-Report_%Y-%m-%d_%I_%M%p.pdf') as file,
+  case when epoch(timezone('America/New_York', to_timestamp(back - 3600))) = epoch(l) then back - 3600 else back end as slot_ts from g"""
 
 
 def collapse_events(spark, d):
@@ -323,15 +351,26 @@ def offset_drift(spark, d):
 
 
 def leakage_audit(spark, d):
-    """No feature before the first contest, rates within bounds, counts one more each time."""
-    rows = sequence.form(sequence.side_rows(contests(spark, d)))
-    w = W.partitionBy("season", "team").orderBy("ts", "game_id")
-    rows = rows.withColumn("_before", F.lag("games_played").over(w)).withColumn("_won", F.lag("won").over(w))
-    return audit.invariants(rows, {
-        "first_has_none": F.col("_before").isNotNull() | ((F.col("games_played") == 0) & F.col("win_rate").isNull()),
-        "rate_in_bounds": F.col("win_rate").isNull() | F.col("win_rate").between(0, 1),
-        "counts_follow": F.col("_before").isNull() | (F.col("games_played") == F.col("_before") + F.when(F.col("_won").isNull(), 0).otherwise(1)),
-    })
+    """No feature before the first contest, rates within bounds, counts one more each time; and that a leak is seen."""
+    honest = sequence.form(sequence.side_rows(contests(spark, d)), ())
+    # A frame that takes in the row itself: what the audit is there to find.
+    upto = W.partitionBy("season", "team").orderBy("ts", "game_id").rowsBetween(W.unboundedPreceding, 0)
+    leaking = honest.withColumn("games_played", F.count("won").over(upto)).withColumn("win_rate", F.avg(F.col("won").cast("double")).over(upto))
+    parts = [audit.lookahead(rows).withColumn("features", F.lit(name)) for name, rows in (("honest", honest), ("leaking", leaking))]
+    return parts[0].unionByName(parts[1])
+
+
+LEAKAGE_SQL = f"""with {SIDES}, h as (
+  select *, count(won) over p as gp, avg(won::int) over p as wr, count(won) over c as gp2, avg(won::int) over c as wr2,
+    row_number() over (partition by season, team order by ts, game_id) = 1 as first
+  from sides window p as (partition by season, team order by ts, game_id rows between unbounded preceding and 1 preceding),
+    c as (partition by season, team order by ts, game_id rows between unbounded preceding and current row)),
+l as (select *, lag(gp) over w as b, lag(gp2) over w as b2, lag(won) over w as w0 from h window w as (partition by season, team order by ts, game_id))
+select 'honest' as features, count(*) filter (where first and not (gp = 0 and wr is null)) = 0 as first_has_none,
+  count(*) filter (where wr not between 0 and 1) = 0 as rate_in_bounds, count(*) filter (where b is not null and gp <> b + (w0 is not null)::int) = 0 as counts_follow from l
+union all
+select 'leaking', count(*) filter (where first and not (gp2 = 0 and wr2 is null)) = 0, count(*) filter (where wr2 not between 0 and 1) = 0,
+  count(*) filter (where b2 is not null and gp2 <> b2 + (w0 is not null)::int) = 0 from l"""
 
 
 def topk_examples_per_class(spark, d):
@@ -360,7 +399,7 @@ def set_equality(spark, d):
 
 def null_ordering(spark, d):
     """Stable order with missing values last, as a rank."""
-    c = contests(spark, d).where("season = 1997").withColumn("m", F.when(F.col("game_id") % 6 != 0, F.col("home_score") - F.col("away_score")))
+    c = contests(spark, d).withColumn("m", F.when(F.col("game_id") % 6 != 0, F.col("home_score") - F.col("away_score")))
     return c.select("game_id", F.row_number().over(W.partitionBy("home").orderBy(F.asc_nulls_last("m"), "game_id")).alias("place"))
 
 
@@ -378,16 +417,18 @@ select user_id, min(day) as first_day, max(day) as last_day, count(*) as n_days
 
 
 def suspect_days(spark, d):
-    """Days with few of the users seen on both neighbours."""
-    e = table(spark, d, "events").select(F.floor(seconds(F.col("ts")) / 86400).alias("day"), "user_id").where("user_id % 15 = 1 or day % 5 <> 2")
-    n = e.groupBy("day").agg(F.count_distinct("user_id").alias("n_users"))
-    w = W.orderBy("day")
-    flag = (F.col("n_users") * 10 <= F.lag("n_users").over(w)) & (F.col("n_users") * 10 <= F.lead("n_users").over(w))
-    return n.select("day", "n_users", F.coalesce(flag, F.lit(False)).alias("suspect"))
+    """Days with next to none of their half-hour slots between days with all of them: a blocked source, not an ended one."""
+    e = table(spark, d, "events").select(F.floor(seconds(F.col("ts")) / 1800).alias("slot")).distinct()
+    kept = e.select(F.floor(F.col("slot") / 48).alias("day"), (F.col("slot") % 48).alias("at")).where("day % 5 <> 2 or at < day % 7")
+    return audit.suspect_days(kept.groupBy("day").agg(F.count(F.lit(1)).alias("filled")), "day", "filled", 48)
 
 
-SUSPECT_SQL = """with n as (select day, count(distinct user_id) as n_users from (select cast(floor(epoch(ts)) as bigint) // 86400 as day, user_id from events) where user_id % 15 = 1 or day % 5 <> 2 group by day)
-select day, n_users, coalesce(n_users * 10 <= lag(n_users) over (order by day) and n_users * 10 <= lead(n_users) over (order by day), false) as suspect from n"""
+SUSPECT_SQL = """with e as (select distinct cast(floor(epoch(ts)) as bigint) // 1800 as slot from events),
+k as (select slot // 48 as day, count(*) as n from e where (slot // 48) % 5 <> 2 or slot % 48 < (slot // 48) % 7 group by 1),
+s as (select unnest(range(min(day), max(day) + 1)) as day from k), f as (select day, coalesce(n, 0) as filled from s left join k using (day))
+select day, filled, round(1 - filled / 48.0 + 1e-9, 6) as missing,
+  coalesce(1 - filled / 48.0 >= 0.9 and lag(filled) over w = 48 and lead(filled) over w = 48, false) as suspect
+from f window w as (order by day)"""
 
 
 def carry_forward(spark, d):
@@ -398,11 +439,11 @@ def carry_forward(spark, d):
 def continuation_join(spark, d):
     """Entries start at purchases; the kinds of the events below them are joined on."""
     e = table(spark, d, "events").select("user_id", "event_id", "event_type")
-    return sequence.continued(e, ["user_id"], "event_id", F.col("event_type") == "purchase", "event_type").select("user_id", "event_id", F.length("event_type").alias("n_chars"), F.substring("event_type", 1, 60).alias("head"))
+    return sequence.continued(e, ["user_id"], "event_id", F.col("event_type") == "purchase", "event_type").select("user_id", "event_id", F.length("event_type").alias("n_chars"), F.md5("event_type").alias("kinds_md5"))
 
 
 CONTINUED_SQL = """with e as (select *, sum((event_type = 'purchase')::int) over (partition by user_id order by event_id) as entry from events)
-select user_id, min(event_id) as event_id, length(string_agg(event_type, ' ' order by event_id)) as n_chars, substr(string_agg(event_type, ' ' order by event_id), 1, 60) as head from e where entry > 0 group by user_id, entry"""
+select user_id, min(event_id) as event_id, length(string_agg(event_type, ' ' order by event_id)) as n_chars, md5(string_agg(event_type, ' ' order by event_id)) as kinds_md5 from e where entry > 0 group by user_id, entry"""
 
 
 def keep_first_dedupe(spark, d):
@@ -428,7 +469,7 @@ def snapshot_replay(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_project_filter, season_window_null_keep, guarded_outcome, matchup_key, phase_classifier, alias_resolution, ticker_regex_parse, dual_schema_json, corrections_guarded, minutes_and_prices, midpoints, anchor_grid, rating_expectation,
+    scan_project_filter, season_window_null_keep, guarded_outcome, matchup_key, phase_classifier, alias_resolution, ticker_regex_parse, dual_schema_json, corrections_guarded, declared_corrections, minutes_and_prices, midpoints, anchor_grid, rating_expectation,
     player_name_normalization, status_normalization, eligibility, side_assignment, fingerprints, slot_filename, collapse_events, value_counts, conditional_counts, coverage_matrix, duplicate_audit, exact_quantiles, missingness,
     games_per_team_audit, season_audit, identity_audit, chronology_audit, threshold_counts, offset_drift, leakage_audit, topk_examples_per_class, union_perspectives, set_ops, set_equality, null_ordering, gap_islands, suspect_days,
     carry_forward, continuation_join, keep_first_dedupe, slot_inventory, snapshot_replay,
@@ -440,7 +481,7 @@ ORACLES = {
     "matchup_key": f"with {CONTESTS}, t as (select *, 'T' || lpad(home::varchar, 2, '0') as h, 'T' || lpad(away::varchar, 2, '0') as a from contests) select game_id, case when game_id % 9 <> 0 then day || '|' || least(h, a) || '|' || greatest(h, a) end as pair_key from t",
     "phase_classifier": PHASE, "alias_resolution": ALIAS_SQL, "ticker_regex_parse": TICKER_SQL,
     "dual_schema_json": "select event_id, cast(json_extract_string(props, '$.k') as double) as k from events",
-    "corrections_guarded": CORRECTIONS_SQL, "minutes_and_prices": MINUTES_SQL, "midpoints": MIDPOINTS_SQL, "anchor_grid": ANCHOR_SQL, "rating_expectation": RATING_SQL, "player_name_normalization": PLAYER_SQL, "status_normalization": STATUS_SQL,
+    "corrections_guarded": CORRECTIONS_SQL, "declared_corrections": _declared_sql(), "minutes_and_prices": MINUTES_SQL, "midpoints": MIDPOINTS_SQL, "anchor_grid": ANCHOR_SQL, "rating_expectation": RATING_SQL, "player_name_normalization": PLAYER_SQL, "status_normalization": STATUS_SQL,
     "eligibility": f"with {CONTESTS}, r as (select game_id, case when game_id % 31 = 0 then 'missing_datetime' when home_win is null then 'level_score' when home = away then 'same_team' end as reason from contests) select game_id, reason is null as eligible, reason from r",
     "side_assignment": SIDE_SQL, "fingerprints": FINGERPRINT_SQL, "slot_filename": SLOT_SQL, "collapse_events": COLLAPSE_SQL,
     "value_counts": "select 'o_orderstatus' as name, o_orderstatus as value, count(*) as n from orders group by all union all select 'o_orderpriority', o_orderpriority, count(*) from orders group by all",
@@ -454,12 +495,12 @@ ORACLES = {
     "chronology_audit": CHRONOLOGY_SQL,
     "threshold_counts": "select l_returnflag, count(*) filter (where round(abs(l_discount - l_tax), 6) > 0.01) as over_01, count(*) filter (where round(abs(l_discount - l_tax), 6) > 0.02) as over_02, count(*) filter (where round(abs(l_discount - l_tax), 6) > 0.05) as over_05 from lineitem group by 1",
     "offset_drift": "select pos, round(min(x)::double, 5) as low, round(max(x)::double, 5) as high from (select unnest(embedding) as x, unnest(range(len(embedding))) as pos from embeddings) group by pos",
-    "leakage_audit": "select true as first_has_none, true as rate_in_bounds, true as counts_follow",
+    "leakage_audit": LEAKAGE_SQL,
     "topk_examples_per_class": "select o_orderkey, o_orderstatus, o_totalprice, row_number() over (partition by o_orderstatus order by o_totalprice desc, o_orderkey) as example from orders qualify example <= 5",
     "union_perspectives": f"with {SIDES} select team, is_home, count(*) as n, count(*) filter (where won) as wins from sides group by all",
     "set_ops": "with o as (select distinct o_orderkey as k from orders), l as (select distinct l_orderkey as k from lineitem) select count(*) as n, 'both' as part from o where k in (from l) union all select count(*), 'orders_only' from o where k not in (from l) union all select count(*), 'lines_only' from l where k not in (from o) union all select count(*), 'either' from (from o union from l)",
     "set_equality": "select (select count(distinct o_orderkey) from orders where o_orderkey not in (select l_orderkey from lineitem)) as only_left, (select count(distinct l_orderkey) from lineitem where l_orderkey not in (select o_orderkey from orders)) as only_right",
-    "null_ordering": f"with {CONTESTS} select game_id, row_number() over (partition by home order by case when game_id % 6 <> 0 then home_score - away_score end nulls last, game_id) as place from contests where season = 1997",
+    "null_ordering": f"with {CONTESTS} select game_id, row_number() over (partition by home order by case when game_id % 6 <> 0 then home_score - away_score end nulls last, game_id) as place from contests",
     "gap_islands": GAPS_SQL, "suspect_days": SUSPECT_SQL,
     "carry_forward": "select event_id, last_value(case when event_type = 'view' then value end ignore nulls) over (partition by user_id order by cast(floor(epoch(ts)) as bigint), event_id rows between unbounded preceding and current row) as seen from events",
     "continuation_join": CONTINUED_SQL,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -26,10 +27,8 @@ def season(n: int = 60, seed: int = 3) -> list[tuple]:
 
 def features(spark, rows):
     df = sequence.side_rows(spark.createDataFrame(rows, KIND))
-    out = sequence.load(sequence.form(df))
-    w = sequence.prior()
-    out = out.withColumn("ewma", sequence.decayed_mean("margin", 5, w)).withColumn("league", sequence.league_mean(out, "scored"))
-    return out.orderBy("game_id", "team").toPandas()
+    out = sequence.league_mean(sequence.load(sequence.form(df)), "scored", 100_000)
+    return sequence.trailing_means(out, {"m": "margin"}).orderBy("game_id", "team").toPandas()
 
 
 NOT_FEATURES = ["won", "scored", "allowed", "margin"]
@@ -56,22 +55,63 @@ def test_row_order_does_not_matter(spark):
     pd.testing.assert_frame_equal(features(spark, rows), features(spark, mixed))
 
 
-def frame(rows):
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in KIND.split(", ")])
+def rated(spark, rows, *configs):
+    return recursive.elo(spark.createDataFrame(rows, KIND), list(configs)).orderBy("config_id", "game_id").toPandas()
+
+
+def plain_elo(rows, c):
+    """One game after another, in plain numbers."""
+    held, season, out = {}, None, []
+    for game_id, _, s, h, a, x, y, won in rows:
+        if season is not None:
+            for _ in range(s - season):
+                held = {t: 1500 + c.kept * (r - 1500) for t, r in held.items()}
+        season = s
+        if c.first_season is not None and s < c.first_season:
+            out.append((game_id, None, None))
+            continue
+        rh, ra = held.get(h, 1500.0), held.get(a, 1500.0)
+        p = 1 / (1 + 10 ** (-(rh + c.advantage - ra) / 400))
+        out.append((game_id, rh, p))
+        if won is None:
+            continue
+        m, lead = abs(x - y), (rh + c.advantage - ra) * (1 if won else -1)
+        by = {None: 1, "sqrt": math.sqrt(m) / math.sqrt(11), "log": math.log(m + 1) / math.log(12)}
+        by["fivethirtyeight"] = by["log"] * 2.2 / (0.001 * lead + 2.2)
+        step = c.k * by[c.margin] * (won - p)
+        held[h], held[a] = rh + step, ra - step
+    return out
 
 
 @pytest.mark.parametrize(("k", "want"), [(20.0, 1510.0), (32.0, 1516.0)])
-def test_elo_worked(k, want):
+def test_elo_worked(spark, k, want):
     rows = [(1, 1, 2000, 1, 2, 100, 90, True), (2, 2, 2000, 1, 2, 100, 90, True)]
-    out = recursive.rate(frame(rows), recursive.EloConfig(k=k, advantage=0.0))
+    out = rated(spark, rows, recursive.EloConfig(k=k, advantage=0.0))
     assert out["home_rating"].tolist() == [1500.0, want]
     assert out["home_probability"].iloc[0] == 0.5
 
 
-def test_elo_regresses_once_for_each_season():
+@pytest.mark.parametrize(("kept", "want"), [(0.25, 1500.625), (0.5, 1502.5), (0.75, 1505.625)])
+def test_elo_keeps_its_share_once_for_each_season(spark, kept, want):
     rows = [(1, 1, 2000, 1, 2, 100, 90, True), (2, 2, 2002, 1, 2, 100, 90, None)]
-    out = recursive.rate(frame(rows), recursive.EloConfig(k=20, advantage=0.0, regress=0.5))
-    assert out["home_rating"].iloc[1] == pytest.approx(1502.5)
+    out = rated(spark, rows, recursive.EloConfig(k=20, advantage=0.0, kept=kept))
+    assert out["home_rating"].iloc[1] == pytest.approx(want)
+
+
+def test_elo_grid_equals_one_game_after_another(spark, monkeypatch):
+    rows = season(120)
+    configs = [recursive.EloConfig(k, 40.0, kept, first, m) for k in (10.0, 30.0) for kept in (0.25, 0.75) for first in (None, 2001) for m in (None, "sqrt", "log", "fivethirtyeight")]
+    for side_by_side in (96, 3, 1):
+        monkeypatch.setattr(recursive, "SIDE_BY_SIDE", side_by_side)
+        out = rated(spark, rows, *configs)
+        for i, c in enumerate(configs):
+            own = out[out["config_id"] == i]
+            for (game_id, rating, p), got in zip(plain_elo(rows, c), own.itertuples(), strict=True):
+                assert got.game_id == game_id
+                if rating is None:
+                    assert np.isnan(got.home_rating)
+                else:
+                    assert (got.home_rating, got.home_probability) == pytest.approx((rating, p))
 
 
 def test_elo_leaks_nothing(spark):
@@ -83,12 +123,82 @@ def test_elo_leaks_nothing(spark):
     assert a[:21].equals(b[:21]) and not a[21:].equals(b[21:])
 
 
-def test_srs_keeps_the_round_count():
+def plain_srs(rows):
+    """Every state from the start again."""
+    out, done = [], []
+    for game_id, _, s, h, a, x, y, _ in rows:
+        past = [g for g in done if g[0] == s]
+        sides = sorted({t for g in past for t in g[1:3]})
+        games = {t: [(g[2], g[3]) if g[1] == t else (g[1], -g[3]) for g in past if t in g[1:3]] for t in sides}
+        level = dict.fromkeys(sides, 0.0)
+        for _ in range(25):
+            level = {t: sum(d + level[o] for o, d in games[t]) / len(games[t]) for t in sides}
+            mean = sum(level.values()) / len(level) if level else 0.0
+            level = {t: v - mean for t, v in level.items()}
+        out.append((game_id, *(level[t] if len(games.get(t, ())) >= 3 else None for t in (h, a))))
+        if x is not None and y is not None:
+            done.append((s, h, a, x - y))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [256, 7])
+def test_srs_equals_every_state_from_the_start(spark, monkeypatch, at_once):
+    monkeypatch.setattr(recursive, "SOLVED_AT_ONCE", at_once)
+    rows = [(*r[:5], None, *r[6:]) if r[0] % 13 == 5 else r for r in season(100)]
+    got = recursive.srs(spark.createDataFrame(rows, KIND)).orderBy("game_id").collect()
+    for (game_id, h, a), r in zip(plain_srs(rows), got, strict=True):
+        assert (r.game_id, r.home_srs is None, r.away_srs is None) == (game_id, h is None, a is None)
+        assert (r.home_srs or 0.0, r.away_srs or 0.0) == pytest.approx((h or 0.0, a or 0.0))
+
+
+def test_srs_keeps_the_round_count(spark):
     """Two sides that met only each other: the iteration swings between (10, -10) and (0, 0)."""
     rows = [(i, i, 2000, 1, 2, 100, 90, True) for i in range(4)]
-    out = recursive.adjusted_margins(frame(rows))
-    assert np.isnan(out["home_srs"].iloc[2])
-    assert out[["home_srs", "away_srs"]].iloc[3].tolist() == [10.0, -10.0]
+    got = recursive.srs(spark.createDataFrame(rows, KIND)).orderBy("game_id").collect()
+    assert got[2].home_srs is None
+    assert (got[3].home_srs, got[3].away_srs) == (10.0, -10.0)
+
+
+def test_form_after_a_contest_without_result(spark):
+    rows = [(1, 0, 2000, 1, 2, 100, 90, True), (2, 86_400, 2000, 1, 2, 95, 95, None), (3, 259_200, 2000, 1, 2, 80, 90, False)]
+    rows += [(4, 345_600, 2000, 1, 2, 90, 80, True)]
+    out = sequence.form(sequence.side_rows(spark.createDataFrame(rows, KIND)), (2,)).where("team = 1").orderBy("game_id").collect()
+    assert [r.games_played for r in out] == [0, 1, 1, 2]
+    assert [r.rest_days for r in out] == [None, 1.0, 3.0, 1.0]
+    assert [r.margin_2 for r in out] == [None, 10.0, 10.0, 0.0]
+    assert sequence.load(sequence.side_rows(spark.createDataFrame(rows, KIND))).where("team = 1 and game_id = 3").first().games_3d == 1
+
+
+def test_trailing_means_pass_over_nulls(spark):
+    rows = [(i, i, 2000, 1, 2, 100 + i if i % 3 else None, 90, True) for i in range(30)]
+    df = sequence.side_rows(spark.createDataFrame(rows, KIND)).where("is_home")
+    seen = []
+    for r in sequence.trailing_means(df, {"x": "scored"}, (3,), 5.0).orderBy("game_id").collect():
+        weights = [0.5 ** ((len(seen) - 1 - i) / 5) for i in range(len(seen))]
+        want = [sum(seen) / len(seen), sum(seen[-3:]) / len(seen[-3:]), sum(w * x for w, x in zip(weights, seen, strict=True)) / sum(weights)] if seen else [None] * 3
+        assert [r.x_mean, r.x_last3, r.x_ewma] == (pytest.approx(want) if seen else want)
+        if r.scored is not None:
+            seen.append(r.scored)
+
+
+def test_box_off_by_one_point_has_no_figures(spark):
+    from priorline.functions import box
+
+    counts = dict.fromkeys(box.COUNTS, 10) | {"fga": 20}
+    both = [{"game_id": 1, "team": t, "opponent": 3 - t, "team_minutes": 240.0, "trusted_pts": 10 + (t == 2), **counts} for t in (1, 2)]
+    one, off = box.derived(spark.createDataFrame(both)).orderBy("team").collect()
+    assert one.complete and one.possessions > 0 and one.ft_rate == 0.5 and one.net_efficiency == 0
+    assert not off.complete and off.points_delta == -1
+    assert all(off[c] is None for c in ("possessions", "off_efficiency", "pace", "efg", "opp_efg"))
+
+
+def test_disruption_divides_by_the_games_there_are(spark):
+    from priorline.operators import rotation
+
+    played = [(2000, 1, g, 1000 * g, 7, 36.0 if g == 1 else 0.0) for g in range(1, 7)] + [(2000, 1, g, 1000 * g, 8, 30.0) for g in range(1, 7)]
+    rows = rotation.numbered(spark.createDataFrame(played, "season int, team int, game_id int, ts long, player int, minutes double"))
+    out = rotation.disruption(rotation.window_minutes(rows, "baseline"), rotation.window_minutes(rows, "recent3")).where("game_no = 5").first()
+    assert (out.minutes_lost, out.absent) == (36.0, 1)
 
 
 def test_guarded_outcome_and_keys(spark):
