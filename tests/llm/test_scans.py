@@ -204,3 +204,30 @@ def test_token_count_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "hello hello\nworld", 5), (None, "a " * 5000, 5)], "doc_id long, text string, n_tokens int")
     got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.counted(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
     assert got[1] == got[2] == (0, 0) and got[3][0] == 3 and got[None][0] == 5000
+
+
+def test_secrets_constants_that_double_stay_linear():
+    import time
+
+    text = "y = 'Xk29dkQ8dkd81'\n" + "y = y + y\n" * 200 + "db_pwd = y\n"
+    began = time.perf_counter()
+    base, both = secrets.all_spans(text)
+    assert time.perf_counter() - began < 1
+    assert base == [] and [text[a:b] for a, b, _ in both] == ["Xk29dkQ8dkd81"]
+    chain = "v0 = 'Xk29dkQ8dkd81'\n" + "".join(f"v{i + 1} = v{i} + 'kf93Jd{i}kdk'\n" for i in range(5000)) + "db_pwd = v5000\n"
+    began = time.perf_counter()
+    assert len(secrets.all_spans(chain)[1]) == 5001
+    assert time.perf_counter() - began < 5
+
+
+def test_secrets_values_of_several_lines():
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIEowIBAAKCAQEA\nzz9\n-----END RSA PRIVATE KEY-----"
+    for text, found in (
+        ("credentials:\n   Xk29dkQ8dkd81-zz\nother: 3", ["Xk29dkQ8dkd81-zz"]),
+        (f"see\n{pem}\nend", [pem]),
+        ("a:\n  b:\n    pwd: 'Zk3jd9Kd0a!'\n", ["Zk3jd9Kd0a!"]),
+        ("k" * 200 + "_pwd = 'Zk3jd9Kd0a!x'", ["Zk3jd9Kd0a!x"]),
+        ("-----BEGIN RSA PRIVATE KEY-----\n" * 3, []),
+        ("Note:\nthe token is here", []),
+    ):
+        assert [text[a:b] for a, b, _ in secrets.all_spans(text)[1]] == found
