@@ -15,7 +15,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII blanks, the separators of every word definition here.
@@ -92,16 +92,32 @@ def _clean() -> None:
             continue
 
 
-def durable(df: DataFrame, kind: str = "table") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back, which cuts its lineage and outlives executors."""
+def durable(df: DataFrame, kind: str = "table", sums: Column | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back, which cuts its lineage and outlives executors.
+
+    Its rows are counted while they are written, and ``sums`` aggregated: no query of their own.
+    """
     spark = df.sparkSession
     path = scratch(spark, kind)
-    df.write.parquet(path)
+    seen = Observation()
+    also = [] if sums is None else [sums.alias("sums")]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *also).write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    back._pl_path = path
+    back._pl_path, back._pl_seen = path, seen.get
     return back
 
 
+def rows_of(df: DataFrame) -> int:
+    """How many rows a table has; known of a ``durable`` one."""
+    seen = getattr(df, "_pl_seen", None) or {}
+    return seen["rows"] if "rows" in seen else df.count()
+
+
+def seen_in(df: DataFrame):
+    """What ``durable`` aggregated of a table, None of an empty one."""
+    return (getattr(df, "_pl_seen", None) or {}).get("sums")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Plans run within send at most so many rows at once to Python: for rows of many kilobytes."""

@@ -1,11 +1,14 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-An item's set is its distinct runs of five words (lower case, letters and digits). Items are partitioned by size; each
-partition has its own sketch length, because an item of n shingles that is contained to ``MIN_CONTAINED`` percent may
-lack at most n - need of them: its n - need + 1 smallest hashes under one permutation then hold at least one that the
-document has. So the search loses nothing at any size. Long documents are not sketched - next to a short item's, their
-minima almost never agree - but look up all their shingles among the sketches; documents too short for a partition's
-items are not looked up there. Every candidate is verified on the shingles' own text.
+An item's set is its distinct runs of five words (lower case, letters and digits). Its sketch is a bottom-k MinHash: its
+k smallest hashes under one permutation. An item of n shingles that is contained to ``MIN_CONTAINED`` percent may lack
+at most n - need of them, so with k = n - need + 1 at least one hash of the sketch is the document's too, and the search
+loses nothing. Items are partitioned by size, in powers of two. Sketches of long items lie low among the hashes, those
+of short ones anywhere, so each partition has its own ceiling, its sketches' largest hash, and its own least need. A
+document is looked up in those partitions alone that it is long enough for, with its hashes up to the highest of their
+ceilings: a document's part of the hashes below the ceiling is its own sketch, as long as the partition needs, where
+minima of equal length next to a short item's would almost never agree. Every candidate is verified on the shingles'
+own text.
 
 Sketches are broadcast while they are below ``BROADCAST_ROWS`` rows and candidates likewise, after a count; beyond that
 both are joined by shuffle. Items of fewer than five words have no shingle and match nothing, as do null or empty texts.
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priorline.llm.common import durable, id_text
+from priorline.llm.common import durable, id_text, rows_of
 from priorline.llm.native import let, windows
 
 SHINGLE = 5
@@ -59,21 +62,35 @@ def sketches(items: DataFrame) -> DataFrame:
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast where a count shows that it is small."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if rows_of(df) <= rows else df
 
 
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit("")))
 
 
+def ceiling_of(n_doc: Column, parts: list) -> Column:
+    """The highest ceiling among the partitions that a document of so many shingles is long enough for; null if none."""
+    own = [F.when(n_doc >= p["least"], F.lit(p["ceiling"])) for p in parts]
+    return F.array_max(F.array(*own, F.lit(None).cast("long")))
+
+
+def under(ceiling: Column, hashes: Column) -> Column:
+    """The hashes up to the ceiling."""
+    return let(ceiling, lambda top: F.filter(hashes, lambda h: h <= top))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row_key, doc_id, item_id, n_item_shingles and n_matched of every document that holds an item."""
     items = durable(items_of(benchmark), "items")
     texts = id_text(docs)
     texts = texts.select(row_key(texts).alias("row_key"), "doc_id", "text")
     sketch = sketches(items)
-    # A partition's shortest item bounds which documents look there; the item's own need is exact.
-    looked = texts.select("row_key", shingle_hashes(F.col("text")).alias("h")).select("row_key", F.size("h").alias("n_doc"), F.explode("h").alias("hash"))
+    # One row for each power of two among the items' sizes: at most 31.
+    parts = sketch.groupBy("size_class").agg(F.max("hash").alias("ceiling"), F.min("need").alias("least")).collect()
+    hashes = texts.select("row_key", shingle_hashes(F.col("text")).alias("h")).select("row_key", "h", F.size("h").alias("n_doc"))
+    below = hashes.select("row_key", "n_doc", under(ceiling_of(F.col("n_doc"), parts), F.col("h")).alias("h"))
+    looked = below.select("row_key", "n_doc", F.explode("h").alias("hash"))
     hits = looked.join(_small(sketch, BROADCAST_ROWS), "hash").where("n_doc >= need").select("row_key", "item_id").distinct()
     candidates = durable(hits, "candidates")
     pairs = texts.join(_small(candidates, BROADCAST_ROWS), "row_key").join(_small(items, BROADCAST_ROWS // 10), "item_id")

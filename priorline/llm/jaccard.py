@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priorline.llm.common import durable, forget, id_text, mixed, passages, release, small_batches
+from priorline.llm.common import durable, forget, id_text, mixed, passages, release, rows_of, seen_in, small_batches
 
 SHINGLE = 5
 #: Columns put last: at most so many, each among the first entries of more than HOT_FROM rows.
@@ -51,6 +51,8 @@ BLOCK_ROWS = 64
 TASK_ENTRIES = 500_000
 #: Rows with whole sets that go to Python at once.
 BATCH_ROWS = 500
+#: Rows of what tasks have dealt that go to Python at once: each holds thousands of numbers.
+DEALT_ROWS = 100
 #: Rows and bytes of one chunk, and columns of one slice, where large columns are multiplied tile by tile.
 TILE_ROWS, TILE_BYTES, TILE_COLUMNS = 2048, 16 << 20, 1024
 #: Columns put last in the second order: 4 bytes each.
@@ -91,18 +93,43 @@ def first_entries(n: int) -> int:
     return n - -(-4 * n // 5) + 1 if n else 0
 
 
-def _longs(arrays: list[np.ndarray]) -> pa.Array:
-    return pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64))
+def _parted(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order that groups by part, keeping what order there is, and each part's slice of it."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(part) else [0]
+    return order, [(int(part[order[i]]), slice(i, j)) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """row_key, doc_id, n, sig and the high halves of the first entries in hash order, once for each set and task."""
+#: Numbers that a task gathers before it deals them to the parts.
+DEALT = 400_000
+
+
+def signatures(texts: DataFrame, parts: int) -> DataFrame:
+    """row_key, doc_id, n and sig of every row; between them rows of one part and ``heads`` alone.
+
+    heads are the high halves of first entries in hash order, once for each set and task, four bytes each.
+    """
 
     def run(batches):
         forget()
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        id_type = None
+
+        def dealt():
+            halves = np.concatenate(held) if held else np.empty(0, np.uint32)
+            held.clear()
+            order, own = _parted((halves % np.uint32(parts)).astype(np.int64))
+            halves, k = halves[order], len(own)
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(k, pa.int64()), pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())]
+                + [pa.array([i for i, _ in own], pa.int32()), pa.array([halves[at].tobytes() for _, at in own], pa.binary())],
+                names=names,
+            )
+
         for batch in batches:
-            n, sig, heads, ends = [], [], [], [0]
+            id_type = batch.column("doc_id").type
+            n, sig = [], []
             for value in batch.column("text").cast(pa.binary()):
                 row = row_of(value.as_py())
                 one = signature(row) if len(row) else None
@@ -110,20 +137,35 @@ def signatures(texts: DataFrame) -> DataFrame:
                 sig.append(one)
                 if one is not None and one not in seen:
                     seen.add(one)
-                    heads.append((row[: first_entries(len(row)) * 5 // 4] >> np.uint64(32)).astype(np.uint32))
-                    ends.append(ends[-1] + len(heads[-1]))
-                else:
-                    ends.append(ends[-1])
+                    held.append((row[: first_entries(len(row)) * 5 // 4] >> np.uint64(32)).astype(np.uint32))
             if len(seen) > 1_000_000:
                 seen.clear()
-            flat = np.concatenate(heads).view(np.int32) if heads else np.empty(0, np.int32)
+            k = len(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_key"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["row_key", "doc_id", "n", "sig", "heads"],
+                [batch.column("row_key"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64())]
+                + [pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                names=names,
             )
+            if sum(map(len, held)) > DEALT:
+                yield dealt()
+        if held:
+            yield dealt()
+
+    names = ["row_key", "doc_id", "n", "sig", "part", "heads"]
+    kinds = (T.LongType(), texts.schema["doc_id"].dataType, T.LongType(), T.LongType(), T.IntegerType(), T.BinaryType())
+    return texts.mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in zip(names, kinds, strict=True)]))
+
+
+def counted_heads(rows: DataFrame, parts: int) -> DataFrame:
+    """h and c of the high halves that more than HOT_FROM rows have among their heads."""
+
+    def run(batches):
+        held = [np.frombuffer(x.as_buffer(), np.uint32) for batch in batches for x in batch.column("heads")]
+        h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        often = c > HOT_FROM
+        yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int32)), pa.array(c[often])], names=["h", "c"])
 
-    schema = T.StructType([texts.schema["row_key"], texts.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("heads", T.ArrayType(T.IntegerType()))])
-    return texts.mapInArrow(run, schema)
+    return rows.where("heads is not null").select("part", "heads").repartition(parts, "part").mapInArrow(run, "h int, c long")
 
 
 def hot_columns(halves: DataFrame, most: int) -> np.ndarray:
@@ -153,25 +195,42 @@ def _rows_of(batch: pa.RecordBatch):
     return (row_of(x.as_py()) for x in batch.column("text").cast(pa.binary()))
 
 
-def entries(source: DataFrame, hot: np.ndarray) -> DataFrame:
-    """col, sig, n, pos and hot of the first entries of every row (of ``text`` or ``set``), once for each set and task."""
+def entries(source: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+    """First entries of every row (of ``text`` or ``set``), once for each set and task, dealt to ``parts`` by column.
+
+    One row holds what a task has gathered for a part, as little-endian numbers: sig and n of rows, how many entries
+    each has here, and col, pos and hot of the entries. Hot columns are dealt by row too, so that none is one part's.
+    """
     sent = source.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         forget()
         late = sent.value
         seen: set[int] = set()
-        for batch in batches:
-            cols, sigs, sizes, counts, hots, held = [], [], [], [], [], 0
-
-            def flushed():
-                reps = np.array(counts, np.int64)
-                pos = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
-                sig = np.repeat(np.array(sigs, np.int64), reps)
-                n = np.repeat(np.array(sizes, np.int32), reps)
-                made = [_longs(cols), pa.array(sig), pa.array(n), pa.array(pos), pa.array(np.concatenate(hots))]
-                return pa.RecordBatch.from_arrays(made, names=["col", "sig", "n", "pos", "hot"])
+        cols, hots, sigs, sizes, held = [], [], [], [], 0
+
+        def dealt():
+            col, is_late = np.concatenate(cols), np.concatenate(hots)
+            sig, n = np.array(sigs, np.int64), np.array(sizes, np.int32)
+            counts = np.fromiter(map(len, cols), np.int64, len(cols))
+            row = np.repeat(np.arange(len(cols)), counts)
+            pos = np.concatenate([np.arange(c, dtype=np.uint32) for c in counts])
+            salt = np.where(is_late, sig.view(np.uint64)[row] % np.uint64(4096), np.uint64(0))
+            order, own = _parted(((mixed(col) + salt) % np.uint64(parts)).astype(np.int64))
+            out: list[tuple] = []
+            for part, at in own:
+                i = order[at]
+                rows, reps = np.unique(row[i], return_counts=True)  # rows rise within a part
+                p = pos[i]
+                p = p.astype(np.uint16) if p.max() < 1 << 16 else p
+                made = (sig[rows], n[rows], reps.astype(np.uint16 if reps.max() < 1 << 16 else np.uint32), col[i], p, np.packbits(is_late[i]))
+                out.append((part, *(x.tobytes() for x in made)))
+            for x in (cols, hots, sigs, sizes):
+                x.clear()
+            kinds = [pa.int32(), *[pa.binary()] * 6]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=DEALT_COLUMNS)
 
+        for batch in batches:
             for row in _rows_of(batch):
                 if not len(row):
                     continue
@@ -190,17 +249,30 @@ def entries(source: DataFrame, hot: np.ndarray) -> DataFrame:
                 hots.append(is_late[order])
                 sigs.append(one)
                 sizes.append(len(row))
-                counts.append(k)
                 held += k
-                if held > 200_000:
-                    yield flushed()
-                    cols, sigs, sizes, counts, hots, held = [], [], [], [], [], 0
-            if counts:
-                yield flushed()
+                if held > DEALT:
+                    yield dealt()
+                    held = 0
             if len(seen) > 1_000_000:
                 seen.clear()
+        if cols:
+            yield dealt()
+
+    return source.mapInArrow(run, "part int, sig binary, n binary, reps binary, col binary, pos binary, hot binary")
 
-    return source.mapInArrow(run, "col long, sig long, n int, pos int, hot boolean")
+
+DEALT_COLUMNS = ["part", "sig", "n", "reps", "col", "pos", "hot"]
+
+
+def _undealt(batch: pa.RecordBatch):
+    """col, sig, n, pos and hot of every entry, a dealt row at a time."""
+    for x in zip(*(batch.column(c) for c in DEALT_COLUMNS[1:]), strict=True):
+        sig, n, reps, col, pos, hot = (v.as_buffer() for v in x)
+        sig, n, col = np.frombuffer(sig, np.int64), np.frombuffer(n, np.int32), np.frombuffer(col, np.int64)
+        reps = np.frombuffer(reps, np.uint16 if len(reps) == 2 * len(sig) else np.uint32)
+        pos = np.frombuffer(pos, np.uint16 if len(pos) == 2 * len(col) else np.uint32)
+        is_late = np.unpackbits(np.frombuffer(hot, np.uint8), count=len(col)).astype(bool)
+        yield is_late, {"col": col, "sig": np.repeat(sig, reps), "n": np.repeat(n, reps), "pos": pos.astype(np.int32)}
 
 
 def _meet(ai, bi, n, pos):
@@ -217,12 +289,11 @@ def blocks(entry_rows: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         forget()
         cold = []
-        for batch in batches:
-            hot = batch.column("hot").to_numpy(zero_copy_only=False)
-            table = {c: batch.column(c).to_numpy() for c in ("col", "sig", "n", "pos")}
+        for hot, table in (x for batch in batches for x in _undealt(batch)):
             if hot.any():
                 yield kind1({c: v[hot] for c, v in table.items()})
-            cold.append({c: v[~hot] for c, v in table.items()})
+                table = {c: v[~hot] for c, v in table.items()}
+            cold.append(table)
         if not cold:
             return
         col, sig, n, pos = (np.concatenate([t[c] for t in cold]) for c in ("col", "sig", "n", "pos"))
@@ -271,8 +342,7 @@ def blocks(entry_rows: DataFrame, parts: int) -> DataFrame:
         start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         return batch_of(0, a[start], na[start], b[start], nb[start], np.diff(np.r_[start, len(a)]), None, None)
 
-    salt = F.when(F.col("hot"), F.pmod(F.col("sig"), F.lit(4096))).otherwise(F.lit(0))
-    return entry_rows.repartition(parts, "col", salt).mapInArrow(run, "kind int, a long, na long, b long, nb long, met long, col long, pos long")
+    return entry_rows.repartition(parts, "part").mapInArrow(run, "kind int, a long, na long, b long, nb long, met long, col long, pos long")
 
 
 def _first(n: Column) -> Column:
@@ -308,7 +378,7 @@ def best_partners(pairs: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows_of(df) <= BROADCAST_ROWS else df
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -393,11 +463,12 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = durable(small, "edges")
-        found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == state:
+        before, edges = edges, durable(small, "edges", F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        release(before)
+        now = (rows_of(edges), seen_in(edges))
+        if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = tuple(found)
+        state = now
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -498,7 +569,8 @@ def tiled(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     Rows of a group's largest component meet all others, but not one another.
     """
-    sized = durable(rows.join(sets.select(F.col("sig").alias("a"), "set").dropDuplicates(["a"]), "a"), "sized")
+    own = sets.select(F.col("sig").alias("a"), "set").join(_small(durable(rows.select("a").distinct(), "rest")), "a", "left_semi")
+    sized = durable(rows.join(own.dropDuplicates(["a"]), "a"), "sized")
     per = sized.groupBy("group", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("set")).alias("bytes"))
     top = F.max_by("root", F.struct("rows", "root")).alias("top")
     tops = per.groupBy("group").agg(top, *[F.sum(c).alias(c) for c in ("rows", "bytes")], F.max_by(F.struct("rows", "bytes"), F.struct("rows", "root")).alias("_t"))
@@ -540,13 +612,16 @@ def nodes(docs: DataFrame) -> DataFrame:
     """row_key, doc_id, n (shingles) and node (the same in each row of a component, null without shingles) for every row of ``docs``."""
     spark = docs.sparkSession
     texts = id_text(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    rows = durable(signatures(texts), "signatures")
-    first_rows = rows.where("sig is not null").groupBy("sig").agg(F.min("row_key").alias("row_key"))
     least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    signed = durable(signatures(texts, least_parts), "signatures")
+    rows = signed.where("row_key is not null").drop("part", "heads")
+    first_rows = rows.where("sig is not null").groupBy("sig").agg(F.min("row_key").alias("row_key"))
 
     def product(source: DataFrame, hot: np.ndarray, total: int) -> tuple[DataFrame, DataFrame]:
         """Pairs with room for a link, and groups, of the rows in ``source``."""
-        met = durable(blocks(entries(source, hot), max(least_parts, math.ceil(total / TASK_ENTRIES))), "blocks")
+        parts = max(least_parts, math.ceil(total / TASK_ENTRIES))
+        with small_batches(spark, DEALT_ROWS):
+            met = durable(blocks(entries(source, hot, parts), parts), "blocks")
         squared, groups = durable(enough(met), "squared"), grouped(met)
         release(met)
         return squared, groups
@@ -559,8 +634,9 @@ def nodes(docs: DataFrame) -> DataFrame:
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("sig"))
 
-    hot = hot_columns(rows.select(F.explode("heads").alias("h"), F.lit(1).alias("c")), HOT_COLUMNS)
-    squared, groups = product(texts, hot, rows.agg(F.sum(F.size("heads"))).first()[0] or 0)
+    with small_batches(spark, DEALT_ROWS):
+        hot = hot_columns(counted_heads(signed, least_parts), HOT_COLUMNS)
+    squared, groups = product(texts, hot, (rows.agg(F.sum("n")).first()[0] or 0) / 5)
     # First each row with its likeliest partner and with pivots: most components form here, and their other pairs are not needed.
     likely = durable(best_partners(squared).unionByName(_stars(groups)).distinct(), "pairs")
     sets = whole(ends(likely))
@@ -573,7 +649,7 @@ def nodes(docs: DataFrame) -> DataFrame:
     members = durable(rest.select(F.col("a").alias("sig")).distinct(), "members")
     release(squared)
     release(groups)
-    if more.limit(1).count() or members.limit(1).count():
+    if rows_of(more) or rows_of(members):
         sets = whole(ends(more).unionByName(members))
         again = sets.join(_small(members), "sig", "left_semi")
         hot = hot_columns(all_halves(again), HOT_AGAIN)
@@ -582,11 +658,11 @@ def nodes(docs: DataFrame) -> DataFrame:
         found = found.unionByName(checked(durable(more.join(likely, ["a", "b"], "left_anti").distinct(), "pairs"), sets))
         roots = components(found)
         rest = still_open(groups, roots)
-        if rest.limit(1).count():
+        if rows_of(rest):
             found = found.unionByName(durable(tiled(rest, sets), "tiles"))
             roots = components(found)
         release(sets)
-    return rows.drop("heads").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("node", F.coalesce("root", "sig"))
+    return rows.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("node", F.coalesce("root", "sig"))
 
 
 def linked(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ Pieces come in falling length, so that the small ones close what the large ones
 
 Packing needs lengths only. Pieces are dealt at random into shards of about ``shard_pieces``, each packed in one task;
 sequences that keep a gap above ``slack`` are opened again and their pieces packed in a next round, until one shard is
-left. So no task ever holds more than a few shards' lengths, and the loss is a few sequences in all, not for each task.
+left or a round closes under a tenth of its pieces. So no task ever holds more than a few shards' lengths, and the loss is a few sequences in all, not for each task.
 
 Null or empty text: one piece that holds the end token alone. Rows with equal or null ids are packed row by row.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import os
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -167,36 +168,43 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def _packed(pieces: DataFrame, shards: int, level: int, capacity: int, slack: int) -> DataFrame:
-    """One round: sequence_id, offset and whether the sequence stays open, for the pieces of each shard."""
+    """One round: sequence_id, offset and whether the sequence stays open, for the pieces (row, length) of each shard."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "_row"], ascending=[False, True], kind="stable")
+        group = group.sort_values(["length", "row"], ascending=[False, True], kind="stable")
         where, offset, gaps = sum_of_squares(group["length"].to_numpy(), capacity)
-        first = (level << 56) + (int(group["_shard"].iloc[0]) << 20)
-        return group.assign(sequence_id=where + first, offset=offset, _open=gaps[where] > slack)
+        first = (level << 52) + (int(group["shard"].iloc[0]) << 20)
+        return group.assign(sequence_id=where + first, offset=offset, open=gaps[where] > slack)
 
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)))
     kinds = ", ".join(f"`{c}` {t}" for c, t in dealt.dtypes)
-    return dealt.groupBy("_shard").applyInPandas(run, f"{kinds}, sequence_id long, offset long, _open boolean").drop("_shard")
+    return dealt.groupBy("shard").applyInPandas(run, f"{kinds}, sequence_id long, offset long, open boolean").drop("shard")
+
+
+#: A round that closes a smaller part of its pieces is the last.
+WORTH_A_ROUND = 0.1
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, slack: int = 8) -> DataFrame:
     """``pieces`` (any columns, with a ``length`` from 1 to ``capacity``) with sequence_id and offset added.
 
-    Every piece is placed once; a sequence's pieces fill it from 0 without gaps.
+    Every piece is placed once; a sequence's pieces fill it from 0 without gaps. Only row numbers and lengths go through
+    the rounds; the other columns, ids included, are joined once at the end. Columns named sequence_id or offset are
+    replaced.
     """
-    rows = durable(pieces, "pieces").withColumn("_row", F.monotonically_increasing_id())
-    left, done, level = rows, None, 0
-    n = left.count()
+    own = pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")]).alias("piece"))
+    rows = durable(own.select(F.monotonically_increasing_id().alias("row"), "piece"), "pieces")
+    left = rows.select("row", F.col("piece.length").cast("long").alias("length"))
+    rounds, level, n = [], 0, left.count()
     while True:
         shards = max(1, math.ceil(n / shard_pieces))
-        last = shards == 1 or level == 6
         packed = durable(_packed(left, shards, level, capacity, slack), "packed")
-        closed = packed if last else packed.where(~F.col("_open"))
-        closed = closed.drop("_open")
-        done = closed if done is None else done.unionByName(closed)
-        if last:
-            return done.drop("_row")
-        left = packed.where("_open").drop("_open", "sequence_id", "offset")
-        n, before = left.count(), n
-        level = 6 if n > 0.9 * before else level + 1
+        rounds.append(packed)
+        left = packed.where("open").select("row", "length")
+        n, before = (left.count(), n) if shards > 1 else (0, n)
+        if shards == 1 or n > (1 - WORTH_A_ROUND) * before:
+            break
+        level += 1
+    closed = [p if p is rounds[-1] else p.where("not open") for p in rounds]
+    placed = reduce(DataFrame.unionByName, closed).select("row", "sequence_id", "offset")
+    return rows.join(placed, "row").select("piece.*", "sequence_id", "offset")

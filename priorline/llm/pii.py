@@ -19,6 +19,7 @@ Null text counts as empty and gives no spans. Repeated rows and equal ids are sc
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,8 +38,6 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: Four runs of digits with dots, found at the dots first: long digit runs are then read once.
-DIGITS = re.compile(r"[0-9]+")
 
 # Look-alikes of ASCII letters, in the order of the ASCII ones beside them.
 LOOKALIKE = (
@@ -72,8 +71,9 @@ ONE_DIGIT = re.compile(rf"(?i)\b(?:{WORD_DIGIT})\b")
 
 #: Words for @ and for the dot of a domain.
 AT_WORDS, DOT_WORDS = "at|arroba|arobase", "dot|punkt|point|punto"
-BRACKET_AT = re.compile(rf"(?i)\x20?[\[({{<]\x20?(?:{AT_WORDS}|@)\x20?[\])}}>]\x20?")
-BRACKET_DOT = re.compile(rf"(?i)\x20?[\[({{<]\x20?(?:{DOT_WORDS}|\.)\x20?[\])}}>]\x20?")
+#: A word or sign in brackets; a blank before the bracket goes with it.
+BRACKET_AT = re.compile(rf"(?i)[\[({{<]\x20?(?:{AT_WORDS}|@)\x20?[\])}}>]\x20?")
+BRACKET_DOT = re.compile(rf"(?i)[\[({{<]\x20?(?:{DOT_WORDS}|\.)\x20?[\])}}>]\x20?")
 #: Spelled digits and figures with signs or worded dots between them. A figure is read once, from its start.
 DIGIT_PART = rf"(?:\b(?:{WORD_DIGIT})\b|(?<![0-9])[0-9]++)"
 BETWEEN = rf"(?:\x20(?:{DOT_WORDS})\x20|[\x20,.()-]{{1,3}})"
@@ -83,12 +83,45 @@ JOINED, DASHED = re.compile(r"[\x20,-]{1,2}"), re.compile(r"\x20-\x20?")
 NO_NAMES = frozenset("""a all also and any anyone arrive arrived available be been but buy check click come data day details down event everyone find for found free
 go here him home hosted i in is it it's join learn left live located look looking me meet more now off on one online out over page people posted price
 published read register see shown sign site stay store that them there these this time today up us visit was we website were work working works you""".split())
-#: Bare words count only as a whole: name AT host DOT domain.
-BARE = re.compile(rf"(?i)(?<![{LOCAL}])[A-Za-z0-9._%+-]{{1,64}}(\x20(?:{AT_WORDS})\x20|@)[A-Za-z0-9-]{{1,63}}(?:(?:\x20(?:{DOT_WORDS})\x20|\.)[A-Za-z0-9-]{{1,63}}){{1,4}}(?![A-Za-z0-9-])")
+#: Bare words count only as a whole: name AT host DOT domain. Found at the word or sign for @, with the name before it.
+AT_SIGN = re.compile(rf"(?i)\x20(?=(?:{AT_WORDS})\x20)|@")
+BARE_NAME, LONGEST_NAME = LOCAL_CHARS, 64
 BARE_AT = re.compile(rf"(?i)\x20(?:{AT_WORDS})\x20")
 BARE_DOT = re.compile(rf"(?i)\x20(?:{DOT_WORDS})\x20")
+BARE_HOST = re.compile(rf"(?i)(?:\x20(?:{AT_WORDS})\x20|@)[A-Za-z0-9-]{{1,63}}(?:(?:\x20(?:{DOT_WORDS})\x20|\.)[A-Za-z0-9-]{{1,63}}){{1,4}}(?![A-Za-z0-9-])")
 HAS_WORD_DOT = re.compile(rf"(?i)\x20(?:{DOT_WORDS}|{AT_WORDS})\x20")
 
+#: What a line must hold one of, as a word, for its digits to be rewritten.
+TELLING = frozenset(DIGIT_OF) | frozenset(DOT_WORDS.split("|"))
+
+
+class _Parting(dict):
+    """For str.translate: what is in no word becomes a blank, line ends stay; letters that patterns take for i and s are."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = c if c.isalnum() or c in "_\n" else " "
+        return self[point]
+
+
+PARTING = _Parting({0x130: "i", 0x131: "i", 0x17F: "s"})
+
+
+def lowered(text: str) -> str:
+    """Words in lower case with blanks between them, line by line as in ``text``."""
+    return text.translate(PARTING).lower()
+
+
+def telling_lines(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the lines with a spelled digit or a worded dot: runs of either never leave their line."""
+    if TELLING.isdisjoint(lowered(text).split()):
+        return
+    at = 0
+    for line in text.split("\n"):
+        if not TELLING.isdisjoint(lowered(line).split()):
+            yield at, at + len(line)
+        at += len(line) + 1
+
 
 def _one_for_one() -> dict[int, str | None]:
     table: dict[int, str | None] = {0xFF01 + i: chr(0x21 + i) for i in range(94)}
@@ -162,40 +195,81 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 class Rewritten:
-    """A text with, for each character, where it came from: [first[i], last[i]) in the source."""
+    """A text after rounds of edits, each kept as where its edits begin and end before and after."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.first, self.last = text, None, None
+        self.text = text
+        self.rounds: list[tuple[list[int], list[int], list[int], list[int]]] = []
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Apply non-overlapping (start, end, written) in rising order; a written text stands for its whole span."""
         if not edits:
             return
-        if self.first is None:
-            self.first, self.last = list(range(len(self.text))), list(range(1, len(self.text) + 1))
-        text, first, last, at = [], [], [], 0
+        text, at, length = [], 0, 0
+        old_starts, old_ends, starts, ends = [], [], [], []
         for start, end, new in edits:
             text += [self.text[at:start], new]
-            first += self.first[at:start] + [self.first[start]] * len(new)
-            last += self.last[at:start] + [self.last[end - 1]] * len(new)
+            length += start - at
+            old_starts.append(start)
+            old_ends.append(end)
+            starts.append(length)
+            length += len(new)
+            ends.append(length)
             at = end
         self.text = "".join([*text, self.text[at:]])
-        self.first, self.last = first + self.first[at:], last + self.last[at:]
+        self.rounds.append((old_starts, old_ends, starts, ends))
+
+    @property
+    def changed(self) -> bool:
+        return bool(self.rounds)
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.first is None else (self.first[start], self.last[end - 1])
+        """The span of the source that [start, end) stands for."""
+        first, last = start, end - 1
+        for old_starts, old_ends, starts, ends in reversed(self.rounds):
+            i, j = bisect_right(starts, first) - 1, bisect_right(starts, last) - 1
+            if i >= 0:
+                first = old_starts[i] if first < ends[i] else first - ends[i] + old_ends[i]
+            if j >= 0:
+                last = old_ends[j] - 1 if last < ends[j] else last - ends[j] + old_ends[j]
+        return first, last + 1
+
+
+def bracketed(pattern: re.Pattern, text: str, written: str) -> list[tuple[int, int, str]]:
+    """Edits that write ``written`` for what the pattern finds and a blank before it."""
+    edits, end = [], 0
+    for m in pattern.finditer(text):
+        start = m.start() - (m.start() > end and text[m.start() - 1] == " ")
+        end = m.end()
+        edits.append((start, end, written))
+    return edits
+
+
+def bare_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost name AT host DOT domain, each name a whole run of at most LONGEST_NAME characters."""
+    end = 0
+    for at in AT_SIGN.finditer(text):
+        start, least = at.start(), max(end, at.start() - LONGEST_NAME - 1)
+        while start > least and text[start - 1] in BARE_NAME:
+            start -= 1
+        if not 1 <= at.start() - start <= LONGEST_NAME or (start and text[start - 1] in BARE_NAME):
+            continue
+        host = BARE_HOST.match(text, at.start())
+        if host:
+            yield start, host.end()
+            end = host.end()
 
 
-def _mixed_digits(text: str) -> list[tuple[int, int, str]]:
+def _mixed_digits(text: str, lines: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """Edits that write every spelled digit and worded dot of runs of digit parts; the gap of two spelled digits goes, a spaced hyphen loses its blanks."""
     edits = []
-    for run in MIXED_RUN.finditer(text):
+    for run in (run for line in lines for run in MIXED_RUN.finditer(text, *line)):
         words = list(ONE_DIGIT.finditer(text, run.start(), run.end()))
         for k, m in enumerate(words):
             end = m.end()
             if k + 1 < len(words) and JOINED.fullmatch(text, end, words[k + 1].start()):
                 end = words[k + 1].start()
-            edits.append((m.start(), end, DIGIT_OF[m[0].lower()]))
+            edits.append((m.start(), end, DIGIT_OF[lowered(m[0])]))
         taken = Overlaps([e[:2] for e in edits])
         edits += [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(text, run.start(), run.end())]
         if words:
@@ -203,47 +277,51 @@ def _mixed_digits(text: str) -> list[tuple[int, int, str]]:
     return sorted(edits)
 
 
-def mixed_digits(text: str) -> Rewritten:
-    """``text`` with look-alikes and digits rewritten wherever they stand beside other digits."""
+def _spelled_runs(text: str, lines: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    edits = []
+    for run in (run for line in lines for run in RUN.finditer(text, *line)):
+        ones = list(ONE_DIGIT.finditer(text, run.start(), run.end()))
+        for k, m in enumerate(ones):
+            edits.append((m.start(), ones[k + 1].start() if k + 1 < len(ones) else m.end(), DIGIT_OF[lowered(m[0])]))
+    return edits
+
+
+def _plain_glyphs(text: str) -> Rewritten:
     out = Rewritten(text)
     if not text.isascii():
         out.replace([(m.start(), m.end(), GLYPHS[ord(m[0])] or "") for m in ODD.finditer(text)])
-    out.replace([(m.start(), m.end(), ".") for m in BRACKET_DOT.finditer(out.text)])
-    edits = _mixed_digits(out.text)
-    if not edits:
-        return Rewritten(text)  # nothing that normalised() does not see
-    out.replace(edits)
     return out
 
 
-def normalised(text: str) -> Rewritten:
-    """``text`` after the three transducers."""
-    out = Rewritten(text)
-    if not text.isascii():
-        out.replace([(m.start(), m.end(), GLYPHS[ord(m[0])] or "") for m in ODD.finditer(text)])
-    edits = []
-    for run in RUN.finditer(out.text):
-        ones = list(ONE_DIGIT.finditer(out.text, run.start(), run.end()))
-        for k, m in enumerate(ones):
-            edits.append((m.start(), ones[k + 1].start() if k + 1 < len(ones) else m.end(), DIGIT_OF[m[0].lower()]))
-    out.replace(edits)
-    out.replace([(m.start(), m.end(), "@") for m in BRACKET_AT.finditer(out.text)])
-    out.replace([(m.start(), m.end(), ".") for m in BRACKET_DOT.finditer(out.text)])
+def readings(text: str) -> list[Rewritten]:
+    """``text`` after the three transducers, and once more with digits rewritten wherever they stand beside other digits.
+
+    Only readings that differ from the text, and the second only where it has digits that the first may not see.
+    """
+    out, mixed = _plain_glyphs(text), _plain_glyphs(text)
+    lines = list(telling_lines(out.text))
+    dots = bracketed(BRACKET_DOT, mixed.text, ".")
+    mixed.replace(dots)
+    digits = _mixed_digits(mixed.text, list(telling_lines(mixed.text)) if dots else lines)
+    mixed.replace(digits)
+    out.replace(_spelled_runs(out.text, lines))
+    out.replace(bracketed(BRACKET_AT, out.text, "@"))
+    out.replace(bracketed(BRACKET_DOT, out.text, "."))
     if HAS_WORD_DOT.search(out.text):
         edits = []
-        for m in BARE.finditer(out.text):
-            word = BARE_AT.search(m[0])
-            if BARE_DOT.search(m[0]) or (word and m[0][: word.start()].lower() not in NO_NAMES):
-                edits += [(a.start(), a.end(), "@") for a in BARE_AT.finditer(out.text, m.start(), m.end())]
-                edits += [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(out.text, m.start(), m.end())]
+        for start, end in bare_addresses(out.text):
+            word = BARE_AT.search(out.text, start, end)
+            if BARE_DOT.search(out.text, start, end) or (word and out.text[start : word.start()].lower() not in NO_NAMES):
+                edits += [(a.start(), a.end(), "@") for a in BARE_AT.finditer(out.text, start, end)]
+                edits += [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(out.text, start, end)]
         out.replace(sorted(edits))
-    return out
+    return [x for x in ((out, mixed) if digits else (out,)) if x.changed]
 
 
 def all_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """The base spans, and base with added spans, each by kind and then start."""
     base = base_spans(text)
-    read = [x for x in (normalised(text), mixed_digits(text)) if x.first is not None]
+    read = readings(text)
     if not read:
         return base, base
     both = {}

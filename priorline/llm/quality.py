@@ -5,8 +5,8 @@ labels trust, one from all documents. A document's score is the mean over its n-
 is kept where its base rules hold and the score is at least ``THRESHOLD``. Nothing is drawn at random, so equal text
 gets an equal verdict.
 
-The raw counts cover every document. The target is fitted on at most ``TRUSTED_LIMIT`` trusted ids, those with the
-smallest hashes: their id list is what is broadcast (160 kB), and the weights that come back are one array of
+The raw counts cover every document, those of the target every trusted one. The list of trusted ids is broadcast up to
+``BROADCAST_IDS`` of them, after a count, and joined by shuffle beyond. The weights that come back are one array of
 ``BUCKETS`` numbers of four decimals, a constant of the scoring plan. All else is one scan each, aggregated before it is
 shuffled.
 
@@ -23,7 +23,8 @@ from priorline.llm.common import id_text
 from priorline.llm.native import BLANKS, let, windows, words
 
 BUCKETS = 1 << 14
-TRUSTED_LIMIT = 20_000
+#: Trusted ids that are broadcast: 16 MB.
+BROADCAST_IDS = 2_000_000
 THRESHOLD = -0.15
 SIGNS = "#*$%&|<>"
 #: Runs of letters and digits, and runs of signs.
@@ -41,11 +42,11 @@ def buckets(text: Column) -> Column:
     )
 
 
-def weights(docs: DataFrame, labels: DataFrame, trusted_limit: int = TRUSTED_LIMIT) -> DataFrame:
+def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row, one array: log p(target) - log p(raw) for each bucket, both with one added to every count."""
     spark = docs.sparkSession
-    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_limit).withColumn("_trusted", F.lit(1))
-    marked = id_text(docs).join(F.broadcast(trusted), "doc_id", "left")
+    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("_trusted", F.lit(1))
+    marked = id_text(docs).join(F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted, "doc_id", "left")
     seen = marked.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(buckets(F.col("text"))).alias("b"))
     counts = seen.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     full = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").na.fill(0)
@@ -80,10 +81,10 @@ def repeated_words(w: Column) -> Column:
     return let(let(hashes, lambda h: windows(h, 5)), lambda f: F.when(F.size(F.array_distinct(f)) == F.size(f), F.lit(0).cast("long")).otherwise(covered(f)))
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_limit: int = TRUSTED_LIMIT) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the base counts, base_failed, score and kept for every row of ``docs``."""
     text = F.col("text")
-    fitted = weights(docs, labels, trusted_limit).first()["weights"]
+    fitted = weights(docs, labels).first()["weights"]
     w = F.split(F.lit(",".join(f"{x:.4f}" for x in fitted)), ",").cast("array<double>")  # folded once, when planned
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     measured = id_text(docs).select(

@@ -16,14 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed_documents(docs: DataFrame, remembered: tuple[int, int] = packing.REMEMBERED) -> DataFrame:
-    """Documents in sequences of 4096 tokens, with a checksum of each piece's ids in place of the ids."""
+def packed_documents(docs: DataFrame, remembered: tuple[int, int] = packing.REMEMBERED, ids: bool = True) -> DataFrame:
+    """Documents in sequences of 4096 tokens, each piece with its ids (little-endian, four bytes each) and their checksum."""
     pieces = packing.tokenized_pieces(docs, public_tokenizers.path(WORD_BPE), remembered=remembered)
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(pieces if ids else pieces.drop("ids"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_documents(table(spark, sf_dir, "documents"))
+    return packed_documents(table(spark, sf_dir, "documents"), ids=False)
 
 
 def _digest(spans) -> F.Column:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorline.llm import jaccard
-from priorline.llm.common import bounded_batches, durable, forget, release
+from priorline.llm.common import bounded_batches, durable, forget, release, rows_of
 
 MIN_TOKENS, MIN_DOCS, COPY_WORDS = 5, 2, 75
 DEPTH = 3
@@ -169,7 +169,7 @@ def templates(lines: DataFrame, parts: int) -> DataFrame:
     shared = durable(lines.where("line is not null").groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf"), "shared")
     own = lines.where("tokens is not null").select("line", "leaf", "tokens")
     # Most leaves hold one line; only the others' tokens are moved.
-    own = own.join(F.broadcast(shared) if shared.count() <= BROADCAST_LINES else shared, "leaf", "left_semi").dropDuplicates(["line"])
+    own = own.join(F.broadcast(shared) if rows_of(shared) <= BROADCAST_LINES else shared, "leaf", "left_semi").dropDuplicates(["line"])
 
     def run(batches):
         now, held = None, None
@@ -211,13 +211,13 @@ def dropped_lines(docs: DataFrame, components: bool) -> DataFrame:
     if components:
         for done in (lines, renamed, rows):
             release(done)
-        if not often.limit(1).count():
+        if not rows_of(often):
             return lines_by_row(often)
         # The join needs as much room as what has run so far: shuffle files go when the driver collects its garbage.
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         holders = durable(often.select("row_key").distinct(), "holders")
-        small = F.broadcast(holders) if holders.count() <= BROADCAST_LINES else holders
+        small = F.broadcast(holders) if rows_of(holders) <= BROADCAST_LINES else holders
         held = docs.select("doc_id", "text").join(small, row_key(docs) == small["row_key"], "left_semi")
         copies = durable(jaccard.nodes(held).select("row_key", F.coalesce("node", "row_key").alias("node")).distinct(), "copies")
         drops = durable(lines_by_row(often.join(recurring(often.join(copies, "row_key"), "node"), "template", "left_semi")), "drops")

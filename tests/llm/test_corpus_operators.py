@@ -13,6 +13,8 @@ import pytest
 import corpus_pipeline
 from priorline.llm import decontaminate, jaccard, quality, queries, templates, toxicity
 
+from . import plain
+
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -202,6 +204,9 @@ def test_containment_equals_brute_force(spark):
     assert got == want and len(want) > 15
     kept = decontaminate.decontaminated(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts) - 1)) - {d for d, *_ in want}
+    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+    assert decontaminate.decontaminated(docs, bench.limit(0)).count() == docs.count()
+    assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
 def plain_components(texts, ids):
@@ -368,6 +373,75 @@ def test_toxicity_without_both_labels(spark):
     assert [r.score for r in toxicity.score(docs, toxicity.fit(docs, one)).collect()] == [0.0, 0.0]
 
 
+def test_toxicity_equals_word_by_word(spark):
+    docs, labels = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels")
+    net = toxicity.fit(docs, labels)
+    long = docs.orderBy("n_chars", ascending=False).limit(3).unionByName(docs.limit(25))
+    both = long.unionByName(docs_of(spark, [None, "", "?! ...", "x" * 5000, "a", "a"], [900, 901, 902, 903, None, 7]))
+    text = {(r.doc_id, r.text) for r in both.collect()}
+    got = sorted(r.score for r in toxicity.score(both.dropDuplicates(["doc_id", "text"]), net).collect())
+    assert got == pytest.approx(sorted(plain.toxicity_score(net, t) for _, t in text), abs=1e-4)
+    assert toxicity.score(docs.limit(0), net).count() == 0
+
+
+def plain_lines(texts: list[str]) -> list[str]:
+    """Without the lines whose template occurs in two components of the documents that hold such lines."""
+    masked = [[["<*>" if re.search("[0-9]", w) else w for w in line.split()] for line in t.split("\n")] for t in texts]
+    name = plain_templates([list(x) for x in {tuple(x) for t in masked for x in t if len(x) >= templates.MIN_TOKENS}])
+    own = [{name[tuple(x)] for x in t if tuple(x) in name} for t in masked]
+    often = {x for x, c in collections.Counter(x for o in own for x in o).items() if c >= templates.MIN_DOCS}
+    holders = [i for i, o in enumerate(own) if o & often]
+    component = {i: c for i, _, c in plain_components([texts[i] for i in holders], holders)}
+    seen = collections.defaultdict(set)
+    for i in holders:
+        for x in own[i] & often:
+            seen[x].add(component[i])
+    gone = {x for x, c in seen.items() if len(c) >= templates.MIN_DOCS}
+    return ["\n".join(line for line, x in zip(t.split("\n"), m, strict=True) if name.get(tuple(x)) not in gone) for t, m in zip(texts, masked, strict=True)]
+
+
+def test_pipeline_equals_plain_stages(spark):
+    docs = queries.table(spark, SF, "documents")
+    extra = docs_of(spark, [None, "", "one two", docs.first().text], [90_001, 90_002, 90_003, 90_004])
+    docs = docs.unionByName(extra)
+    tox, lines, near, leaks, packing_ = (stage for _, stage in corpus_pipeline.STAGES)
+    net = toxicity.fit(docs, queries.table(spark, SF, "labels"))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+
+    kept = {r.doc_id: r.text for r in tox(spark, docs, SF).collect()}
+    scores = {i: plain.toxicity_score(net, t) for i, t in rows.items()}
+    sure = {i for i, s in scores.items() if abs(s - queries.TOXIC_FROM) > 1e-4}
+    assert set(kept) & sure == {i for i in sure if scores[i] < queries.TOXIC_FROM}
+
+    left = {r.doc_id: r.text for r in lines(spark, docs, SF).collect()}
+    ids = sorted(rows)
+    want = plain_lines([rows[i] or "" for i in ids])
+    assert [left[i] or "" for i in ids] == want and left[90_001] is None
+
+    one = {r.doc_id for r in near(spark, docs, SF).collect()}
+    component = {i: (c if n else i) for i, n, c in plain_components([rows[i] for i in ids], ids)}
+    assert one == set(component.values())
+
+    items = [plain.grams(r.text) for r in queries.table(spark, SF, "benchmark").collect()]
+    clean = {r.doc_id for r in leaks(spark, docs, SF).collect()}
+    assert clean == {i for i, t in rows.items() if not plain.holds_item(t, items)}
+
+    packed = packing_(spark, docs, SF).collect()
+    by = collections.defaultdict(list)
+    for r in packed:
+        assert len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        assert sum(n for _, n in parts) <= 4096 and [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+    assert {r.doc_id for r in packed} == set(rows)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        queries.table(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert set(out.columns) >= {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and out.count() > 100

@@ -231,3 +231,14 @@ def test_secrets_values_of_several_lines():
         ("Note:\nthe token is here", []),
     ):
         assert [text[a:b] for a, b, _ in secrets.all_spans(text)[1]] == found
+
+
+def test_pii_letters_that_only_patterns_fold():
+    assert pii.all_spans("ſix ſix ſix fİve one 1")[0]["card"] == []
+    text = "call +1 555 ſix one two three four five six"
+    assert [text[a:b] for a, b in pii.all_spans(text)[1]["phone"]][-1].startswith("+1 555 ſix")
+
+
+def test_pii_reads_lines_with_digit_words_alone():
+    text = "plain\nnone here\nfive, six\nélan: zéro\n" + "x" * 50
+    assert [text[a:b] for a, b in pii.telling_lines(text)] == ["five, six", "élan: zéro"]
