@@ -68,9 +68,19 @@ def at_offsets(anchors: DataFrame, anchor_ts: str, offsets: list[int]) -> DataFr
     return anchors.withColumn("offset_seconds", F.explode(F.array(*map(F.lit, offsets)))).withColumn("at_ts", F.col(anchor_ts) - F.col("offset_seconds"))
 
 
-def latest_state(events: DataFrame, keys: list[str], ts: str, tie: str, until) -> DataFrame:
-    """The latest event of each key at or before an instant; among equal instants the largest ``tie``."""
+#: How exactly an observation's instant is known; only the first may decide what was known at an instant.
+PRECISIONS = ("exact", "date_only", "unknown")
+
+
+def latest_state(events: DataFrame, keys: list[str], ts: str, tie: str, until, precision: str | None = None) -> DataFrame:
+    """The latest event of each key at or before an instant; among equal instants the largest ``tie``.
+
+    Where a ``precision`` column is named, rows whose instant is not exact are refused: one dated to a day may have come
+    after the instant.
+    """
     w = W.partitionBy(*keys).orderBy(F.desc(ts), F.desc(tie))
+    if precision:
+        events = events.where(F.col(precision) == PRECISIONS[0])
     return events.where(F.col(ts) <= until).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

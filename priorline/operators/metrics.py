@@ -27,6 +27,11 @@ def accuracy(y: Column, p: Column) -> Column:
     return F.avg(((p >= 0.5) == y).cast("double"))
 
 
+def whole():
+    """One frame over all rows: for tables of candidates or bins, never of data."""
+    return W.partitionBy(F.lit(0))
+
+
 def scores(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), brier(F.col(y), F.col(p)).alias("brier"), log_loss(F.col(y), F.col(p)).alias("log_loss"), accuracy(F.col(y), F.col(p)).alias("accuracy"))
 

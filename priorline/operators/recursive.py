@@ -33,13 +33,15 @@ MOST_NUMBERS = 8 << 20
 @dataclass(frozen=True)
 class EloConfig:
     """k: points at stake; advantage: home points; kept: share of its distance from START that a rating keeps between
-    seasons; first_season: None for all; margin: None, "sqrt", "log" or "fivethirtyeight"."""
+    seasons; first_season: None for all; margin: None, "sqrt", "log" or "fivethirtyeight"; only: the seasons whose
+    contests are written, all if None."""
 
     k: float = 20.0
     advantage: float = 40.0
     kept: float = 0.5
     first_season: int | None = None
     margin: str | None = None
+    only: tuple[int, ...] | None = None
 
 
 class Ratings:
@@ -92,7 +94,7 @@ RATED = (
 def elo(contests: DataFrame, configs: list[EloConfig]) -> DataFrame:
     """Ratings before every contest for each configuration; null before a configuration's first season.
 
-    Up to SIDE_BY_SIDE configurations share one ordered pass; more are dealt to further tasks.
+    Where all configurations name the seasons they are wanted for, contests of other seasons only feed the ratings. Up to SIDE_BY_SIDE configurations share one ordered pass; more are dealt to further tasks.
     """
     sets = [configs[i : i + SIDE_BY_SIDE] for i in range(0, len(configs), SIDE_BY_SIDE)]
 
@@ -108,12 +110,16 @@ def elo(contests: DataFrame, configs: list[EloConfig]) -> DataFrame:
                 found.setdefault(which, []).append((i, rated.before(*(cols[c][i] for c in COLUMNS[2:]))))
             for which, rows in found.items():
                 n, of = len(rows), sets[which]
-                at = pa.array(np.tile([i for i, _ in rows], len(of)))
+                at = np.tile([i for i, _ in rows], len(of))
                 values = np.array([r for _, r in rows], float).reshape(n, 3, len(of))
-                seasons = batch.column("season").take(at).to_numpy(zero_copy_only=False)
+                seasons = np.array(cols["season"])[at]
                 first = np.repeat([-math.inf if c.first_season is None else c.first_season for c in of], n)
                 config = np.repeat(np.arange(len(of)) + which * SIDE_BY_SIDE, n).astype(np.int32)
-                made = [np.ascontiguousarray(values[:, k].T).ravel() for k in range(3)]
+                made = [values[:, k].T.ravel() for k in range(3)]
+                own = seasons.reshape(len(of), n)
+                wanted = np.concatenate([np.ones(n, bool) if c.only is None else np.isin(s, c.only) for c, s in zip(of, own, strict=True)])
+                at, seasons, first, config = pa.array(at[wanted]), seasons[wanted], first[wanted], config[wanted]
+                made = [x[wanted] for x in made]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(config), *(batch.column(c).take(at) for c in ("game_id", "season", "home", "away"))]
                     + [pa.array(x, pa.float64(), mask=seasons < first) for x in made],

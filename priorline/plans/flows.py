@@ -16,7 +16,10 @@ from priorline.streaming import sequences
 
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/priorline-scratch"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    root = root or f"file://{tempfile.gettempdir()}/priorline-scratch"
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorline.operators import asof, match, sequence
-from priorline.plans.views import CONTESTS, QUOTES, SIDES, anchors, contests, quotes, seconds, table
+from priorline.plans.views import BOX, CONTESTS, QUOTES, SIDES, anchors, box, contests, quotes, seconds, table
 
 MAX_AGE = 6 * 3600
 OFFSETS = [86400, 21600, 3600, 1800, 0]
@@ -73,6 +73,29 @@ def latest_state(spark, d):
 LATEST = f"with {EVENTS} select user_id, event_id, event_type, {UNTIL} - ts as staleness from ev where ts <= {UNTIL} qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1"
 
 
+def latest_exact_state(spark, d):
+    """The same, but observations dated only to a day, or of unknown time, decide nothing."""
+    precision = F.when(F.col("event_id") % 3 == 0, "date_only").when(F.col("event_id") % 7 == 0, "unknown").otherwise("exact")
+    e = _events(spark, d).withColumn("precision", precision)
+    latest = asof.latest_state(e, ["user_id"], "ts", "event_id", UNTIL, "precision")
+    return latest.select("user_id", "event_id", "event_type", (UNTIL - F.col("ts")).alias("staleness"))
+
+
+LATEST_EXACT = f"""with {EVENTS} select user_id, event_id, event_type, {UNTIL} - ts as staleness from ev
+where ts <= {UNTIL} and event_id % 3 <> 0 and event_id % 7 <> 0 qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1"""
+
+
+def minutes_attach(spark, d):
+    """A second feed's rows with the minutes of the first, by game and player; null where the first has none."""
+    b = box(spark, d)
+    advanced = b.select("game_id", "team", "player", (F.col("pts") + F.col("fga")).cast("long").alias("load"))
+    minutes = b.where("player <> 5").select("game_id", "team", "player", "minutes")
+    return advanced.join(minutes, ["game_id", "team", "player"], "left")
+
+
+MINUTES = f"with {BOX} select game_id, team, player, cast(pts + fga as bigint) as load, case when player <> 5 then minutes end as minutes from box"
+
+
 def state_coverage(spark, d):
     """By user: events known in time and refused as later, the latest, its age, and the kinds on either side."""
     e = _events(spark, d)
@@ -201,9 +224,9 @@ def theta_bucket(spark, d):
 
 THETA = "select event_id, case when value + 2.0 >= 400 then 400.0 when value + 2.0 >= 250 then 250.0 when value + 2.0 >= 100 then 100.0 when value + 2.0 >= 0 then 0.0 end::double as edge from events"
 
-QUERIES = {f.__name__: f for f in (asof_quote, asof_quote_salted, asof_quote_issues, asof_multi_anchor, latest_state, state_coverage, batch_report_state, match_two_tier, identity_cascade, two_store_precedence, one_to_one_checked_join, semi_join, anti_join, self_join_opponent, cross_plan, theta_bucket)}
+QUERIES = {f.__name__: f for f in (asof_quote, asof_quote_salted, asof_quote_issues, asof_multi_anchor, latest_state, latest_exact_state, minutes_attach, state_coverage, batch_report_state, match_two_tier, identity_cascade, two_store_precedence, one_to_one_checked_join, semi_join, anti_join, self_join_opponent, cross_plan, theta_bucket)}
 ORACLES = {
-    "asof_quote": ASOF, "asof_quote_salted": ASOF, "asof_quote_issues": ISSUES, "asof_multi_anchor": MULTI, "latest_state": LATEST, "state_coverage": COVERAGE, "batch_report_state": BATCH, "match_two_tier": MATCH,
+    "asof_quote": ASOF, "asof_quote_salted": ASOF, "asof_quote_issues": ISSUES, "asof_multi_anchor": MULTI, "latest_state": LATEST, "latest_exact_state": LATEST_EXACT, "minutes_attach": MINUTES, "state_coverage": COVERAGE, "batch_report_state": BATCH, "match_two_tier": MATCH,
     "identity_cascade": CASCADE, "two_store_precedence": PRECEDENCE, "one_to_one_checked_join": ONE_TO_ONE,
     "semi_join": "select o_orderkey, o_orderstatus from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity >= 45)",
     "anti_join": f"with {CONTESTS} select season, count(*) as n_missing from contests where game_id not in (select l_orderkey from lineitem) group by season",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorline.functions.values import blend
-from priorline.operators import learn, metrics, recursive, sequence
+from priorline.operators import learn, metrics, recursive, selection, sequence
+from priorline.plans import forms
 from priorline.plans.forms import rounded
 from priorline.plans.views import CONTESTS, contests, table
 
@@ -127,9 +128,95 @@ def bootstrap_ci(spark, d):
     return metrics.paired_bootstrap(loss, "a", "b")
 
 
-QUERIES = {f.__name__: f for f in (brier_logloss_accuracy, roc_auc, calibration_table, calibration_ece, segments, constant_baseline, blend_search, tie_band_preference, logistic_walk_forward, grid_select_tie_rule, bootstrap_ci)}
+#: Development seasons, and the first season that is held out.
+DEVELOPMENT, HOLDOUT = [1997, 1998, 1999], 2000
+
+
+def elo_selection(spark, d):
+    """The refined grid on the development seasons: every candidate's mean losses, and the one chosen."""
+    grid = selection.refined_grid()
+    scored = selection.rating_candidates(contests(spark, d), grid, DEVELOPMENT, HOLDOUT)
+    best = selection.chosen(scored, [F.col("candidate")]).select("candidate", F.lit(True).alias("chosen"))
+    out = scored.join(F.broadcast(best), "candidate", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    return rounded(out, "mean_brier", "mean_log_loss")
+
+
+def _selection_sql(grid) -> str:
+    rated = forms._elo_sql([c for c, _ in grid]).replace(CONTESTS, f"{CONTESTS.replace('contests as (', 'every as (', 1)}, contests as (select * from every where season < {HOLDOUT})", 1)
+    q = "least(greatest(p, 1e-15), 1 - 1e-15)"
+    return rated + f""", f as (
+  select config_id, season, avg(pow(p - home_win::int, 2)) as b, avg(case when home_win then -ln({q}) else -ln(1 - {q}) end) as l
+  from r join (select game_id, season, home_win from contests) using (game_id) where season in ({", ".join(map(str, DEVELOPMENT))}) and home_win is not null group by all),
+m as (select config_id as candidate, avg(b) as b, avg(l) as l, count(*) as folds from f group by all)
+select cast(candidate as int) as candidate, round(b, 6) as mean_brier, round(l, 6) as mean_log_loss, folds,
+  candidate = (select min(candidate) from m where b - (select min(b) from m) <= 1e-4) as chosen from m"""
+
+
+def mov_selection(spark, d):
+    """Ratings that take the margin in, at two advantages, on the same seasons."""
+    scored = selection.rating_candidates(contests(spark, d), selection.margin_grid((40.0, 60.0)), DEVELOPMENT, HOLDOUT)
+    return rounded(selection.chosen(scored, [F.col("candidate")]), "mean_brier", "mean_log_loss")
+
+
+def history_selection(spark, d):
+    """All 288 configurations of the coarse grid, each with its own history, on the development seasons."""
+    scored = selection.rating_candidates(contests(spark, d), selection.coarse_grid(), DEVELOPMENT, HOLDOUT)
+    return rounded(scored, "mean_brier", "mean_log_loss")
+
+
+def league_features(spark, d) -> DataFrame:
+    """Everything that is known before a contest: form, ratings, adjusted margins, scoring, venue and load."""
+    c = contests(spark, d)
+    rows = sequence.load(sequence.form(sequence.side_rows(c)))
+    rows = sequence.trailing_means(rows.withColumns({n: sequence.settled(n) for n in ("scored", "allowed", "margin")}), {n: n for n in ("scored", "allowed", "margin")}, (5,))
+    wide = sequence.both_sides(rows, ["games_played", "win_rate", "win_rate_5", "margin_5", "rest_days", "scored_mean", "allowed_mean", "margin_ewma", "games_5d", "games_7d"])
+    rated = recursive.elo(c, [recursive.EloConfig(), recursive.EloConfig(margin="sqrt")])
+    ratings = rated.groupBy("game_id").agg(*[
+        F.max(F.when(F.col("config_id") == i, F.col("home_rating") - F.col("away_rating"))).alias(n) for i, n in enumerate(("diff_rating", "diff_margin_rating"))
+    ])
+    margins = recursive.srs(c).select("game_id", (F.col("home_srs") - F.col("away_srs")).alias("diff_adjusted"))
+    return c.select("game_id", "season", "home_win").join(wide, "game_id").join(ratings, "game_id").join(margins, "game_id")
+
+
+_A = ["diff_rating", "diff_win_rate", "diff_win_rate_5", "diff_margin_5", "diff_rest_days", "home_games_played", "away_games_played"]
+_STEPS = {"A": _A, "B": ["diff_margin_rating"], "C": ["diff_adjusted"], "D": ["diff_scored_mean", "diff_allowed_mean", "diff_margin_ewma"], "E": ["diff_games_5d", "diff_games_7d"]}
+#: Nested: each bundle has all that the one before has.
+BUNDLES = {name: [f for step in list(_STEPS)[: i + 1] for f in _STEPS[step]] for i, name in enumerate(_STEPS)}
+
+
+def bundle_ablation(spark, d):
+    rows = league_features(spark, d).where(F.col("season") < HOLDOUT)
+    return rounded(selection.ablation(rows, BUNDLES, "home_win", [1998, 1999], HOLDOUT), "mean_brier", "mean_log_loss", "change")
+
+
+def holdout_evaluation(spark, d):
+    """A frozen configuration and the development rate on the seasons held out, with paired intervals."""
+    c = contests(spark, d)
+    rate = c.where(F.col("season") < HOLDOUT).agg(F.avg(F.col("home_win").cast("double")).alias("base"))
+    rated = recursive.elo(c, [recursive.EloConfig(only=(HOLDOUT,))]).select("game_id", F.col("home_probability").alias("rating"))
+    rows = rated.join(c.select("game_id", "home_win"), "game_id").crossJoin(F.broadcast(rate))  # one row
+    out = selection.holdout(rows, "home_win", {"base": "base", "rating": "rating"}, "base")
+    return rounded(out, "brier", "log_loss", "accuracy", "difference", "low", "high")
+
+
+def points_form(spark, d):
+    """Means of points for, against and margins before each contest: all, the last five and ten, decayed."""
+    names = ("scored", "allowed", "margin")
+    rows = sequence.side_rows(contests(spark, d)).withColumns({n: sequence.settled(n) for n in names})
+    out = sequence.trailing_means(rows, {n: n for n in names}, (5, 10))
+    cols = [f"{n}_{k}" for n in names for k in ("mean", "last5", "last10", "ewma")]
+    return rounded(out.select("game_id", "team", *cols), *cols)
+
+
+_HELD = ", ".join(f"list({c}) filter (where {c} is not null) {forms.BEFORE} as h_{n}" for n, c in (("scored", "pts"), ("allowed", "al"), ("margin", "m")))
+POINTS = f"""with {forms.RESULTS}, c2 as (select *, case when won is not null then allowed end as al from counted), n as (select *, {_HELD} from c2)
+select game_id, team, {", ".join(x for n in ("scored", "allowed", "margin") for x in forms.means_sql(n, f"h_{n}", (5, 10)))} from n"""
+
+
+QUERIES = {f.__name__: f for f in (brier_logloss_accuracy, roc_auc, calibration_table, calibration_ece, segments, constant_baseline, blend_search, tie_band_preference, logistic_walk_forward, grid_select_tie_rule, bootstrap_ci, elo_selection, mov_selection, history_selection, bundle_ablation, holdout_evaluation, points_form)}
 ORACLES = {
     "brier_logloss_accuracy": f"with {PRED} select toxic, {LOSSES} from pred group by toxic", "roc_auc": AUC, "calibration_table": CALIBRATION,
     "calibration_ece": f"select round(sum(n * abs(mean_p - rate)) / sum(n), 6) as ece from ({CALIBRATION.replace('round(mean_p, 6)', 'mean_p').replace('round(rate, 6)', 'rate')})",
     "segments": SEGMENTS, "constant_baseline": CONSTANT, "blend_search": BLEND, "tie_band_preference": TIE,
+    "elo_selection": _selection_sql(selection.refined_grid()), "points_form": POINTS,
 }

@@ -79,6 +79,72 @@ class Client:
         raise SourceError(f"{path}: more than {max_pages} pages")
 
 
+#: Most items of a page, and the candle lengths in minutes, that sources serve.
+MOST_PER_PAGE, CANDLE_MINUTES = 100, (1, 60, 1440)
+
+
+def season_pages(client: Client, season: int, per_page: int = 100, dates: tuple[str, str] | None = None) -> Iterator[Any]:
+    """Pages of one season's games, or of those between two days; sizes that no source serves are refused before a call."""
+    if not 1 <= per_page <= MOST_PER_PAGE:
+        raise ValueError(f"per_page {per_page} is not between 1 and {MOST_PER_PAGE}")
+    params: dict[str, Any] = {"seasons[]": season, "per_page": per_page}
+    if dates:
+        params |= {"start_date": dates[0], "end_date": dates[1]}
+    return client.pages("games", params, "data", lambda body: (body.get("meta") or {}).get("next_cursor"))
+
+
+def season_feed(client: Client, path: str, season: int, per_page: int = 100) -> Iterator[Any]:
+    """Pages of a paid feed (box rows, advanced rows) of one season; an item of another season ends the run."""
+    for body in client.pages(path, {"seasons[]": season, "per_page": per_page}, "data", lambda b: (b.get("meta") or {}).get("next_cursor")):
+        odd = [x for x in body["data"] if (x.get("game") or {}).get("season", season) != season]
+        if odd:
+            raise SourceError(f"{path}: {len(odd)} items of other seasons than {season}")
+        yield body
+
+
+def event_pages(client: Client, series: str, status: str | None = None) -> Iterator[Any]:
+    """Pages of a series' events."""
+    params = {"series_ticker": series} | ({"status": status} if status else {})
+    return client.pages("events", params, "events", lambda body: body.get("cursor"))
+
+
+def historical_cutoff(client: Client) -> int | None:
+    """Until when the archive is complete, in epoch seconds; None where it does not say."""
+    body = client.get("historical/cutoff") or {}
+    at = body.get("cutoff_ts", body.get("market_data_cutoff_ts"))
+    return int(at) if at is not None else None
+
+
+def candle_request(ticker: str, start_ts: int, end_ts: int, minutes: int = 1) -> dict[str, Any]:
+    """The parameters of a candle request; a length that is not served or a window that ends before it starts is refused."""
+    if minutes not in CANDLE_MINUTES:
+        raise ValueError(f"candles of {minutes} minutes: not one of {CANDLE_MINUTES}")
+    if end_ts < start_ts:
+        raise ValueError(f"{ticker}: window ends at {end_ts}, before {start_ts}")
+    return {"ticker": ticker, "start_ts": start_ts, "end_ts": end_ts, "period_interval": minutes}
+
+
+def fetched(client: Client, request: dict[str, Any], cutoff: int | None, cache: dict | None = None) -> tuple[Any, str]:
+    """A candle payload and where it came from: cache, archive or live.
+
+    The archive serves windows that ended by the cutoff; where it does not know the market (404) the live endpoint is
+    asked once. Equal requests are asked once for each ``cache``.
+    """
+    key = json.dumps(request, sort_keys=True)
+    if cache is not None and key in cache:
+        return cache[key], "cache"
+    first = "archive" if cutoff is not None and request["end_ts"] <= cutoff else "live"
+    try:
+        body, source = client.get(f"{first}/candlesticks", request), first
+    except SourceError as e:
+        if first != "archive" or "status 404" not in str(e):
+            raise
+        body, source = client.get("live/candlesticks", request), "live"
+    if cache is not None:
+        cache[key] = body
+    return body, source
+
+
 GAME = (
     "id: long, date: string, season: int, status: string, period: int, time: string, postseason: boolean, ist_stage: string, home_team_score: int, visitor_team_score: int, datetime: string, "
     "home_team: struct<id: long, abbreviation: string, full_name: string>, visitor_team: struct<id: long, abbreviation: string, full_name: string>"
@@ -124,13 +190,43 @@ def candles(pages: DataFrame) -> DataFrame:
     return deduplicated(rows.where(F.col("ts").isNotNull()), "market", "ts", "ordinal").drop("ordinal")
 
 
+#: Pages that are written together.
+LANDED_AT_ONCE = 50
+
+
 def land(spark: SparkSession, pages: Iterator[Any], path: str) -> DataFrame:
-    """Pages written verbatim, once: an existing path is an error."""
-    rows = [(i, json.dumps(p, sort_keys=True)) for i, p in enumerate(pages)]
-    spark.createDataFrame(rows, "page int, raw string").write.mode("errorifexists").parquet(path)
+    """Pages written verbatim, some at a time and once: an existing path is an error."""
+    at, rows, mode = 0, [], "errorifexists"
+
+    def write() -> None:
+        spark.createDataFrame(rows, "page int, raw string").coalesce(1).write.mode(mode).parquet(path)
+
+    for at, page in enumerate(pages):
+        rows.append((at, json.dumps(page, sort_keys=True)))
+        if len(rows) == LANDED_AT_ONCE:
+            write()
+            rows, mode = [], "append"
+    if rows or mode == "errorifexists":
+        write()
     return spark.read.parquet(path)
 
 
+def landings(spark: SparkSession, root: str) -> DataFrame:
+    """name and path of every landing below ``root``, by name, which begins with its time."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(where)] if fs.exists(where) else []
+    rows = sorted((p.getName(), p.toString()) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return spark.createDataFrame(rows, "name string, path string")
+
+
+def latest_landing(spark: SparkSession, root: str) -> DataFrame | None:
+    """The pages of the newest whole landing below ``root``, None where there is none."""
+    last = landings(spark, root).orderBy(F.desc("name")).first()
+    return None if last is None else spark.read.parquet(last["path"])
+
+
 def routed(requests: DataFrame, cutoff) -> DataFrame:
     """Which endpoint serves a window: the archive where it ended by the cutoff, else live; an unknown cutoff is live."""
     return requests.withColumn("endpoint", F.when(F.col("end_ts") <= cutoff, "archive").otherwise("live"))

@@ -24,7 +24,9 @@ def append_snapshots(captures: DataFrame, path: str) -> int:
     new = own.dropDuplicates(keys)
     have = _read(spark, path)
     if have is not None:
-        new = new.join(have.select(*keys), keys, "left_anti")
+        # Only the sources and days that come in are read: both are folders.
+        touched = have.select(*keys, "day").join(F.broadcast(new.select("source", "day").distinct()), ["source", "day"], "left_semi")
+        new = new.join(touched.select(*keys), keys, "left_anti")
     new = new.persist()
     n = new.count()
     if n:

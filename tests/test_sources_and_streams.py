@@ -98,12 +98,20 @@ def test_archive_conflicts(spark, tmp_path):
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     kind = "game_id long, ts long, season int, team int, won boolean, margin int"
     src = f"{tmp_path}/in"
-    spark.createDataFrame([(1, 10, 1, 7, True, 5), (2, 20, 1, 7, False, -3)], kind).coalesce(1).write.parquet(src)
-    stream = lambda: sequences.form_stream(spark.readStream.schema(kind).parquet(src))
-    sequences.run_to_end(stream(), f"{tmp_path}/ck", f"{tmp_path}/out")
-    spark.createDataFrame([(3, 30, 1, 7, None, 0)], kind).coalesce(1).write.mode("append").parquet(src)
-    got = sequences.run_to_end(stream(), f"{tmp_path}/ck", f"{tmp_path}/out").orderBy("game_id").collect()
-    assert [(r.games_played, r.win_rate) for r in got] == [(0, None), (1, 1.0), (2, 0.5)]
+    add = lambda *rows: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+    replay = lambda: sequences.run_to_end(sequences.form_stream(spark.readStream.schema(kind).parquet(src)), f"{tmp_path}/ck", f"{tmp_path}/out")
+    # Within a file in any order; a contest without result leaves nothing behind.
+    add((2, 20, 1, 7, False, -3), (1, 10, 1, 7, True, 5), (3, 21, 1, 7, None, 0))
+    replay()
+    # The next file has rows before and after each other; one comes after the watermark has passed it and is refused.
+    add((5, 40, 1, 7, True, 9), (4, 30, 1, 7, True, 4), (9, 5, 1, 7, True, 99))
+    replay()
+    add((0, 4_000, 2, 0, None, 0))
+    got = replay().where("team = 7").orderBy("game_id").collect()
+    assert [(r.game_id, r.games_played, r.win_rate, r.mean_margin) for r in got] == [
+        (1, 0, None, None), (2, 1, 1.0, 5.0), (3, 2, 0.5, 1.0), (4, 2, 0.5, 1.0), (5, 3, pytest.approx(2 / 3), 2.0),
+    ]
+    assert [r.rest_days for r in got][3] == pytest.approx(10 / 86400)
 
 
 def test_stream_candles_and_captures_plan(spark):
@@ -136,3 +144,106 @@ def test_parse_failures_are_rows(spark):
     rows = parsed(files, lambda b: [{"n": int(x)} for x in b.split()], "n long").collect()
     assert sorted((r.path, r.n, bool(r.error)) for r in rows if r.path == "a") == [("a", 1, False), ("a", 2, False)]
     assert [(r.path, bool(r.error)) for r in rows if r.path != "a"] == [("b", True)]
+
+
+def test_season_pages_check_before_they_ask():
+    c, calls, _ = client([(200, {}, {"data": [1], "meta": {"next_cursor": 5}}), (200, {}, {"data": [2], "meta": {}})])
+    with pytest.raises(ValueError):
+        pages.season_pages(c, 2020, 500)
+    assert not calls
+    assert [p["data"] for p in pages.season_pages(c, 2020, 50, ("2020-10-01", "2021-06-30"))] == [[1], [2]]
+    assert calls[0] == {"seasons[]": 2020, "per_page": 50, "start_date": "2020-10-01", "end_date": "2021-06-30"} and calls[1]["cursor"] == 5
+
+
+def test_season_feed_refuses_other_seasons():
+    c, _, _ = client([(200, {}, {"data": [{"game": {"season": 2019}}]})])
+    with pytest.raises(pages.SourceError):
+        list(pages.season_feed(c, "stats", 2020))
+
+
+def test_archive_falls_back_to_live_once_and_is_remembered():
+    ask = pages.candle_request("T", 100, 200, 60)
+    with pytest.raises(ValueError):
+        pages.candle_request("T", 100, 200, 5)
+    with pytest.raises(ValueError):
+        pages.candle_request("T", 200, 100)
+    cache = {}
+    c, calls, _ = client([(404, {}, None), (200, {}, {"candlesticks": []}), (200, {}, {"a": 1}), (400, {}, None)])
+    assert pages.fetched(c, ask, 300, cache) == ({"candlesticks": []}, "live")
+    assert pages.fetched(c, ask, 300, cache)[1] == "cache" and len(calls) == 2
+    assert pages.fetched(c, pages.candle_request("T", 100, 400), 300) == ({"a": 1}, "live")
+    with pytest.raises(pages.SourceError):
+        pages.fetched(c, ask, 300)
+
+
+def test_cutoff_and_events():
+    c, _, _ = client([(200, {}, {"cutoff_ts": "170"}), (200, {}, {}), (200, {}, {"events": [1], "cursor": ""})])
+    assert (pages.historical_cutoff(c), pages.historical_cutoff(c)) == (170, None)
+    assert len(list(pages.event_pages(c, "S", "open"))) == 1
+
+
+def test_landings_are_read_back_by_name(spark, tmp_path):
+    assert pages.latest_landing(spark, f"{tmp_path}/raw") is None
+    pages.land(spark, ({"n": i} for i in range(120)), f"{tmp_path}/raw/2024-01-01T00")
+    pages.land(spark, iter([]), f"{tmp_path}/raw/2024-01-02T00")
+    pages.land(spark, iter([{"n": 7}]), f"{tmp_path}/raw/2024-01-02T06")
+    assert [r.name for r in pages.landings(spark, f"{tmp_path}/raw").collect()] == ["2024-01-01T00", "2024-01-02T00", "2024-01-02T06"]
+    assert pages.latest_landing(spark, f"{tmp_path}/raw").first().raw == '{"n": 7}'
+    first = spark.read.parquet(f"{tmp_path}/raw/2024-01-01T00")
+    assert first.count() == 120 and first.agg(F.max("page")).first()[0] == 119
+
+
+def test_the_rest_stands_without_the_training_text_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "priorline", tmp_path / "priorline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), set(o) <= set(q), any(k.startswith('op') or k == 'pipeline' for k in q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
+    n, whole, some = out.stdout.split()
+    assert int(n) > 100 and whole == "True" and some == "False"
+    for path in (root / "priorline").rglob("*.py"):
+        if "llm" not in path.parts:
+            assert "priorline.llm" not in path.read_text(), path
+
+
+def test_declared_corrections_fail_loudly(spark):
+    from priorline.operators import audit
+
+    fix = spark.createDataFrame([(1, 90, 95)], "game_id long, expects_home_score int, new_home_score int")
+    good = spark.createDataFrame([(1, 90, 91, False), (2, 80, 70, True)], "game_id long, home_score int, away_score int, home_win boolean")
+    out = audit.corrected(good, fix, ["game_id"]).orderBy("game_id").collect()
+    assert [(r.home_score, r.home_win, r.corrected, r.source_home_score) for r in out] == [(95, True, True, 90), (80, True, False, 80)]
+    odd = spark.createDataFrame([(1, 89, 91, False)], good.schema)
+    with pytest.raises(Exception, match="not as declared"):
+        audit.corrected(odd, fix, ["game_id"]).collect()
+    assert audit.corrected(odd, fix, ["game_id"], strict=False).first().refused
+
+
+def test_eastern_slots_in_summer(spark):
+    from priorline.functions import values
+
+    df = spark.createDataFrame([("2024-07-01 16:30:00",), ("2024-01-01 16:30:00",)], "t string").select(F.unix_timestamp("t").alias("s"))
+    got = df.select(values.slot_file(F.col("s")).alias("f"), values.slot_of_file(values.slot_file(F.col("s"))).alias("b"), "s").collect()
+    assert [r.f for r in got] == ["Injury-Report_2024-07-01_12_30PM.pdf", "Injury-Report_2024-01-01_11_30AM.pdf"]
+    assert all(r.b == r.s for r in got)
+    assert df.select(values.slot_of_file(F.lit("other.pdf")).alias("b")).first().b is None
+
+
+def test_verified_season(spark):
+    from priorline.operators import feeds
+
+    good = spark.sql("select 2020 as season, date '2020-10-20' as date union all select 2020, date '2021-04-01'")
+    assert feeds.verified_season(good, 2020).count() == 2
+    for odd in ("2021, date '2020-12-01'", "2020, date '2021-08-01'"):
+        with pytest.raises(Exception, match="season 2020"):
+            feeds.verified_season(good.union(spark.sql(f"select {odd}")), 2020).collect()
+    from priorline.functions.values import season_list
+
+    assert season_list("2006-2008, 2011") == [2006, 2007, 2008, 2011]
+    with pytest.raises(ValueError):
+        season_list(" , ")
