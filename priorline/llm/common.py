@@ -109,6 +109,12 @@ def durable(df: DataFrame, kind: str = "table", sums: Column | None = None) -> D
     return back
 
 
+def collected(spark: SparkSession) -> None:
+    """Collect the driver's garbage: shuffle files and broadcasts go only once nothing in its memory refers to them."""
+    trim()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rows_of(df: DataFrame) -> int:
     """How many rows a table has; known of a ``durable`` one."""
     seen = getattr(df, "_pl_seen", None) or {}

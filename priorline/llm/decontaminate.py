@@ -75,9 +75,10 @@ def ceiling_of(n_doc: Column, parts: list) -> Column:
     return F.array_max(F.array(*own, F.lit(None).cast("long")))
 
 
-def under(ceiling: Column, hashes: Column) -> Column:
-    """The hashes up to the ceiling."""
-    return let(ceiling, lambda top: F.filter(hashes, lambda h: h <= top))
+def under_ceiling(hashes: Column, parts: list) -> Column:
+    """n_doc, how many hashes there are, and those of them up to the document's ceiling (h)."""
+    n_doc = F.size(hashes).alias("n_doc")
+    return let(ceiling_of(F.size(hashes), parts), lambda top: F.struct(n_doc, F.filter(hashes, lambda h: h <= top).alias("h")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -88,9 +89,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sketch = sketches(items)
     # One row for each power of two among the items' sizes: at most 31.
     parts = sketch.groupBy("size_class").agg(F.max("hash").alias("ceiling"), F.min("need").alias("least")).collect()
-    hashes = texts.select("row_key", shingle_hashes(F.col("text")).alias("h")).select("row_key", "h", F.size("h").alias("n_doc"))
-    below = hashes.select("row_key", "n_doc", under(ceiling_of(F.col("n_doc"), parts), F.col("h")).alias("h"))
-    looked = below.select("row_key", "n_doc", F.explode("h").alias("hash"))
+    looked = texts.select("row_key", let(shingle_hashes(F.col("text")), lambda h: under_ceiling(h, parts)).alias("own"))
+    looked = looked.select("row_key", F.col("own.n_doc").alias("n_doc"), F.explode("own.h").alias("hash"))
     hits = looked.join(_small(sketch, BROADCAST_ROWS), "hash").where("n_doc >= need").select("row_key", "item_id").distinct()
     candidates = durable(hits, "candidates")
     pairs = texts.join(_small(candidates, BROADCAST_ROWS), "row_key").join(_small(items, BROADCAST_ROWS // 10), "item_id")

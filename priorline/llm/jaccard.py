@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priorline.llm.common import durable, forget, id_text, mixed, passages, release, rows_of, seen_in, small_batches
+from priorline.llm.common import collected, durable, forget, id_text, mixed, passages, release, rows_of, seen_in, small_batches
 
 SHINGLE = 5
 #: Columns put last: at most so many, each among the first entries of more than HOT_FROM rows.
@@ -649,14 +649,17 @@ def nodes(docs: DataFrame) -> DataFrame:
     members = durable(rest.select(F.col("a").alias("sig")).distinct(), "members")
     release(squared)
     release(groups)
+    collected(spark)
     if rows_of(more) or rows_of(members):
         sets = whole(ends(more).unionByName(members))
         again = sets.join(_small(members), "sig", "left_semi")
         hot = hot_columns(all_halves(again), HOT_AGAIN)
         squared, groups = product(again, hot, again.agg(F.sum(F.octet_length("set") / 40)).first()[0] or 0)
         more = _apart(squared.select("a", "b").unionByName(_stars(groups)), roots).unionByName(more)
-        found = found.unionByName(checked(durable(more.join(likely, ["a", "b"], "left_anti").distinct(), "pairs"), sets))
-        roots = components(found)
+        new = checked(durable(more.join(likely, ["a", "b"], "left_anti").distinct(), "pairs"), sets)
+        if rows_of(new):
+            found = found.unionByName(new)
+            roots = components(found)
         rest = still_open(groups, roots)
         if rows_of(rest):
             found = found.unionByName(durable(tiled(rest, sets), "tiles"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorline.llm.common import durable, id_text, passages, remembered
+from priorline.llm.common import durable, id_text, passages, remembered, rows_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -181,6 +181,8 @@ def _packed(pieces: DataFrame, shards: int, level: int, capacity: int, slack: in
     return dealt.groupBy("shard").applyInPandas(run, f"{kinds}, sequence_id long, offset long, open boolean").drop("shard")
 
 
+#: Pieces whose places are broadcast: 24 bytes each.
+BROADCAST_PIECES = 1_000_000
 #: A round that closes a smaller part of its pieces is the last.
 WORTH_A_ROUND = 0.1
 
@@ -195,7 +197,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     own = pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")]).alias("piece"))
     rows = durable(own.select(F.monotonically_increasing_id().alias("row"), "piece"), "pieces")
     left = rows.select("row", F.col("piece.length").cast("long").alias("length"))
-    rounds, level, n = [], 0, left.count()
+    rounds, level, n = [], 0, rows_of(rows)
     while True:
         shards = max(1, math.ceil(n / shard_pieces))
         packed = durable(_packed(left, shards, level, capacity, slack), "packed")
@@ -207,4 +209,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
         level += 1
     closed = [p if p is rounds[-1] else p.where("not open") for p in rounds]
     placed = reduce(DataFrame.unionByName, closed).select("row", "sequence_id", "offset")
+    # Beside few pieces their places are sent to the pieces, which then stay where they are.
+    placed = F.broadcast(placed) if rows_of(rows) <= BROADCAST_PIECES else placed
     return rows.join(placed, "row").select("piece.*", "sequence_id", "offset")

@@ -21,7 +21,6 @@ which count as one. Dropped lines go with their line end; all else stays byte fo
 
 from __future__ import annotations
 
-import gc
 import re
 
 import numpy as np
@@ -31,14 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorline.llm import jaccard
-from priorline.llm.common import bounded_batches, durable, forget, release, rows_of
+from priorline.llm.common import bounded_batches, collected, durable, forget, release, rows_of
 
 MIN_TOKENS, MIN_DOCS, COPY_WORDS = 5, 2, 75
 DEPTH = 3
 SIMILAR = 0.8
 #: Up to so many templates of a leaf are compared with a line without a look-up.
 DENSE = 64
-BROADCAST_LINES = 1_000_000
+#: Rows of two numbers that are broadcast: 16 MB. Beyond, joins are by shuffle, and adaptive execution splits hot keys.
+BROADCAST_LINES = 500_000
 DIGIT = re.compile(rb"[0-9]")
 VARIABLE = xxhash.xxh3_64_intdigest(b"<*>")
 
@@ -169,7 +169,7 @@ def templates(lines: DataFrame, parts: int) -> DataFrame:
     shared = durable(lines.where("line is not null").groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf"), "shared")
     own = lines.where("tokens is not null").select("line", "leaf", "tokens")
     # Most leaves hold one line; only the others' tokens are moved.
-    own = own.join(F.broadcast(shared) if rows_of(shared) <= BROADCAST_LINES else shared, "leaf", "left_semi").dropDuplicates(["line"])
+    own = own.join(_small(shared), "leaf", "left_semi").dropDuplicates(["line"])
 
     def run(batches):
         now, held = None, None
@@ -188,6 +188,16 @@ def templates(lines: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "line long, template long")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if rows_of(df) <= BROADCAST_LINES else df
+
+
+def in_recurring(rows: DataFrame, of: DataFrame, by: str) -> DataFrame:
+    """The ``rows`` whose template recurs in ``of``; a hot template's rows stay where they are."""
+    again = durable(recurring(of, by), "again")
+    return rows.join(_small(again), "template", "left_semi")
+
+
 def recurring(rows: DataFrame, by: str) -> DataFrame:
     """Templates with at least MIN_DOCS values of ``by``."""
     return rows.select("template", by).distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).select("template")
@@ -205,22 +215,20 @@ def dropped_lines(docs: DataFrame, components: bool) -> DataFrame:
     lines = durable(lines_of(keyed), "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     renamed = durable(templates(lines, parts), "templates")
-    named = lines.where("line is not null").select("row_key", "line_no", "words", "line").join(renamed, "line", "left")
+    named = lines.where("line is not null").select("row_key", "line_no", "words", "line").join(_small(renamed), "line", "left")
     rows = durable(named.select("row_key", "line_no", "words", F.coalesce("template", "line").alias("template")), "rows")
-    often = durable(rows.join(recurring(rows, "row_key"), "template", "left_semi"), "often")
+    often = durable(in_recurring(rows, rows, "row_key"), "often")
     if components:
         for done in (lines, renamed, rows):
             release(done)
         if not rows_of(often):
             return lines_by_row(often)
         # The join needs as much room as what has run so far: shuffle files go when the driver collects its garbage.
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        collected(spark)
         holders = durable(often.select("row_key").distinct(), "holders")
-        small = F.broadcast(holders) if rows_of(holders) <= BROADCAST_LINES else holders
-        held = docs.select("doc_id", "text").join(small, row_key(docs) == small["row_key"], "left_semi")
+        held = docs.select("doc_id", "text", row_key(docs).alias("row_key")).join(_small(holders), "row_key", "left_semi")
         copies = durable(jaccard.nodes(held).select("row_key", F.coalesce("node", "row_key").alias("node")).distinct(), "copies")
-        drops = durable(lines_by_row(often.join(recurring(often.join(copies, "row_key"), "node"), "template", "left_semi")), "drops")
+        drops = durable(lines_by_row(in_recurring(often, often.join(_small(copies), "row_key"), "node")), "drops")
         for done in (often, holders, copies):
             release(done)
         return drops
@@ -228,7 +236,7 @@ def dropped_lines(docs: DataFrame, components: bool) -> DataFrame:
     copies = often.groupBy("row_key").agg(F.sum("words").alias("again")).join(length, "row_key").where(F.col("again") * 100 >= F.col("all") * COPY_WORDS).select("row_key")
     copies = durable(copies, "copies")
     mixed_rows = durable(often.join(copies, "row_key", "left_anti"), "mixed")
-    drops = durable(lines_by_row(mixed_rows.join(recurring(mixed_rows, "row_key"), "template", "left_semi")), "drops")
+    drops = durable(lines_by_row(in_recurring(mixed_rows, mixed_rows, "row_key")), "drops")
     for done in (lines, renamed, rows, often, copies, mixed_rows):
         release(done)
     return drops

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priorline.llm.common import bounded_batches, id_text, remembered
+from priorline.llm.common import bounded_batches, collected, id_text, remembered
 
 WINDOW, STRIDE = 64, 48
 #: Decay of parameters at each step, in learning rates.
@@ -358,7 +358,12 @@ def fit(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = TRAIN_EACH,
     y = [int(r["toxic"]) for r in rows]
     if not y or min(y) == max(y):
         return float(sum(y) / len(y)) if y else 0.0
-    return train([r["text"] for r in rows], y)
+    texts = [r["text"] for r in rows]
+    del rows
+    net = train(texts, y)
+    del texts
+    collected(docs.sparkSession)  # training takes more of the driver's memory than all that follows
+    return net
 
 
 def _scores(texts, net: Network | float) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorline.llm.common import durable, scratch
+from priorline.llm.common import durable, rows_of, scratch
 
 MAGIC = b"\x1f\x8b\x08"
 #: Fixed values of the format.
@@ -36,6 +36,8 @@ PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed capture time: the rows have none, and equal input must give equal bytes.
 DATE = b"2024-01-01T00:00:00Z"
 BLOCK = 1 << 20
+#: Digests of several pages that are broadcast (28 bytes each), and tasks that share a digest beyond.
+BROADCAST_DIGESTS, SALTS = 500_000, 64
 RANGE_BYTES = 32 << 20
 HEADER_LIMIT = 1 << 16
 
@@ -70,11 +72,18 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def with_kinds(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """page_id, url, payload (binary), refers_to: null for responses.
 
-    Groups are found on digests alone; a payload that a third of all pages share is one row for each task there.
+    Groups are found on digests alone. The digests that several pages have are broadcast up to ``BROADCAST_DIGESTS`` of
+    them, after a count, and payloads stay where they are; beyond, pages of one digest are dealt to ``SALTS`` tasks.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("_sha", F.unhex(F.sha1("payload"))).withColumn("_n", F.octet_length("payload"))
-    groups = rows.where(F.col("_n") >= revisit_from).groupBy("_sha").agg(F.max("page_id").alias("_top"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1").drop("_copies")
-    joined = rows.join(groups, "_sha", "left")
+    payload = F.coalesce("html", F.lit("")).cast("binary").alias("payload")
+    rows = pages.select("page_id", "url", payload).withColumn("_sha", F.unhex(F.sha1("payload"))).withColumn("_n", F.octet_length("payload"))
+    groups = rows.where(F.col("_n") >= revisit_from).groupBy("_sha").agg(F.max("page_id").alias("_top"), F.count(F.lit(1)).alias("_copies"))
+    groups = durable(groups.where("_copies > 1").drop("_copies"), "digests")
+    if rows_of(groups) <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(groups), "_sha", "left")
+    else:
+        dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(dealt, ["_sha", "_salt"], "left")
     later = F.col("_top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_top")) & (F.col("_n") >= revisit_from)
     return joined.select("page_id", "url", "payload", F.when(later, F.col("_top")).alias("refers_to"))
 
@@ -111,9 +120,9 @@ class Span:
     """Random access to a file from ``at`` on, block by block."""
 
     def __init__(self, file, at: int) -> None:
-        self.file, self.at, self.held = file, at, b""
+        self.file, self.at, self.held = file, at, bytearray()
 
-    def need(self, n: int) -> bytes:
+    def need(self, n: int) -> bytearray:
         """At least ``n`` bytes from ``at`` if the file has them."""
         while len(self.held) < n:
             self.file.seek(self.at + len(self.held))
@@ -124,10 +133,7 @@ class Span:
         return self.held
 
     def skip(self, n: int) -> None:
-        if n < len(self.held):
-            self.held = self.held[n:]
-        else:
-            self.held = b""
+        del self.held[:n]
         self.at += n
 
 
