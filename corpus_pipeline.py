@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from priorline.llm import decontaminate, jaccard, queries, templates, toxicity
-from priorline.llm.common import durable
+from priorline.llm.common import collected, durable
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,18 +20,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     return templates.without_lines(docs, components=True).drop("_pl_dropped")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     return jaccard.one_of_each(docs)
 
 
 def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     return decontaminate.decontaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     # After four stages an executor's heap is full, so the workers beside it remember fewer words.
     return queries.packed_documents(docs, remembered=(250_000, 150_000))
 

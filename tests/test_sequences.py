@@ -209,3 +209,36 @@ def test_guarded_outcome_and_keys(spark):
     assert got == [None, True, None, None]
     df = spark.createDataFrame([("2020-01-01", "B", "A"), (None, "B", "A"), ("2020-01-01", None, "A")], "d string, h string, a string")
     assert [r[0] for r in df.select(values.pair_key(F.col("d"), F.col("h"), F.col("a"))).collect()] == ["2020-01-01|A|B", None, None]
+
+
+def test_paired_bootstrap_equals_numpy(spark):
+    from priorline.operators import metrics
+
+    rng = np.random.default_rng(0)
+    a, b = rng.random(300), rng.random(300) * 0.9
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "key long, a double, b double")
+    got = metrics.paired_bootstrap(df.orderBy(F.rand(1)), "a", "b", resamples=1000, seed=5, chunk=130).first()
+    draw, d = np.random.Generator(np.random.PCG64(5)), a - b
+    means = np.concatenate([d[draw.integers(0, 300, (min(130, 1000 - i), 300))].mean(axis=1) for i in range(0, 1000, 130)])
+    assert (got.n, got.difference, got.low, got.high) == (300, pytest.approx(d.mean()), *pytest.approx(np.quantile(means, [0.025, 0.975])))
+    assert got.verdict == ("a_better" if got.high < 0 else "b_better" if got.low > 0 else "inconclusive")
+
+
+def test_logistic_equals_newton(spark):
+    from priorline.operators import learn
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 2)) * [3, 0.5] + [1, -2]
+    y = rng.random(400) < 1 / (1 + np.exp(-(0.4 * x[:, 0] - x[:, 1] - 1)))
+    rows = [(float(p), None if i % 17 == 3 else float(q), bool(t)) for i, ((p, q), t) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "p double, q double, y boolean")
+    got = np.array([r.probability for r in learn.Logistic(["p", "q"], "y", 0.5).fit(df).predict(df).collect()])
+    q = np.array([np.nan if r[1] is None else r[1] for r in rows])
+    z = np.column_stack([x[:, 0], np.where(np.isnan(q), np.nanmedian(q), q)])
+    z = np.column_stack([(z - z.mean(axis=0)) / z.std(axis=0), np.ones(400)])
+    w = np.zeros(3)
+    for _ in range(50):  # C = 0.5, the intercept is not penalised
+        p = 1 / (1 + np.exp(-z @ w))
+        pull = np.diag([1, 1, 0]) / 0.5
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + pull, z.T @ (p - y) + pull @ w)
+    assert got == pytest.approx(1 / (1 + np.exp(-z @ w)), abs=1e-4)
