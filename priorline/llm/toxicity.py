@@ -290,7 +290,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.table = {side: np.empty((0, 3 * HIDDEN), np.float32) for side in "fb"}
+        self.table = {side: np.zeros((1, 3 * HIDDEN), np.float32) for side in "fb"}  # places after a window's end read the last row
         self.used = 0
 
     def learn(self, words: set[str]) -> None:
@@ -305,7 +305,7 @@ class Scorer:
         if self.used + len(new) > len(self.table["f"]):
             room = max(2 * len(self.table["f"]), self.used + len(new), 1 << 14)
             for side in "fb":
-                grown = np.empty((room, 3 * HIDDEN), np.float32)
+                grown = np.zeros((room, 3 * HIDDEN), np.float32)
                 grown[: self.used] = self.table[side][: self.used]
                 self.table[side] = grown
         for side in "fb":
