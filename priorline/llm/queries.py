@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorline.llm import decontaminate, jaccard, packing, pii, quality, secrets, templates, token_counts, toxicity, warc
+from priorline.llm import bisectors, byte_bpe, decontaminate, jaccard, merkle, packing, pii, quality, secrets, templates, token_counts, toxicity, warc
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,6 +141,85 @@ from n left join k on k.doc_id = n.doc_id left join r on r.sig = k.sig left join
 """
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of what they decode to."""
+    path = public_tokenizers.path(BYTE_BPE)
+    ids = byte_bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    n_tokens = (F.length("ids") / 4).cast("long").alias("n_tokens")
+    return byte_bpe.decoded(ids, path).select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kept vector's cluster after five rounds, with a digest of its centroid."""
+    found = bisectors.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+def _op12_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round assigns by the smallest (distance, number) and takes floors of means."""
+    parts = [f"""with v as (
+  select vec_id, row_number() over () as rid, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (select row_number() over (order by sha256('2:' || vec_id), x) - 1 as c, x from v order by sha256('2:' || vec_id), x limit {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""d{r} as (
+  select v.rid, v.vec_id, v.x, c.c, c.x as y, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::bigint as d from v cross join c{r} c),
+a{r} as (select * from d{r} qualify row_number() over (partition by rid order by d, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""s{r} as (select c, i, sum(x[i])::bigint as s, count(*) as n from a{r}, range(1, 65) t(i) group by c, i),
+m{r} as (select c, list((s - ((s % n) + n) % n) // n order by i) as x from s{r} group by c),
+c{r + 1} as (select c.c, coalesce(m.x, c.x) as x from c{r} c left join m{r} m on m.c = c.c)""")
+    return ",\n".join(parts) + f"""
+select vec_id, cast(c as int) as cluster, d as distance, sum(d) over (partition by c)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia,
+  sha256(array_to_string(y, ',')) as centroid_sha256 from a{rounds}"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest, and whether it still folds to the root where a third of the texts lost their capitals."""
+    docs = table(spark, sf_dir, "documents")
+    row = ["doc_id", "source", "lang", "n_chars"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    touched = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.row_digest(*map(F.col, row), lowered))
+    leaf = merkle.row_digest(*map(F.col, [*row, "text"]))
+    found = merkle.proofs(docs, leaf, F.col("lang"), F.col("doc_id"), touched=touched)
+    root = merkle.folded(F.coalesce("touched", "leaf"), F.col("path"))
+    found = found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), root.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _tree_sql(p: str, leaves: str, levels: int) -> str:
+    """Common tables of trees over ``leaves`` (tree, pos, h, m): levels {p}0.., siblings {p}s0.., roots {p}r."""
+    parts = [f"{p}0 as ({leaves})"]
+    for i in range(levels):
+        parts.append(f"{p}{i + 1} as (select tree, pos // 8 as pos, sha256(string_agg(h, '' order by pos)) as h, (m + 7) // 8 as m from {p}{i} where m > 1 group by tree, pos // 8, m)")
+        parts.append(f"""{p}s{i} as (select a.tree, a.pos, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos < a.pos), '') as l, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos > a.pos), '') as r
+  from {p}{i} a join {p}{i} b on a.tree = b.tree and a.pos // 8 = b.pos // 8 where a.m > 1 group by a.tree, a.pos)""")
+    roots = " union all ".join(f"select tree, h from {p}{i} where m = 1" for i in range(levels + 1))
+    return ",\n".join([*parts, f"{p}r as ({roots})"])
+
+
+def _op13_sql(levels: int = 8, above: int = 3) -> str:
+    """Up to 8 ** 8 documents of a language and 8 ** 3 languages: level by level, siblings by self joins, folded step by step."""
+    field = lambda x: f"case when {x} is null then '-' else strlen({x}::varchar) || ':' || {x}::varchar end"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(list_reduce(list_transform(range(1, len(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint),
+    lambda c, b: list_reduce(range(0, 8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295)"""
+    sql = f"""with w as (select doc_id, coalesce('=' || lang, '-') as tree, {leaf("text")} as leaf, case when {crc} % 3 = 0 then {leaf(lower)} end as touched from documents),
+d as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as m from w),
+{_tree_sql("t", "select tree, pos, leaf as h, m from d", levels)},
+{_tree_sql("u", "select '' as tree, row_number() over (order by tree) - 1 as pos, h, count(*) over () as m from tr", above)},
+f0 as (select d.doc_id, d.leaf, d.tree, d.pos, q.h as subroot, row_number_of.pos as top, ur.h as root, coalesce(touched, leaf) as node, '' as siblings
+  from d join tr q on q.tree = d.tree join (select tree, row_number() over (order by tree) - 1 as pos from tr) row_number_of on row_number_of.tree = d.tree cross join ur)"""
+    steps = [("t", i, "f.tree", "f.pos") for i in range(levels)] + [("u", i, "''", "f.top") for i in range(above)]
+    for k, (p, i, tree, pos) in enumerate(steps):
+        sql += f""",
+f{k + 1} as (select f.* replace (case when s.l is null then node else sha256(s.l || node || s.r) end as node, siblings || coalesce(s.l || s.r, '') as siblings)
+  from f{k} f left join {p}s{i} s on s.tree = {tree} and s.pos = {pos} // {8**i})"""
+    return sql + f"""
+select doc_id, leaf, subroot, root, sha256(siblings) as proof_sha256, node as folded_root, node = root as verified from f{len(steps)}"""
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_ratio": op2_quality_ratio,
@@ -151,10 +231,15 @@ QUERIES = {
     "op8_toxicity_network": op8_toxicity_network,
     "op9_secret_lexing": op9_secret_lexing,
     "op10_jaccard_blocks": op10_jaccard_blocks,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_bisector_clusters": op12_bisector_clusters,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op4_warc_round_trip": OP4_SQL,
     "op7_benchmark_containment": OP7_SQL,
     "op10_jaccard_blocks": OP10_SQL,
+    "op12_bisector_clusters": _op12_sql(),
+    "op13_merkle_manifest": _op13_sql(),
 }
