@@ -32,10 +32,93 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("extra")).where("extra > 0")
 
 
+#: Values of a group that may be sorted in one task; parts into which a larger group's range is cut, again and again.
+SORTED_VALUES, RANGE_PARTS = 100_000, 4096
+#: Most ranges that are sent to every task.
+BROADCAST_RANGES = 100_000
+
+
 def quantiles(df: DataFrame, col: str, at: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation."""
-    found = df.agg(F.percentile(col, F.array(*map(F.lit, at))).alias("v")).select(F.posexplode("v").alias("i", "value"))
-    return found.select(F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("q"), "value")
+    """Exact quantiles with linear interpolation over all rows: q and value."""
+    return quantiles_by(df, [], col, at)
+
+
+def quantiles_by(df: DataFrame, by: list[str], col: str, at: list[float], small: int = SORTED_VALUES, parts: int = RANGE_PARTS) -> DataFrame:
+    """Exact quantiles with linear interpolation of each group: its columns, q and value; nulls and NaN are left out.
+
+    A group of at most ``small`` values is sorted in one task. A larger one is never: its range is cut into parts that are
+    counted, and only the parts that hold a wanted rank are cut further, until they are small or one value. A round is a
+    scan, and what is shuffled are counts. A group without values has no rows.
+    """
+    group = [f"_g{i}" for i in range(len(by))] or ["_g0"]
+    keys = [F.col(c).alias(g) for c, g in zip(by, group, strict=False)] or [F.lit(0).alias("_g0")]
+    rows = df.select(*keys, F.col(col).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = F.explode(F.array(*map(F.lit, at))).alias("q")
+    most = sizes.agg(F.max("_n")).first()[0]
+    named = [F.col(g).alias(c) for c, g in zip(by, group, strict=False)]
+    few = rows
+    if most is not None and most > small:
+        large = sizes.where(F.col("_n") > small)
+        few = rows.join(large.select(*group), _same(group, rows, large), "left_anti")
+    direct = few.groupBy(*group).agg(F.percentile("_v", F.array(*map(F.lit, at))).alias("_p"))
+    direct = direct.select(*named, F.posexplode("_p").alias("_i", "value")).select(*by, F.element_at(F.array(*map(F.lit, at)), F.col("_i") + 1).alias("q"), "value")
+    if most is None or most <= small:
+        return direct
+    place = F.col("q") * (F.col("_n") - 1)
+    ranks = large.select(*group, "_n", wanted, "_lo", "_hi").withColumn("_place", place)
+    ranks = ranks.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))))
+    ranges = ranks.select(*group, "_rank", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in")).distinct()
+    while True:
+        ranges = _held(ranges)
+        open_ = ranges.where((F.col("_in") > small) & (F.col("_lo") < F.col("_hi")))
+        if open_.isEmpty():
+            break
+        ranges = _narrowed(rows, group, open_, parts).unionByName(ranges.where((F.col("_in") <= small) | (F.col("_lo") >= F.col("_hi"))))
+    one = ranges.where(F.col("_lo") >= F.col("_hi")).select(*group, "_rank", F.col("_lo").alias("_value"))
+    left = ranges.where(F.col("_lo") < F.col("_hi"))
+    sorted_ = _within(rows, group, left).groupBy(*group, "_rank", "_below").agg(F.array_sort(F.collect_list("_v")).alias("_vs"))
+    found = one.unionByName(sorted_.select(*group, "_rank", F.get("_vs", (F.col("_rank") - F.col("_below")).cast("int")).alias("_value")))
+    low, high = found.withColumnRenamed("_value", "_a"), found.withColumnRenamed("_value", "_b")
+    out = ranks.select(*group, "q", "_place").distinct()
+    out = out.join(low, [out[g].eqNullSafe(low[g]) for g in group] + [F.floor(out["_place"]) == low["_rank"]]).select(*[out[g] for g in group], "q", "_place", "_a")
+    out = out.join(high, [out[g].eqNullSafe(high[g]) for g in group] + [F.ceil(out["_place"]) == high["_rank"]]).select(*[out[g] for g in group], "q", "_place", "_a", "_b")
+    part = F.col("_place") - F.floor("_place")
+    value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * part)
+    return direct.unionByName(out.select(*named, "q", value.alias("value")))
+
+
+def _same(group: list[str], a: DataFrame, b: DataFrame) -> Column:
+    return reduce(lambda x, y: x & y, [a[g].eqNullSafe(b[g]) for g in group])
+
+
+def _held(ranges: DataFrame) -> DataFrame:
+    """The ranges, computed once: as rows of the plan while they are few, cached beyond."""
+    first = ranges.limit(BROADCAST_RANGES + 1).collect()
+    if len(first) <= BROADCAST_RANGES:
+        return ranges.sparkSession.createDataFrame(first, ranges.schema)
+    return ranges.persist()
+
+
+def _within(rows: DataFrame, group: list[str], ranges: DataFrame) -> DataFrame:
+    """Rows with each range of their group that they are in."""
+    small = ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES
+    ranges = ranges.select(*[F.col(g).alias(f"{g}_") for g in group], "_rank", "_lo", "_hi", "_below")
+    same = reduce(lambda a, b: a & b, [rows[g].eqNullSafe(ranges[f"{g}_"]) for g in group])
+    return rows.join(F.broadcast(ranges) if small else ranges, same & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+
+def _narrowed(rows: DataFrame, group: list[str], ranges: DataFrame, parts: int) -> DataFrame:
+    """Each range cut down to the part that holds its rank; a part's ends are values that are there."""
+    share = F.nanvl((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), F.lit(0.5))  # NaN: an end is infinite
+    inner = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts)))
+    part = F.when(F.col("_v") == F.col("_hi"), parts).when(F.col("_v") == F.col("_lo"), -1).otherwise(inner)
+    counted = _within(rows, group, ranges).groupBy(*group, "_rank", "_below", part.alias("_part"))
+    counted = counted.agg(F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    before = W.partitionBy(*group, "_rank").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counted = counted.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    holds = (F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("_in"))
+    return counted.where(holds).select(*group, "_rank", "_lo", "_hi", "_below", "_in")
 
 
 def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

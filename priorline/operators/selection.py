@@ -12,7 +12,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priorline.operators import learn, metrics
+from priorline.operators import audit, learn, metrics
 from priorline.operators.recursive import EloConfig, elo
 
 # The grids of the ratings, and how many past seasons they may start from (None: all).
@@ -76,19 +76,58 @@ def chosen(candidates: DataFrame, preference: list[Column], band: float = BAND)
     return metrics.tie_band(candidates, "mean_brier", [*preference, F.col("mean_brier"), F.col("mean_log_loss")], band)
 
 
+def preferred_rating(candidates: DataFrame, history: str = "history", band: float = BAND) -> DataFrame:
+    """Among ratings within the band of the best: one over all history (null) if there is one, then the least losses."""
+    return chosen(candidates, [F.col(history).isNotNull()], band)
+
+
+#: How many past seasons a logistic model may learn from (None: all), the half-lives of its weights, and C.
+LOGISTIC_HALF_LIVES, LOGISTIC_C_GRID = (2.0, 3.0, 5.0, 8.0), (0.01, 0.1, 1.0, 10.0)
+
+
+def logistic_grid(season: int) -> list[learn.Spec]:
+    """The 40 settings of a season's model: windows of history, and all history with weights that decay."""
+    windows = [learn.Spec(season, h, None, c) for h, c in product(HISTORY_GRID, LOGISTIC_C_GRID)]
+    return windows + [learn.Spec(season, None, hl, c) for hl, c in product(LOGISTIC_HALF_LIVES, LOGISTIC_C_GRID)]
+
+
+def logistic_candidates(rows: DataFrame, features: list[str], label: str, seasons: list[int], holdout: int) -> DataFrame:
+    """candidate, history, half_life, c, mean losses and folds of the 40 logistic settings on development seasons.
+
+    All settings of all seasons are fitted in the same passes over ``rows`` (game_id, season, features, label). A season
+    without rows to learn from or to forecast is no fold.
+    """
+    past = learn.guarded(rows, first=holdout)
+    specs = [s for season in seasons for s in logistic_grid(season)]
+    size = len(specs) // max(1, len(seasons))
+    fits = learn.fit_many(past, features, label, specs)
+    each = learn.forecasts(past, fits, specs, features).withColumn("candidate", F.col("spec") % size)
+    scored = over_folds(per_fold(each, ["candidate"], label, "probability"), ["candidate"])
+    named = [(i, s.history, s.half_life, s.c) for i, s in enumerate(specs[:size])]
+    grid = rows.sparkSession.createDataFrame(named, "candidate int, history int, half_life double, c double")
+    return F.broadcast(grid).join(scored, "candidate")
+
+
+def preferred_logistic(candidates: DataFrame, band: float = BAND) -> DataFrame:
+    """Among settings within the band of the best: a finite window first, the shortest, then the least losses."""
+    return chosen(candidates, [F.col("history").isNull(), F.col("history")], band)
+
+
 def ablation(rows: DataFrame, bundles: dict[str, list[str]], label: str, seasons: list[int], holdout: int) -> DataFrame:
     """bundle, its features, mean losses, and how much better or worse than the bundle before it.
 
     Bundles are nested and named beforehand; the model's settings are the same for all, so a difference is the features'.
+    All bundles' models are fitted in the same passes over ``rows``.
     """
     past = learn.guarded(rows, first=holdout)
-    parts = []
-    for at, (name, features) in enumerate(bundles.items()):
-        predicted = learn.walk_forward(past, learn.allowed(rows, features, ()), label, seasons, PROBE_C, PROBE_HISTORY)
-        folds = per_fold(predicted.select("season", label, "probability"), [], label, "probability")
-        one = over_folds(folds.withColumn("at", F.lit(at)), ["at"])
-        parts.append(one.select("at", F.lit(name).alias("bundle"), F.lit(len(features)).alias("n_features"), "mean_brier", "mean_log_loss", "folds"))
-    scored = reduce(DataFrame.unionByName, parts)
+    every = list(dict.fromkeys(f for features in bundles.values() for f in features))
+    learn.allowed(rows, every, ())
+    specs = [learn.Spec(season, PROBE_HISTORY, None, PROBE_C, tuple(features)) for features in bundles.values() for season in seasons]
+    fits = learn.fit_many(past, every, label, specs)
+    each = learn.forecasts(past, fits, specs, every).withColumn("at", F.floor(F.col("spec") / len(seasons)).cast("int"))
+    scored = over_folds(per_fold(each, ["at"], label, "probability"), ["at"])
+    named = [(i, name, len(features)) for i, (name, features) in enumerate(bundles.items())]
+    scored = F.broadcast(rows.sparkSession.createDataFrame(named, "at int, bundle string, n_features int")).join(scored, "at")
     before = scored.select((F.col("at") + 1).alias("at"), F.col("mean_brier").alias("_before"))
     return scored.join(F.broadcast(before), "at", "left").withColumn("change", F.col("mean_brier") - F.col("_before")).drop("at", "_before")
 
@@ -111,3 +150,30 @@ def holdout(predictions: DataFrame, y: str, models: dict[str, str], reference: s
         compared = metrics.paired_bootstrap(squared, "a", "b").select("difference", "low", "high", "verdict")
         parts.append(scored.crossJoin(F.broadcast(compared)).withColumn("model", F.lit(name)))  # one row by one row
     return reduce(DataFrame.unionByName, parts)
+
+
+def holdout_calibration(predictions: DataFrame, y: str, models: dict[str, str]) -> DataFrame:
+    """model, its calibration bins on held-out rows, and the expected calibration error of all of them."""
+    rows = predictions.where(F.col(y).isNotNull())
+    parts = []
+    for name, p in models.items():
+        bins = metrics.calibration(rows, y, p)
+        parts.append(bins.crossJoin(F.broadcast(metrics.ece(bins))).withColumn("model", F.lit(name)))  # ten rows by one
+    return reduce(DataFrame.unionByName, parts)
+
+
+def holdout_segments(predictions: DataFrame, y: str, models: dict[str, str], segments: dict[str, Column], quarters: dict[str, str] | None = None) -> DataFrame:
+    """segment, model, n, rate and losses on held-out rows, for diagnosis alone; an empty segment has no rows.
+
+    ``quarters`` names segments of the rows at or above a column's 75th percentile among the held-out rows.
+    """
+    rows = predictions.where(F.col(y).isNotNull())
+    for name, column in (quarters or {}).items():
+        least = audit.quantiles(rows, column, [0.75]).select(F.col("value").alias(f"_{name}"))
+        rows = rows.crossJoin(F.broadcast(least))  # one row
+        segments = segments | {name: F.col(column) >= F.col(f"_{name}")}
+    forecast = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(p).cast("double").alias("p")) for n, p in models.items()]))
+    each = metrics.in_segments(rows, segments).select("segment", F.col(y).alias("y"), forecast.alias("f")).select("segment", "y", "f.*")
+    scored = metrics.scores(each, "y", "p", ["segment", "model"]).drop("accuracy")
+    rates = each.groupBy("segment", "model").agg(F.avg(F.col("y").cast("double")).alias("rate"))
+    return scored.join(rates, ["segment", "model"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from priorline.functions.values import blend
 from priorline.operators import learn, metrics, recursive, selection, sequence
-from priorline.plans import forms
+from priorline.plans import flows, forms
 from priorline.plans.forms import rounded
 from priorline.plans.views import CONTESTS, contests, table
 
@@ -105,20 +105,37 @@ def features(spark, d) -> DataFrame:
 FEATURES = ["diff_win_rate", "diff_margin_5", "home_rest_days", "away_rest_days"]
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a fit reads its rows once for each of its steps."""
+    path = flows.scratch(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def logistic_walk_forward(spark, d):
-    """Season by season, fitted on those before."""
+    """Season by season, fitted on those before; held-out seasons never come near."""
     rows = features(spark, d).select("game_id", "season", "home_win", *FEATURES)
-    out = learn.walk_forward(learn.guarded(rows), FEATURES, "home_win", [1998, 1999, 2000])
+    rows = learn.guarded(written(rows.where(F.col("season") < HOLDOUT), "features"), first=HOLDOUT)
+    out = learn.walk_forward(rows, FEATURES, "home_win", DEVELOPMENT)
     return rounded(metrics.scores(out.where(F.col("home_win").isNotNull()), "home_win", "probability", ["season"]), "brier", "log_loss", "accuracy")
 
 
+def logistic_selection(spark, d):
+    """The 40 logistic settings on the development seasons: every candidate's mean losses, and the one preferred."""
+    rows = features(spark, d).where(F.col("season") < HOLDOUT).select("game_id", "season", "home_win", *FEATURES)
+    scored = written(selection.logistic_candidates(written(rows, "features"), FEATURES, "home_win", DEVELOPMENT, HOLDOUT), "candidates")
+    best = selection.preferred_logistic(scored).select("candidate", F.lit(True).alias("chosen"))
+    out = scored.join(F.broadcast(best), "candidate", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    return rounded(out, "mean_brier", "mean_log_loss")
+
+
 def grid_select_tie_rule(spark, d):
-    """Rating grids scored on walk-forward seasons; within the band of the best, the largest home advantage, then the smallest k."""
-    grid = [recursive.EloConfig(k, a) for k in (5.0, 10.0, 20.0) for a in (0.0, 40.0)]
-    c = contests(spark, d)
-    rated = recursive.elo(c, grid).where("season between 1998 and 2000").join(c.select("game_id", "home_win"), "game_id").where(F.col("home_win").isNotNull())
-    scored = metrics.scores(rated, "home_win", "home_probability", ["config_id"])
-    return rounded(learn.chosen(scored, "brier", "log_loss", [F.desc(F.col("config_id") % 2), F.col("config_id")]), "brier", "log_loss", "accuracy")
+    """Rating grids with their histories on the development seasons; within the band of the best, one over all history."""
+    grid = [(recursive.EloConfig(k, a), n) for k in (5.0, 10.0, 20.0) for a in (0.0, 40.0) for n in (3, None)]
+    scored = selection.rating_candidates(contests(spark, d), grid, DEVELOPMENT, HOLDOUT)
+    histories = spark.createDataFrame([(i, n) for i, (_, n) in enumerate(grid)], "candidate int, history int")
+    best = selection.preferred_rating(F.broadcast(histories).join(scored, "candidate"))
+    return rounded(best.drop("history"), "mean_brier", "mean_log_loss")
 
 
 def bootstrap_ci(spark, d):
@@ -185,20 +202,68 @@ BUNDLES = {name: [f for step in list(_STEPS)[: i + 1] for f in _STEPS[step]] for
 
 
 def bundle_ablation(spark, d):
-    rows = league_features(spark, d).where(F.col("season") < HOLDOUT)
+    rows = written(league_features(spark, d).where(F.col("season") < HOLDOUT), "features")
     return rounded(selection.ablation(rows, BUNDLES, "home_win", [1998, 1999], HOLDOUT), "mean_brier", "mean_log_loss", "change")
 
 
-def holdout_evaluation(spark, d):
-    """A frozen configuration and the development rate on the seasons held out, with paired intervals."""
+def held_out(spark, d) -> DataFrame:
+    """A frozen rating, the development rate, and how long both sides had played, on the contests held out."""
     c = contests(spark, d)
     rate = c.where(F.col("season") < HOLDOUT).agg(F.avg(F.col("home_win").cast("double")).alias("base"))
     rated = recursive.elo(c, [recursive.EloConfig(only=(HOLDOUT,))]).select("game_id", F.col("home_probability").alias("rating"))
     rows = rated.join(c.select("game_id", "home_win"), "game_id").crossJoin(F.broadcast(rate))  # one row
-    out = selection.holdout(rows, "home_win", {"base": "base", "rating": "rating"}, "base")
+    return rows.withColumn("confidence", F.round(F.abs(F.col("rating") - 0.5), 9))
+
+
+MODELS = {"base": "base", "rating": "rating"}
+
+
+def holdout_evaluation(spark, d):
+    """A frozen configuration and the development rate on the seasons held out, with paired intervals."""
+    out = selection.holdout(held_out(spark, d), "home_win", MODELS, "base")
     return rounded(out, "brier", "log_loss", "accuracy", "difference", "low", "high")
 
 
+def holdout_calibration(spark, d):
+    return rounded(selection.holdout_calibration(held_out(spark, d), "home_win", MODELS), "mean_p", "rate", "ece")
+
+
+def holdout_segments(spark, d):
+    """Losses of the frozen forecasts where either side was new, by favourite, and where the rating is surest."""
+    form = sequence.form(sequence.side_rows(contests(spark, d)), ())
+    rows = held_out(spark, d).join(sequence.both_sides(form, ["games_played", "rest_days"]), "game_id")
+    early = (F.col("home_games_played") < 10) | (F.col("away_games_played") < 10)
+    tired = (F.col("home_rest_days") < 2) | (F.col("away_rest_days") < 2)
+    segments = {
+        "first_10_games_either_side": early, "after_first_10_games_both": ~early, "home_favourite": F.col("rating") >= 0.5, "home_underdog": F.col("rating") < 0.5,
+        "short_rest_involved": F.coalesce(tired, F.lit(False)), "no_short_rest": ~F.coalesce(tired, F.lit(False)),
+    }
+    return rounded(selection.holdout_segments(rows, "home_win", MODELS, segments, {"surest_quarter": "confidence"}), "rate", "brier", "log_loss")
+
+
+HELD_OUT = forms._elo_sql([recursive.EloConfig()]) + f""", held as (
+  select game_id, home_win, p as rating, (select avg(home_win::int) from contests where season < {HOLDOUT}) as base, round(abs(p - 0.5), 9) as confidence
+  from r join contests using (game_id) where season >= {HOLDOUT} and season <= {HOLDOUT} and home_win is not null)"""
+_BIN = "case " + " ".join(f"when p >= {i / 10} then {i}" for i in range(9, 0, -1)) + " else 0 end"
+HOLDOUT_CALIBRATION = HELD_OUT + f""", f as (select 'base' as model, base as p, home_win as y from held union all select 'rating', rating, home_win from held),
+own as (select model, {_BIN} as bin, count(*) as n, avg(p) as mean_p, avg(y::int) as rate from f group by all),
+b as (select model, range as bin, range / 10.0::double as low, (range + 1) / 10.0::double as high from range(10), (select distinct model from f)),
+e as (select model, sum(n * abs(mean_p - rate)) / sum(n) as ece from own group by model)
+select bin::int as bin, low, high, coalesce(n, 0) as n, round(mean_p, 6) as mean_p, round(rate, 6) as rate, coalesce(n < 30, false) as sparse, round(ece, 6) as ece, model
+from b left join own using (model, bin) join e using (model)"""
+HOLDOUT_SEGMENTS = HELD_OUT + """, sides as (
+  select game_id, ts, season, home as team, home_win as won from contests union all select game_id, ts, season, away, home_win from contests),
+p as (select game_id, count(won) over w as played, (ts - max(case when won is not null then ts end) over w) / 86400.0 as rest from sides
+  window w as (partition by season, team order by ts, game_id rows between unbounded preceding and 1 preceding)),
+q as (select game_id, min(played) as least, coalesce(bool_or(rest < 2), false) as tired from p group by game_id),
+h as (select held.*, least, tired, (select quantile_cont(confidence, 0.75) from held) as sure from held join q using (game_id)),
+s as (select 'all' as segment, * from h union all select 'first_10_games_either_side', * from h where least < 10 union all select 'after_first_10_games_both', * from h where least >= 10
+  union all select 'home_favourite', * from h where rating >= 0.5 union all select 'home_underdog', * from h where rating < 0.5 union all select 'short_rest_involved', * from h where tired
+  union all select 'no_short_rest', * from h where not tired union all select 'surest_quarter', * from h where confidence >= sure),
+f as (select segment, 'base' as model, base as p, home_win as y from s union all select segment, 'rating', rating, home_win from s)
+select segment, model, count(*) as n, round(avg(pow(p - y::int, 2)), 6) as brier, round(avg(case when y then -ln(p) else -ln(1 - p) end), 6) as log_loss, round(avg(y::int), 6) as rate from f group by all"""
+
+
 def points_form(spark, d):
     """Means of points for, against and margins before each contest: all, the last five and ten, decayed."""
     names = ("scored", "allowed", "margin")
@@ -213,10 +278,12 @@ POINTS = f"""with {forms.RESULTS}, c2 as (select *, case when won is not null th
 select game_id, team, {", ".join(x for n in ("scored", "allowed", "margin") for x in forms.means_sql(n, f"h_{n}", (5, 10)))} from n"""
 
 
-QUERIES = {f.__name__: f for f in (brier_logloss_accuracy, roc_auc, calibration_table, calibration_ece, segments, constant_baseline, blend_search, tie_band_preference, logistic_walk_forward, grid_select_tie_rule, bootstrap_ci, elo_selection, mov_selection, history_selection, bundle_ablation, holdout_evaluation, points_form)}
+QUERIES = {f.__name__: f for f in (brier_logloss_accuracy, roc_auc, calibration_table, calibration_ece, segments, constant_baseline, blend_search, tie_band_preference, logistic_walk_forward, logistic_selection, grid_select_tie_rule, bootstrap_ci, elo_selection, mov_selection, history_selection, bundle_ablation, holdout_evaluation, holdout_calibration, holdout_segments, points_form)}
 ORACLES = {
     "brier_logloss_accuracy": f"with {PRED} select toxic, {LOSSES} from pred group by toxic", "roc_auc": AUC, "calibration_table": CALIBRATION,
     "calibration_ece": f"select round(sum(n * abs(mean_p - rate)) / sum(n), 6) as ece from ({CALIBRATION.replace('round(mean_p, 6)', 'mean_p').replace('round(rate, 6)', 'rate')})",
     "segments": SEGMENTS, "constant_baseline": CONSTANT, "blend_search": BLEND, "tie_band_preference": TIE,
     "elo_selection": _selection_sql(selection.refined_grid()), "points_form": POINTS,
+    "mov_selection": f"select candidate, mean_brier, mean_log_loss, folds from ({_selection_sql(selection.margin_grid((40.0, 60.0)))}) where chosen",
+    "holdout_calibration": HOLDOUT_CALIBRATION, "holdout_segments": HOLDOUT_SEGMENTS,
 }

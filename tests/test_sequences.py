@@ -211,17 +211,122 @@ def test_guarded_outcome_and_keys(spark):
     assert [r[0] for r in df.select(values.pair_key(F.col("d"), F.col("h"), F.col("a"))).collect()] == ["2020-01-01|A|B", None, None]
 
 
-def test_paired_bootstrap_equals_numpy(spark):
+def test_paired_bootstrap_is_the_same_at_any_partitioning_and_near_numpy(spark):
     from priorline.operators import metrics
 
     rng = np.random.default_rng(0)
     a, b = rng.random(300), rng.random(300) * 0.9
     df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "key long, a double, b double")
-    got = metrics.paired_bootstrap(df.orderBy(F.rand(1)), "a", "b", resamples=1000, seed=5, chunk=130).first()
-    draw, d = np.random.Generator(np.random.PCG64(5)), a - b
-    means = np.concatenate([d[draw.integers(0, 300, (min(130, 1000 - i), 300))].mean(axis=1) for i in range(0, 1000, 130)])
-    assert (got.n, got.difference, got.low, got.high) == (300, pytest.approx(d.mean()), *pytest.approx(np.quantile(means, [0.025, 0.975])))
-    assert got.verdict == ("a_better" if got.high < 0 else "b_better" if got.low > 0 else "inconclusive")
+    got = [metrics.paired_bootstrap(df.repartition(n), "a", "b", resamples=4003, seed=5, chunk=c).first() for n, c in ((1, 1000), (8, 64))]
+    assert got[0] == got[1]
+    d = a - b
+    means = d[rng.integers(0, 300, (4000, 300))].mean(axis=1)
+    want, error = np.quantile(means, [0.025, 0.975]), means.std() * 0.18  # three standard errors of such quantiles
+    assert (got[0].n, got[0].difference) == (300, pytest.approx(d.mean()))
+    assert got[0].low == pytest.approx(want[0], abs=error) and got[0].high == pytest.approx(want[1], abs=error)
+    assert got[0].verdict == ("a_better" if got[0].high < 0 else "b_better" if got[0].low > 0 else "inconclusive")
+    none = metrics.paired_bootstrap(df.where("false"), "a", "b", resamples=8).first()
+    assert tuple(none) == (0, None, None, None, None)
+
+
+def test_poisson_weights_have_mean_and_variance_one():
+    from priorline.operators import metrics
+
+    w = metrics._poisson_lanes()[metrics._mixed(np.arange(1, 200_001, dtype=np.uint64)).view(np.uint16)].astype(float)
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+
+
+def newton(x, y, weight, c):
+    """A logistic regression in plain numpy: medians, scaling, penalised Newton steps; coefficients on the scaled features."""
+    median = np.nanmedian(x, axis=0)
+    x = np.where(np.isnan(x), median, x)
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread = np.where(spread > 0, spread, 1.0)
+    z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
+    w, pull = np.zeros(z.shape[1]), np.append(np.ones(x.shape[1]), 0) / c
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w - np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + np.diag(pull), z.T @ (weight * (p - y)) + pull * w)
+    return lambda new: 1 / (1 + np.exp(-np.column_stack([(np.where(np.isnan(new), median, new) - mean) / spread, np.ones(len(new))]) @ w))
+
+
+def test_many_fits_in_one_pass_equal_single_ones(spark):
+    from priorline.operators import learn, selection
+
+    rng = np.random.default_rng(4)
+    n = 900
+    season, x = rng.integers(2000, 2008, n), rng.standard_normal((n, 3)) * [1, 5, 0.1] + [0, 3, -1]
+    x[:, 2] = np.where(rng.random(n) < 0.1, np.nan, x[:, 2])
+    season[season == 2003] = 2002  # a season without rows is no season of a window
+    y = rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] - 0.1 * x[:, 1])))
+    rows = [(i, int(s), *[None if np.isnan(v) else float(v) for v in r], None if i % 50 == 0 else bool(t)) for i, (s, r, t) in enumerate(zip(season, x, y, strict=True))]
+    df = spark.createDataFrame(rows, "game_id long, season int, p double, q double, r double, home_win boolean").repartition(5)
+    features, seasons = ["p", "q", "r"], [2005, 2006]
+    specs = [s for t in seasons for s in selection.logistic_grid(t)] + [learn.Spec(2006, 2, None, 1.0, ("q",))]
+    assert len(specs) == 81
+    fits = learn.fit_many(df, features, "home_win", specs)
+    got = {(r.spec, r.game_id): r.probability for r in learn.forecasts(df, fits, specs, features).collect()}
+    known = np.arange(n) % 50 != 0
+    for i, spec in enumerate(specs):
+        past = sorted(set(season[season < spec.target]))
+        past = past if spec.history is None else past[-spec.history :]
+        on = known & np.isin(season, past)
+        weight = np.ones(on.sum()) if spec.half_life is None else 0.5 ** ((max(past) - season[on]) / spec.half_life)
+        use = [features.index(f) for f in spec.features or features]
+        want = newton(x[on][:, use], y[on], weight, spec.c)(x[season == spec.target][:, use])
+        assert [got[i, g] for g in np.flatnonzero(season == spec.target)] == pytest.approx(want, abs=1e-6)
+        assert fits[spec].rows == on.sum() and fits[spec].steps < 20
+
+
+def test_fits_without_rows_features_or_spread(spark):
+    from priorline.operators import learn
+
+    df = spark.createDataFrame([(1, 2000, 1.0, None, True), (2, 2000, 1.0, None, False), (3, 2000, 1.0, None, True), (4, 2001, 5.0, None, None)], "game_id int, season int, p double, q double, y boolean")
+    none, flat, free = learn.Spec(1999), learn.Spec(2001), learn.Spec(2001, None, None, 2.0, ())
+    fits = learn.fit_many(df, ["p", "q"], "y", [none, flat, free])
+    assert set(fits) == {flat, free}
+    out = learn.forecasts(df, fits, [flat, free], ["p", "q"]).collect()
+    assert [(r.game_id, r.spec) for r in sorted(out, key=lambda r: r.spec)] == [(4, 0), (4, 1)] and out[0].probability == pytest.approx(2 / 3)
+    assert learn.fit_many(df.where("false"), ["p"], "y", [flat]) == {}
+    with pytest.raises(ValueError):
+        learn.Spec(2001, 0)
+
+
+def test_a_held_out_season_in_a_fit_fails(spark):
+    from priorline.operators import learn
+
+    df = spark.createDataFrame([(1, 1999, 1.0, True), (2, 2000, 2.0, False)], "game_id int, season int, p double, y boolean")
+    with pytest.raises(Exception, match="held-out season"):
+        learn.fit_many(learn.guarded(df, first=2000), ["p"], "y", [learn.Spec(2001)])
+
+
+def test_tie_rules_of_ratings_and_of_logistic_settings(spark):
+    from priorline.operators import selection
+
+    rows = [(0, 3, 0.20000, 0.6), (1, None, 0.20008, 0.6), (2, None, 0.20007, 0.7), (3, 5, 0.20001, 0.5), (4, None, 0.3, 0.1)]
+    df = spark.createDataFrame(rows, "candidate int, history int, mean_brier double, mean_log_loss double")
+    assert selection.preferred_rating(df).first().candidate == 2
+    assert selection.preferred_logistic(df).first().candidate == 0
+    assert selection.preferred_logistic(df.where("history is null")).first().candidate == 2
+    assert selection.preferred_rating(df.where("candidate in (0, 3, 4)")).first().candidate == 0
+
+
+@pytest.mark.parametrize("small", [40, 100_000])
+def test_quantiles_by_selection_equal_numpy(spark, small):
+    from priorline.operators import audit
+
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.lognormal(0, 3, 700), "b": rng.integers(0, 3, 500).astype(float), None: rng.standard_cauchy(300), "c": np.array([1.0, 2.0]), "one": np.full(200, 7.0)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("d", None), ("e", float("nan"))]
+    rows += [("i", v) for v in (float("inf"), float("-inf"), 1.0, 2.0, 3.0, 1e308, -1e308) for _ in range(20)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    at = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {(r.g, r.q): r.value for r in audit.quantiles_by(df, ["g"], "v", at, small=small, parts=16).collect()}
+    assert {g for g, _ in got} == {*groups, "i"}
+    for g, vs in groups.items():
+        assert [got[g, q] for q in at] == pytest.approx(np.quantile(vs, at))
+    assert (got["i", 0.0], got["i", 0.5], got["i", 1.0]) == (float("-inf"), 2.0, float("inf"))
+    assert audit.quantiles(df.where("false"), "v", at).collect() == []
 
 
 def test_logistic_equals_newton(spark):
