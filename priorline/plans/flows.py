@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorline.operators import audit, sequence
-from priorline.plans.views import SIDES, contests, seconds, table
+from priorline.plans.views import CONTESTS, SIDES, contests, seconds, table
 from priorline.sources import pages, report_rows, stores
-from priorline.streaming import sequences
+from priorline.streaming import sequences, snapshots, timed
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
@@ -88,19 +88,30 @@ f as (select *, last_value(g ignore nulls) over w as game_date, last_value(t ign
 select entry, min_by(game_date, event_id) as game_date, min_by(team, event_id) as team, min_by(p, event_id) as player, string_agg(event_type, ' ' order by event_id) as reason from f where entry > 0 group by entry"""
 
 
+def fed(rows: DataFrame, kind: str, order: str, last: dict, files: int = 4) -> DataFrame:
+    """A stream of ``rows`` in a handful of files, one a micro-batch: spans of ``order``, unordered within each.
+
+    ``last`` (columns by name, the others null) ends the feed, so that nothing is left waiting for the watermark.
+    """
+    spark = rows.sparkSession
+    end = spark.range(1).select(*[F.lit(last.get(c)).cast(t).alias(c) for c, t in rows.dtypes])
+    source = scratch(spark, kind)
+    rows.repartitionByRange(files, order).sortWithinPartitions(F.xxhash64(order)).write.parquet(f"{source}/rows")
+    names = sorted(r[0] for r in spark.read.parquet(f"{source}/rows").select(F.input_file_name()).distinct().collect())
+    for i, name in enumerate(names):
+        spark.read.parquet(name).coalesce(1).write.parquet(f"{source}/feed/part={i}")
+    end.coalesce(1).write.parquet(f"{source}/feed/part={len(names)}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/feed")
+
+
+#: The instant of the row that ends a feed.
+END = 4102444800
+
+
 def stream_emit_then_update(spark, d):
     """Form as a stream with keyed state, replayed to its end from files that come one at a time, each unordered."""
     rows = sequence.side_rows(contests(spark, d)).select("game_id", "ts", "season", "team", "won", "margin")
-    # The row that ends the feed: nothing is left waiting for the watermark.
-    last = spark.sql("select 0L as game_id, 4102444800L as ts, 9999 as season, 0 as team, cast(null as boolean) as won, 0 as margin")
-    source = scratch(spark, "sides")
-    ordered = rows.repartitionByRange(4, "ts").sortWithinPartitions(F.xxhash64("game_id"))
-    ordered.write.parquet(f"{source}/rows")
-    files = sorted(r[0] for r in spark.read.parquet(f"{source}/rows").select(F.input_file_name()).distinct().collect())
-    for i, name in enumerate(files):  # a handful of files: one micro-batch each
-        spark.read.parquet(name).coalesce(1).write.parquet(f"{source}/feed/part={i}")
-    last.coalesce(1).write.parquet(f"{source}/feed/part={len(files)}")
-    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/feed")
+    feed = fed(rows, "sides", "ts", {"game_id": 0, "ts": END, "season": 9999, "team": 0, "margin": 0})
     out = sequences.run_to_end(sequences.form_stream(feed), scratch(spark, "stream"), scratch(spark, "form"))
     return out.where("season < 9999").select(
         "game_id", "team", "games_played", *[F.round(c, 6).alias(c) for c in ("win_rate", "mean_margin", "rest_days")]
@@ -112,6 +123,66 @@ STREAM = f"""with {SIDES} select game_id, team, count(won) over w as games_playe
 from sides window w as (partition by season, team order by ts, game_id rows between unbounded preceding and 1 preceding)"""
 
 
+def stream_asof_state(spark, d):
+    """Purchases with the last exactly dated observation of their user: two streams, each from unordered files."""
+    e = table(spark, d, "events").select("event_id", "user_id", seconds(F.col("ts")).alias("ts"), "event_type")
+    exact = (F.col("event_id") % 3 != 0) & (F.col("event_id") % 7 != 0)
+    anchors = fed(e.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), "anchors", "ts", {"user_id": -1, "event_id": -1, "ts": END})
+    seen = fed(e.where((F.col("event_type") != "purchase") & exact), "seen", "ts", {"user_id": -1, "event_id": -2, "ts": END})
+    out, refused = timed.run(timed.asof_stream(anchors, seen, ["user_id"], "ts", "ts", "event_id"), scratch(spark, "stream"), scratch(spark, "asof"))
+    out = out.where("event_id >= 0").withColumn("n_refused", F.lit(refused).cast("long"))
+    return out.select("event_id", "user_id", F.col("seen_event_id").alias("seen_id"), F.col("seen_event_type").alias("seen_type"), "staleness", "n_refused")
+
+
+STREAM_ASOF = """with e as (select event_id, user_id, cast(floor(epoch(ts)) as bigint) as ts, event_type from events),
+o as (select * from e where event_type <> 'purchase' and event_id % 3 <> 0 and event_id % 7 <> 0)
+select a.event_id, a.user_id, o.event_id as seen_id, o.event_type as seen_type, a.ts - o.ts as staleness, 0::bigint as n_refused
+from e a left join o on o.user_id = a.user_id and o.ts <= a.ts where a.event_type = 'purchase'
+qualify row_number() over (partition by a.event_id order by o.ts desc nulls last, o.event_id desc) = 1"""
+
+SOURCES, BEFORES, BEFORE_START = ["market", "report", "lineup"], [86400, 3600, 1800, 600], 900
+
+
+def stream_due_captures(spark, d):
+    """Captures of contests that were announced two days ahead; every seventh moves by an hour a day before, every eleventh is cancelled."""
+    c = contests(spark, d).select("game_id", "ts")
+    first = c.select("game_id", (F.col("ts") - 172800).alias("announced"), F.col("ts").alias("starts"))
+    later = c.where("game_id % 7 = 0 or game_id % 11 = 0").select("game_id", (F.col("ts") - 80000).alias("announced"), F.when(F.col("game_id") % 11 != 0, F.col("ts") + 3600).alias("starts"))
+    feed = fed(first.unionByName(later), "announced", "announced", {"game_id": -1, "announced": END})
+    due = timed.due_captures(feed, "game_id", "announced", "starts", SOURCES, BEFORES, BEFORE_START)
+    return timed.run(due, scratch(spark, "stream"), scratch(spark, "due"))[0]
+
+
+DUE = f"""with {CONTESTS}, p as (select game_id, source, before::bigint as before, ts from contests, (select unnest(['market', 'report', 'lineup']) as source), (select unnest([86400, 3600, 1800]) as before)),
+w as (select *, game_id % 7 = 0 and game_id % 11 <> 0 as moved, game_id % 11 = 0 as gone from p)
+select game_id, source, before, ts - before as capture_ts, ts - {BEFORE_START} as anchor_ts from w where before > 80000 or not (moved or gone)
+union all select game_id, source, before, ts + 3600 - before, ts + 3600 - {BEFORE_START} from w where moved and before <= 80000"""
+
+
+def _state_now(source: str, request: str):
+    """A feed's answer: one source is down for every third request."""
+    if source == "error" and int(request) % 3 == 0:
+        raise OSError("no answer")
+    return {"data": [request] * (int(request) % 4)}
+
+
+def snapshot_captures(spark, d):
+    """Requests from events, captured batch by batch, one batch run twice; what each source gave."""
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("request"))
+    feed = fed(e, "requests", "event_id", {"source": "end", "request": "0"}, 3)
+    path, checkpoint = scratch(spark, "snapshots"), scratch(spark, "stream")
+    off = {"purchase": "no subscription"}
+    snapshots.capture(feed.select("source", "request"), path, checkpoint, _state_now, disabled=off)
+    snapshots.batch_writer(path, _state_now, disabled=off)(spark.createDataFrame([("again", "1")], "source string, request string"), 0)  # a replay adds nothing
+    rows = snapshots.captured(spark, path).where("source <> 'end'").select("source", "request", "status", "records").distinct()
+    return rows.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n_requests"), F.sum("records").alias("n_records"))
+
+
+CAPTURED = """with e as (select distinct event_type as source, user_id as r from events),
+s as (select source, case when source = 'purchase' then 'disabled' when source = 'error' and r % 3 = 0 then 'failed' else 'captured' end as status, r from e)
+select source, status, count(*) as n_requests, sum(case when status = 'captured' then r % 4 else 0 end)::bigint as n_records from s group by all"""
+
+
 def json_report(spark, d):
     """Audit tables as one document."""
     c = contests(spark, d)
@@ -123,5 +194,5 @@ REPORT = "with " + SIDES.split(",\nsides as")[0] + """ select 'seasons' as secti
 union all select 'level', '[{"n":' || count(*) filter (where home_win is null) || '}]' from contests"""
 
 
-QUERIES = {f.__name__: f for f in (json_page_flatten, candle_pages, idempotent_append, report_row_parse, stream_emit_then_update, json_report)}
-ORACLES = {"json_page_flatten": FLATTEN, "candle_pages": CANDLES, "idempotent_append": APPEND, "report_row_parse": REPORT_ROWS, "stream_emit_then_update": STREAM, "json_report": REPORT}
+QUERIES = {f.__name__: f for f in (json_page_flatten, candle_pages, idempotent_append, report_row_parse, stream_emit_then_update, stream_asof_state, stream_due_captures, snapshot_captures, json_report)}
+ORACLES = {"json_page_flatten": FLATTEN, "candle_pages": CANDLES, "idempotent_append": APPEND, "report_row_parse": REPORT_ROWS, "stream_emit_then_update": STREAM, "stream_asof_state": STREAM_ASOF, "stream_due_captures": DUE, "snapshot_captures": CAPTURED, "json_report": REPORT}

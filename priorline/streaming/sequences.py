@@ -1,52 +1,12 @@
-"""The incremental form: keyed state that is emitted before it is updated, and an append-only log of captures."""
+"""Streams of captures and ticks; form, as-of reads and plans with timers are in ``timed``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-#: A side's results so far, and its rows that wait for the watermark, oldest first.
-STATE = "wins long, results long, margin double, last_ts long, waiting array<struct<ts:long,game_id:long,won:boolean,margin:double>>"
-OUT = "game_id long, season int, team int, ts long, games_played long, win_rate double, mean_margin double, rest_days double"
-
-
-def _emit_then_update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    wins, results, margin, last, waiting = state.get if state.exists else (0, 0, 0.0, None, [])
-    waiting = [tuple(w) for w in waiting or []]
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            won = None if r.won is None or pd.isna(r.won) else bool(r.won)
-            waiting.append((int(r.ts), int(r.game_id), won, float(r.margin)))
-    waiting.sort(key=lambda w: w[:2])
-    upto = state.getCurrentWatermarkMs()
-    ready = [w for w in waiting if w[0] * 1000 <= upto]
-    waiting = waiting[len(ready) :]
-    out = []
-    for ts, game_id, won, diff in ready:
-        rates = (wins / results, margin / results) if results else (None, None)
-        out.append((game_id, key[0], key[1], ts, results, *rates, (ts - last) / 86400 if last is not None else None))
-        if won is not None:
-            results, wins, margin, last = results + 1, wins + won, margin + diff, ts
-    state.update((wins, results, margin, last, waiting))
-    if waiting:
-        state.setTimeoutTimestamp(max(waiting[0][0] * 1000, upto + 1))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-
-
-def form_stream(sides: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """What each side's form was before each contest, from a stream of side rows in any order within ``delay``.
 
-    Rows wait in their side's state until the watermark passes them and are then taken in the order of time, whatever
-    order and files they came in; a row that comes after the watermark has passed its instant is refused. A contest
-    without a result leaves nothing behind.
-    """
-    own = sides.select("game_id", "ts", "season", "team", "won", F.col("margin").cast("double").alias("margin"), F.timestamp_seconds("ts").alias("at"))
-    grouped = own.withWatermark("at", delay).groupBy("season", "team")
-    return grouped.applyInPandasWithState(_emit_then_update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+from priorline.streaming import timed
+from priorline.streaming.timed import form_stream  # noqa: F401
 
 
 def captures_once(captures: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -64,6 +24,4 @@ def candles(ticks: DataFrame, delay: str = "5 minutes") -> DataFrame:
 
 def run_to_end(stream: DataFrame, checkpoint: str, sink: str) -> DataFrame:
     """All there is of a stream, into Parquet; started again, it goes on from its checkpoint."""
-    query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.parquet(sink)
+    return timed.run(stream, checkpoint, sink)[0]
