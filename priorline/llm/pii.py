@@ -5,7 +5,7 @@ that fails its check is dropped and not tried again from within.
 
 Disguises: three transducers rewrite a text and keep, for each character they write, the source span it stands for:
 homoglyphs (full-width, Cyrillic and Greek look-alikes; zero-width characters vanish), runs of spelled digits in four
-languages, and at/dot written in words or brackets. The base rules then run over what was written and each match goes
+languages, and at/dot written in words, brackets or character references. The base rules then run over what was written and each match goes
 back to the source span of its first to last character. A text that no transducer changes is searched once. A text with
 spelled digits or worded dots beside other digits is read once more with all of these rewritten, however few stand
 together, and with the figures and signs between them kept; the base checks decide.
@@ -85,10 +85,15 @@ go here him home hosted i in is it it's join learn left live located look lookin
 published read register see shown sign site stay store that them there these this time today up us visit was we website were work working works you""".split())
 #: Bare words count only as a whole: name AT host DOT domain. Found at the word or sign for @, with the name before it.
 AT_SIGN = re.compile(rf"(?i)\x20(?=(?:{AT_WORDS})\x20)|@")
-BARE_NAME, LONGEST_NAME = LOCAL_CHARS, 64
 BARE_AT = re.compile(rf"(?i)\x20(?:{AT_WORDS})\x20")
 BARE_DOT = re.compile(rf"(?i)\x20(?:{DOT_WORDS})\x20")
-BARE_HOST = re.compile(rf"(?i)(?:\x20(?:{AT_WORDS})\x20|@)[A-Za-z0-9-]{{1,63}}(?:(?:\x20(?:{DOT_WORDS})\x20|\.)[A-Za-z0-9-]{{1,63}}){{1,4}}(?![A-Za-z0-9-])")
+BARE_HOST = re.compile(rf"(?i)(?:\x20(?:{AT_WORDS})\x20|@)[A-Za-z0-9-]++(?:(?:\x20(?:{DOT_WORDS})\x20|\.)[A-Za-z0-9-]++)++")
+#: A worded dot or plus sign between two parts of a name, found at its end.
+NAME_SIGN = re.compile(rf"(?i)\x20(?:{DOT_WORDS}|plus)\x20\Z")
+LONGEST_SIGN = max(map(len, [*DOT_WORDS.split("|"), "plus"])) + 2
+BARE_PLUS = re.compile(r"(?i)\x20plus\x20")
+#: Character references of @ and the dot.
+ENTITY_AT, ENTITY_DOT = re.compile(r"(?i)&(?:#0*64|#x0*40|commat);"), re.compile(r"(?i)&(?:#0*46|#x0*2e|period);")
 HAS_WORD_DOT = re.compile(rf"(?i)\x20(?:{DOT_WORDS}|{AT_WORDS})\x20")
 
 #: What a line must hold one of, as a word, for its digits to be rewritten.
@@ -246,18 +251,32 @@ def bracketed(pattern: re.Pattern, text: str, written: str) -> list[tuple[int, i
 
 
 def bare_addresses(text: str) -> Iterator[tuple[int, int]]:
-    """Leftmost name AT host DOT domain, each name a whole run of at most LONGEST_NAME characters."""
+    """Leftmost name AT host DOT domain, each name a whole run. Where the host's dots are words, the name's may be too."""
     end = 0
     for at in AT_SIGN.finditer(text):
-        start, least = at.start(), max(end, at.start() - LONGEST_NAME - 1)
-        while start > least and text[start - 1] in BARE_NAME:
-            start -= 1
-        if not 1 <= at.start() - start <= LONGEST_NAME or (start and text[start - 1] in BARE_NAME):
+        if at.start() < end:
             continue
         host = BARE_HOST.match(text, at.start())
-        if host:
-            yield start, host.end()
-            end = host.end()
+        if not host:
+            continue
+        start = _name_start(text, at.start(), end)
+        if start == at.start():
+            continue
+        while BARE_DOT.search(text, at.start(), host.end()):
+            sign = NAME_SIGN.search(text, max(end, start - LONGEST_SIGN), start)
+            before = _name_start(text, sign.start(), end) if sign else start
+            if not sign or before == sign.start() or text[before : sign.start()].lower() in NO_NAMES:
+                break
+            start = before
+        yield start, host.end()
+        end = host.end()
+
+
+def _name_start(text: str, at: int, least: int) -> int:
+    """Where the run of name characters begins that ends at ``at``."""
+    while at > least and text[at - 1] in LOCAL_CHARS:
+        at -= 1
+    return at
 
 
 def _mixed_digits(text: str, lines: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
@@ -305,6 +324,9 @@ def readings(text: str) -> list[Rewritten]:
     digits = _mixed_digits(mixed.text, list(telling_lines(mixed.text)) if dots else lines)
     mixed.replace(digits)
     out.replace(_spelled_runs(out.text, lines))
+    if "&" in out.text:
+        out.replace([(m.start(), m.end(), "@") for m in ENTITY_AT.finditer(out.text)])
+        out.replace([(m.start(), m.end(), ".") for m in ENTITY_DOT.finditer(out.text)])
     out.replace(bracketed(BRACKET_AT, out.text, "@"))
     out.replace(bracketed(BRACKET_DOT, out.text, "."))
     if HAS_WORD_DOT.search(out.text):
@@ -314,6 +336,7 @@ def readings(text: str) -> list[Rewritten]:
             if BARE_DOT.search(out.text, start, end) or (word and out.text[start : word.start()].lower() not in NO_NAMES):
                 edits += [(a.start(), a.end(), "@") for a in BARE_AT.finditer(out.text, start, end)]
                 edits += [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(out.text, start, end)]
+                edits += [(d.start(), d.end(), "+") for d in BARE_PLUS.finditer(out.text, start, end)]
         out.replace(sorted(edits))
     return [x for x in ((out, mixed) if digits else (out,)) if x.changed]
 

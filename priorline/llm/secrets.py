@@ -2,16 +2,19 @@
 
 Base rules: assign, access and hex patterns, leftmost and non-overlapping for each kind.
 
-Lexing: each line that holds an assignment sign is read as tokens (names, string literals, bare values, operators),
-together with the next where the sign ends it. ``name = literal``, ``name: literal``, ``"name": literal``, ``name=bare``
-and ``export NAME=bare`` become name-literal pairs; a chain ``a = b = "x"`` names the literal by all of them. A name
-assigned from another name takes that name's literals (constants are propagated, in reading order and through chains),
-and ``"a" + B`` joins what is known. Each assignment is a node that points at its literals and at the earlier assignments
-it takes from; what the names weigh runs down these pointers once, last assignment first, so the work is linear in the
-text whatever its constants repeat. A literal is scored by the most sensitive word in the names that reach it, by its
-length, its mix of characters and its entropy; private keys and JWTs by their shape, PEM blocks of several lines from
-their first line to their last, assigned or not; from ``THRESHOLD`` on its whole span is added as kind ``assign``. Spans
-of the base rules always stay; an added span inside a base span is dropped, as that secret is already reported.
+Lexing: each statement that holds an assignment sign is read as tokens (names, string literals, bare values, operators):
+a line, with the next where the sign or a backslash ends it. ``name = literal``, ``name: literal``, ``"name": literal``,
+``name=bare`` and ``export NAME=bare`` become name-literal pairs; a chain ``a = b = "x"`` names the literal by all of
+them. Values of several lines are one literal to their real end: triple-quoted and back-quoted strings, and the indented
+lines of a YAML block scalar (``key: |``). A name assigned from another name takes that name's literals (constants are
+propagated, in reading order and through chains), and ``"a" + B`` joins what is known. Each assignment is a node that
+points at its literals and at the earlier assignments it takes from; what the names weigh runs down these pointers once,
+last assignment first, and what the values hold (length, counts of characters) runs up, so the work is linear in the text
+whatever its constants repeat. A literal is scored by the most sensitive word in the names that reach it, by its length,
+its mix of characters and its entropy, and what an assignment joins is scored as one value too, which reports all its
+literals; private keys and JWTs by their shape, PEM blocks of several lines from their first line to their last, assigned
+or not; from ``THRESHOLD`` on a literal's whole span is added as kind ``assign``. Spans of the base rules always stay; an
+added span inside a base span is dropped, as that secret is already reported.
 
 Null text counts as empty and gives no spans. Repeated rows and equal ids are scanned row by row.
 """
@@ -47,18 +50,26 @@ SENSITIVE = {
 #: Literals that stand for no secret.
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|0+|1+|none|null|nil|true|false|undefined|change_?me|example|your[_-].*|<.*>|\$\{.*\}|%.*%|todo|test|dummy|placeholder|redacted)$")
 THRESHOLD = 1.0
-#: The mix of characters of a literal is that of its first SCORED ones.
-SCORED = 4096
+#: Joined values up to so many characters are kept as text, to see their shape; of longer ones length and counts are.
+JOINED_TEXT = 1 << 16
 #: Names whose literals may be of several words, and shapes that are secrets under any name.
 PHRASES = frozenset(("password", "passwd", "pwd", "passphrase"))
 PEM_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----")
 PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY-----")
 SHAPE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
-STRINGS = {'"': r"""\"(?:[^"\\\n]++|\\.)*+\"""", "'": r"""'(?:[^'\\\n]++|\\.)*+'""", "`": r"`[^`\n]*+`"}
+STRINGS = {'"': r"""\"(?:[^"\\\n]++|\\[\s\S])*+\"""", "'": r"""'(?:[^'\\\n]++|\\[\s\S])*+'""", "`": r"`[^`\n]*+`"}
 REST = (
     r"""(?P<assign>:=|=>|(?<![=!<>])=(?!=)|:(?!//))|(?P<plus>\+)|(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)|(?P<bare>[A-Za-z0-9+/_.=@!#%^&*~-]+)|(?P<end>[;,{}()\[\]])|(?P<other>\S)"""
 )
+#: A name, a sign, and the start of a value of several lines: triple or back quotes, or a block scalar's mark at a line's end.
+SEVERAL = re.compile(
+    r"""(?<![A-Za-z0-9_$.-])(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)["']?[\x20\t]*+(?::=|=>|=(?!=)|:)[\x20\t]*+(?:[rbuf]{0,2}(?P<quotes>\"{3}|'{3})|(?P<back>`)|(?P<block>[|>][+-]?[0-9]?[+-]?)[\x20\t]*+\r?(?=\n))""",
+    re.ASCII,
+)
+INDENT = re.compile(r"[\x20\t]*+")
+#: What stands between the lines of a value: no part of it where it is scored.
+LINE_END = re.compile(r"\\?\r?\n[\x20\t]*+")
 BARE_VALUE = re.compile(r"[^\s'\"`,;(){}\[\]<>]+")
 #: Where a line can hold a pair at all: a sign with something before and after it, not a scheme's colon.
 SIGN = re.compile(r"""[A-Za-z0-9_"'`\])][\x20\t]*(?::=|=>|=(?!=)|:(?!//))[\x20\t]*+(?:\r?\n[\x20\t]*+)?[^\s=]""")
@@ -96,12 +107,6 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
-def entropy(value: str) -> float:
-    """Bits for each character."""
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
-
-
 def sensitivity(name: str) -> float:
     """The most sensitive word of a name; ``apiKey``, ``API_KEY`` and ``api-key`` are the same words."""
     words = [w.lower() for w in WORDS.findall(name)]
@@ -115,22 +120,87 @@ def weight(names: list[str]) -> tuple[float, bool]:
     return max(map(sensitivity, names), default=0.0), phrase
 
 
-def score(named: tuple[float, bool], value: str) -> float:
+class Value:
+    """What a score needs of a value: its length, counts of characters, last one, and the text itself while it is not long."""
+
+    __slots__ = ("n", "counts", "last", "text")
+
+    def __init__(self, n: int, counts: Counter, last: str, text: str | None) -> None:
+        self.n, self.counts, self.last, self.text = n, counts, last, text
+
+    @classmethod
+    def of(cls, text: str) -> Value:
+        text = LINE_END.sub("", text)
+        return cls(len(text), Counter(text), text[-1:], text)
+
+    def __add__(self, other: Value) -> Value:
+        n = self.n + other.n
+        text = self.text + other.text if n <= JOINED_TEXT and self.text is not None and other.text is not None else None
+        return Value(n, self.counts + other.counts, other.last or self.last, text)
+
+    def entropy(self) -> float:
+        """Bits for each character."""
+        return -sum(c / self.n * math.log2(c / self.n) for c in self.counts.values()) if self.n else 0.0
+
+    def kinds(self) -> int:
+        """How many there are of lower case, upper case, digits and others."""
+        return len({0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in self.counts})
+
+
+def score(named: tuple[float, bool], value: Value) -> float:
     """Names (by ``weight``) weigh most; random-looking values add up to 0.6, short or plain ones take away.
 
     Keys and tokens by their shape, whatever the name.
     """
-    if SHAPE.match(value):
+    if value.text is not None and SHAPE.match(value.text):
         return 2.0
     most, phrase = named
-    if not most or len(value) < 6 or PLACEHOLDER.match(value):
+    if not most or value.n < 6 or (value.text is not None and PLACEHOLDER.match(value.text)):
         return 0.0
-    part = value[:SCORED]
     # Several words are a secret only as a pass phrase; text that names secrets is about them.
-    if BLANK.search(value) and (not phrase or part[-1] in ".:?!" or sensitivity(part)):
+    if any(c.isspace() for c in value.counts) and (not phrase or value.last in ".:?!" or value.text is None or sensitivity(value.text)):
         return 0.0
-    kinds = sum(bool(re.search(p, part)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    return most + min(0.6, 0.15 * (entropy(part) - 2)) * (len(part) >= 8) + 0.1 * (kinds - 1) - 0.3 * (kinds == 1)
+    kinds = value.kinds()
+    return most + min(0.6, 0.15 * (value.entropy() - 2)) * (value.n >= 8) + 0.1 * (kinds - 1) - 0.3 * (kinds == 1)
+
+
+def several_lines(text: str) -> Iterator[tuple[int, int, str, tuple[int, int]]]:
+    """Start of the name, end of the whole, name and value span of each value of several lines. What nothing closes is none."""
+    unclosed: set[str] = set()
+    found = SEVERAL.search(text)
+    while found:
+        at, mark = found.end(), found["quotes"] or found["back"]
+        if mark:
+            end = -1 if mark in unclosed else text.find(mark, at)
+            if end < 0:
+                unclosed.add(mark)
+            elif text.find("\n", at, end) >= 0:
+                yield found.start(), end + len(mark), found["name"], (at, end)
+                at = end + len(mark)
+        else:
+            key = INDENT.match(text, text.rfind("\n", 0, found.start()) + 1)
+            deep, line, first, last = key.end() - key.start(), text.find("\n", at) + 1, None, at
+            while 0 < line < len(text):
+                stop = text.find("\n", line)
+                stop = len(text) if stop < 0 else stop
+                indent = INDENT.match(text, line, stop)
+                if indent.end() < stop and text[indent.end() : stop].strip():
+                    if indent.end() - line <= deep:
+                        break
+                    first, last = indent.end() if first is None else first, len(text[:stop].rstrip()) if text[stop - 1 : stop].isspace() else stop
+                line = stop + 1
+            if first is not None:
+                yield found.start(), last, found["name"], (first, last)
+                at = last
+        found = SEVERAL.search(text, at)
+
+
+def statement_end(text: str, at: int) -> int:
+    """The next line end from ``at`` on that no backslash continues."""
+    end = text.find("\n", at)
+    while end >= 0 and text[at:end].removesuffix("\r").endswith("\\"):
+        at, end = end + 1, text.find("\n", end + 1)
+    return len(text) if end < 0 else end
 
 
 def assignments(text: str) -> list[tuple[list[str], list[tuple[int, int] | int]]]:
@@ -138,11 +208,23 @@ def assignments(text: str) -> list[tuple[list[str], list[tuple[int, int] | int]]
     made: list[tuple[list[str], list[tuple[int, int] | int]]] = []
     known: dict[str, int] = {}
     at = run = digit = 0
+    blocks = several_lines(text)
+    block = next(blocks, None)
     found = SIGN.search(text)
-    while found:
-        begin = text.rfind("\n", at, found.start()) + 1 or at
-        end = text.find("\n", found.end())
-        end = len(text) if end < 0 else end
+    while found or block:
+        begin = (text.rfind("\n", at, found.start()) + 1 or at) if found else len(text)
+        end = statement_end(text, found.end() - 1) if found else len(text)
+        if block and block[0] < end:
+            start, end, name, span = block
+            if not found or start <= found.start() or text.find("\n", found.start(), start) < 0:
+                if start >= at:  # else it began within what has been read
+                    known[name] = len(made)
+                    made.append(([name], [span]))
+                    at = max(at, end)
+                block = next(blocks, None)
+                found = SIGN.search(text, at)
+                continue
+            end = text.rfind("\n", 0, start)
         names: list[str] = []
         values: list[tuple[int, int] | int] = []
         last: tuple[str, int, int] | None = None
@@ -191,6 +273,8 @@ def assignments(text: str) -> list[tuple[list[str], list[tuple[int, int] | int]]
                 elif values:
                     close()
                 last = (word, *m.span())
+            elif word == "\\" and text[m.end() : m.end() + 2].startswith(("\n", "\r\n")):
+                continue  # the statement goes on
             elif kind == "end" or not expects:
                 close()
                 last, expects = None, False
@@ -200,21 +284,30 @@ def assignments(text: str) -> list[tuple[list[str], list[tuple[int, int] | int]]
     return made
 
 
-def literals(text: str) -> dict[tuple[int, int], tuple[float, bool]]:
-    """What the names weigh that reach each literal, by its span."""
+def secret_literals(text: str) -> list[tuple[int, int]]:
+    """Spans of the literals that score as secrets, alone or joined."""
     made = assignments(text)
     weights = [weight(names) for names, _ in made]
+    values: list[Value] = []
+    for _, parts in made:
+        values.append(sum((values[p] if isinstance(p, int) else Value.of(text[slice(*p)]) for p in parts), Value(0, Counter(), "", "")))
     reached: dict[tuple[int, int], tuple[float, bool]] = {}
+    whole = [False] * len(made)
+    found: dict[tuple[int, int], bool] = {}
     # An assignment takes from earlier ones only, so by its turn all that take from it have added their weight.
     for i in range(len(made) - 1, -1, -1):
         most, phrase = weights[i]
-        for value in made[i][1]:
+        parts = made[i][1]
+        whole[i] = whole[i] or (len(parts) > 1 and score(weights[i], values[i]) >= THRESHOLD)
+        for value in parts:
             if isinstance(value, int):
                 weights[value] = (max(weights[value][0], most), weights[value][1] or phrase)
+                whole[value] = whole[value] or whole[i]
             else:
                 before = reached.get(value, (0.0, False))
                 reached[value] = (max(before[0], most), before[1] or phrase)
-    return reached
+                found[value] = found.get(value, False) or (whole[i] and value[0] < value[1])
+    return [span for span, named in reached.items() if found[span] or score(named, Value.of(text[slice(*span)])) >= THRESHOLD]
 
 
 def pem_blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -234,7 +327,7 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
     base = sorted(((a, b, k) for k, spans in base_spans(text).items() for a, b in spans), key=lambda s: (s[0], order[s[2]]))
     blocks = list(pem_blocks(text))
     inside = Inside([(a, b) for a, b, _ in base] + blocks)
-    new = [span for span, named in literals(text).items() if not inside(*span) and score(named, text[slice(*span)]) >= THRESHOLD]
+    new = [span for span in secret_literals(text) if not inside(*span)]
     inside = Inside([(a, b) for a, b, _ in base] + new)
     new = [(a, b, "assign") for a, b in new + [block for block in blocks if not inside(*block)]]
     return base, sorted(base + new, key=lambda s: (s[0], order[s[2]])) if new else base

@@ -10,10 +10,9 @@ are looked up. Past the leading tokens, which all lines of a leaf share, the pla
 may differ, so a template that a line may join has a block equal to the line's.
 
 Documents of one near-duplicate component (the n-gram Jaccard join of ``jaccard``, over all documents that hold a line
-whose template another has too) hold the same lines because they are copies as a whole, and count as one occurrence. A template that occurs in ``MIN_DOCS`` components is dropped from all
-its documents, copies too; one that stays within a component is left for near-duplicate search. Lines of fewer than
-``MIN_TOKENS`` tokens are never dropped. Without ``components``, which no query does, documents of which ``COPY_WORDS``
-percent or more of the words recur are taken for copies, neither counted nor changed.
+whose template another has too) hold the same lines because they are copies as a whole, and count as one occurrence. A
+template that occurs in ``MIN_DOCS`` components is dropped from all its documents, copies too; one that stays within a
+component is left for near-duplicate search. Lines of fewer than ``MIN_TOKENS`` tokens are never dropped.
 
 Null text stays null, empty text empty. Rows with equal ids are documents of their own unless their texts are equal too,
 which count as one. Dropped lines go with their line end; all else stays byte for byte.
@@ -31,14 +30,17 @@ from pyspark.sql import functions as F
 
 from priorline.llm import jaccard
 from priorline.llm.common import bounded_batches, collected, durable, forget, release, rows_of
+from priorline.llm.native import let
 
-MIN_TOKENS, MIN_DOCS, COPY_WORDS = 5, 2, 75
+MIN_TOKENS, MIN_DOCS = 5, 2
 DEPTH = 3
 SIMILAR = 0.8
 #: Up to so many templates of a leaf are compared with a line without a look-up.
 DENSE = 64
 #: Rows of two numbers that are broadcast: 16 MB. Beyond, joins are by shuffle, and adaptive execution splits hot keys.
 BROADCAST_LINES = 500_000
+#: Distinct lines that a task remembers as sent; a line forgotten is sent once more.
+REMEMBERED_LINES = 200_000
 DIGIT = re.compile(rb"[0-9]")
 VARIABLE = xxhash.xxh3_64_intdigest(b"<*>")
 
@@ -62,37 +64,35 @@ def _signed(x: int) -> int:
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
-    """row_key, line_no, words, line (hash) and leaf; tokens (32-bit hashes) once for each line and task. Short lines have words alone."""
+    """row_key, line_no, line (hash) and leaf of every line of at least MIN_TOKENS tokens; tokens (32-bit hashes) once for each line and task."""
 
     def run(batches):
         forget()
         seen: set[int] = set()
         for batch in batches:
-            cols: dict[str, list] = {k: [] for k in ("row", "line_no", "words", "line", "leaf", "tokens")}
+            cols: dict[str, list] = {k: [] for k in ("row", "line_no", "line", "leaf", "tokens")}
             held = 0
 
             def flushed():
                 return pa.RecordBatch.from_arrays(
-                    [batch.column("row_key").take(pa.array(cols["row"], pa.int64())), pa.array(cols["line_no"], pa.int32()), pa.array(cols["words"], pa.int32()), pa.array(cols["line"], pa.int64()), pa.array(cols["leaf"], pa.int64()), pa.array(cols["tokens"], pa.binary())],
-                    names=["row_key", "line_no", "words", "line", "leaf", "tokens"],
+                    [batch.column("row_key").take(pa.array(cols["row"], pa.int64())), pa.array(cols["line_no"], pa.int32()), pa.array(cols["line"], pa.int64()), pa.array(cols["leaf"], pa.int64()), pa.array(cols["tokens"], pa.binary())],
+                    names=["row_key", "line_no", "line", "leaf", "tokens"],
                 )
 
             for row, value in enumerate(batch.column("text").cast(pa.binary())):
                 for number, line in enumerate(value.as_py().split(b"\n")):
                     words = line.split()
                     n = len(words)
-                    if not n:
+                    if n < MIN_TOKENS:
                         continue
-                    one = leaf = tokens = None
-                    if n >= MIN_TOKENS:
-                        hashed = token_hashes(words)
-                        one = _signed(xxhash.xxh3_64_intdigest(hashed.tobytes()))
-                        leaf = _signed(xxhash.xxh3_64_intdigest(hashed[:DEPTH].tobytes(), seed=n))
-                        if one not in seen:
-                            seen.add(one)
-                            tokens = np.where(hashed == VARIABLE, 0, hashed | np.uint64(1)).astype(np.uint32).tobytes()
-                            held += len(tokens)
-                    for k, v in zip(cols, (row, number, n, one, leaf, tokens), strict=True):
+                    hashed, tokens = token_hashes(words), None
+                    one = _signed(xxhash.xxh3_64_intdigest(hashed.tobytes()))
+                    leaf = _signed(xxhash.xxh3_64_intdigest(hashed[:DEPTH].tobytes(), seed=n))
+                    if one not in seen:
+                        seen.add(one)
+                        tokens = np.where(hashed == VARIABLE, 0, hashed | np.uint64(1)).astype(np.uint32).tobytes()
+                        held += len(tokens)
+                    for k, v in zip(cols, (row, number, one, leaf, tokens), strict=True):
                         cols[k].append(v)
                     held += 50
                 if held > 8 << 20:
@@ -101,10 +101,10 @@ def lines_of(texts: DataFrame) -> DataFrame:
                         v.clear()
                     held = 0
             yield flushed()
-            if len(seen) > 2_000_000:
+            if len(seen) > REMEMBERED_LINES:
                 seen.clear()
 
-    return texts.mapInArrow(run, "row_key long, line_no int, words int, line long, leaf long, tokens binary")
+    return texts.mapInArrow(run, "row_key long, line_no int, line long, leaf long, tokens binary")
 
 
 class Leaf:
@@ -166,7 +166,7 @@ class Leaf:
 
 def templates(lines: DataFrame, parts: int) -> DataFrame:
     """line and template of every line that is not its template's first."""
-    shared = durable(lines.where("line is not null").groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf"), "shared")
+    shared = durable(lines.groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf"), "shared")
     own = lines.where("tokens is not null").select("line", "leaf", "tokens")
     # Most leaves hold one line; only the others' tokens are moved.
     own = own.join(_small(shared), "leaf", "left_semi").dropDuplicates(["line"])
@@ -207,7 +207,7 @@ def lines_by_row(rows: DataFrame) -> DataFrame:
     return rows.groupBy("row_key").agg(F.array_sort(F.collect_set("line_no")).alias("line_nos"))
 
 
-def dropped_lines(docs: DataFrame, components: bool) -> DataFrame:
+def dropped_lines(docs: DataFrame) -> DataFrame:
     """row_key and the line numbers (from 0) that its document loses."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -215,43 +215,38 @@ def dropped_lines(docs: DataFrame, components: bool) -> DataFrame:
     lines = durable(lines_of(keyed), "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     renamed = durable(templates(lines, parts), "templates")
-    named = lines.where("line is not null").select("row_key", "line_no", "words", "line").join(_small(renamed), "line", "left")
-    rows = durable(named.select("row_key", "line_no", "words", F.coalesce("template", "line").alias("template")), "rows")
+    named = lines.select("row_key", "line_no", "line").join(_small(renamed), "line", "left")
+    rows = durable(named.select("row_key", "line_no", F.coalesce("template", "line").alias("template")), "rows")
     often = durable(in_recurring(rows, rows, "row_key"), "often")
-    if components:
-        for done in (lines, renamed, rows):
-            release(done)
-        if not rows_of(often):
-            return lines_by_row(often)
-        # The join needs as much room as what has run so far: shuffle files go when the driver collects its garbage.
-        collected(spark)
-        holders = durable(often.select("row_key").distinct(), "holders")
-        held = docs.select("doc_id", "text", row_key(docs).alias("row_key")).join(_small(holders), "row_key", "left_semi")
-        copies = durable(jaccard.nodes(held).select("row_key", F.coalesce("node", "row_key").alias("node")).distinct(), "copies")
-        drops = durable(lines_by_row(in_recurring(often, often.join(_small(copies), "row_key"), "node")), "drops")
-        for done in (often, holders, copies):
-            release(done)
-        return drops
-    length = lines.groupBy("row_key").agg(F.sum("words").alias("all"))
-    copies = often.groupBy("row_key").agg(F.sum("words").alias("again")).join(length, "row_key").where(F.col("again") * 100 >= F.col("all") * COPY_WORDS).select("row_key")
-    copies = durable(copies, "copies")
-    mixed_rows = durable(often.join(copies, "row_key", "left_anti"), "mixed")
-    drops = durable(lines_by_row(in_recurring(mixed_rows, mixed_rows, "row_key")), "drops")
-    for done in (lines, renamed, rows, often, copies, mixed_rows):
+    for done in (lines, renamed, rows):
+        release(done)
+    if not rows_of(often):
+        return lines_by_row(often)
+    # The join needs as much room as what has run so far: shuffle files go when the driver collects its garbage.
+    collected(spark)
+    holders = durable(often.select("row_key").distinct(), "holders")
+    held = docs.select("doc_id", "text", row_key(docs).alias("row_key")).join(_small(holders), "row_key", "left_semi")
+    copies = durable(jaccard.nodes(held).select("row_key", F.coalesce("node", "row_key").alias("node")).distinct(), "copies")
+    drops = durable(lines_by_row(in_recurring(often, often.join(_small(copies), "row_key"), "node")), "drops")
+    for done in (often, holders, copies):
         release(done)
     return drops
 
 
-def without_lines(docs: DataFrame, components: bool = False) -> DataFrame:
+def without_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its recurring lines dropped from ``text`` and their number in ``_pl_dropped``; all other columns as they were."""
-    drops = dropped_lines(docs, components)
+    drops = dropped_lines(docs)
     if (drops.agg(F.sum(F.size("line_nos"))).first()[0] or 0) <= BROADCAST_LINES:
         drops = F.broadcast(drops)
     # The columns of docs travel as one, so that no name of theirs can clash; a column named _pl_dropped is replaced.
     keyed = docs.select(row_key(docs).alias("row_key"), F.struct("*").alias("row"))
     joined = keyed.join(drops, "row_key", "left")
-    kept = F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains(F.col("line_nos"), i))
-    text = F.when(F.col("line_nos").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+
+    def left(lines: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("line_nos"))  # hashed: linear in both
+        return F.transform(numbers, lambda i: F.get(lines, i))
+
+    text = F.when(F.col("line_nos").isNull(), F.col("row.text")).otherwise(F.array_join(let(F.split("row.text", "\n"), left), "\n"))
     dropped = F.when(F.col("line_nos").isNull(), F.lit(0)).otherwise(F.size("line_nos")).cast("long")
     own = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "_pl_dropped"]
     return joined.select(*own, dropped.alias("_pl_dropped"))

@@ -39,7 +39,8 @@ BLOCK = 1 << 20
 #: Digests of several pages that are broadcast (28 bytes each), and tasks that share a digest beyond.
 BROADCAST_DIGESTS, SALTS = 500_000, 64
 RANGE_BYTES = 32 << 20
-HEADER_LIMIT = 1 << 16
+#: Bytes of a header block that are inflated at a time, and what each begins with.
+HEADER_STEP, START = 1 << 14, b"WARC/1."
 
 RECORD = "start long, type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -137,32 +138,57 @@ class Span:
         self.at += n
 
 
-def inflate(span: Span, limit: int | None = None) -> tuple[bytes, int] | None:
-    """The gzip member at ``span.at`` and its compressed size; with ``limit`` only that many bytes, size 0. None: no member."""
+def inflate(span: Span) -> tuple[bytes, int] | None:
+    """The gzip member at ``span.at`` and its compressed size. None: no member."""
     z = zlib.decompressobj(31)
-    parts, read, got = [], 0, 0
+    parts, read = [], 0
     try:
         while not z.eof:
             data = span.need(read + BLOCK)[read : read + BLOCK]
             if not data:
                 return None
-            part = z.decompress(data, limit - got if limit else 0)
-            parts.append(part)
-            got += len(part)
+            parts.append(z.decompress(data))
             read += len(data)
-            if limit and (got >= limit or b"\r\n\r\n" in part):
-                return b"".join(parts), 0
     except zlib.error:
         return None
     return b"".join(parts), read - len(z.unused_data)
 
 
+def starts_record(span: Span) -> bool:
+    """Whether the gzip member at ``span.at`` begins with a WARC header block, which is read to its blank line, however long.
+
+    Anything else ends the search at its first bytes or at its first line that is no field.
+    """
+    z, head, seen, read, data = zlib.decompressobj(31), bytearray(), 0, 0, b""
+    try:
+        while not z.eof:
+            if not data:
+                data = bytes(span.need(read + BLOCK)[read : read + BLOCK])
+                read += len(data)
+                if not data:
+                    return False
+            head += z.decompress(data, HEADER_STEP)
+            data = z.unconsumed_tail
+            if not head[: len(START)] == START[: len(head)]:
+                return False
+            end = head.find(b"\r\n\r\n", max(0, seen - 3))
+            if end >= 0:
+                return is_header(bytes(head[:end]))
+            whole = head.rfind(b"\r\n")  # complete lines end here; the first is the version's
+            if whole > seen and any(b":" not in line for line in bytes(head[seen:whole]).split(b"\r\n")[0 if seen else 1 :]):
+                return False
+            seen = max(seen, whole + 2)
+    except zlib.error:
+        return False
+    return False
+
+
 def is_header(head: bytes) -> bool:
-    """Whether an inflated start is a WARC header block: its version line, and field lines as far as it goes."""
-    if not head.startswith(b"WARC/1."):
+    """Whether ``head`` is a WARC header block: its version line, and field lines, one of which gives the type."""
+    if not head.startswith(START):
         return False
-    lines = head.split(b"\r\n\r\n", 1)[0].split(b"\r\n")
-    return any(line.lower().startswith(b"warc-type:") for line in lines[1:]) and all(b":" in line for line in lines[1:])
+    lines = head.split(b"\r\n")[1:]
+    return any(line.lower().startswith(b"warc-type:") for line in lines) and all(b":" in line for line in lines)
 
 
 def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -179,8 +205,7 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         span.skip(found)
         if span.at >= end:
             return
-        head = inflate(span, HEADER_LIMIT)
-        whole = inflate(span) if head and is_header(head[0]) else None
+        whole = inflate(span) if starts_record(span) else None
         if whole is None:
             span.skip(1)
             continue

@@ -97,15 +97,21 @@ def plain_without(texts: list[str]) -> list[str]:
     long = {tuple(x) for t in masked for x in t if len(x) >= templates.MIN_TOKENS}
     name = plain_templates([list(x) for x in long])
 
-    def often(docs):
-        n = collections.Counter(x for i in docs for x in {name[tuple(x)] for x in masked[i] if tuple(x) in name})
+    def often(of):
+        n = collections.Counter(x for x, _ in {(name[tuple(x)], of(i)) for i in range(len(texts)) for x in masked[i] if tuple(x) in name})
         return {x for x, c in n.items() if c >= templates.MIN_DOCS}
 
-    again = often(range(len(texts)))
-    part = lambda i: 100 * sum(len(x) for x in masked[i] if tuple(x) in name and name[tuple(x)] in again)
-    mixed = [i for i in range(len(texts)) if part(i) < templates.COPY_WORDS * max(1, sum(map(len, masked[i])))]
-    gone = often(mixed)
-    return ["\n".join(line for line, x in zip(t.split("\n"), masked[i], strict=True) if not (i in mixed and tuple(x) in name and name[tuple(x)] in gone)) for i, t in enumerate(texts)]
+    again = often(lambda i: texts[i])
+    holds = [i for i in range(len(texts)) if any(name.get(tuple(x)) in again for x in masked[i])]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i in holds if (w := texts[i].lower().split())}
+    root = {i: i for i in range(len(texts))}
+    for i in sets:
+        for j in sets:
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    gone = again & often(lambda i: root[i])
+    return ["\n".join(line for line, x in zip(t.split("\n"), masked[i], strict=True) if name.get(tuple(x)) not in gone) for i, t in enumerate(texts)]
 
 
 def test_templates_equal_the_plain_tree(spark):
@@ -138,7 +144,7 @@ def test_templates_one_rule_in_large_leaves(spark):
     # One leaf of 5,000 distinct lines that also agree in their first six words; the other words vary, or one name does.
     texts = [f"the same six words come first {word()} {word()} {word()} {word()}" for _ in range(4400)]
     texts += [f"the same six words come first {word()} but little else" for _ in range(600)]
-    got = {r.doc_id: r.text for r in templates.without_lines(docs_of(spark, texts), components=True).collect()}
+    got = {r.doc_id: r.text for r in templates.without_lines(docs_of(spark, texts)).collect()}
     assert not any(got[i] for i in range(4400, 5000))
     # Every line as the plain rule names it, in the same order.
     name = plain_templates([t.split() for t in sorted(set(texts[:900] + texts[4900:]))])
@@ -156,7 +162,7 @@ def test_templates_recur_across_components(spark):
     passage, other, inner = own(20), own(20), own(40)
     copied = f"{passage}\n{inner}\n{own(40)}"
     texts = [copied, copied + "\nthe end", f"{own(90)}\n{passage}", f"{passage}\n{other}", f"{own(90)}\n{other}", own(50)]
-    left = {r.doc_id: r.text for r in templates.without_lines(docs_of(spark, texts), components=True).collect()}
+    left = {r.doc_id: r.text for r in templates.without_lines(docs_of(spark, texts)).collect()}
     # Near copies lose what they share with others and keep what they share with each other; patchworks lose all.
     assert not any(x in t for t in left.values() for x in (passage, other))
     assert all(inner in left[i] for i in (0, 1)) and left[0] == copied.split("\n", 1)[1]
@@ -298,7 +304,7 @@ def test_jaccard_keeps_columns_of_any_name(spark):
     odd = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("row_key", "row", "first", "n", "_pl_key", "_pl_kept", "a.b"))])
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns and kept.count() == 2
-    left = templates.without_lines(odd, components=True)
+    left = templates.without_lines(odd)
     assert left.drop("_pl_dropped").columns == odd.columns and left.count() == 3
     benchmark = spark.createDataFrame([(1, "g h i j k l m")], "item_id long, text string")
     clean = decontaminate.decontaminated(odd, benchmark)
