@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,19 +53,83 @@ def _list(name: str | None) -> Column:
     return F.lit(None).cast("string") if name is None else F.array_join(F.col(name).cast("array<string>"), ",")
 
 
-def cascade(rows: DataFrame, tiers: list[tuple[str, DataFrame, list[str]]], resolved: str) -> DataFrame:
-    """Resolve rows by the first tier that knows them: (method, lookup with ``resolved``, key columns); adds method.
+@dataclass(frozen=True)
+class Tier:
+    """One way to know a row: a lookup of unique keys. With ``ends``, a row that has these keys ends here, known or not.
+
+    ``ends`` is the reason such a row gets where the lookup does not know it.
+    """
+
+    method: str
+    lookup: DataFrame
+    keys: list[str]
+    ends: str | None = None
+
+
+@dataclass(frozen=True)
+class Stop:
+    """Rows that meet the condition and were not decided before end unresolved, for this reason."""
+
+    condition: Column
+    reason: str
+
+
+#: The reason of a row that no tier decides.
+UNKNOWN = "unknown"
+
+
+def registered(entries: DataFrame, keys: list[str], resolved: str, conflicts: str = "fail") -> DataFrame:
+    """A lookup from ``entries``: each key once. Equal entries are one; entries without one of the keys are left out.
+
+    A key that several ids claim fails the job when it runs (``fail``), or resolves to none (``none``).
+    """
+    known = entries.dropna(subset=[*keys, resolved]).groupBy(*keys).agg(F.min(resolved).alias(resolved), F.max(resolved).alias("_other"))
+    same = F.col(resolved) == F.col("_other")
+    if conflicts == "fail":
+        text = F.concat(F.lit("a key is claimed by several ids: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+        same = F.when(same, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
+    return known.where(same).select(*keys, resolved)
+
+
+def cascade(rows: DataFrame, tiers: list[Tier | Stop], resolved: str) -> DataFrame:
+    """``rows`` with the id of the first tier that knows them, its method, and the reason where none does.
 
-    Lookups are small dimensions with unique keys and no null keys. A row that no tier knows gets method ``unresolved``.
+    Tiers are asked in turn. A row that has a null among a tier's keys, or that an open tier does not know, goes on to the
+    next; one that a closing tier (``ends``) does not know, or that meets a stop, ends there and is not looked up further:
+    an identifier that is given but unknown is not overruled by a name. Lookups have unique keys (``registered``).
     """
-    out = rows
-    for i, (_, lookup, keys) in enumerate(tiers):
-        out = out.join(lookup.select(*keys, F.col(resolved).alias(f"_r{i}")), keys, "left")
-    found = [F.col(f"_r{i}") for i in range(len(tiers))]
-    method = F.lit("unresolved")
-    for (name, _, _), r in reversed(list(zip(tiers, found, strict=True))):
-        method = F.when(r.isNotNull(), name).otherwise(method)
-    return out.select(*rows.columns, F.coalesce(*found).alias(resolved), method.alias("method"))
+    out, steps = rows, []
+    for i, tier in enumerate(tiers):
+        if isinstance(tier, Tier):
+            at = [f"_k{i}_{k}" for k in range(len(tier.keys))]
+            side = tier.lookup.select(*[F.col(k).alias(n) for k, n in zip(tier.keys, at, strict=True)], F.col(resolved).alias(f"_r{i}"))
+            on = [F.col(f"_row.`{k}`") == F.col(n) for k, n in zip(tier.keys, at, strict=True)]
+            out = (out if i and "_row" in out.columns else out.select(F.struct("*").alias("_row"))).join(side, on, "left").drop(*at)
+        elif "_row" not in out.columns:
+            out = out.select(F.struct("*").alias("_row"))
+    for i, tier in enumerate(tiers):
+        if isinstance(tier, Stop):
+            flag = F.coalesce(tier.condition, F.lit(False))
+            steps.append((flag, F.lit(None), F.lit(None), F.lit(tier.reason)))
+            continue
+        known = F.col(f"_r{i}").isNotNull()
+        steps.append((known, F.col(f"_r{i}"), F.lit(tier.method), F.lit(None)))
+        if tier.ends:
+            given = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in tier.keys])
+            steps.append((given, F.lit(None), F.lit(None), F.lit(tier.ends)))
+    # Conditions speak of the rows' own columns, so those come back before they are read.
+    out = out.select("_row.*", *[f"_r{i}" for i, t in enumerate(tiers) if isinstance(t, Tier)])
+
+    def first(k: int, otherwise: Column, kind: str) -> Column:
+        value = otherwise
+        for step in reversed(steps):
+            value = F.when(step[0], step[k].cast(kind)).otherwise(value)
+        return value
+
+    kind = next(t.lookup.schema[resolved].dataType.simpleString() for t in tiers if isinstance(t, Tier))
+    none = F.lit(None)
+    decided = [first(1, none.cast(kind), kind).alias(resolved), first(2, none.cast("string"), "string").alias("method"), first(3, F.lit(UNKNOWN), "string").alias("reason")]
+    return out.select(*rows.columns, *decided)
 
 
 def by_precedence(sources: list[tuple[str, DataFrame]], key: str) -> DataFrame:

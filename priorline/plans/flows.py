@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from priorline.operators import audit, sequence
 from priorline.plans.views import CONTESTS, SIDES, contests, seconds, table
-from priorline.sources import pages, report_rows, stores
+from priorline.sources import archive, paged, pages, report_rows, stores
 from priorline.streaming import sequences, snapshots, timed
 
 
@@ -183,6 +186,91 @@ s as (select source, case when source = 'purchase' then 'disabled' when source =
 select source, status, count(*) as n_requests, sum(case when status = 'captured' then r % 4 else 0 end)::bigint as n_records from s group by all"""
 
 
+def _landed(options) -> pages.Client:
+    """A client over pages that lie as Parquet in ``folder``, a season to each of its folders; the archive lacks odd seasons."""
+    import pyarrow.parquet as pq
+
+    def fetch(path, params):
+        season, page = params["seasons[]"], int(params.get("cursor", 0))
+        if path == "archive" and season % 2:
+            return 404, {}, None
+        store, place = fs.FileSystem.from_uri(options["folder"])
+        rows = pq.read_table(f"{place}/season={season}", filters=[("page", "in", [page, page + 1])], columns=["page", "raw"], filesystem=store, partitioning=None).to_pylist()
+        own = [r["raw"] for r in rows if r["page"] == page]
+        body = json.loads(own[0]) if own else {"data": []}
+        return 200, {}, body | {"meta": {"next_cursor": page + 1 if any(r["page"] == page + 1 for r in rows) else None}}
+
+    return pages.Client(fetch)
+
+
+def paged_source(spark, d):
+    """Contests as season pages, read back through the data source: a task a season, odd seasons by the fallback."""
+    place = F.row_number().over(W.partitionBy("season").orderBy("game_id")) - 1  # a season of contests, some hundred kilobytes
+    c = contests(spark, d).select("season", "game_id", "home_score", "away_score").withColumn("page", F.floor(place / 100).cast("int"))
+    item = F.struct(F.col("game_id").alias("id"), "home_score", "away_score")
+    raw = F.to_json(F.struct(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("data")))
+    folder = scratch(spark, "pages")
+    c.groupBy("season", "page").agg(raw.alias("raw")).write.partitionBy("season").parquet(folder)
+    first, last = c.agg(F.min("season"), F.max("season")).first()
+    spark.dataSource.register(paged.SeasonPages)
+    feed = spark.read.format("season_pages").options(client="priorline.plans.flows:_landed", folder=folder, path="archive", fallback="live", seasons=f"{first}-{last}").load()
+    one = F.explode(F.from_json("raw", "data array<struct<id: long, home_score: int, away_score: int>>")["data"]).alias("g")
+    return feed.select("season", "source", "page", one).select("season", "source", "page", F.col("g.id").alias("game_id"), "g.home_score", "g.away_score")
+
+
+PAGED = f"""with {CONTESTS} select season, case when season % 2 = 1 then 'live' else 'archive' end as source, cast((row_number() over (partition by season order by game_id) - 1) // 100 as int) as page,
+  game_id, home_score, away_score from contests"""
+
+#: Where a report's columns begin, before a file's own shift, and what its header says above them.
+_BEGINS = ((10.0, "Game", "Date"), (100.0, "Team", None), (200.0, "Player", "Name"), (300.0, "Reason", None))
+
+
+def report_header_columns(spark, d):
+    """Cells of reports whose columns stand elsewhere in each file, placed by their header rows; page 1 repeats none."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    file, shift = F.floor(F.col("event_id") / 200).cast("int"), F.floor(F.col("event_id") / 200) % 7 * 13
+    at = e.select(file.alias("file"), F.floor(F.col("event_id") % 200 / 100).cast("int").alias("page"), F.col("event_id").cast("double").alias("y"), shift.alias("shift"), "*")
+    cell = lambda x, text: F.struct((F.lit(x) + F.col("shift")).alias("x"), text.cast("string").alias("text"))
+    some = [F.when(F.col("event_id") % 10 == 0, cell(9.0, F.concat(F.lit("G"), "event_id"))), F.when(F.col("event_id") % 4 == 0, cell(99.0, F.concat(F.lit("T"), "user_id")))]
+    some += [cell(201.5, F.lit("Doe,")), cell(240.0, F.concat(F.lit("P"), "user_id")), F.when(F.col("event_type") != "error", cell(310.0, F.col("event_type")))]
+    body = at.select("file", "page", "y", F.explode(F.array_compact(F.array(*some))).alias("c")).select("file", "page", "y", "c.*")
+    words = [F.struct((F.lit(x + 30 * i) + F.col("shift")).alias("x"), F.lit(w).alias("text")) for x, *ws in _BEGINS for i, w in enumerate(ws) if w]
+    heads = at.select("file", "shift").distinct().select("file", F.lit(0).alias("page"), F.lit(-1.0).alias("y"), F.explode(F.array(*words)).alias("c")).select("file", "page", "y", "c.*")
+    labels, names = tuple(" ".join(w for w in ws if w) for _, *ws in _BEGINS), ("game_date", "team", "player", "reason")
+    out = report_rows.by_headers(body.unionByName(heads), labels, names)
+    return out.select(F.col("y").cast("long").alias("event_id"), "file", "page", *names)
+
+
+HEADERS = """select event_id, cast(event_id // 200 as int) as file, cast(event_id % 200 // 100 as int) as page, case when event_id % 10 = 0 then 'G' || event_id end as game_date,
+  case when event_id % 4 = 0 then 'T' || user_id end as team, 'Doe, P' || user_id as player, case when event_type <> 'error' then event_type end as reason from events"""
+
+
+def archive_put(spark, d):
+    """Files of suppliers archived twice over, every seventh with other bytes later: versions and conflicts."""
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("name"), "s_suppkey", "s_nationkey")
+    body = lambda more: F.concat_ws("|", "name", "s_nationkey", F.lit(more)).cast("binary")
+    files = s.select("name", body("a").alias("content"), F.lit(100).alias("retrieved_ts"))
+    other = s.where("s_suppkey % 7 = 0").select("name", body("b").alias("content"), F.lit(200).alias("retrieved_ts"))
+    root = scratch(spark, "archive")
+    both = files.unionByName(other)
+    new = [archive.put(rows, root).agg(F.count_if("new")).first()[0] for rows in (both.union(both).repartition(4), both)]
+    held = archive.contents(spark, root, archive.scan(spark, root))
+    return held.select("name", "bytes", "conflict", F.md5("content").alias("md5"), F.lit(new[1]).cast("long").alias("n_again"))
+
+
+ARCHIVED = """with f as (select s_name as name, s_name || '|' || s_nationkey || '|' || v as body, v = 'b' as conflict from supplier, (select unnest(['a', 'b']) as v) where v = 'a' or s_suppkey % 7 = 0)
+select name, strlen(body) as bytes, conflict, md5(body) as md5, 0::bigint as n_again from f"""
+
+
+def keep_first_in_input(spark, d):
+    """The first event of each user and type in the order of the input, by file and row."""
+    rows = stores.in_order(spark, f"{d}/events.parquet").select("user_id", "event_type", "event_id", "value", "file", "ordinal")
+    return stores.keep_first(rows, ["user_id", "event_type"]).select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
+
+
+KEEP_FIRST = "select user_id, event_type, event_id, round(value, 6) as value from events qualify row_number() over (partition by user_id, event_type order by event_id) = 1"
+
+
 def json_report(spark, d):
     """Audit tables as one document."""
     c = contests(spark, d)
@@ -194,5 +282,5 @@ REPORT = "with " + SIDES.split(",\nsides as")[0] + """ select 'seasons' as secti
 union all select 'level', '[{"n":' || count(*) filter (where home_win is null) || '}]' from contests"""
 
 
-QUERIES = {f.__name__: f for f in (json_page_flatten, candle_pages, idempotent_append, report_row_parse, stream_emit_then_update, stream_asof_state, stream_due_captures, snapshot_captures, json_report)}
-ORACLES = {"json_page_flatten": FLATTEN, "candle_pages": CANDLES, "idempotent_append": APPEND, "report_row_parse": REPORT_ROWS, "stream_emit_then_update": STREAM, "stream_asof_state": STREAM_ASOF, "stream_due_captures": DUE, "snapshot_captures": CAPTURED, "json_report": REPORT}
+QUERIES = {f.__name__: f for f in (json_page_flatten, candle_pages, idempotent_append, report_row_parse, stream_emit_then_update, stream_asof_state, stream_due_captures, snapshot_captures, paged_source, report_header_columns, archive_put, keep_first_in_input, json_report)}
+ORACLES = {"json_page_flatten": FLATTEN, "candle_pages": CANDLES, "idempotent_append": APPEND, "report_row_parse": REPORT_ROWS, "stream_emit_then_update": STREAM, "stream_asof_state": STREAM_ASOF, "stream_due_captures": DUE, "snapshot_captures": CAPTURED, "paged_source": PAGED, "report_header_columns": HEADERS, "archive_put": ARCHIVED, "keep_first_in_input": KEEP_FIRST, "json_report": REPORT}

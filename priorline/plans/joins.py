@@ -152,19 +152,36 @@ union all select 'unmatched_right', null, null, right_id, null from rp where rig
 
 
 def identity_cascade(spark, d):
-    """Customers resolved by key, then by alias, then by nation and last digits; the rest keep no id."""
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", (F.col("c_custkey") % 97).alias("ref"), F.substring("c_name", -3, 3).alias("tail"))
-    s = table(spark, d, "supplier")
-    by_ref = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("ref"), F.col("s_suppkey").alias("resolved"))
-    by_alias = s.select(F.substring("s_name", -3, 3).alias("tail"), F.col("s_suppkey").alias("resolved")).groupBy("tail").agg(F.min("resolved").alias("resolved"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    by_nation = s.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_suppkey").alias("resolved"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    return match.cascade(c, [("ref", by_ref, ["ref"]), ("alias", by_alias, ["tail"]), ("nation", by_nation, ["c_nationkey"])], "resolved").select("c_custkey", "resolved", "method")
-
-
-CASCADE = """with c as (select c_custkey, c_nationkey, c_custkey % 97 as ref, right(c_name, 3) as tail from customer),
-r as (select s_suppkey as ref, s_suppkey as x from supplier where s_suppkey % 2 = 0), a as (select right(s_name, 3) as tail, min(s_suppkey) as x from supplier group by 1 having count(*) = 1), n as (select s_nationkey, min(s_suppkey) as x from supplier group by 1 having count(*) = 1)
-select c_custkey, coalesce(r.x, a.x, n.x) as resolved, case when r.x is not null then 'ref' when a.x is not null then 'alias' when n.x is not null then 'nation' else 'unresolved' end as method
-from c left join r using (ref) left join a using (tail) left join n on n.s_nationkey = c.c_nationkey"""
+    """Customers resolved to suppliers by reference, then by alias, then by nation and ending of the name.
+
+    A reference that is given but unknown ends the search, as does a blank name, and a nation whose names are known.
+    """
+    c = table(spark, d, "customer")
+    name = F.when(F.col("c_custkey") % 11 != 0, F.substring("c_name", -9, 9)).otherwise(F.lit(" "))
+    c = c.select(
+        "c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.col("c_custkey") % 97).alias("ref"), name.alias("name"),
+        F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")).alias("nation"), F.substring(name, -1, 1).alias("ending"),
+    )
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("resolved"), F.col("s_suppkey").alias("ref"), F.substring("s_name", -9, 9).alias("name"), F.col("s_nationkey").alias("nation"), F.substring("s_name", -1, 1).alias("ending"))
+    tiers = [
+        match.Tier("reference", match.registered(s.where("ref % 2 = 0"), ["ref"], "resolved"), ["ref"], "unknown reference"),
+        match.Stop(F.trim("name") == "", "blank name"),
+        match.Tier("alias", match.registered(s.where("ref % 3 = 0"), ["name"], "resolved"), ["name"]),
+        match.Tier("nation and name", match.registered(s, ["nation", "ending"], "resolved", "none"), ["nation", "ending"], "unknown in nation"),
+    ]
+    return match.cascade(c, tiers, "resolved").select("c_custkey", "resolved", "method", "reason")
+
+
+#: A given reference decides alone; then a blank name; then the alias; then the nation, which decides alone where it is given.
+CASCADE = """with c as (select c_custkey, case when c_custkey % 5 = 0 then c_custkey % 97 end as ref, case when c_custkey % 11 <> 0 then right(c_name, 9) else ' ' end as name, case when c_custkey % 7 <> 0 then c_nationkey end as nation from customer),
+s as (select s_suppkey as x, right(s_name, 9) as name, s_nationkey as nation, right(s_name, 1) as ending from supplier),
+n as (select nation, ending, min(x) as x from s group by all having count(distinct x) = 1),
+j as (select c.c_custkey, c.ref, c.name, c.nation, r.x as rx, a.x as ax, n.x as nx from c left join s r on r.x = c.ref and r.x % 2 = 0 left join s a on a.name = c.name and a.x % 3 = 0
+  left join n on n.nation = c.nation and n.ending = right(c.name, 1)),
+d as (select *, case when ref is not null then 'r' when trim(name) = '' then 'b' when ax is not null then 'a' when nation is not null then 'n' else 'u' end as step from j)
+select c_custkey, case step when 'r' then rx when 'a' then ax when 'n' then nx end as resolved,
+  case when step = 'r' and rx is not null then 'reference' when step = 'a' then 'alias' when step = 'n' and nx is not null then 'nation and name' end as method,
+  case when step = 'r' and rx is null then 'unknown reference' when step = 'b' then 'blank name' when step = 'n' and nx is null then 'unknown in nation' when step = 'u' then 'unknown' end as reason from d"""
 
 
 def two_store_precedence(spark, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,15 +54,38 @@ def archive(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame
 
 
 def cached(spark: SparkSession, root: str, request: dict[str, str], make) -> tuple[DataFrame, bool]:
-    """The table of exactly this request: read if complete, else made and written; whether it was read."""
-    name = "__".join(f"{k}={request[k]}" for k in sorted(request))
-    path = f"{root.rstrip('/')}/" + "".join(c if c.isalnum() or c in "=_.-" else "-" for c in name)
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        return spark.read.parquet(path), True
-    make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), False
+    """The table of exactly this request: read if complete, else made and written; whether it was read.
+
+    A folder is named by the request's digest and holds the request beside its rows: what is there is used only if it is
+    the same, key by key. The request is written last, so a table that was cut off is made anew.
+    """
+    text = json.dumps({str(k): str(v) for k, v in request.items()}, sort_keys=True)
+    path = f"{root.rstrip('/')}/{hashlib.sha256(text.encode()).hexdigest()}"
+    held = _read(spark, f"{path}/request")
+    if held is not None:
+        if held.first()["request"] != text:
+            raise ValueError(f"{path} holds the table of another request")
+        return spark.read.parquet(f"{path}/rows"), True
+    make().write.mode("overwrite").parquet(f"{path}/rows")
+    spark.createDataFrame([(text,)], "request string").coalesce(1).write.mode("overwrite").parquet(f"{path}/request")
+    return spark.read.parquet(f"{path}/rows"), False
+
+
+def in_order(spark: SparkSession, *paths: str) -> DataFrame:
+    """Parquet files with each row's place in the input: ``file`` (by path) and ``ordinal``, its number in the file.
+
+    The scan knows both, so no sort and no counter is needed, and they are the same at any split of the files.
+    """
+    rows = spark.read.parquet(*paths)
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("ordinal"))
+
+
+def keep_first(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows ``in_order`` gives, the first of each key; equal keys, nulls too, are one. A key's rows never meet in one list."""
+    place = F.struct("file", "ordinal")
+    others = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), place).alias("_first"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in rows.columns])
 
 
 def write_table(df: DataFrame, path: str, csv: bool = False, partition_by: tuple[str, ...] = ()) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from priorline.operators import asof, match
 
@@ -80,3 +81,27 @@ def test_one_to_one_refuses_duplicates(spark):
     b = spark.createDataFrame([(1, 2)], "k int, w int")
     with pytest.raises(Exception, match="more than once"):
         match.one_to_one(a, b, ["k"]).collect()
+
+
+def test_a_given_reference_ends_the_cascade(spark):
+    known = spark.createDataFrame([(1, "r1", "ann", 7), (2, "r2", "bob", 7), (3, None, "cy", 8), (4, None, "cy", 8)], "id int, ref string, name string, team int")
+    tiers = [
+        match.Tier("reference", match.registered(known, ["ref"], "id"), ["ref"], "unknown reference"),
+        match.Stop(F.trim(F.coalesce("name", F.lit(""))) == "", "blank name"),
+        match.Tier("alias", match.registered(known.where("id = 1").withColumn("name", F.lit("annie")), ["name"], "id"), ["name"]),
+        match.Tier("team", match.registered(known, ["team", "name"], "id", "none"), ["team", "name"], "unknown in team"),
+    ]
+    rows = [(1, "r2", "annie", 7), (2, "r9", "annie", 7), (3, None, " ", 7), (4, None, "annie", None), (5, None, "bob", 7), (6, None, "bob", 8), (7, None, "cy", 8), (8, None, "bob", None), (9, None, None, 7)]
+    got = match.cascade(spark.createDataFrame(rows, "n int, ref string, name string, team int"), tiers, "id").orderBy("n").collect()
+    assert [(r.id, r.method, r.reason) for r in got] == [
+        (2, "reference", None), (None, None, "unknown reference"), (None, None, "blank name"), (1, "alias", None), (2, "team", None),
+        (None, None, "unknown in team"), (None, None, "unknown in team"), (None, None, "unknown"), (None, None, "blank name"),
+    ]
+
+
+def test_conflicting_registrations_fail(spark):
+    twice = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (3, None)], "id int, name string")
+    assert sorted(map(tuple, match.registered(twice, ["name"], "id").collect())) == [("x", 1), ("y", 2)]
+    with pytest.raises(Exception, match="several ids: x"):
+        match.registered(twice.union(spark.sql("select 9, 'x'")), ["name"], "id").collect()
+    assert [r.name for r in match.registered(twice.union(spark.sql("select 9, 'x'")), ["name"], "id", "none").collect()] == ["y"]

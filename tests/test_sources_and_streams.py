@@ -85,6 +85,10 @@ def test_cache_is_by_whole_request(spark, tmp_path):
         assert hit is want and df.count() == 3
     assert stores.cached(spark, str(tmp_path), {"season": "2021", "kind": "a"}, make)[1] is False
     assert len(made) == 2
+    # Requests that a file name could confuse are different ones.
+    odd = [{"t": "a/b"}, {"t": "a-b"}, {"a": "1", "b": "2"}, {"a": "1__b=2"}]
+    tables = [stores.cached(spark, str(tmp_path), r, lambda i=i: spark.range(i, i + 1))[0].first().id for i, r in enumerate(odd)]
+    assert tables == [0, 1, 2, 3] and [stores.cached(spark, str(tmp_path), r, make)[1] for r in odd] == [True] * 4
 
 
 def test_archive_conflicts(spark, tmp_path):
