@@ -7,7 +7,9 @@ and a heap of neighbouring pairs by (rank, place) merges the lowest rank, leftmo
 Decoding gathers each id's bytes from one flat array.
 
 Rows are encoded where they are read: nothing is shuffled. A worker's memory is one vocabulary, the pre-tokens of
-``CHARS`` characters of text, and at most ``REMEMBERED`` results of the second tier.
+``CHARS`` characters of text, and at most twice ``REMEMBERED`` results of the second tier: when that many are new, the older ones
+that have not been met since are forgotten. Texts of Latin-1 alone are cut by the standard library's faster ``re``, for
+which the pattern's classes are written out.
 
 Null or empty text: no ids, decoded to no bytes. Bytes that are no UTF-8 count as U+FFFD. Rows with equal or null ids
 are encoded row by row; further columns are left out. An id that the vocabulary lacks, or null ids, decode to null.
@@ -16,6 +18,7 @@ are encoded row by row; further columns are left out. An id that the vocabulary
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
@@ -110,6 +113,8 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
         self.packed = [self.four[ranks[t]] for t in self.tokens]
         self.merged: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.dense = bool((self.ids == np.arange(len(self.ids))).all())
 
     def merge(self, word: bytes) -> bytes:
         """Second tier: ids of one pre-token, merged pair by pair over its linked bytes."""
@@ -153,10 +158,11 @@ class Vocabulary:
                 continue
             ids = merged.get(key)
             if ids is None:
-                if len(merged) >= REMEMBERED:
-                    merged.clear()
-                ids = self.merge(key)
+                ids = self.older.get(key) or self.merge(key)
                 if len(key) < 64:
+                    if len(merged) >= REMEMBERED:
+                        self.older, self.merged = merged, {}
+                        merged = self.merged
                     merged[key] = ids
             out[word] = ids
         return out
@@ -168,8 +174,8 @@ class Vocabulary:
         ids = np.frombuffer(packed, "<u4").astype(np.int64)
         if not len(ids):
             return b""
-        at = np.searchsorted(self.ids, ids)
-        if at.max() >= len(self.ids) or (self.ids[at] != ids).any():
+        at = ids if self.dense else np.searchsorted(self.ids, ids)
+        if at.max() >= len(self.ids) or (not self.dense and (self.ids[at] != ids).any()):
             return None
         parts = []
         for k in range(0, len(at), 1 << 20):
@@ -191,8 +197,39 @@ def vocabulary(path: str) -> Vocabulary:
     return remembered(("byte_bpe", path), lambda: Vocabulary(read_ranks(path)))
 
 
+def narrow(pattern: str) -> re.Pattern:
+    r"""``pattern`` for texts of code points below 256, in the standard library's terms: \p{L}, \p{N} and \s are written out."""
+    every = list(map(chr, range(256)))
+    members = {name: "".join(map(re.escape, (c for c in every if regex.match(name, c)))) for name in (r"\p{L}", r"\p{N}", r"\s", r"\S")}
+    out, inside = [], False
+    for part in re.findall(r"\\p\{[LN]\}|\\.|.", pattern, re.DOTALL):
+        inside = (inside or part == "[") and part != "]"
+        out.append(part if part not in members else members[part] if inside else f"[{members[part]}]")
+    return re.compile("".join(out))
+
+
+class Cutter:
+    """Pre-tokens of a text: the matches of a pattern."""
+
+    def __init__(self, pattern: str) -> None:
+        self.wide, self.latin = regex.compile(pattern), narrow(pattern)
+
+    def of(self, text: str) -> re.Pattern:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.wide
+        return self.latin
+
+    def finditer(self, text: str):
+        return self.of(text).finditer(text)
+
+    def findall(self, text: str) -> list[str]:
+        return self.of(text).findall(text)
+
+
 def encode_texts(texts: list[str], vocab: Vocabulary, pattern) -> Iterator[bytes]:
-    """Ids of each text, in order, as little-endian unsigned 32-bit numbers."""
+    """Ids of each text, in order, as little-endian unsigned 32-bit numbers; ``pattern`` finds the pre-tokens."""
     at = 0
     while at < len(texts):
         if len(texts[at]) > CHARS:  # on its own, a stretch of pre-tokens at a time
@@ -222,7 +259,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())])
 
     def run(batches):
-        vocab, cut = vocabulary(ranks_path), regex.compile(pattern)
+        vocab, cut = vocabulary(ranks_path), Cutter(pattern)
         for batch in batches:
             held, rows, begun = [], 0, 0
             texts = [t.decode("utf-8", "replace") for t in batch.column("text").cast(pa.binary()).to_pylist()]

@@ -9,7 +9,6 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
-import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -44,7 +43,7 @@ def test_perfect_hash_gives_each_key_a_slot_and_knows_strangers(vocab):
 
 
 def test_encoding_equals_the_library_on_random_texts(vocab, library):
-    rnd, cut = random.Random(5), regex.compile(PATTERN)
+    rnd, cut = random.Random(5), byte_bpe.Cutter(PATTERN)
     parts = ["a", "b", "é", "\n", " ", "  ", " ", "漢字", "😀", "'s", "'LL", "1", "٣", "½", "\x1c", "\x00", "the", "ing", "_", "́", "<|endoftext|>", "zürich", "�"]
     texts = ["".join(rnd.choices(parts, k=rnd.randrange(50))) for _ in range(800)]
     got = list(byte_bpe.encode_texts(texts, vocab, cut))
@@ -52,9 +51,26 @@ def test_encoding_equals_the_library_on_random_texts(vocab, library):
     assert [vocab.decode(g) for g in got] == [t.encode() for t in texts]
 
 
+def test_latin_texts_are_cut_as_all_others():
+    cutter, rnd = byte_bpe.Cutter(PATTERN), random.Random(2)
+    assert cutter.of("é\x85") is cutter.latin and cutter.of("é漢") is cutter.wide
+    for _ in range(4000):
+        text = "".join(chr(rnd.choice([rnd.randrange(256), rnd.randrange(128), 32, 39, 0xA0])) for _ in range(rnd.randrange(30)))
+        assert cutter.latin.findall(text) == cutter.wide.findall(text)
+
+
+def test_forgotten_results_are_made_again(vocab, monkeypatch):
+    words = [f" zxqv{i:03d}k" for i in range(40)]
+    want = [vocab.merge(w.encode()) for w in words]
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 7)
+    vocab.merged, vocab.older = {}, {}
+    for _ in range(3):
+        assert [vocab.resolve({w})[w] for w in words] == want and len(vocab.merged) <= 7 and len(vocab.older) <= 7
+
+
 @pytest.mark.parametrize("text", ["ab" * 70_000, "x " * 300, " " * 3000, "a1!" * 5000, "é" * 4001])
 def test_long_pretokens_equal_the_library(vocab, library, text):
-    assert ids(next(byte_bpe.encode_texts([text], vocab, regex.compile(PATTERN)))) == library.encode_ordinary(text)
+    assert ids(next(byte_bpe.encode_texts([text], vocab, byte_bpe.Cutter(PATTERN)))) == library.encode_ordinary(text)
 
 
 def test_very_long_text_goes_in_stretches(vocab, library, monkeypatch):
@@ -62,7 +78,7 @@ def test_very_long_text_goes_in_stretches(vocab, library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "CHARS", 500)
     monkeypatch.setattr(byte_bpe, "AT_ONCE", 70)
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 3)
-    got = list(byte_bpe.encode_texts(["one two", text, "", "thréééé"], vocab, regex.compile(PATTERN)))
+    got = list(byte_bpe.encode_texts(["one two", text, "", "thréééé"], vocab, byte_bpe.Cutter(PATTERN)))
     assert [ids(g) for g in got] == [library.encode_ordinary(t) for t in ("one two", text, "", "thréééé")]
 
 
