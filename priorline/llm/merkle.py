@@ -82,9 +82,11 @@ class Trees:
 
 def placed(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """``rows`` (tree, key, h, ...) with n, its tree's rows, and pos, its place in its tree; and what to release after use."""
-    ordered = rows.withColumn("row", F.monotonically_increasing_id())  # parts equal rows too
+    read = durable(rows, "leaves")  # ranges are sampled first, and digests are not made twice
+    ordered = read.withColumn("row", F.monotonically_increasing_id())  # parts equal rows too
     ordered = ordered.repartitionByRange("tree", "key", "h", "row").drop("row").sortWithinPartitions("tree", "key", "h")
     ordered = durable(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    release(read)
     part = F.shiftright("at", 33)
     counts = ordered.groupBy("tree", part.alias("part")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("own"))
     tree = Window.partitionBy("tree")
