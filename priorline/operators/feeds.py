@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from priorline.functions import values
@@ -90,10 +91,25 @@ def verified_season(games: DataFrame, season: int) -> DataFrame:
     return games.crossJoin(F.broadcast(found)).where(ok).drop("_problems")  # one row
 
 
-def unresolved(rows: DataFrame, name: str, resolved_id: str, status: str, examples: int = 5) -> DataFrame:
-    """Every name that stayed unresolved: its reason, how often it occurs, and whether several ids claimed it."""
+def unresolved(rows: DataFrame, name: str, resolved_id: str, reason: str, claims: str | None = None, at: str | None = None, examples: int = 5) -> DataFrame:
+    """Every name that stayed unresolved: its reason, rows, share of all unresolved rows in percent, ids and examples.
+
+    ``claims`` is a column of the ids that claimed a row (an array), ``ids`` how many different ones did: 0 for a name that
+    nobody knows, 2 or more for one that several share. ``at`` is a column whose smallest ``examples`` values are listed,
+    so that a name can be looked up where it occurs. A null name is a name of its own.
+    """
     open_ = rows.where(F.col(resolved_id).isNull())
-    return open_.groupBy(name, status).agg(F.count(F.lit(1)).alias("rows"))
+    ids = F.size(F.array_distinct(F.flatten(F.collect_set(claims)))) if claims else F.lit(0)
+    out = open_.groupBy(name, reason).agg(F.count(F.lit(1)).alias("rows"), ids.cast("int").alias("ids"))
+    total = open_.agg(F.count(F.lit(1)).alias("_all"))
+    out = out.crossJoin(F.broadcast(total)).withColumn("pct", F.round(100 * F.col("rows") / F.col("_all"), 4)).drop("_all")  # one row
+    if at:
+        place = F.row_number().over(W.partitionBy(name, reason).orderBy(at))
+        first = open_.select(name, reason, at).distinct().withColumn("_n", place).where(F.col("_n") <= examples)
+        listed = F.array_join(F.array_sort(F.collect_list(at)).cast("array<string>"), ",").alias("examples")
+        listed = first.groupBy(F.col(name).alias("_name"), F.col(reason).alias("_reason")).agg(listed)
+        out = out.join(listed, F.col(name).eqNullSafe(F.col("_name")) & F.col(reason).eqNullSafe(F.col("_reason")), "left").drop("_name", "_reason")
+    return out
 
 
 def first_rows(rows: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from priorline import dims
+from priorline.operators import league
+from priorline.plans import tables
 from priorline.plans.views import CONTESTS, contests, seconds, table
 from priorline.sources import capture
 
@@ -37,13 +40,20 @@ select user_id, round((1705320000 - s) / 60.0 + 1e-9, 6) as age_minutes, case wh
 
 
 def join_coverage(spark, d):
-    """By season: contests expected, those with lines, and lines' orders without a contest."""
-    c = contests(spark, d).select("game_id", "season")
+    """By season: contests expected and those with lines; and, by phase, lines' orders whose contest is outside the regular season or none."""
+    c = league.with_phase(tables.placed_in_seasons(spark, d), dims.seasons(spark)).select("game_id", "season", "phase").where("game_id % 19 <> 0")
     present = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("game_id")).distinct().withColumn("here", F.lit(1))
-    return c.join(present, "game_id", "left").groupBy("season").agg(F.count(F.lit(1)).alias("expected"), F.count("here").alias("covered"), F.round(100 * F.count("here") / F.count(F.lit(1)), 4).alias("pct"))
+    both = c.join(present, "game_id", "full_outer")
+    regular = F.col("phase") == league.PHASES[0]
+    by_season = both.where(regular).groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.count("here").alias("covered"))
+    outside = both.where(F.col("here").isNotNull() & ~F.coalesce(regular, F.lit(False))).groupBy(F.coalesce("phase", F.lit("no contest")).alias("phase")).agg(F.count(F.lit(1)).alias("n"))
+    expected = by_season.select(F.lit("expected").alias("part"), F.col("season").cast("string").alias("of"), "n", "covered", F.round(100 * F.col("covered") / F.col("n"), 4).alias("pct"))
+    return expected.unionByName(outside.select(F.lit("outside").alias("part"), F.col("phase").alias("of"), "n"), allowMissingColumns=True)
 
 
-JOIN_COVERAGE = f"with {CONTESTS}, p as (select distinct l_orderkey as game_id, 1 as here from lineitem) select season, count(*) as expected, count(here) as covered, round(100.0 * count(here) / count(*), 4) as pct from contests left join p using (game_id) group by season"
+JOIN_COVERAGE = f"""with {tables.PHASED}, l as (select distinct l_orderkey as game_id, 1 as here from lineitem), b as (select * from (select game_id, season, phase from p where game_id % 19 <> 0) full join l using (game_id))
+select 'expected' as part, season::varchar as of, count(*) as n, count(here) as covered, round(100.0 * count(here) / count(*), 4) as pct from b where phase = 'regular_season' group by season
+union all select 'outside', coalesce(phase, 'no contest'), count(*), null, null from b where here = 1 and coalesce(phase <> 'regular_season', true) group by phase"""
 
 
 def report_to_game(spark, d):

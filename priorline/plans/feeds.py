@@ -177,16 +177,19 @@ select season, games, strftime(first, '%Y-%m-%d') as first, strftime(last, '%Y-%
 
 
 def unresolved_report(spark, d):
-    """Names that no id was found for, by reason."""
+    """Names that no id was found for, by reason, with how many ids share them and where they occur first."""
     names = ["L.A. Lakers", "Los Angeles", "Bos", "Metropolis", "LA", "Gotham"]
-    c = contests(spark, d).select(F.element_at(F.array(*map(F.lit, names)), (F.col("game_id") % 6 + 1).cast("int")).alias("name")).withColumn("key", values.folded(F.col("name")))
+    c = contests(spark, d).select("game_id", F.element_at(F.array(*map(F.lit, names)), (F.col("game_id") % 6 + 1).cast("int")).alias("name")).withColumn("key", values.folded(F.col("name")))
     known = dims.aliases(spark).select(F.col("spelling").alias("key"), F.col("code"), F.lit(True).alias("known"))
-    rows = c.join(F.broadcast(known), "key", "left").withColumn("reason", F.when(F.col("known"), "ambiguous").otherwise("unknown"))
-    return feeds.unresolved(rows, "name", "code", "reason")
+    shared = F.when(F.col("known") & F.col("code").isNull(), F.array(F.lit("LAC"), F.lit("LAL")))
+    rows = c.join(F.broadcast(known), "key", "left").withColumn("reason", F.when(F.col("known"), "ambiguous").otherwise("unknown")).withColumn("claims", shared)
+    return feeds.unresolved(rows, "name", "code", "reason", "claims", "game_id", 3)
 
 
-UNRESOLVED = f"""with {CONTESTS}, n as (select ['L.A. Lakers', 'Los Angeles', 'Bos', 'Metropolis', 'LA', 'Gotham'][game_id % 6 + 1] as name from contests)
-select name, case when name in ('Los Angeles', 'LA') then 'ambiguous' else 'unknown' end as reason, count(*) as rows from n where name in ('Los Angeles', 'LA', 'Metropolis', 'Gotham') group by all"""
+UNRESOLVED = f"""with {CONTESTS}, n as (select game_id, ['L.A. Lakers', 'Los Angeles', 'Bos', 'Metropolis', 'LA', 'Gotham'][game_id % 6 + 1] as name from contests),
+o as (select *, case when name in ('Los Angeles', 'LA') then 'ambiguous' else 'unknown' end as reason, row_number() over (partition by name order by game_id) as place from n where name in ('Los Angeles', 'LA', 'Metropolis', 'Gotham'))
+select name, reason, count(*) as rows, case when reason = 'ambiguous' then 2 else 0 end as ids, round(100.0 * count(*) / (select count(*) from o), 4) as pct,
+  string_agg(game_id::varchar, ',' order by game_id) filter (where place <= 3) as examples from o group by name, reason"""
 
 QUERIES = {f.__name__: f for f in (market_normalise, match_agreement, identity_validation, feed_consistency, study_set, season_verification, unresolved_report)}
 ORACLES = {

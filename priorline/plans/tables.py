@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from priorline import dims
 from priorline.functions import rating, values
-from priorline.operators import audit, sequence
+from priorline.operators import audit, league, sequence
 from priorline.plans.views import CONTESTS, QUOTES, SIDES, contests, quotes, seconds, table
 
 
@@ -35,26 +35,52 @@ def matchup_key(spark, d):
     return c.select("game_id", values.pair_key(F.col("day"), F.col("h"), F.col("a")).alias("pair_key"))
 
 
-SEASON_DIM = ", ".join(f"({s}, date '{s}-10-15', date '{s + 1}-04-15', date '{s + 1}-04-17', date '{s + 1}-04-21', date '{s}-12-16')" for s in range(1994, 2002))
+#: Years that contests are moved by, so that they fall into the declared seasons, the latest among them.
+MOVED_YEARS = 23
 
 
-def phase_classifier(spark, d):
-    """Exhibition, then play-in window, playoff flag, cup mark, cup day, regular window; else unclassified, never guessed."""
-    dim = spark.sql(f"select * from values {SEASON_DIM} as t(season, first_day, last_day, play_in_first, play_in_last, cup_final)")
-    c = contests(spark, d).withColumn("date", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")))
-    post, mark = F.col("game_id") % 23 == 0, F.when(F.col("game_id") % 97 == 0, F.lit("Championship"))
-    phase = (
-        F.when((F.col("home") > 29) | (F.col("away") > 29), "other_special").when(F.col("date").between(F.col("play_in_first"), F.col("play_in_last")), "play_in")
-        .when(post, "playoffs").when(mark == "Championship", "nba_cup_championship").when(F.col("first_day").isNull(), "unclassified")
-        .when(F.col("date") == F.col("cup_final"), "nba_cup_championship").when(F.col("date").between(F.col("first_day"), F.col("last_day")), "regular_season").otherwise("unclassified")
+def placed_in_seasons(spark, d):
+    """Contests in declared seasons, with what a feed says of each: playoff flag, cup mark, and some sides that are no franchise."""
+    date = F.add_months(F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")), 12 * MOVED_YEARS)
+    return contests(spark, d).select(
+        "game_id", (F.col("season") + MOVED_YEARS).alias("season"), F.when(F.col("game_id") % 41 != 0, date).alias("date"),
+        F.when(F.col("game_id") % 53 != 0, F.col("home")).otherwise(F.lit(37)).alias("home"), "away",
+        (F.col("game_id") % 23 == 0).alias("postseason"), F.when(F.col("game_id") % 97 == 0, F.lit(" Championship")).alias("mark"),
     )
-    return c.join(F.broadcast(dim), "season", "left").select("game_id", phase.alias("phase"))
 
 
-PHASE = f"""with {CONTESTS}, dim as (select * from (values {SEASON_DIM}) t(season, first_day, last_day, play_in_first, play_in_last, cup_final)),
-c as (select *, date '1970-01-01' + cast(day as int) as dt from contests left join dim using (season))
-select game_id, case when home > 29 or away > 29 then 'other_special' when dt between play_in_first and play_in_last then 'play_in' when game_id % 23 = 0 then 'playoffs' when game_id % 97 = 0 then 'nba_cup_championship'
- when first_day is null then 'unclassified' when dt = cup_final then 'nba_cup_championship' when dt between first_day and last_day then 'regular_season' else 'unclassified' end as phase from c"""
+def phase_classifier(spark, d):
+    """Every contest's phase by the declared seasons."""
+    return league.with_phase(placed_in_seasons(spark, d), dims.seasons(spark)).select("game_id", "phase")
+
+
+def _day(x) -> str:
+    return f"date '{x}'" if x else "cast(null as date)"
+
+
+SEASON_ROWS = ", ".join(f"({s}, '{kind}', {_day(a)}, {_day(z)}, {n or 'null'}, {each or 'null'}, {_day(p)}, {_day(q)}, {_day(cup)})" for s, kind, a, z, n, each, p, q, _, cup in dims.SEASONS)
+PHASED = f"""{CONTESTS}, dim(season, structure, first_day, last_day, expected, each, play_in_first, play_in_last, cup_final) as (values {SEASON_ROWS}),
+c as (select game_id, season + {MOVED_YEARS} as season, case when game_id % 41 <> 0 then (date '1970-01-01' + cast(day as int) + interval {MOVED_YEARS} year)::date end as dt,
+  case when game_id % 53 <> 0 then home else 37 end as home, away from contests),
+p as (select c.*, case when home > 30 or away > 30 then 'other_special' when dt between play_in_first and play_in_last then 'play_in' when game_id % 23 = 0 then 'playoffs'
+  when game_id % 97 = 0 or dt = cup_final then 'nba_cup_championship' when dt between first_day and last_day then 'regular_season' else 'unclassified' end as phase from c left join dim using (season))"""
+PHASE = f"with {PHASED} select game_id, phase from p"
+
+
+def regular_season_counts(spark, d):
+    """What each declared season's regular contests add up to, beside what they should."""
+    games = league.with_phase(placed_in_seasons(spark, d), dims.seasons(spark))
+    code = {t[1]: t[0] for t in dims.TEAMS}
+    odd = spark.createDataFrame([(s, code[team], n) for s, team, n in dims.GAME_COUNT_EXCEPTIONS], "season int, team int, games int")
+    return league.regular_seasons(games, dims.seasons(spark), odd)
+
+
+REGULAR = f"""with {PHASED}, s as (select season, unnest([home, away]) as team from p where phase = 'regular_season'), t as (select season, team, count(*) as n from s group by all),
+x(season, team, games) as (values (2012, 2, 81), (2012, 12, 81)),
+w as (select t.season, count(*) as n_teams, min(n) as least, max(n) as most, count(*) filter (where n <> coalesce(games, each)) as n_unexpected from t left join x using (season, team) left join dim using (season) group by 1),
+g as (select season, count(*) filter (where phase = 'regular_season') as n_games from p group by season)
+select season, structure, n_games, expected, coalesce(n_teams, 0) as n_teams, least, most, coalesce(n_unexpected, 0) as n_unexpected,
+  structure is not null and coalesce(n_teams, 0) = 30 and coalesce(n_games = expected, true) and coalesce(n_unexpected, 0) = 0 as verified from g left join w using (season) left join dim using (season)"""
 
 
 def alias_resolution(spark, d):
@@ -215,9 +241,12 @@ select o_orderkey, coalesce(status, 'unknown') as status from o left join s on s
 
 def eligibility(spark, d):
     """Whether a contest may be modelled, and the first reason why not."""
-    c = contests(spark, d)
-    reason = F.when(F.col("game_id") % 31 == 0, "missing_datetime").when(F.col("home_win").isNull(), "level_score").when(F.col("home") == F.col("away"), "same_team")
-    return c.select("game_id", reason.isNull().alias("eligible"), reason.alias("reason"))
+    precision = F.when(F.col("game_id") % 31 == 0, "missing").when(F.col("game_id") % 29 == 0, "date_only_verified").when(F.col("game_id") % 37 != 0, "exact_datetime")
+    return league.with_eligibility(contests(spark, d).withColumn("precision", precision)).select("game_id", "eligible", "reason")
+
+
+ELIGIBILITY = f"""with {CONTESTS}, r as (select game_id, case when home_win is null then 'unresolved_outcome' when game_id % 31 = 0 or (game_id % 37 = 0 and game_id % 29 <> 0) then 'unusable_chronology' end as reason from contests)
+select game_id, reason is null as eligible, reason from r"""
 
 
 def side_assignment(spark, d):
@@ -470,7 +499,7 @@ def snapshot_replay(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     scan_project_filter, season_window_null_keep, guarded_outcome, matchup_key, phase_classifier, alias_resolution, ticker_regex_parse, dual_schema_json, corrections_guarded, declared_corrections, minutes_and_prices, midpoints, anchor_grid, rating_expectation,
-    player_name_normalization, status_normalization, eligibility, side_assignment, fingerprints, slot_filename, collapse_events, value_counts, conditional_counts, coverage_matrix, duplicate_audit, exact_quantiles, missingness,
+    regular_season_counts, player_name_normalization, status_normalization, eligibility, side_assignment, fingerprints, slot_filename, collapse_events, value_counts, conditional_counts, coverage_matrix, duplicate_audit, exact_quantiles, missingness,
     games_per_team_audit, season_audit, identity_audit, chronology_audit, threshold_counts, offset_drift, leakage_audit, topk_examples_per_class, union_perspectives, set_ops, set_equality, null_ordering, gap_islands, suspect_days,
     carry_forward, continuation_join, keep_first_dedupe, slot_inventory, snapshot_replay,
 )}
@@ -482,7 +511,7 @@ ORACLES = {
     "phase_classifier": PHASE, "alias_resolution": ALIAS_SQL, "ticker_regex_parse": TICKER_SQL,
     "dual_schema_json": "select event_id, cast(json_extract_string(props, '$.k') as double) as k from events",
     "corrections_guarded": CORRECTIONS_SQL, "declared_corrections": _declared_sql(), "minutes_and_prices": MINUTES_SQL, "midpoints": MIDPOINTS_SQL, "anchor_grid": ANCHOR_SQL, "rating_expectation": RATING_SQL, "player_name_normalization": PLAYER_SQL, "status_normalization": STATUS_SQL,
-    "eligibility": f"with {CONTESTS}, r as (select game_id, case when game_id % 31 = 0 then 'missing_datetime' when home_win is null then 'level_score' when home = away then 'same_team' end as reason from contests) select game_id, reason is null as eligible, reason from r",
+    "regular_season_counts": REGULAR, "eligibility": ELIGIBILITY,
     "side_assignment": SIDE_SQL, "fingerprints": FINGERPRINT_SQL, "slot_filename": SLOT_SQL, "collapse_events": COLLAPSE_SQL,
     "value_counts": "select 'o_orderstatus' as name, o_orderstatus as value, count(*) as n from orders group by all union all select 'o_orderpriority', o_orderpriority, count(*) from orders group by all",
     "conditional_counts": f"with {CONTESTS} select season, count(*) as n, count(*) filter (where home_win) as home_wins, count(*) filter (where not home_win) as away_wins, count(*) filter (where home_win is null) as level from contests group by season",
