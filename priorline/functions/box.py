@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -49,8 +50,12 @@ def derived(sides: DataFrame) -> DataFrame:
     not complete, has no complete set of the opponent's counts, or comes to no possessions has no figure at all.
     Adds points_delta, complete and the figures; opp_ figures are the opponent's, from the same possessions.
     """
-    other = sides.select("game_id", F.col("team").alias("opponent"), *[F.col(s).alias(f"opp_{s}") for s in COUNTS])
-    both = sides.join(other, ["game_id", "opponent"], "left")
+    # The other side of a contest is its other row: both meet in one shuffle, without a join of the table with itself.
+    meet = W.partitionBy("game_id").orderBy("team")
+    counts = F.struct("team", *COUNTS)
+    beside = F.when(F.lag("team").over(meet) == F.col("opponent"), F.lag(counts).over(meet)).when(F.lead("team").over(meet) == F.col("opponent"), F.lead(counts).over(meet))
+    both = sides.withColumn("_other", beside)
+    both = both.select(*sides.columns, *[F.col(f"_other.{s}").alias(f"opp_{s}") for s in COUNTS])
     own, opp = {s: F.col(s) for s in COUNTS}, {s: F.col(f"opp_{s}") for s in COUNTS}
     delta = F.col("pts") - F.col("trusted_pts")
     complete = F.coalesce((delta == 0) & F.col("fga").isNotNull(), F.lit(False))

@@ -12,22 +12,31 @@ ABSENT_FROM = 20.0
 
 
 def numbered(appearances: DataFrame) -> DataFrame:
-    """Appearances with the number of the side's recorded game, in time."""
-    games = appearances.select("season", "team", "game_id", "ts").distinct().withColumn("game_no", F.row_number().over(W.partitionBy("season", "team").orderBy("ts", "game_id")))
-    return appearances.join(games, ["season", "team", "game_id", "ts"])
+    """Appearances with the number of the side's recorded game, in time.
 
+    Rows of a season's side meet in one task here, some thousands, and everything below groups within sides: one shuffle.
+    """
+    return appearances.withColumn("game_no", F.dense_rank().over(W.partitionBy("season", "team").orderBy("ts", "game_id")))
 
-def window_minutes(rows: DataFrame, window: str) -> DataFrame:
-    """season, team, game_no, player, minutes and share in a window before each game, from games of the same side alone.
 
-    Each appearance is sent forward to the few games whose window it is in; nothing else is joined.
+def windows_minutes(rows: DataFrame, *windows: str) -> DataFrame:
+    """season, team, game_no, player, and for each window w minutes_w and share_w: null where the player was in none of its games.
+
+    Each appearance is sent forward once to the few games that have it in any of the windows; nothing is joined.
     """
-    first, last = WINDOWS[window]
-    ahead = F.explode(F.sequence(F.lit(last), F.lit(first)))
-    sent = rows.select("season", "team", "player", "minutes", F.col("game_no"), ahead.alias("_a")).withColumn("game_no", F.col("game_no") + F.col("_a"))
-    totals = sent.groupBy("season", "team", "game_no", "player").agg(F.sum("minutes").alias("minutes"))
-    all_ = F.sum("minutes").over(W.partitionBy("season", "team", "game_no"))
-    return totals.withColumn("share", F.try_divide("minutes", all_))
+    steps = sorted({k for w in windows for k in range(WINDOWS[w][1], WINDOWS[w][0] + 1)})
+    ahead = F.explode(F.array(*map(F.lit, steps)))
+    sent = rows.select("season", "team", "player", "minutes", "game_no", ahead.alias("_a")).withColumn("game_no", F.col("game_no") + F.col("_a"))
+    within = {w: F.col("_a").between(WINDOWS[w][1], WINDOWS[w][0]) for w in windows}
+    totals = sent.groupBy("season", "team", "game_no", "player").agg(*[F.sum(F.when(c, F.col("minutes"))).alias(f"minutes_{w}") for w, c in within.items()])
+    whole = W.partitionBy("season", "team", "game_no")
+    shares = {f"share_{w}": F.try_divide(f"minutes_{w}", F.sum(f"minutes_{w}").over(whole)) for w in windows}
+    return totals.withColumns(shares)
+
+
+def window_minutes(rows: DataFrame, window: str) -> DataFrame:
+    """season, team, game_no, player, minutes and share in a window before each game, from games of the same side alone."""
+    return windows_minutes(rows, window).select("season", "team", "game_no", "player", F.col(f"minutes_{window}").alias("minutes"), F.col(f"share_{window}").alias("share"))
 
 
 def concentration(shares: DataFrame, top: int = 5) -> DataFrame:
@@ -36,11 +45,10 @@ def concentration(shares: DataFrame, top: int = 5) -> DataFrame:
     return shares.groupBy("season", "team", "game_no").agg(F.sum(F.col("share") * F.col("share")).alias("hhi"), F.aggregate(F.slice(ordered, 1, top), F.lit(0.0), lambda a, x: a + x).alias("top_share"), F.count_if(F.col("share") > 0).alias("n_players"))
 
 
-def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Sum of the smaller share of each player in two windows; absent is zero."""
-    keys = ["season", "team", "game_no", "player"]
-    both = a.select(*keys, F.col("share").alias("x")).join(b.select(*keys, F.col("share").alias("y")), keys, "full_outer")
-    return both.groupBy(*keys[:-1]).agg(F.sum(F.least(F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0)))).alias("overlap"))
+def overlap(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Sum of the smaller share of each player in two windows before each game; absent is zero."""
+    zero = lambda w: F.coalesce(f"share_{w}", F.lit(0.0))
+    return windows_minutes(rows, a, b).groupBy("season", "team", "game_no").agg(F.sum(F.least(zero(a), zero(b))).alias("overlap"))
 
 
 def games_in(window: str, game_no: Column) -> Column:
@@ -49,14 +57,13 @@ def games_in(window: str, game_no: Column) -> Column:
     return F.greatest(game_no - last - F.greatest(game_no - first, F.lit(1)) + 1, F.lit(0))
 
 
-def disruption(baseline: DataFrame, recent: DataFrame, windows: tuple[str, str] = ("baseline", "recent3")) -> DataFrame:
+def disruption(rows: DataFrame, baseline: str = "baseline", recent: str = "recent3") -> DataFrame:
     """Mean minutes lost against the baseline, regulars absent from the recent window, and the lost part of all.
 
     Means are for each game that is in the window, not for each appearance and not for the games it could hold.
     """
-    keys = ["season", "team", "game_no", "player"]
-    mean = lambda rows, window, name: rows.where("minutes > 0").select(*keys, (F.col("minutes") / games_in(window, F.col("game_no"))).alias(name))
-    both = mean(baseline, windows[0], "b").join(mean(recent, windows[1], "r"), keys, "left")
-    r = F.coalesce("r", F.lit(0.0))
-    lost: Column = F.greatest(F.lit(0.0), F.col("b") - r)
-    return both.groupBy(*keys[:-1]).agg(F.sum(lost).alias("minutes_lost"), F.count_if((F.col("b") >= ABSENT_FROM) & (r == 0)).alias("absent"), F.try_divide(F.sum(lost), F.sum("b")).alias("lost_ratio"))
+    both = windows_minutes(rows, baseline, recent).where(F.col(f"minutes_{baseline}") > 0)
+    mean = lambda w: F.when(F.col(f"minutes_{w}") > 0, F.col(f"minutes_{w}") / games_in(w, F.col("game_no")))
+    both = both.select("season", "team", "game_no", mean(baseline).alias("b"), F.coalesce(mean(recent), F.lit(0.0)).alias("r"))
+    lost: Column = F.greatest(F.lit(0.0), F.col("b") - F.col("r"))
+    return both.groupBy("season", "team", "game_no").agg(F.sum(lost).alias("minutes_lost"), F.count_if((F.col("b") >= ABSENT_FROM) & (F.col("r") == 0)).alias("absent"), F.try_divide(F.sum(lost), F.sum("b")).alias("lost_ratio"))

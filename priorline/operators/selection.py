@@ -12,6 +12,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from priorline.functions.values import blend
 from priorline.operators import audit, learn, metrics
 from priorline.operators.recursive import EloConfig, elo
 
@@ -139,6 +140,29 @@ def improves(candidates: DataFrame, plain: Column, band: float = BAND) -> DataFr
     return best.orderBy("mean_brier", "mean_log_loss").limit(1).drop("_plain")
 
 
+#: Weights of a partner beside the pure forecast.
+BLEND_WEIGHTS = (0.1, 0.2, 0.3, 0.4, 0.5)
+
+
+def blend_candidates(predictions: DataFrame, y: str, pure: str, partners: dict[str, str], weights: tuple[float, ...] = BLEND_WEIGHTS) -> DataFrame:
+    """partner, weight, mean losses and folds of the pure forecast (partner ``pure``, weight 0) and of every blend with a partner.
+
+    ``predictions`` (season, y, a column for each forecast) are read once: each row is spread over the candidates. A row
+    without a label, or without one of the forecasts, is scored for no candidate, so all are judged on the same rows.
+    """
+    columns = [pure, *partners.values()]
+    known = predictions.dropna(subset=[y, *columns]).select("season", F.col(y).alias("y"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    one = lambda name, w, p: F.struct(F.lit(name).alias("partner"), F.lit(float(w)).alias("weight"), p.alias("p"))
+    every = [one("pure", 0.0, F.col("_0"))] + [one(n, w, blend(F.col("_0"), F.col(f"_{i + 1}"), w)) for i, n in enumerate(partners) for w in weights]
+    each = known.select("season", "y", F.explode(F.array(*every)).alias("c")).select("season", "y", "c.*")
+    return over_folds(per_fold(each, ["partner", "weight"], "y", "p"), ["partner", "weight"])
+
+
+def best_blend(candidates: DataFrame, band: float = BAND) -> DataFrame:
+    """The blend with the least losses if it beats the pure forecast by more than the band, else the pure forecast."""
+    return improves(candidates, F.col("partner") == "pure", band)
+
+
 def holdout(predictions: DataFrame, y: str, models: dict[str, str], reference: str) -> DataFrame:
     """Losses of frozen forecasts (name -> column) on held-out rows, each compared with the reference row by row."""
     rows = predictions.where(F.col(y).isNotNull())

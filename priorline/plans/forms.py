@@ -389,7 +389,7 @@ HHI = f"""with {NUMBERED}, {_window_sql('w', 'recent')} select season, team, gam
 
 
 def minutes_overlap(spark, d):
-    return rounded(rotation.overlap(_rotation(spark, d, "recent"), _rotation(spark, d, "trailing5")), "overlap", nudge=NUDGE)
+    return rounded(rotation.overlap(rotation.numbered(box(spark, d)), "recent", "trailing5"), "overlap", nudge=NUDGE)
 
 
 OVERLAP = f"""with {NUMBERED}, {_window_sql('x', 'recent')}, {_window_sql('y', 'trailing5')}
@@ -397,7 +397,7 @@ select season, team, game_no, round(sum(least(coalesce(x.share, 0), coalesce(y.s
 
 
 def disruption(spark, d):
-    return rounded(rotation.disruption(_rotation(spark, d, "baseline"), _rotation(spark, d, "recent3")), "minutes_lost", "lost_ratio", nudge=NUDGE)
+    return rounded(rotation.disruption(rotation.numbered(box(spark, d))), "minutes_lost", "lost_ratio", nudge=NUDGE)
 
 
 def _games_sql(x: str, window: str) -> str:

@@ -83,6 +83,24 @@ def blend_search(spark, d):
 BLEND = f"with {PRED}, b as (select y, weight, (1 - weight) * p + weight * q as p from pred, (select unnest([0, 0.25, 0.5, 0.75, 1]::double[]) as weight)) select weight, {LOSSES} from b group by weight"
 
 
+def blend_partners(spark, d):
+    """Three partners beside a forecast, season by season, and the blend that is worth it, if one is."""
+    p = predictions(spark, d).select((F.col("doc_id") % 4).cast("int").alias("season"), "y", "p", "q", (1 - F.col("q")).alias("r"), (0.5 * F.col("p") + 0.2).alias("s"))
+    scored = written(selection.blend_candidates(p, "y", "p", {"q": "q", "r": "r", "s": "s"}), "blends")
+    best = selection.best_blend(scored).select("partner", "weight", F.lit(True).alias("chosen"))
+    out = scored.join(F.broadcast(best), ["partner", "weight"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    return rounded(out, "mean_brier", "mean_log_loss")
+
+
+PARTNERS = f"""with {PRED}, w as (select unnest([0.1, 0.2, 0.3, 0.4, 0.5]::double[]) as weight), b as (
+  select doc_id % 4 as season, y, 'pure' as partner, 0.0::double as weight, p from pred union all select doc_id % 4, y, 'q', weight, (1 - weight) * p + weight * q from pred, w
+  union all select doc_id % 4, y, 'r', weight, (1 - weight) * p + weight * (1 - q) from pred, w union all select doc_id % 4, y, 's', weight, (1 - weight) * p + weight * (0.5 * p + 0.2) from pred, w),
+f as (select partner, weight, season, avg(pow(p - y::int, 2)) as b, avg(case when y then -ln(least(greatest(p, 1e-15), 1 - 1e-15)) else -ln(1 - least(greatest(p, 1e-15), 1 - 1e-15)) end) as l from b group by all),
+m as (select partner, weight, avg(b) as b, avg(l) as l, count(*) as folds from f group by all),
+c as (select partner, weight from m where partner = 'pure' or (select b from m where partner = 'pure') - b > 1e-4 order by b, l limit 1)
+select m.partner, m.weight, round(b, 6) as mean_brier, round(l, 6) as mean_log_loss, folds, c.partner is not null as chosen from m left join c on c.partner = m.partner and c.weight = m.weight"""
+
+
 def tie_band_preference(spark, d):
     """Of a season's candidates within the band of the best, the one with the least weight."""
     scored = metrics.scores(predictions(spark, d).withColumn("grp", F.col("doc_id") % 3).select("grp", "y", F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), blend(F.col("p"), F.col("q"), w).alias("p")) for w in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("b")).select("grp", "y", "b.*"), "y", "p", ["grp", "weight"])
@@ -278,11 +296,11 @@ POINTS = f"""with {forms.RESULTS}, c2 as (select *, case when won is not null th
 select game_id, team, {", ".join(x for n in ("scored", "allowed", "margin") for x in forms.means_sql(n, f"h_{n}", (5, 10)))} from n"""
 
 
-QUERIES = {f.__name__: f for f in (brier_logloss_accuracy, roc_auc, calibration_table, calibration_ece, segments, constant_baseline, blend_search, tie_band_preference, logistic_walk_forward, logistic_selection, grid_select_tie_rule, bootstrap_ci, elo_selection, mov_selection, history_selection, bundle_ablation, holdout_evaluation, holdout_calibration, holdout_segments, points_form)}
+QUERIES = {f.__name__: f for f in (brier_logloss_accuracy, roc_auc, calibration_table, calibration_ece, segments, constant_baseline, blend_search, blend_partners, tie_band_preference, logistic_walk_forward, logistic_selection, grid_select_tie_rule, bootstrap_ci, elo_selection, mov_selection, history_selection, bundle_ablation, holdout_evaluation, holdout_calibration, holdout_segments, points_form)}
 ORACLES = {
     "brier_logloss_accuracy": f"with {PRED} select toxic, {LOSSES} from pred group by toxic", "roc_auc": AUC, "calibration_table": CALIBRATION,
     "calibration_ece": f"select round(sum(n * abs(mean_p - rate)) / sum(n), 6) as ece from ({CALIBRATION.replace('round(mean_p, 6)', 'mean_p').replace('round(rate, 6)', 'rate')})",
-    "segments": SEGMENTS, "constant_baseline": CONSTANT, "blend_search": BLEND, "tie_band_preference": TIE,
+    "segments": SEGMENTS, "constant_baseline": CONSTANT, "blend_search": BLEND, "blend_partners": PARTNERS, "tie_band_preference": TIE,
     "elo_selection": _selection_sql(selection.refined_grid()), "points_form": POINTS,
     "mov_selection": f"select candidate, mean_brier, mean_log_loss, folds from ({_selection_sql(selection.margin_grid((40.0, 60.0)))}) where chosen",
     "holdout_calibration": HOLDOUT_CALIBRATION, "holdout_segments": HOLDOUT_SEGMENTS,

@@ -197,7 +197,7 @@ def test_disruption_divides_by_the_games_there_are(spark):
 
     played = [(2000, 1, g, 1000 * g, 7, 36.0 if g == 1 else 0.0) for g in range(1, 7)] + [(2000, 1, g, 1000 * g, 8, 30.0) for g in range(1, 7)]
     rows = rotation.numbered(spark.createDataFrame(played, "season int, team int, game_id int, ts long, player int, minutes double"))
-    out = rotation.disruption(rotation.window_minutes(rows, "baseline"), rotation.window_minutes(rows, "recent3")).where("game_no = 5").first()
+    out = rotation.disruption(rows).where("game_no = 5").first()
     assert (out.minutes_lost, out.absent) == (36.0, 1)
 
 
@@ -311,6 +311,44 @@ def test_tie_rules_of_ratings_and_of_logistic_settings(spark):
     assert selection.preferred_rating(df.where("candidate in (0, 3, 4)")).first().candidate == 0
 
 
+def test_a_blend_must_beat_the_pure_forecast_by_the_band(spark):
+    from priorline.operators import selection
+
+    rows = [(s, s % 2 == 0, 0.6 if s % 2 == 0 else 0.4, 1.0 if s % 2 == 0 else 0.0, 0.6001 if s % 2 == 0 else 0.4) for s in range(20)] + [(0, None, 0.5, 0.5, 0.5), (0, True, 0.9, None, 0.9)]
+    df = spark.createDataFrame(rows, "n int, y boolean, a double, b double, c double").withColumn("season", F.col("n") % 3)
+    scored = selection.blend_candidates(df, "y", "a", {"right": "b", "same": "c"})
+    assert scored.count() == 11 and {r.folds for r in scored.collect()} == {3}
+    best = selection.best_blend(scored).first()
+    assert (best.partner, best.weight) == ("right", 0.5)
+    assert selection.best_blend(scored.where("partner <> 'right'")).first().partner == "pure"
+
+
+def test_phases_and_regular_seasons(spark):
+    from priorline import dims
+    from priorline.operators import league
+
+    kind = "game_id int, season int, date date, home int, away int, postseason boolean, mark string"
+    import datetime
+
+    day = datetime.date.fromisoformat
+    rows = [
+        (1, 2024, day("2024-10-22"), 1, 2, False, None), (2, 2024, day("2025-04-16"), 1, 2, True, None), (3, 2024, day("2025-05-01"), 1, 2, True, None),
+        (4, 2024, day("2024-12-17"), 1, 2, False, None), (5, 2024, None, 1, 2, False, " Championship "), (6, 2024, day("2024-10-23"), 1, 31, False, None),
+        (7, 2024, day("2024-08-01"), 1, 2, False, None), (8, 1980, day("1980-01-01"), 1, 2, False, None), (9, 2024, None, 1, 2, None, None), (10, None, day("2024-11-01"), 1, None, False, None),
+    ]
+    out = league.with_phase(spark.createDataFrame(rows, kind), dims.seasons(spark))
+    assert [r.phase for r in out.orderBy("game_id").collect()] == [
+        "regular_season", "play_in", "playoffs", "nba_cup_championship", "nba_cup_championship", "other_special", "unclassified", "unclassified", "unclassified", "unclassified",
+    ]
+    # A league of four, two contests each; one side has a declared exception.
+    dim = spark.createDataFrame([(1, "standard", 4, 2), (2, "standard", 3, 2), (3, "interrupted", None, None)], "season int, structure string, expected_games int, expected_each int")
+    odd = spark.createDataFrame([(2, 1, 1), (2, 2, 1)], "season int, team int, games int")
+    pairs = [(1, 1, 2), (1, 3, 4), (1, 1, 3), (1, 2, 4), (2, 1, 3), (2, 3, 4), (2, 4, 2), (3, 1, 2), (9, 1, 2)]
+    games = spark.createDataFrame([(s, h, a, "regular_season") for s, h, a in pairs] + [(1, 1, 2, "playoffs")], "season int, home int, away int, phase string")
+    got = {r.season: r for r in league.regular_seasons(games, dim, odd, teams=4).collect()}
+    assert [(s, got[s].n_games, got[s].n_teams, got[s].n_unexpected, got[s].verified) for s in (1, 2, 3, 9)] == [(1, 4, 4, 0, True), (2, 3, 4, 0, True), (3, 1, 2, 0, False), (9, 1, 2, 0, False)]
+
+
 @pytest.mark.parametrize("small", [40, 100_000])
 def test_quantiles_by_selection_equal_numpy(spark, small):
     from priorline.operators import audit
