@@ -20,37 +20,38 @@ def two_tier(left: DataFrame, right: DataFrame, tolerance: int = 1) -> DataFrame
     status: matched, ambiguous, unmatched_left, unmatched_right; tier: exact, near or null; candidates: the ids that an
     ambiguous row could have, in order. Sides are counted by key before they meet, so an n:m key never multiplies.
     """
-    ln = left.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("nl"), F.array_sort(F.collect_list("left_id")).alias("ls"))
-    rn = right.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("nr"), F.array_sort(F.collect_list("right_id")).alias("rs"))
-    counts = ln.join(rn, "key", "full_outer").select("key", F.coalesce("nl", F.lit(0)).alias("nl"), F.coalesce("nr", F.lit(0)).alias("nr"), "ls", "rs")
-    l1, r1 = left.join(counts, "key", "left"), right.join(counts, "key", "left")
-    exact = (F.col("nl") == 1) & (F.col("nr") == 1)
-    many = (F.col("nl") > 0) & (F.col("nr") > 0) & ~exact
-    row = lambda status, tier, lid, rid, cand: (F.lit(status).alias("status"), F.lit(tier).cast("string").alias("tier"), lid.alias("left_id"), rid.alias("right_id"), cand.alias("candidates"))
-    none = F.lit(None).cast("long")
-    matched = l1.where(exact).select(*row("matched", "exact", F.col("left_id"), F.col("rs")[0], _list(None)))
-    amb_l = l1.where(many).select(*row("ambiguous", "exact", F.col("left_id"), none, _list("rs")))
-    amb_r = r1.where(many).select(*row("ambiguous", "exact", none, F.col("right_id"), _list("ls")))
-    open_ = F.col("nl").isNull() | (F.col("nl") == 0) | (F.col("nr") == 0)
-    lp, rp = l1.where(open_).select("left_id", "pair", F.col("day").alias("ld")), r1.where(open_).select("right_id", "pair", F.col("day").alias("rd"))
-    # Each right row is sent to the days that it is near: rows of one pair meet within days, not over all its history.
-    days = F.explode(F.sequence(F.col("rd") - tolerance, F.col("rd") + tolerance))
-    near = lp.join(rp.select("right_id", "pair", "rd", days.alias("ld")), ["pair", "ld"])
-    near = near.withColumn("dl", F.count(F.lit(1)).over(W.partitionBy("left_id"))).withColumn("dr", F.count(F.lit(1)).over(W.partitionBy("right_id")))
-    unique = near.where("dl = 1 and dr = 1")
-    matched2 = unique.select(*row("matched", "near", F.col("left_id"), F.col("right_id"), _list(None)))
-    several = near.where("dl > 1").groupBy("left_id").agg(F.array_sort(F.collect_list("right_id")).alias("rs"))
-    amb2 = several.select(*row("ambiguous", "near", F.col("left_id"), none, _list("rs")))
-    rest_l = lp.join(unique.select("left_id").union(several.select("left_id")), "left_id", "left_anti").select(*row("unmatched_left", None, F.col("left_id"), none, _list(None)))
-    rest_r = rp.join(unique.select("right_id"), "right_id", "left_anti").select(*row("unmatched_right", None, none, F.col("right_id"), _list(None)))
-    out = matched
-    for part in (amb_l, amb_r, matched2, amb2, rest_l, rest_r):
-        out = out.unionByName(part)
-    return out
-
-
-def _list(name: str | None) -> Column:
-    return F.lit(None).cast("string") if name is None else F.array_join(F.col(name).cast("array<string>"), ",")
+    one = lambda df, side: df.select(F.lit(side).alias("side"), F.col(f"{side}_id").alias("id"), "key", "pair", "day")
+    rows = one(left, "left").unionByName(one(right, "right"))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("id"))))
+    known = rows.where("key is not null").groupBy("key").agg(of("left").alias("ls"), of("right").alias("rs"))
+    known = known.where((F.size("ls") > 0) & (F.size("rs") > 0))
+    sides = rows.join(known, "key", "left")
+    is_left, none = F.col("side") == "left", F.lit(None).cast("long")
+    out = lambda status, tier, lid, rid, found: [F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"), tier.cast("string").alias("tier"), lid.alias("left_id"), rid.alias("right_id"), found.alias("candidates")]
+    # Tier 1: what both sides hold of a key, each row once; a match is written from its left row.
+    exact = (F.size("ls") == 1) & (F.size("rs") == 1)
+    others = F.array_join(F.when(is_left, F.col("rs")).otherwise(F.col("ls")).cast("array<string>"), ",")
+    first = sides.where(F.col("ls").isNotNull() & (is_left | ~exact)).select(*out(
+        F.when(exact, "matched").otherwise("ambiguous"), F.lit("exact"), F.when(is_left, F.col("id")), F.when(exact, F.col("rs")[0]).when(~is_left, F.col("id")), F.when(~exact, others),
+    ))
+    # Tier 2: each right row is sent to the days that it is near, so rows of one pair meet within days, not over all its history.
+    open_ = sides.where(F.col("ls").isNull())
+    lp = open_.where(is_left).select(F.col("id").alias("left_id"), "pair", F.col("day").alias("ld"))
+    rp = open_.where(~is_left).select(F.col("id").alias("right_id"), "pair", "day")
+    days = F.explode(F.sequence(F.col("day") - tolerance, F.col("day") + tolerance))
+    near = lp.join(rp.select("right_id", "pair", days.alias("ld")), ["pair", "ld"], "left")
+    apart = F.when(F.col("right_id").isNull(), F.col("left_id"))  # rows near nothing do not meet
+    near = near.withColumn("dr", F.count(F.lit(1)).over(W.partitionBy("right_id", apart)))
+    found = F.array_sort(F.collect_list("right_id"))
+    own = near.groupBy("left_id").agg(F.count("right_id").alias("dl"), F.max("dr").alias("dr"), found.alias("found"))
+    unique, several = (F.col("dl") == 1) & (F.col("dr") == 1), F.col("dl") > 1
+    second = own.select(*out(
+        F.when(unique, "matched").when(several, "ambiguous").otherwise("unmatched_left"), F.when(unique | several, F.lit("near")),
+        F.col("left_id"), F.when(unique, F.col("found")[0]), F.when(several, F.array_join(F.col("found").cast("array<string>"), ",")),
+    ))
+    taken = own.where(unique).select(F.col("found")[0].alias("right_id"))
+    rest = rp.join(taken, "right_id", "left_anti").select(*out("unmatched_right", F.lit(None), none, F.col("right_id"), F.lit(None).cast("string")))
+    return first.unionByName(second).unionByName(rest)
 
 
 @dataclass(frozen=True)
