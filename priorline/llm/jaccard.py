@@ -54,7 +54,9 @@ BATCH_ROWS = 500
 #: Rows of what tasks have dealt that go to Python at once: each holds thousands of numbers.
 DEALT_ROWS = 100
 #: Rows and bytes of one chunk, and columns of one slice, where large columns are multiplied tile by tile.
-TILE_ROWS, TILE_BYTES, TILE_COLUMNS = 2048, 16 << 20, 1024
+TILE_ROWS, TILE_BYTES, TILE_COLUMNS = 1024, 6 << 20, 1024
+#: Rows of a tile whose counts are compared with their bounds at a time.
+TILE_SLICE = 256
 #: Columns put last in the second order: 4 bytes each.
 HOT_AGAIN = 1 << 21
 #: Rows below which a table is broadcast.
@@ -501,7 +503,11 @@ def tile_links(ids: np.ndarray, chunk: np.ndarray, sets: list[np.ndarray]) -> li
         part = np.zeros((len(sets), TILE_COLUMNS), np.float32)
         part[rows[a:b], at[a:b] - first] = 1
         common += part[left] @ part[right].T
-    linked_ = 100 * common >= 80 * (sizes[left][:, None] + sizes[right][None, :] - common)
+    linked_ = np.empty(common.shape, bool)
+    for i in range(0, len(left), TILE_SLICE):
+        met = common[i : i + TILE_SLICE].astype(np.int64)
+        linked_[i : i + TILE_SLICE] = 100 * met >= 80 * (sizes[left[i : i + TILE_SLICE]][:, None] + sizes[right][None, :] - met)
+    del common
     links: list[tuple[int, int]] = []
     todo = set(range(len(sets)))
     place = {int(r): k for k, r in enumerate(right)}
