@@ -198,15 +198,23 @@ def form_stream(sides: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
 
 def run(stream: DataFrame, checkpoint: str, sink: str) -> tuple[DataFrame, int]:
-    """All there is of a stream, into Parquet, and how many rows were refused as late; goes on from its checkpoint."""
-    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKS)
+    """All there is of a stream, into Parquet, and how many rows were refused as late; goes on from its checkpoint.
+
+    State is parted by the session's shuffle partitions, but into no more parts than twice the cluster's cores: each is a
+    store of its own, opened in every micro-batch.
+    """
+    spark = stream.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(parts)}
+    before = {name: spark.conf.get(name) for name in own}
     try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
         query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(stream.schema).parquet(sink), refused(query)
 
 
