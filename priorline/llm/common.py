@@ -110,9 +110,17 @@ def durable(df: DataFrame, kind: str = "table", sums: Column | None = None) -> D
 
 
 def collected(spark: SparkSession) -> None:
-    """Collect the driver's garbage: shuffle files and broadcasts go only once nothing in its memory refers to them."""
+    """Collect garbage before a stage that needs room beside what has run so far.
+
+    On the driver, shuffle files and broadcasts go only once nothing in its memory refers to them. On the executors, heaps
+    that earlier stages have filled stay at their largest until a collection gives them back, and Python workers stand
+    beside them; a task a core asks for one, half a second each.
+    """
     trim()
     spark.sparkContext._jvm.System.gc()
+    cores = spark.sparkContext.defaultParallelism
+    asked = spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("asked"))
+    asked.write.format("noop").mode("overwrite").save()
 
 
 def rows_of(df: DataFrame) -> int:
