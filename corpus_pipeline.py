@@ -15,6 +15,7 @@ from priorline.llm.common import collected, durable
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    collected(spark)
     net = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
     return toxicity.below(docs, net, queries.TOXIC_FROM)
 
