@@ -1,8 +1,9 @@
 """Streams with timers: rows wait until the watermark has passed their instant and are then taken in order.
 
-Each key holds what waits by instant in a map, one entry an instant, with a timer on it, and a small state. A micro-batch
-touches the entries of its own rows alone; when the watermark passes an instant its timer fires, its rows are taken and the
-entry is deleted. So state is never rewritten whole, and what is kept of a key's past is one row.
+Keys are dealt to a fixed number of lots. A lot appends what comes in a micro-batch to a list, one entry whatever the rows,
+with one timer at the earliest instant that waits; when the watermark passes it, all rows that are due are taken together, in
+the order of time and whole columns at once, and only what is not due is written again. A key's past is one row of its lot's
+table. So the calls to the state store grow with lots and micro-batches, not with keys, instants or rows.
 
 Rows that come after the watermark has passed their instant are refused; ``refused`` counts them. The queries need the
 RocksDB state store, which ``run`` sets for their start alone.
@@ -10,103 +11,145 @@ RocksDB state store, which ``run`` sets for their start alone.
 
 from __future__ import annotations
 
-import json
+import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Lots that keys are dealt to; a checkpoint belongs to one number.
+LOTS = 512
 
 
 class InOrder(StatefulProcessor):
-    """Rows (``at`` timestamp, ``ts`` seconds, ``row`` JSON) of each key in the order of time.
+    """Rows (``ts`` seconds, ``keys`` and whatever ``packed`` was given) of a lot's keys in the order of time.
 
-    A subclass gives ``OUT`` (columns after the key's), ``STATE`` (a struct) and ``step``, which gets the rows of one
-    instant and the state left by earlier ones (None at first) and returns output rows and the new state. A row may be
-    due at several instants: ``due`` says when.
+    A subclass gives ``OUT`` (columns after the keys) and ``take``, which gets the rows that are due (of many keys) and the
+    table that earlier ones left (None at first) and returns output rows and the table to keep. ``due`` may make a row due
+    at several instants.
     """
 
-    STATE = "state string"
     OUT: tuple[str, ...] = ()
 
+    def __init__(self, keys: list[str], **fields) -> None:
+        self.keys = [*keys, "nulls_"]
+        for name, value in fields.items():
+            setattr(self, name, value)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts long", "rows array<string>")
-        self.state = handle.getValueState("state", self.STATE)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.next = handle.getValueState("next", "ts long")
+        self.state = handle.getValueState("state", "rows binary")
 
-    def due(self, ts: int, row: str) -> list[tuple[int, str]]:
-        return [(ts, row)]
+    def due(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows
 
-    def step(self, key: tuple, ts: int, rows: list[str], state: tuple | None) -> tuple[list[tuple], tuple | None]:
+    def take(self, rows: pd.DataFrame, state: pd.DataFrame | None) -> tuple[pd.DataFrame, pd.DataFrame]:
         raise NotImplementedError
 
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in rows], columns=[*self.KEYS, *self.OUT], dtype=object)
+    def _wait(self, earliest: int) -> None:
+        """One timer a lot, at the earliest instant that waits."""
+        there = self.next.get()[0] if self.next.exists() else None
+        if there is not None and there <= earliest:
+            return
+        if there is not None:
+            self.handle.deleteTimer(there * 1000)
+        self.handle.registerTimer(earliest * 1000)
+        self.next.update((earliest,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list[str]] = {}
-        for pdf in rows:
-            for ts, row in zip(pdf["ts"].tolist(), pdf["row"].tolist(), strict=True):
-                for when, what in self.due(ts, row):
-                    new.setdefault(when, []).append(what)
-        for ts, more in new.items():
-            there = list(self.waiting.getValue((ts,))[0]) if self.waiting.containsKey((ts,)) else []
-            if not there:
-                self.handle.registerTimer(ts * 1000)
-            self.waiting.updateValue((ts,), (there + more,))
-        yield self._frame(key, [])
+        new = self.due(pd.concat(list(rows), ignore_index=True).drop(columns=["lot_", "at"]))
+        if len(new):
+            self.waiting.appendValue((_dumped(new),))
+            self._wait(int(new["ts"].min()))
+        yield pd.DataFrame({c: [] for c in [*self.keys, *self.OUT]}, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ts = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        if not self.waiting.containsKey((ts,)):
-            return
-        rows = list(self.waiting.getValue((ts,))[0])
-        self.waiting.removeKey((ts,))
-        out, state = self.step(key, ts, rows, tuple(self.state.get()) if self.state.exists() else None)
-        if state is not None:
-            self.state.update(state)
-        yield self._frame(key, out)
+        passed = timerValues.getCurrentWatermarkInMs() // 1000
+        held = pd.concat([pickle.loads(rows) for (rows,) in self.waiting.get()], ignore_index=True)
+        now = held["ts"] <= passed
+        self.waiting.clear()
+        self.next.clear()
+        if not now.all():
+            later = held[~now]
+            self.waiting.appendValue((_dumped(later),))
+            self._wait(int(later["ts"].min()))
+        if now.any():
+            out, state = self.take(held[now].reset_index(drop=True), pickle.loads(self.state.get()[0]) if self.state.exists() else None)
+            self.state.update((_dumped(state),))
+            yield out[[*self.keys, *self.OUT]]
 
     def close(self) -> None:
         pass
 
 
-def _keyed(kind: type[InOrder], keys: list[str], **fields) -> InOrder:
-    own = kind()
-    own.KEYS = keys
-    for name, value in fields.items():
-        setattr(own, name, value)
-    return own
+def _dumped(rows: pd.DataFrame) -> bytes:
+    return pickle.dumps(rows.reset_index(drop=True), protocol=5)
+
+
+def _numbered(rows: pd.DataFrame, keys: list[str]) -> pd.Series:
+    """A number for each row's key; missing keys are a key of their own."""
+    return rows.groupby(keys, sort=False, dropna=False).ngroup()
+
+
+def _last_there(key: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """For rows that lie together by key: the place of the last row at or before each that is ``there``, -1 if none."""
+    n = len(key)
+    begins = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(n), 0)) if n else np.zeros(0, int)
+    last = np.maximum.accumulate(np.where(there, np.arange(n), -1)) if n else np.zeros(0, int)
+    return np.where(last >= begins, last, -1)
+
 
+def _at(values: pd.Series, places: np.ndarray) -> np.ndarray:
+    """Values at places; None at -1."""
+    out = values.to_numpy(object)[places]
+    out[places < 0] = None
+    return out
 
-def packed(stream: DataFrame, keys: list[str], ts: str, columns: list[str], delay: str, side: int = 0) -> DataFrame:
-    """A stream's keys, instant and named columns as the rows that a processor takes, behind a watermark."""
-    row = F.to_json(F.struct(F.lit(side).alias("_side"), *columns), {"ignoreNullFields": "false"})
-    own = stream.select(*keys, F.timestamp_seconds(ts).alias("at"), F.col(ts).cast("long").alias("ts"), row.alias("row"))
+
+def packed(stream: DataFrame, keys: list[str], ts: str, columns: dict[str, F.Column], delay: str) -> DataFrame:
+    """A stream's lot, keys, instant and ``columns`` as the rows that a processor takes, behind a watermark.
+
+    Missing keys are told by ``nulls_`` (a bit each) and filled, as whole numbers beside missing ones would become floats.
+    """
+    nulls = sum((F.when(F.col(k).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(keys)), F.lit(0)).cast("long")
+    filled = [F.coalesce(F.col(k), F.lit(0).cast(stream.schema[k].dataType)).alias(k) if isinstance(stream.schema[k].dataType, T.IntegralType) else F.col(k) for k in keys]
+    lot = F.pmod(F.xxhash64(*keys), F.lit(LOTS)).cast("int").alias("lot_")
+    own = stream.select(lot, *filled, nulls.alias("nulls_"), F.timestamp_seconds(ts).alias("at"), F.col(ts).cast("long").alias("ts"), *[c.alias(n) for n, c in columns.items()])
     return own.withWatermark("at", delay)
 
 
+def _taken(rows: DataFrame, source: DataFrame, kind: type[InOrder], keys: list[str], out: str, **fields) -> DataFrame:
+    """What a processor makes of packed rows, with its keys as they were."""
+    types = ", ".join([f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys])
+    made = rows.groupBy("lot_").transformWithStateInPandas(kind(keys, **fields), f"{types}, nulls_ long, {out}", "Append", "EventTime")
+    named = [c for c in made.columns if c not in keys and c != "nulls_"]
+    return made.select(*[F.when(F.col("nulls_").bitwiseAND(1 << i) == 0, F.col(k)).alias(k) for i, k in enumerate(keys)], *named)
+
+
 class _LatestBefore(InOrder):
     """The last observation at or before each anchor; of one instant the largest tie counts."""
 
-    STATE = "ts long, row string"
     OUT = ("anchor", "anchor_ts", "seen_ts", "seen")
 
-    def step(self, key, ts, rows, state):
-        anchors = []
-        best = None
-        for text in rows:
-            row = json.loads(text)
-            if row["_side"]:
-                anchors.append(text)
-            elif best is None or row["_tie"] > best[0]:
-                best = row["_tie"], text
-        if best is not None:
-            state = ts, best[1]
-        return [(a, ts, *(state or (None, None))) for a in anchors], state
+    def take(self, rows, state):
+        every = rows if state is None else pd.concat([state, rows], ignore_index=True)
+        every["_key"] = _numbered(every, self.keys)
+        every = every.sort_values(["_key", "ts", "side", "tie"], kind="stable", na_position="first", ignore_index=True)
+        seen = (every["side"] == 0).to_numpy()
+        key = every["_key"].to_numpy()
+        last = _last_there(key, seen)
+        at = np.flatnonzero(~seen)
+        out = every.loc[at, [*self.keys]].assign(anchor=every["row"].to_numpy(object)[at], anchor_ts=every["ts"].to_numpy()[at], seen_ts=_at(every["ts"], last[at]), seen=_at(every["row"], last[at]))
+        ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) if len(key) else np.zeros(0, int)
+        kept = last[ends]
+        return out, every.iloc[kept[kept >= 0]].drop(columns="_key")
 
 
 def asof_stream(anchors: DataFrame, observations: DataFrame, keys: list[str], anchor_ts: str, seen_ts: str, tie: str, delay: str = "0 seconds") -> DataFrame:
@@ -120,43 +163,52 @@ def asof_stream(anchors: DataFrame, observations: DataFrame, keys: list[str], an
     """
     kept = [c for c in anchors.columns if c not in keys]
     seen = [c for c in observations.columns if c not in keys]
-    left = packed(anchors.where(F.col(anchor_ts).isNotNull()), keys, anchor_ts, kept, delay, 1)
-    right = observations.where(F.col(seen_ts).isNotNull()).withColumn("_tie", F.col(tie))
-    right = packed(right, keys, seen_ts, ["_tie", *seen], delay)
-    kind = ", ".join([*[f"{k} {anchors.schema[k].dataType.simpleString()}" for k in keys], "anchor string, anchor_ts long, seen_ts long, seen string"])
-    out = left.union(right).groupBy(*keys).transformWithStateInPandas(_keyed(_LatestBefore, keys), kind, "Append", "EventTime")
+    row = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    none = F.lit(None).cast(observations.schema[tie].dataType)
+    left = packed(anchors.where(F.col(anchor_ts).isNotNull()), keys, anchor_ts, {"side": F.lit(1), "tie": none, "row": row(kept)}, delay)
+    right = packed(observations.where(F.col(seen_ts).isNotNull()), keys, seen_ts, {"side": F.lit(0), "tie": F.col(tie), "row": row(seen)}, delay)
+    out = _taken(left.union(right), anchors, _LatestBefore, keys, "anchor string, anchor_ts long, seen_ts long, seen string")
     types = lambda df, names: ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
     out = out.select(*keys, "anchor_ts", "seen_ts", F.from_json("anchor", types(anchors, kept)).alias("_a"), F.from_json("seen", types(observations, seen)).alias("_s"))
     return out.select(*keys, *[F.col("_a")[c].alias(c) for c in kept], *[F.col("_s")[c].alias(f"seen_{c}") for c in seen], (F.col("anchor_ts") - F.col("seen_ts")).alias("staleness"))
 
 
 class _Planner(InOrder):
-    """Captures of each contest, each fired once when its time comes; a contest that moves is planned anew."""
-
-    STATE = "starts long, fired array<string>"
-    OUT = ("source", "before", "capture_ts", "anchor_ts")
-
-    def due(self, ts, row):
-        """An announcement at its own instant, and the captures of the start that it gives at theirs."""
-        starts = json.loads(row)["starts"]
-        if starts is None:
-            return [(ts, row)]
-        befores = [b for b in self.befores if b > self.anchor and starts - b >= ts]
-        return [(ts, row), *[(starts - b, json.dumps({"source": s, "before": b, "of": starts})) for b in befores for s in self.sources]]
-
-    def step(self, key, ts, rows, state):
-        starts, fired = state or (None, [])
-        fired, out = list(fired or []), []
-        rows = [json.loads(r) for r in rows]
-        told = [r["starts"] for r in rows if "starts" in r]
-        if told:  # several at one instant: the latest start
-            starts = max((s for s in told if s is not None), default=None)
-        for row in rows:
-            task = f"{row.get('source')}:{row.get('before')}"
-            if "of" in row and row["of"] == starts and task not in fired:
-                fired.append(task)
-                out.append((row["source"], row["before"], ts, starts - self.anchor))
-        return out, (starts, fired)
+    """Captures of each contest, each fired once when its time comes; a contest that moves is planned anew.
+
+    Rows: an announcement at its own instant (``before`` -1), and the captures of the start that it gives at theirs. The
+    table keeps each contest's start (``before`` -1) and which of its captures have fired.
+    """
+
+    OUT = ("before", "capture_ts", "anchor_ts")
+
+    def due(self, rows):
+        rows = rows.assign(before=-1)
+        parts = [rows]
+        for b in self.befores:
+            planned = rows[rows["given"] & (rows["starts"] - b >= rows["ts"])] if b > self.anchor else rows[:0]
+            parts.append(planned.assign(before=b, ts=planned["starts"] - b))
+        return pd.concat(parts, ignore_index=True)
+
+    def take(self, rows, state):
+        every = rows.assign(held=False) if state is None else pd.concat([state, rows.assign(held=False)], ignore_index=True)
+        every["_key"] = _numbered(every, self.keys)
+        # What was held comes first, then by time; of one instant the announcements first, of those the latest start last.
+        every["_first"] = ~every["held"]
+        every["_plan"] = every["before"] >= 0
+        every = every.sort_values(["_key", "_first", "ts", "_plan", "given", "starts"], kind="stable", ignore_index=True)
+        key, told = every["_key"].to_numpy(), ~every["_plan"].to_numpy()
+        last = _last_there(key, told)
+        starts, given = every["starts"].to_numpy(), every["given"].to_numpy()
+        held = every["held"].to_numpy()
+        fires = held | (~told & (last >= 0) & given[last] & (starts == starts[last]))
+        fired = every[fires & ~told].drop_duplicates(["_key", "before"])
+        new = fired[~fired["held"].to_numpy()]
+        out = new.assign(capture_ts=new["ts"], anchor_ts=new["starts"] - self.anchor)
+        ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True])
+        now = every.iloc[last[ends][last[ends] >= 0]]
+        kept = pd.concat([now, fired], ignore_index=True).assign(held=True)
+        return out, kept[[*self.keys, "ts", "starts", "given", "before", "held"]]
 
 
 def due_captures(announcements: DataFrame, key: str, announced: str, starts: str, sources: list[str], befores: list[int], anchor: int, delay: str = "0 seconds") -> DataFrame:
@@ -166,35 +218,49 @@ def due_captures(announcements: DataFrame, key: str, announced: str, starts: str
     A capture whose time was past when the contest was announced is not made up for, none is planned at or after the anchor
     (``anchor`` seconds before the start), and none fires twice, whatever moves or restarts there are.
     """
-    rows = packed(announcements.where(F.col(announced).isNotNull()).withColumnRenamed(starts, "starts"), [key], announced, ["starts"], delay)
-    kind = f"{key} {announcements.schema[key].dataType.simpleString()}, source string, before long, capture_ts long, anchor_ts long"
-    own = _keyed(_Planner, [key], sources=sources, befores=befores, anchor=anchor)
-    return rows.groupBy(key).transformWithStateInPandas(own, kind, "Append", "EventTime")
+    told = {"starts": F.coalesce(F.col(starts), F.lit(0)).cast("long"), "given": F.col(starts).isNotNull()}
+    rows = packed(announcements.where(F.col(announced).isNotNull()), [key], announced, told, delay)
+    out = _taken(rows, announcements, _Planner, [key], "before long, capture_ts long, anchor_ts long", befores=list(dict.fromkeys(befores)), anchor=anchor)
+    source = F.explode(F.array(*map(F.lit, dict.fromkeys(sources)))).alias("source")  # all sources of a time fire together
+    return out.select(key, source, "before", "capture_ts", "anchor_ts")
 
 
 class _Form(InOrder):
     """A side's results before each of its contests."""
 
-    STATE = "wins long, results long, margin double, last_ts long"
     OUT = ("game_id", "ts", "games_played", "win_rate", "mean_margin", "rest_days")
 
-    def step(self, key, ts, rows, state):
-        wins, results, margin, last = state or (0, 0, 0.0, None)
-        out = []
-        for row in sorted(map(json.loads, rows), key=lambda r: r["game_id"]):
-            rates = (wins / results, margin / results) if results else (None, None)
-            out.append((row["game_id"], ts, results, *rates, (ts - last) / 86400 if last is not None else None))
-            if row["won"] is not None:
-                results, wins, margin, last = results + 1, wins + bool(row["won"]), margin + (row["margin"] or 0.0), ts
-        return out, (wins, results, margin, last)
+    def take(self, rows, state):
+        rows = rows.assign(results=rows["known"].astype("int64"), wins=rows["wins"].astype("int64"), last=rows["ts"], held=False)
+        every = rows if state is None else pd.concat([state, rows], ignore_index=True)
+        every["_key"] = _numbered(every, self.keys)
+        every["_first"] = ~every["held"]
+        every = every.sort_values(["_key", "_first", "ts", "game_id"], kind="stable", ignore_index=True)
+        key, known = every["_key"].to_numpy(), every["known"].to_numpy(bool)
+        sums = every.groupby("_key", sort=False)[["wins", "results", "margin"]].cumsum()
+        last = _last_there(key, known)
+        begins = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        before = np.where(begins, -1, np.r_[-1, np.arange(len(key) - 1)]) if len(key) else np.zeros(0, int)
+        new = ~every["held"].to_numpy(bool)
+        before = before[new]
+        results, wins, margin = (np.where(before < 0, 0, sums[c].to_numpy()[before]) for c in ("results", "wins", "margin"))
+        seen = np.where(before < 0, -1, last[before])
+        own, some = every[new], results > 0
+        rate = lambda x: np.where(some, x / np.where(some, results, 1), np.nan)
+        rest = np.where(seen < 0, np.nan, (own["ts"].to_numpy() - every["last"].to_numpy()[seen]) / 86400)
+        out = own[[*self.keys, "game_id", "ts"]].assign(games_played=results, win_rate=rate(wins), mean_margin=rate(margin), rest_days=rest)
+        ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) if len(key) else np.zeros(0, int)
+        kept = every.iloc[ends][[*self.keys, "ts", "game_id"]].assign(**{c: sums[c].to_numpy()[ends] for c in ("wins", "results", "margin")})
+        return out, kept.assign(last=np.where(last[ends] < 0, 0, every["last"].to_numpy()[last[ends]]), known=last[ends] >= 0, held=True)
 
 
 def form_stream(sides: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """What each side's form was before each contest; a contest without a result leaves nothing behind."""
-    own = sides.withColumn("margin", F.col("margin").cast("double"))
-    kind = "season int, team int, game_id long, ts long, games_played long, win_rate double, mean_margin double, rest_days double"
-    rows = packed(own, ["season", "team"], "ts", ["game_id", "won", "margin"], delay)
-    return rows.groupBy("season", "team").transformWithStateInPandas(_keyed(_Form, ["season", "team"]), kind, "Append", "EventTime")
+    known = F.col("won").isNotNull()
+    counted = {"game_id": F.col("game_id"), "known": known, "wins": F.coalesce(F.col("won").cast("int"), F.lit(0)), "margin": F.when(known, F.coalesce(F.col("margin").cast("double"), F.lit(0.0))).otherwise(0.0)}
+    rows = packed(sides.where(F.col("ts").isNotNull()), ["season", "team"], "ts", counted, delay)
+    out = _taken(rows, sides, _Form, ["season", "team"], "game_id long, ts long, games_played long, win_rate double, mean_margin double, rest_days double")
+    return out.select("season", "team", "game_id", "ts", "games_played", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("win_rate", "mean_margin", "rest_days")])
 
 
 def run(stream: DataFrame, checkpoint: str, sink: str) -> tuple[DataFrame, int]:
