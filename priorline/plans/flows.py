@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -117,7 +118,7 @@ def stream_emit_then_update(spark, d):
     feed = fed(rows, "sides", "ts", {"game_id": 0, "ts": END, "season": 9999, "team": 0, "margin": 0})
     out = sequences.run_to_end(sequences.form_stream(feed), scratch(spark, "stream"), scratch(spark, "form"))
     return out.where("season < 9999").select(
-        "game_id", "team", "games_played", *[F.round(c, 6).alias(c) for c in ("win_rate", "mean_margin", "rest_days")]
+        "game_id", "team", "games_played", *[(F.round(F.col(c) * 1e6) / 1e6).alias(c) for c in ("win_rate", "mean_margin", "rest_days")]  # halves as SQL rounds them
     )
 
 
@@ -186,31 +187,47 @@ s as (select source, case when source = 'purchase' then 'disabled' when source =
 select source, status, count(*) as n_requests, sum(case when status = 'captured' then r % 4 else 0 end)::bigint as n_records from s group by all"""
 
 
+#: Pages of a season that lie in one file.
+BLOCK = 256
+
+
 def _landed(options) -> pages.Client:
-    """A client over pages that lie as Parquet in ``folder``, a season to each of its folders; the archive lacks odd seasons."""
+    """A client over pages that lie as Parquet in ``folder``, a folder to each season and block of pages; the archive lacks odd seasons.
+
+    Pages are asked for in order, so a block is read once and kept until the next one is.
+    """
     import pyarrow.parquet as pq
 
+    store, place = fs.FileSystem.from_uri(options["folder"])
+
+    @lru_cache(maxsize=2)
+    def block(season: int, number: int) -> dict[int, str]:
+        where = f"{place}/season={season}/block={number}"
+        if store.get_file_info(where).type == fs.FileType.NotFound:
+            return {}
+        rows = pq.read_table(where, columns=["page", "raw"], filesystem=store, partitioning=None)
+        return dict(zip(rows["page"].to_pylist(), rows["raw"].to_pylist(), strict=True))
+
     def fetch(path, params):
         season, page = params["seasons[]"], int(params.get("cursor", 0))
         if path == "archive" and season % 2:
             return 404, {}, None
-        store, place = fs.FileSystem.from_uri(options["folder"])
-        rows = pq.read_table(f"{place}/season={season}", filters=[("page", "in", [page, page + 1])], columns=["page", "raw"], filesystem=store, partitioning=None).to_pylist()
-        own = [r["raw"] for r in rows if r["page"] == page]
-        body = json.loads(own[0]) if own else {"data": []}
-        return 200, {}, body | {"meta": {"next_cursor": page + 1 if any(r["page"] == page + 1 for r in rows) else None}}
+        own = block(season, page // BLOCK).get(page)
+        after = page + 1 in block(season, (page + 1) // BLOCK)
+        return 200, {}, (json.loads(own) if own else {"data": []}) | {"meta": {"next_cursor": page + 1 if after else None}}
 
     return pages.Client(fetch)
 
 
 def paged_source(spark, d):
     """Contests as season pages, read back through the data source: a task a season, odd seasons by the fallback."""
-    place = F.row_number().over(W.partitionBy("season").orderBy("game_id")) - 1  # a season of contests, some hundred kilobytes
+    place = F.row_number().over(W.partitionBy("season").orderBy("game_id")) - 1  # a season of contests, four whole numbers each
     c = contests(spark, d).select("season", "game_id", "home_score", "away_score").withColumn("page", F.floor(place / 100).cast("int"))
     item = F.struct(F.col("game_id").alias("id"), "home_score", "away_score")
-    raw = F.to_json(F.struct(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("data")))
+    raw = F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("data")))
     folder = scratch(spark, "pages")
-    c.groupBy("season", "page").agg(raw.alias("raw")).write.partitionBy("season").parquet(folder)
+    blocks = c.withColumn("block", F.floor(F.col("page") / BLOCK).cast("int")).repartition("season", "block")
+    blocks.groupBy("season", "block", "page").agg(raw.alias("raw")).write.partitionBy("season", "block").parquet(folder)
     first, last = c.agg(F.min("season"), F.max("season")).first()
     spark.dataSource.register(paged.SeasonPages)
     feed = spark.read.format("season_pages").options(client="priorline.plans.flows:_landed", folder=folder, path="archive", fallback="live", seasons=f"{first}-{last}").load()

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from importlib import import_module
+from itertools import count
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -37,10 +38,15 @@ def _next(body: dict):
     return (body.get("meta") or {}).get("next_cursor")
 
 
-def season_rows(client: Client, season: int, options: dict[str, str], most: int = 10_000) -> Iterator[tuple]:
-    """Rows of one season: its pages in order, until the cursor is empty or repeats, or a page has no items."""
+def season_rows(client: Client, season: int, options: dict[str, str], most: int | None = None) -> Iterator[tuple]:
+    """Rows of one season: its pages in order, until the cursor is empty or repeats, or a page has no items.
+
+    More than ``most`` pages, if it is given, are an error, not an end.
+    """
     path, cursor, seen = options["path"], None, set()
-    for page in range(most):
+    for page in count():
+        if most is not None and page >= most:
+            raise SourceError(f"{path}: more than {most} pages in season {season}")
         try:
             body = _request(client, path, season, options, cursor)
         except SourceError as e:
@@ -55,11 +61,10 @@ def season_rows(client: Client, season: int, options: dict[str, str], most: int
         if not cursor or cursor in seen:
             return
         seen.add(cursor)
-    raise SourceError(f"{path}: more than {most} pages in season {season}")
 
 
 class SeasonPages(DataSource):
-    """Options: client, path, seasons (``1999-2001, 2003``), fallback, per_page, interval, and what the client asks for."""
+    """Options: client, path, seasons (``1999-2001, 2003``), fallback, per_page, interval, most_pages, and what the client asks for."""
 
     @classmethod
     def name(cls) -> str:
@@ -83,7 +88,8 @@ class _Reader(DataSourceReader):
         return [InputPartition(s) for s in self.seasons]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from season_rows(_client(self.options, len(self.seasons)), partition.value, self.options)
+        most = self.options.get("most_pages")
+        yield from season_rows(_client(self.options, len(self.seasons)), partition.value, self.options, int(most) if most else None)
 
 
 class _Stream(SimpleDataSourceStreamReader):
