@@ -1,7 +1,7 @@
 """State that no window frame can express: ratings that feed on themselves.
 
-Contests stream past in order, in bounded batches; what is held is one number a side (and configuration), never the
-contests. Groups (sets of configurations, seasons) run apart. A contest's row is written before its own result changes
+Contests stream past in order, packed into spans that other tasks have sorted; what is held is one number a side (and
+configuration), never the contests. Groups (sets of configurations, seasons) run apart. A contest's row is written before its own result changes
 anything.
 """
 
@@ -23,7 +23,9 @@ START = 1500.0
 #: Rounds of the adjusted-margin iteration, from zero: fixed, as it need not converge on sparse graphs.
 ROUNDS, LEAST_GAMES = 25, 3
 #: Configurations rated side by side in one pass over the contests.
-SIDE_BY_SIDE = 96
+SIDE_BY_SIDE = 64
+#: Forecasts are kept this far from 0 and 1 where their logarithm is taken.
+LEAST = 1e-15
 #: Contests whose states are solved at once.
 SOLVED_AT_ONCE = 256
 #: Numbers that the states solved at once may hold; leagues of very many sides take fewer at a time.
@@ -48,40 +50,75 @@ class Ratings:
     """One rating a side for each configuration: plain floats for one, vectors for many."""
 
     def __init__(self, configs: list[EloConfig]) -> None:
-        one = len(configs) == 1
-        each = lambda f: float(f(configs[0])) if one else np.array([f(c) for c in configs], float)
+        self.configs, self.one = configs, len(configs) == 1
+        each = lambda f: float(f(configs[0])) if self.one else np.array([f(c) for c in configs], float)
         self.k, self.advantage, self.kept = each(lambda c: c.k), each(lambda c: c.advantage), each(lambda c: c.kept)
         self.first = each(lambda c: -math.inf if c.first_season is None else c.first_season)
         weigh = lambda kind: each(lambda c: 1 / NORMALISERS[kind] if c.margin == kind else 0.0)
         self.plain = each(lambda c: c.margin is None)
         self.root, self.log, self.drawn = weigh("sqrt"), weigh("log"), weigh("fivethirtyeight")
         self.by_margin = any(c.margin for c in configs)
-        self.start = START if one else np.full(len(configs), START)
+        self.start = START if self.one else np.full(len(configs), START)
         self.held: dict = {}
         self.season: int | None = None
 
     def _stake(self, margin: float, lead):
         """How many points a result moves, before surprise."""
-        if not self.by_margin:
-            return self.k
         size = abs(margin)
         by_log = math.log1p(size)
         return self.k * (self.plain + self.root * math.sqrt(size) + by_log * (self.log + self.drawn * 2.2 / (0.001 * lead + 2.2)))
 
-    def before(self, season: int, home, away, home_score, away_score, home_win):
-        """Ratings of both sides and home's chance before the contest; then the result is taken in."""
-        if self.season is not None and season > self.season:
-            part = self.kept ** (season - self.season)
-            self.held = {side: START + part * (r - START) for side, r in self.held.items()}
-        self.season = season
-        h, a = self.held.get(home, self.start), self.held.get(away, self.start)
-        ahead = h + self.advantage - a
-        chance = 1 / (1 + 10.0 ** (-ahead / 400))
-        if home_win is not None:
-            stake = self._stake((home_score or 0) - (away_score or 0), ahead if home_win else -ahead)
-            step = stake * ((1.0 if home_win else 0.0) - chance) * (self.first <= season)
-            self.held[home], self.held[away] = h + step, a - step
-        return h, a, chance
+    def before(self, season, home, away, margin, won) -> np.ndarray:
+        """Ratings of both sides and home's chance before each contest, in order (contests x 3 x configurations).
+
+        ``won`` is 1, 0, or -1 without a result; a result is taken in after its contest's figures are made.
+        """
+        out = np.empty((len(season), 3, len(self.configs)))
+        cuts = np.flatnonzero(np.r_[True, season[1:] != season[:-1]]).tolist() + [len(season)] if len(season) else []
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            now = int(season[begin])
+            if self.season is not None and now > self.season:
+                part = self.kept ** (now - self.season)
+                self.held = {side: START + part * (r - START) for side, r in self.held.items()}
+            self.season = now
+            for side in set(home[begin:end].tolist()) | set(away[begin:end].tolist()):
+                self.held.setdefault(side, self.start if self.one else self.start.copy())
+            span = (x[begin:end].tolist() for x in (home, away, margin, won))
+            (self._one if self.one else self._many)(out[begin:end], self.first <= now, *span)
+        return out
+
+    def _one(self, out, counts, home, away, margin, won) -> None:
+        held, advantage, k, by_margin, made = self.held, self.advantage, self.k, self.by_margin, []
+        for h_, a_, m, w in zip(home, away, margin, won, strict=True):
+            h, a = held[h_], held[a_]
+            ahead = h + advantage - a
+            chance = 1 / (1 + 10.0 ** (-ahead / 400))
+            made.append((h, a, chance))
+            if counts and w >= 0:
+                step = (self._stake(m, ahead if w else -ahead) if by_margin else k) * (w - chance)
+                held[h_], held[a_] = h + step, a - step
+        out[:, :, 0] = made
+
+    def _many(self, out, counts, home, away, margin, won) -> None:
+        held, advantage, k, by_margin = self.held, self.advantage, self.k * counts, self.by_margin
+        ahead, step, scale = np.empty_like(advantage), np.empty_like(advantage), -math.log(10) / 400
+        for i, (h_, a_, m, w) in enumerate(zip(home, away, margin, won, strict=True)):
+            h, a, row = held[h_], held[a_], out[i]
+            row[0], row[1], chance = h, a, row[2]
+            np.subtract(h, a, ahead)
+            np.add(ahead, advantage, ahead)
+            np.multiply(ahead, scale, step)
+            np.exp(step, chance)
+            np.add(chance, 1.0, chance)
+            np.reciprocal(chance, chance)
+            if w >= 0:
+                np.subtract(float(w), chance, step)
+                np.multiply(step, self._stake(m, ahead if w else -ahead) * counts if by_margin else k, step)
+                if h_ == a_:  # the later of two writes to one side counts
+                    held[a_] = a - step
+                else:
+                    np.add(h, step, h)
+                    np.subtract(a, step, a)
 
 
 COLUMNS = ("game_id", "ts", "season", "home", "away", "home_score", "away_score", "home_win")
@@ -91,44 +128,115 @@ RATED = (
 )
 
 
-def elo(contests: DataFrame, configs: list[EloConfig]) -> DataFrame:
-    """Ratings before every contest for each configuration; null before a configuration's first season.
+#: Contests of one packed row.
+PACKED = 16_384
+#: How a packed contest lies in memory.
+RECORD = {"game_id": "i8", "season": "i4", "home": "i4", "away": "i4", "margin": "f8", "won": "i1"}
+#: Stands for a side that is not named.
+NOBODY = -(1 << 31)
 
-    Where all configurations name the seasons they are wanted for, contests of other seasons only feed the ratings. Up to SIDE_BY_SIDE configurations share one ordered pass; more are dealt to further tasks.
+
+def _packed(contests: DataFrame) -> DataFrame:
+    """``at`` (a place in time) and ``rows``: spans of contests in order, PACKED at most to a row.
+
+    Contests are sorted in as many tasks as there are partitions; an ordered pass then meets some thousands of rows.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, PACKED):
+                part = batch.slice(begin, PACKED)
+                own = b"".join(part.column(c).to_numpy(zero_copy_only=False).astype(kind).tobytes() for c, kind in RECORD.items())
+                rows = part.num_rows.to_bytes(8, "little") + pa.compress(own, "lz4", asbytes=True)
+                yield pa.RecordBatch.from_arrays([part.column("ts")[:1], part.column("game_id")[:1], pa.array([rows], pa.binary())], names=["ts", "game_id", "rows"])
+
+    margin = (F.coalesce("home_score", F.lit(0)) - F.coalesce("away_score", F.lit(0))).cast("double").alias("margin")
+    won = F.coalesce(F.col("home_win").cast("int"), F.lit(-1)).alias("won")
+    sides = [F.coalesce(c, F.lit(NOBODY)).cast("int").alias(c) for c in ("home", "away")]
+    own = contests.select("ts", "game_id", "season", *sides, margin, won)
+    return own.repartitionByRange("ts", "game_id").sortWithinPartitions("ts", "game_id").mapInArrow(run, "ts long, game_id long, rows binary")
+
+
+def _unpacked(packed: bytes) -> dict[str, np.ndarray]:
+    n = int.from_bytes(packed[:8], "little")
+    held, at, out = pa.decompress(packed[8:], n * sum(np.dtype(k).itemsize for k in RECORD.values()), "lz4", asbytes=True), 0, {}
+    for c, kind in RECORD.items():
+        out[c] = np.frombuffer(held, kind, n, at)
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _rated(contests: DataFrame, configs: list[EloConfig], made, schema: str) -> DataFrame:
+    """What ``made(which, configs, rows, values)`` gives of each packed span, over one ordered pass a set of configurations."""
     sets = [configs[i : i + SIDE_BY_SIDE] for i in range(0, len(configs), SIDE_BY_SIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rated, own = None, None, []
+        rated = None
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("_set", *COLUMNS)}
-            found: dict[int, list] = {}
-            for i, which in enumerate(cols["_set"]):
-                if which != now:
-                    now, own = which, sets[which]
-                    rated = Ratings(own)
-                found.setdefault(which, []).append((i, rated.before(*(cols[c][i] for c in COLUMNS[2:]))))
-            for which, rows in found.items():
-                n, of = len(rows), sets[which]
-                at = np.tile([i for i, _ in rows], len(of))
-                values = np.array([r for _, r in rows], float).reshape(n, 3, len(of))
-                seasons = np.array(cols["season"])[at]
-                first = np.repeat([-math.inf if c.first_season is None else c.first_season for c in of], n)
-                config = np.repeat(np.arange(len(of)) + which * SIDE_BY_SIDE, n).astype(np.int32)
-                made = [values[:, k].T.ravel() for k in range(3)]
-                own = seasons.reshape(len(of), n)
-                wanted = np.concatenate([np.ones(n, bool) if c.only is None else np.isin(s, c.only) for c, s in zip(of, own, strict=True)])
-                at, seasons, first, config = pa.array(at[wanted]), seasons[wanted], first[wanted], config[wanted]
-                made = [x[wanted] for x in made]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(config), *(batch.column(c).take(at) for c in ("game_id", "season", "home", "away"))]
-                    + [pa.array(x, pa.float64(), mask=seasons < first) for x in made],
-                    names=[f.split()[0] for f in RATED.split(", ")],
-                )
+            for which, packed in zip(batch.column("_set").to_pylist(), batch.column("rows"), strict=True):
+                if rated is None:
+                    rated = Ratings(sets[which])
+                rows = _unpacked(packed.as_py())
+                for begin in range(0, len(rows["won"]), 2048):  # bounded whatever the configurations are
+                    part = {c: x[begin : begin + 2048] for c, x in rows.items()}
+                    yield from made(which, sets[which], part, rated.before(*(part[c] for c in list(RECORD)[1:])))
+
+    dealt = _packed(contests).select(F.explode(F.array(*map(F.lit, range(len(sets))))).alias("_set"), "ts", "game_id", "rows")
+    # One set a partition: by hash two of them might share one and wait for each other.
+    ordered = dealt.repartitionById(len(sets), F.col("_set")).sortWithinPartitions("ts", "game_id").select("_set", "rows")
+    return ordered.mapInArrow(run, schema)
+
+
+def _wanted(of: list[EloConfig], season: np.ndarray) -> np.ndarray:
+    """Which configurations (columns) write which contests (rows)."""
+    return np.column_stack([np.ones(len(season), bool) if c.only is None else np.isin(season, c.only) for c in of])
+
+
+def elo(contests: DataFrame, configs: list[EloConfig]) -> DataFrame:
+    """Ratings before every contest for each configuration; null before a configuration's first season.
+
+    Where all configurations name the seasons they are wanted for, contests of other seasons only feed the ratings. Up to SIDE_BY_SIDE configurations share one ordered pass; more are dealt to further tasks.
+    """
+    names = [f.split()[0] for f in RATED.split(", ")]
+
+    def made(which, of, rows, values):
+        config, at = np.nonzero(_wanted(of, rows["season"]).T)
+        if not len(at):
+            return
+        own = {c: x[at] for c, x in rows.items()}
+        first = np.array([-math.inf if c.first_season is None else c.first_season for c in of])[config]
+        early = own["season"] < first
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((config + which * SIDE_BY_SIDE).astype(np.int32)), *(pa.array(own[c], mask=own[c] == NOBODY) for c in ("game_id", "season", "home", "away"))]
+            + [pa.array(values[at, k, config], mask=early) for k in range(3)],
+            names=names,
+        )
+
+    return _rated(contests, configs, made, RATED)
+
+
+def elo_losses(contests: DataFrame, configs: list[EloConfig]) -> DataFrame:
+    """config_id, season, n, brier and log_loss (sums) of each configuration's forecasts of contests with a result.
+
+    The pass that rates adds the losses up, so contests x configurations are never rows. A season before a
+    configuration's first has none.
+    """
+
+    def made(which, of, rows, values):
+        known = rows["won"] >= 0
+        for season in np.unique(rows["season"][known]):
+            on = known & (rows["season"] == season)
+            which_ = np.flatnonzero([(c.only is None or season in c.only) and (c.first_season is None or season >= c.first_season) for c in of])
+            if not len(which_):
+                continue
+            p, y = values[on, 2][:, which_], rows["won"][on][:, None]
+            q = np.clip(np.where(y, p, 1 - p), LEAST, None)
+            sums = [((p - y) ** 2).sum(axis=0), -np.log(np.minimum(q, 1 - LEAST)).sum(axis=0)]
+            columns = [pa.array((which_ + which * SIDE_BY_SIDE).astype(np.int32)), pa.array(np.full(len(which_), season, np.int32)), pa.array(np.full(len(which_), on.sum(), np.int64))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(x) for x in sums], names=["config_id", "season", "n", "brier", "log_loss"])
 
-    dealt = contests.select(F.explode(F.array(*map(F.lit, range(len(sets))))).alias("_set"), *COLUMNS)
-    ordered = dealt.repartition(len(sets), "_set").sortWithinPartitions("_set", "ts", "game_id")
-    return ordered.mapInArrow(run, RATED)
+    parts = _rated(contests, configs, made, "config_id int, season int, n long, brier double, log_loss double")
+    return parts.groupBy("config_id", "season").agg(*[F.sum(c).alias(c) for c in ("n", "brier", "log_loss")])
 
 
 class Margins:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from priorline.functions.values import blend
 from priorline.operators import audit, learn, metrics
-from priorline.operators.recursive import EloConfig, elo
+from priorline.operators.recursive import EloConfig, elo_losses
 
 # The grids of the ratings, and how many past seasons they may start from (None: all).
 K_GRID, ADVANTAGE_GRID, KEPT_GRID = (10.0, 20.0, 30.0, 40.0), (40.0, 60.0, 80.0, 100.0), (0.25, 0.50, 0.75)
@@ -67,9 +67,9 @@ def rating_candidates(contests: DataFrame, grid: list[tuple[EloConfig, int | Non
         else:
             runs += [(i, EloConfig(c.k, c.advantage, c.kept, s - history, c.margin, (s,))) for s in seasons]
     names = F.element_at(F.array(*[F.lit(i) for i, _ in runs]), F.col("config_id") + 1)
-    rated = elo(past, [c for _, c in runs]).withColumn("candidate", names)
-    both = rated.join(past.select("game_id", "home_win"), "game_id")
-    return over_folds(per_fold(both, ["candidate"], "home_win", "home_probability"), ["candidate"])
+    sums = elo_losses(past, [c for _, c in runs]).withColumn("candidate", names)
+    folds = sums.select("candidate", "season", *[(F.col(c) / F.col("n")).alias(c) for c in ("brier", "log_loss")])
+    return over_folds(folds, ["candidate"])
 
 
 def chosen(candidates: DataFrame, preference: list[Column], band: float = BAND) -> DataFrame:
