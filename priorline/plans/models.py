@@ -249,7 +249,8 @@ def holdout_calibration(spark, d):
 def holdout_segments(spark, d):
     """Losses of the frozen forecasts where either side was new, by favourite, and where the rating is surest."""
     form = sequence.form(sequence.side_rows(contests(spark, d)), ())
-    rows = held_out(spark, d).join(sequence.both_sides(form, ["games_played", "rest_days"]), "game_id")
+    # Written once: a quantile reads its rows again for each of its steps, and the ratings are one ordered pass.
+    rows = written(held_out(spark, d).join(sequence.both_sides(form, ["games_played", "rest_days"]), "game_id"), "held_out")
     early = (F.col("home_games_played") < 10) | (F.col("away_games_played") < 10)
     tired = (F.col("home_rest_days") < 2) | (F.col("away_rest_days") < 2)
     segments = {
