@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -127,10 +129,49 @@ def trailing_means(
     return own.repartition(*by).sortWithinPartitions(*by, *ORDER).mapInArrow(run, schema)
 
 
+#: Days before a row in which results are counted.
+LOAD_DAYS = (3, 5, 7, 4, 6)
+
+
 def load(rows: DataFrame) -> DataFrame:
-    """Games with a result in the 3, 5 and 7 days before, and whether this one is the third in 4 or the fourth in 6 days."""
-    n = lambda days: F.count("won").over(trailing(days * values.DAY_SECONDS))
-    return rows.select("*", n(3).alias("games_3d"), n(5).alias("games_5d"), n(7).alias("games_7d"), (n(4) >= 2).alias("third_in_4"), (n(6) >= 3).alias("fourth_in_6"))
+    """Games with a result in the 3, 5 and 7 days before, and whether this one is the third in 4 or the fourth in 6 days.
+
+    One sort a side and one pass that holds the results of the last seven days: a count is the difference of two places
+    among them, so a row costs the same however many results its frames hold. Rows without an instant count each other.
+    """
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(f"_{d}", T.LongType()) for d in LOAD_DAYS)])
+    names, held, longest = schema.names, rows.columns, max(LOAD_DAYS) * values.DAY_SECONDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, results = None, np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ts = batch.column("ts").to_numpy(zero_copy_only=False).astype(np.int64)
+            there = np.asarray(batch.column("won").is_valid())
+            keys = [batch.column(c) for c in SIDE]
+            changed = np.zeros(len(ts), bool)
+            for k in keys:
+                code = pc.fill_null(k.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                changed[1:] |= code[1:] != code[:-1]
+            cuts = [0, *np.flatnonzero(changed).tolist(), len(ts)]
+            counts = np.zeros((len(LOAD_DAYS), len(ts)), np.int64)
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                key = tuple(k[begin].as_py() for k in keys)
+                if key != now:
+                    now, results = key, np.zeros(0, np.int64)
+                own = ts[begin:end]
+                results = np.concatenate([results, own[there[begin:end]]])
+                upto = np.searchsorted(results, own, "left")
+                for i, days in enumerate(LOAD_DAYS):
+                    counts[i, begin:end] = upto - np.searchsorted(results, own - days * values.DAY_SECONDS, "left")
+                results = results[np.searchsorted(results, own[-1] - longest, "left") :]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in held] + [pa.array(x) for x in counts], names=names)
+
+    dated = rows.where(F.col("ts").isNotNull()).repartition(*SIDE).sortWithinPartitions(*SIDE, *ORDER).mapInArrow(run, schema)
+    undated = rows.where(F.col("ts").isNull()).withColumn("_n", F.count("won").over(W.partitionBy(*SIDE)))
+    both = dated.unionByName(undated.select(*held, *[F.col("_n").alias(f"_{d}") for d in LOAD_DAYS]))
+    return both.select(*held, *[F.col(f"_{d}").alias(f"games_{d}d") for d in (3, 5, 7)], (F.col("_4") >= 2).alias("third_in_4"), (F.col("_6") >= 3).alias("fourth_in_6"))
 
 
 def totals_before(rows: DataFrame, by: list[str], span: int, sums: dict[str, Column]) -> DataFrame:
