@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from priorline.functions.values import DAY_SECONDS
+
 #: Windows as (games back to the first, games back to the last).
 WINDOWS = {"recent": (5, 1), "trailing5": (6, 2), "last3": (3, 1), "prior10": (13, 4), "baseline": (10, 4), "recent3": (3, 1)}
 ABSENT_FROM = 20.0
@@ -14,9 +18,23 @@ ABSENT_FROM = 20.0
 def numbered(appearances: DataFrame) -> DataFrame:
     """Appearances with the number of the side's recorded game, in time.
 
-    Rows of a season's side meet in one task here, some thousands, and everything below groups within sides: one shuffle.
+    Games are numbered within a side's day, and its earlier days' games are added, so no task sorts a side's season of
+    appearances: what is cumulated over a side is one row a day. The numbers then meet the appearances by game.
     """
-    return appearances.withColumn("game_no", F.dense_rank().over(W.partitionBy("season", "team").orderBy("ts", "game_id")))
+    side, day = ["season", "team"], F.coalesce(F.floor(F.col("ts") / DAY_SECONDS), F.lit(-(1 << 62)))  # undated games come first
+    games = appearances.select(*side, "ts", "game_id").distinct().withColumn("_day", day)
+    earlier = F.coalesce(F.sum("_n").over(W.partitionBy(*side).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = games.groupBy(*side, "_day").agg(F.count(F.lit(1)).alias("_n")).select(*side, "_day", earlier.alias("_earlier"))
+    within = F.row_number().over(W.partitionBy(*side, "_day").orderBy("ts", "game_id"))
+    numbers = _beside(games.withColumn("_within", within), days, [*side, "_day"], ["_earlier"])
+    numbers = numbers.withColumn("game_no", (F.col("_earlier") + F.col("_within")).cast("int"))
+    return _beside(appearances, numbers, [*side, "ts", "game_id"], ["game_no"])
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], more: list[str]) -> DataFrame:
+    """``left`` with columns of the one row of ``right`` that has its keys; missing keys are equal."""
+    same = reduce(lambda a, b: a & b, [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys])
+    return left.alias("_l").join(right.alias("_r"), same).select("_l.*", *[f"_r.{c}" for c in more])
 
 
 def windows_minutes(rows: DataFrame, *windows: str) -> DataFrame:
@@ -28,6 +46,8 @@ def windows_minutes(rows: DataFrame, *windows: str) -> DataFrame:
     ahead = F.explode(F.array(*map(F.lit, steps)))
     sent = rows.select("season", "team", "player", "minutes", "game_no", ahead.alias("_a")).withColumn("game_no", F.col("game_no") + F.col("_a"))
     within = {w: F.col("_a").between(WINDOWS[w][1], WINDOWS[w][0]) for w in windows}
+    # Dealt by game once: every group below is within a side's game, and there are many of them.
+    sent = sent.repartition("season", "team", "game_no")
     totals = sent.groupBy("season", "team", "game_no", "player").agg(*[F.sum(F.when(c, F.col("minutes"))).alias(f"minutes_{w}") for w, c in within.items()])
     whole = W.partitionBy("season", "team", "game_no")
     shares = {f"share_{w}": F.try_divide(f"minutes_{w}", F.sum(f"minutes_{w}").over(whole)) for w in windows}
