@@ -24,6 +24,8 @@ START = 1500.0
 ROUNDS, LEAST_GAMES = 25, 3
 #: Configurations rated side by side in one pass over the contests.
 SIDE_BY_SIDE = 64
+#: Up to so many configurations are rated apart, a task each: plain floats take a tenth of a vector's time.
+APART = 16
 #: Forecasts are kept this far from 0 and 1 where their logarithm is taken.
 LEAST = 1e-15
 #: Contests whose states are solved at once.
@@ -167,8 +169,10 @@ def _unpacked(packed: bytes) -> dict[str, np.ndarray]:
 
 
 def _rated(contests: DataFrame, configs: list[EloConfig], made, schema: str) -> DataFrame:
-    """What ``made(which, configs, rows, values)`` gives of each packed span, over one ordered pass a set of configurations."""
-    sets = [configs[i : i + SIDE_BY_SIDE] for i in range(0, len(configs), SIDE_BY_SIDE)]
+    """What ``made(before, configs, rows, values)`` gives of each packed span, over one ordered pass a set of configurations,
+    which ``before`` others precede."""
+    size = 1 if len(configs) <= APART else SIDE_BY_SIDE
+    sets = [configs[i : i + size] for i in range(0, len(configs), size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rated = None
@@ -179,7 +183,7 @@ def _rated(contests: DataFrame, configs: list[EloConfig], made, schema: str) ->
                 rows = _unpacked(packed.as_py())
                 for begin in range(0, len(rows["won"]), 2048):  # bounded whatever the configurations are
                     part = {c: x[begin : begin + 2048] for c, x in rows.items()}
-                    yield from made(which, sets[which], part, rated.before(*(part[c] for c in list(RECORD)[1:])))
+                    yield from made(which * size, sets[which], part, rated.before(*(part[c] for c in list(RECORD)[1:])))
 
     dealt = _packed(contests).select(F.explode(F.array(*map(F.lit, range(len(sets))))).alias("_set"), "ts", "game_id", "rows")
     # One set a partition: by hash two of them might share one and wait for each other.
@@ -195,11 +199,11 @@ def _wanted(of: list[EloConfig], season: np.ndarray) -> np.ndarray:
 def elo(contests: DataFrame, configs: list[EloConfig]) -> DataFrame:
     """Ratings before every contest for each configuration; null before a configuration's first season.
 
-    Where all configurations name the seasons they are wanted for, contests of other seasons only feed the ratings. Up to SIDE_BY_SIDE configurations share one ordered pass; more are dealt to further tasks.
+    Where all configurations name the seasons they are wanted for, contests of other seasons only feed the ratings. Up to APART configurations have a task each; of more, SIDE_BY_SIDE share one ordered pass.
     """
     names = [f.split()[0] for f in RATED.split(", ")]
 
-    def made(which, of, rows, values):
+    def made(before, of, rows, values):
         config, at = np.nonzero(_wanted(of, rows["season"]).T)
         if not len(at):
             return
@@ -207,7 +211,7 @@ def elo(contests: DataFrame, configs: list[EloConfig]) -> DataFrame:
         first = np.array([-math.inf if c.first_season is None else c.first_season for c in of])[config]
         early = own["season"] < first
         yield pa.RecordBatch.from_arrays(
-            [pa.array((config + which * SIDE_BY_SIDE).astype(np.int32)), *(pa.array(own[c], mask=own[c] == NOBODY) for c in ("game_id", "season", "home", "away"))]
+            [pa.array((config + before).astype(np.int32)), *(pa.array(own[c], mask=own[c] == NOBODY) for c in ("game_id", "season", "home", "away"))]
             + [pa.array(values[at, k, config], mask=early) for k in range(3)],
             names=names,
         )
@@ -222,7 +226,7 @@ def elo_losses(contests: DataFrame, configs: list[EloConfig]) -> DataFrame:
     configuration's first has none.
     """
 
-    def made(which, of, rows, values):
+    def made(before, of, rows, values):
         known = rows["won"] >= 0
         for season in np.unique(rows["season"][known]):
             on = known & (rows["season"] == season)
@@ -232,7 +236,7 @@ def elo_losses(contests: DataFrame, configs: list[EloConfig]) -> DataFrame:
             p, y = values[on, 2][:, which_], rows["won"][on][:, None]
             q = np.clip(np.where(y, p, 1 - p), LEAST, None)
             sums = [((p - y) ** 2).sum(axis=0), -np.log(np.minimum(q, 1 - LEAST)).sum(axis=0)]
-            columns = [pa.array((which_ + which * SIDE_BY_SIDE).astype(np.int32)), pa.array(np.full(len(which_), season, np.int32)), pa.array(np.full(len(which_), on.sum(), np.int64))]
+            columns = [pa.array((which_ + before).astype(np.int32)), pa.array(np.full(len(which_), season, np.int32)), pa.array(np.full(len(which_), on.sum(), np.int64))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(x) for x in sums], names=["config_id", "season", "n", "brier", "log_loss"])
 
     parts = _rated(contests, configs, made, "config_id int, season int, n long, brier double, log_loss double")
