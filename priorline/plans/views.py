@@ -75,10 +75,16 @@ QUOTES = """quotes as (
 anchors as (select event_id as anchor_id, user_id as market, cast(floor(epoch(ts)) as bigint) as anchor_ts from events where event_type = 'purchase')"""
 
 
+#: Order lines of one task where they meet their contests and are added up: its memory is the same whatever the table is.
+LINES_A_TASK = 250_000
+
+
 def box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One appearance for each order line: side by line number, twelve players a side, minutes by quantity."""
     li = table(spark, sf_dir, "lineitem")
     c = contests(spark, sf_dir).select("game_id", "ts", "season", "home", "away")
+    parts = max(li.count() // LINES_A_TASK + 1, spark.sparkContext.defaultParallelism)
+    li, c = li.repartition(parts, "l_orderkey"), c.repartition(parts, "game_id")
     rows = li.join(c, F.col("l_orderkey") == F.col("game_id"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     one = rows.select(
