@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,33 +62,63 @@ def form(rows: DataFrame, lasts: tuple[int, ...] = (5, 10)) -> DataFrame:
     return out
 
 
-def both_sides(features: DataFrame, names: list[str]) -> DataFrame:
-    """Side rows back to one row a contest: home_x, away_x and diff_x, null where either side is."""
+def both_sides(features: DataFrame, names: list[str], also: tuple[Column, ...] = ()) -> DataFrame:
+    """Side rows back to one row a contest: home_x, away_x and diff_x, null where either side is, and aggregates of both."""
     pick = lambda side, n: F.max(F.when(F.col("is_home") == side, F.col(n)))
-    wide = features.groupBy("game_id").agg(*[pick(True, n).alias(f"home_{n}") for n in names], *[pick(False, n).alias(f"away_{n}") for n in names])
+    wide = features.groupBy("game_id").agg(*[pick(True, n).alias(f"home_{n}") for n in names], *[pick(False, n).alias(f"away_{n}") for n in names], *also)
     return wide.select("*", *[(F.col(f"home_{n}") - F.col(f"away_{n}")).alias(f"diff_{n}") for n in names])
 
 
-class _Trail:
-    """What came before of one value: its sum, its last so many, and its decayed sum."""
-
-    __slots__ = ("n", "total", "last", "sum", "weight")
+#: Values whose decayed sums are made by one product.
+DECAYED_AT_ONCE = 32
 
-    def __init__(self, keep: int) -> None:
-        self.n, self.total, self.last, self.sum, self.weight = 0, 0.0, deque(maxlen=keep), 0.0, 0.0
 
-    def means(self, lasts: tuple[int, ...]) -> list[float | None]:
-        if not self.n:
-            return [None] * (len(lasts) + 2)
-        held = list(self.last)
-        recent = [sum(held[-k:]) / len(held[-k:]) for k in lasts]
-        return [self.total / self.n, *recent, self.sum / self.weight]
-
-    def add(self, x: float, decay: float) -> None:
-        self.n += 1
-        self.total += x
-        self.last.append(x)
-        self.sum, self.weight = self.sum * decay + x, self.weight * decay + 1
+class _Trail:
+    """What came before of one value: its count, its sum, its last so many, and its decayed sum."""
+
+    def __init__(self, keep: int, decay: float) -> None:
+        self.n, self.total, self.last, self.sum = 0, 0.0, np.zeros(0), 0.0
+        self.keep, self.decay = keep, decay
+
+    def means(self, values: np.ndarray, lasts: tuple[int, ...]) -> list[np.ndarray]:
+        """The means before each of ``values``, in order, which are then taken in; NaN where none came before."""
+        there = ~np.isnan(values)
+        x, at = values[there], np.cumsum(there) - there
+        n = self.n + np.arange(len(x) + 1)
+        some = np.where(n > 0, n, np.nan)
+        totals = np.cumsum(np.r_[self.total, x])
+        held = np.r_[np.zeros(self.keep), self.last, x]
+        begin = self.keep + len(self.last)
+        recent = [sliding_window_view(held, k)[begin - k :].sum(axis=1) / np.minimum(some, k) for k in lasts]
+        decayed = self._decayed(x)
+        weight = n.astype(float) if self.decay == 1 else (1 - self.decay**n) / (1 - self.decay)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = [totals / some, *recent, np.where(n > 0, decayed / weight, np.nan)]
+        self.n, self.total, self.sum = int(n[-1]), float(totals[-1]), float(decayed[-1])
+        self.last = held[max(self.keep, len(held) - self.keep) :]
+        return [m[at] for m in out]
+
+    def _decayed(self, x: np.ndarray) -> np.ndarray:
+        """The decayed sum before each of ``x`` and after the last of them."""
+        if not np.isfinite(x).all():  # an infinite value is in no product with zeros
+            return np.array(list(accumulate(x.tolist(), lambda total, value: total * self.decay + value, initial=self.sum)))
+        size = DECAYED_AT_ONCE
+        blocks = np.r_[x, np.zeros(-len(x) % size)].reshape(-1, size)
+        age = np.arange(size) - np.arange(size)[:, None]
+        within = blocks @ np.where(age >= 0, self.decay ** np.maximum(age, 0), 0.0)
+        whole = self.decay**size
+        into = list(accumulate(within[:, -1].tolist(), lambda total, value: total * whole + value, initial=self.sum))
+        sums = within + np.array(into[:-1])[:, None] * self.decay ** np.arange(1, size + 1)
+        return np.r_[self.sum, sums.ravel()[: len(x)]]
+
+
+def _spans(keys: list[pa.Array]) -> list[int]:
+    """Where rows of one key begin, of rows that lie together by key, and where the last end."""
+    changed = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        code = pc.fill_null(k.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        changed[1:] |= code[1:] != code[:-1]
+    return [0, *np.flatnonzero(changed).tolist(), len(changed)]
 
 
 def trailing_means(
@@ -97,8 +128,8 @@ def trailing_means(
     """For each of ``cols`` (name -> column) the means of its earlier values: all, the last so many, and decayed.
 
     Adds name_mean, name_last{n} and name_ewma, where a value weighs half as much as one ``half_life`` values later.
-    Nulls are passed over and take no place. One sort a group, one pass in constant memory; the row is written before
-    its own values are taken in.
+    Nulls are passed over and take no place. One sort a group, one pass in constant memory over whole columns; the row is
+    written before its own values are taken in.
     """
     by = by or SIDE
     added = [f"{name}_{kind}" for name in cols for kind in ("mean", *(f"last{n}" for n in lasts), "ewma")]
@@ -109,22 +140,19 @@ def trailing_means(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, trails = None, {}
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
-            values_ = {name: batch.column(f"_v_{name}").to_pylist() for name in cols}
-            out: list[list] = [[] for _ in added]
-            for i, key in enumerate(keys):
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c) for c in by]
+            cuts = _spans(keys)
+            values_ = {name: batch.column(f"_v_{name}").to_numpy(zero_copy_only=False) for name in cols}
+            out = np.empty((len(added), batch.num_rows))
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                key = tuple(k[begin].as_py() for k in keys)
                 if key != now:
-                    now, trails = key, {name: _Trail(keep) for name in cols}
-                at = 0
-                for name, trail in trails.items():
-                    for x in trail.means(lasts):
-                        out[at].append(x)
-                        at += 1
-                    value = values_[name][i]
-                    if value is not None and value == value:
-                        trail.add(value, decay)
+                    now, trails = key, {name: _Trail(keep, decay) for name in cols}
+                out[:, begin:end] = [m for name, trail in trails.items() for m in trail.means(values_[name][begin:end], lasts)]
             kept = [batch.column(c) for c in held]
-            yield pa.RecordBatch.from_arrays(kept + [pa.array(x, pa.float64()) for x in out], names=names)
+            yield pa.RecordBatch.from_arrays(kept + [pa.array(x, mask=np.isnan(x)) for x in out], names=names)
 
     return own.repartition(*by).sortWithinPartitions(*by, *ORDER).mapInArrow(run, schema)
 
@@ -150,11 +178,7 @@ def load(rows: DataFrame) -> DataFrame:
             ts = batch.column("ts").to_numpy(zero_copy_only=False).astype(np.int64)
             there = np.asarray(batch.column("won").is_valid())
             keys = [batch.column(c) for c in SIDE]
-            changed = np.zeros(len(ts), bool)
-            for k in keys:
-                code = pc.fill_null(k.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-                changed[1:] |= code[1:] != code[:-1]
-            cuts = [0, *np.flatnonzero(changed).tolist(), len(ts)]
+            cuts = _spans(keys)
             counts = np.zeros((len(LOAD_DAYS), len(ts)), np.int64)
             for begin, end in zip(cuts, cuts[1:], strict=False):
                 key = tuple(k[begin].as_py() for k in keys)

@@ -296,9 +296,12 @@ METRICS = ("off_efficiency", "def_efficiency", "net_efficiency", "pace", "efg",
 LASTS = (3, 5, 10)
 
 
-def _followed(spark, d) -> DataFrame:
-    rows = box_math.derived(side_totals(spark, d)).select("game_id", "ts", "season", "team", "is_home", "complete", "pts", *METRICS)
-    return sequence.trailing_means(rows, {m: m for m in METRICS}, LASTS)
+def _figures(spark, d) -> DataFrame:
+    return box_math.derived(side_totals(spark, d)).select("game_id", "ts", "season", "team", "is_home", "complete", "pts", *METRICS)
+
+
+def _followed(figures: DataFrame) -> DataFrame:
+    return sequence.trailing_means(figures, {m: m for m in METRICS}, LASTS)
 
 
 MEANS = [f"{m}_{k}" for m in METRICS for k in ("mean", *(f"last{n}" for n in LASTS), "ewma")]
@@ -306,7 +309,7 @@ MEANS = [f"{m}_{k}" for m in METRICS for k in ("mean", *(f"last{n}" for n in LAS
 
 def efficiency_windows(spark, d):
     """Eight figures before each contest: season mean, last three, five and ten, decayed; of complete boxes alone."""
-    return rounded(_followed(spark, d).select("game_id", "team", *MEANS), *MEANS, nudge=NUDGE)
+    return rounded(_followed(_figures(spark, d)).select("game_id", "team", *MEANS), *MEANS, nudge=NUDGE)
 
 
 FOLLOWED = f"""{DERIVED}, lists as (
@@ -321,8 +324,10 @@ def efficiency_by_contest(spark, d):
     The league's baseline is the mean of the complete sides of contests processed earlier this season, offence for
     both efficiencies. Boxes without any player count neither way.
     """
-    rows = _followed(spark, d)
-    one = rows.groupBy("season", "game_id", "ts").agg(*[
+    # The league's sums are of the figures: read behind the pass over each side's past, they would have it run again.
+    figures = _figures(spark, d)
+    rows = _followed(figures)
+    one = figures.groupBy("season", "game_id", "ts").agg(*[
         x for m in ("off_efficiency", "efg") for x in (F.coalesce(F.sum(m), F.lit(0.0)).alias(f"s_{m}"), F.count(m).alias(f"n_{m}"))
     ])
     sums = {f"{k}_{m}": F.col(f"{k}_{m}") for m in ("off_efficiency", "efg") for k in ("s", "n")}
@@ -335,9 +340,7 @@ def efficiency_by_contest(spark, d):
     base = {"off_efficiency": "league_off_efficiency", "def_efficiency": "league_off_efficiency", "efg": "league_efg"}
     own = own.withColumns({f"{m}_vs_league": F.col(f"{m}_mean") - F.col(b) for m, b in base.items()})
     names = ["net_efficiency_mean", "pace_ewma", *[f"{m}_vs_league" for m in base]]
-    wide = sequence.both_sides(own, names)
-    flags = own.groupBy("game_id").agg(F.bool_and("clean").alias("complete_history"), F.max("league_off_efficiency").alias("league_off_efficiency"))
-    out = wide.join(flags, "game_id")
+    out = sequence.both_sides(own, names, (F.bool_and("clean").alias("complete_history"), F.max("league_off_efficiency").alias("league_off_efficiency")))
     return rounded(out, "league_off_efficiency", *[f"{s}_{n}" for s in ("home", "away", "diff") for n in names], nudge=NUDGE)
 
 
