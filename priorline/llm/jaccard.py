@@ -40,13 +40,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priorline.llm.common import collected, durable, forget, id_text, mixed, passages, release, rows_of, seen_in, small_batches
+from priorline.llm.common import BLANK, collected, durable, forget, id_text, mixed, release, rows_of, seen_in, small_batches
 
 SHINGLE = 5
 #: Columns put last: at most so many, each among the first entries of more than HOT_FROM rows.
-HOT_COLUMNS, HOT_FROM = 1 << 17, 48
-#: Entries of a column that are paired with each other.
-BLOCK_ROWS = 64
+HOT_COLUMNS, HOT_FROM = 1 << 21, 8
+#: Entries of a column that are paired with each other: few, as their pairs grow with the square of a group of near copies.
+BLOCK_ROWS = 8
 #: Entries for a block's task.
 TASK_ENTRIES = 500_000
 #: Rows with whole sets that go to Python at once.
@@ -67,13 +67,61 @@ MAP_BITS = 1 << 26
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+#: Bytes of a text that are hashed at once, and of a word whose letters are: longer words are hashed by xxhash.
+PIECE, WORD_BYTES = 1 << 16, 64
+#: Value of each byte in a word's polynomial, A-Z as a-z, blanks none; powers of its base and their inverses.
+BASE = 0x9E3779B97F4A7C15
+LETTERS = mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1))
+BLANKS = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+LETTERS[BLANKS] = 0
+
+
+def _powers(base: int) -> np.ndarray:
+    powers = np.full(PIECE + 1, base, np.uint64)
+    powers[0] = 1
+    return np.cumprod(powers, dtype=np.uint64)
+
+
+POWERS, INVERSES = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+
+
+def _pieces(text: bytes):
+    """``text`` in pieces of whole words, of at most PIECE bytes but for a longer word, which is a piece of its own."""
+    at = 0
+    while len(text) - at > PIECE:
+        cut = max(text.rfind(c, at, at + PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if cut <= at:
+            found = BLANK.search(text, at + 1)
+            cut = found.start() if found else len(text)
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of ``text``, A-Z as a-z: a polynomial of its bytes, by whole arrays, mixed."""
+    out = []
+    for piece in _pieces(text):
+        if len(piece) > PIECE:  # one long word, behind a blank at most
+            out.append(np.array([xxhash.xxh3_64_intdigest(w.lower()) for w in piece.split()], np.uint64))
+            continue
+        raw = np.frombuffer(piece, np.uint8)
+        blank = np.ones(len(raw) + 2, bool)
+        blank[1:-1] = BLANKS[raw]
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        start, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(LETTERS[raw] * POWERS[: len(raw)], out=sums[1:])
+        w = mixed((sums[end] - sums[start]) * INVERSES[start])
+        for i in np.flatnonzero(end - start > WORD_BYTES):
+            w[i] = xxhash.xxh3_64_intdigest(piece[start[i] : end[i]].lower())
+        out.append(w)
+    return out[0] if len(out) == 1 else np.concatenate(out)
+
+
 def row_of(text: bytes) -> np.ndarray:
     """Sorted distinct shingle hashes of one text; A-Z count as a-z."""
-    parts = []
-    for part in passages(text):
-        words = part.lower().split()
-        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
-    w = np.concatenate(parts)
+    w = word_hashes(text)
     if not len(w):
         return w
     if len(w) < SHINGLE:
@@ -83,7 +131,9 @@ def row_of(text: bytes) -> np.ndarray:
         sums = w[:n] * FACTORS[0]
         for k in range(1, SHINGLE):
             sums += w[k : k + n] * FACTORS[k]
-    return np.unique(mixed(sums))
+    row = mixed(sums)
+    row.sort()
+    return row[np.r_[True, row[1:] != row[:-1]]]
 
 
 def signature(row: np.ndarray) -> int:
@@ -383,14 +433,20 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if rows_of(df) <= BROADCAST_ROWS else df
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig and whole row (binary) of the texts in ``wanted`` (row_key), from one more scan; only those are moved."""
-    spot = F.pmod(F.col("row_key"), F.lit(MAP_BITS)) + 1
-    maps = wanted.select(F.bitmap_bucket_number(spot).alias("k"), F.bitmap_bit_position(spot).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+def marked(keys: DataFrame, column: str) -> np.ndarray:
+    """A map of MAP_BITS bits, in bytes, with the spots of all values of a long ``column`` set."""
+    spot = F.pmod(F.col(column), F.lit(MAP_BITS)) + 1
+    maps = keys.select(F.bitmap_bucket_number(spot).alias("k"), F.bitmap_bit_position(spot).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     bits = np.zeros(MAP_BITS // 8 + 4096, np.uint8)
     for r in maps:
         own = np.frombuffer(bytes(r["bits"]), np.uint8)
         bits[(r["k"] - 1) * 4096 : (r["k"] - 1) * 4096 + len(own)] = own
+    return bits
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sig and whole row (binary) of the texts in ``wanted`` (row_key), from one more scan; only those are moved."""
+    bits = marked(wanted, "row_key")
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):

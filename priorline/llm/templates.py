@@ -63,12 +63,43 @@ def _signed(x: int) -> int:
     return x - (1 << 63)
 
 
+def leaf_of(words: list[bytes]) -> int:
+    """The leaf that a line of these words descends to: their number and the leading ones."""
+    key = b" ".join(words[:DEPTH])
+    if DIGIT.search(key):
+        key = b" ".join(b"<*>" if DIGIT.search(w) else w for w in words[:DEPTH])
+    return _signed(xxhash.xxh3_64_intdigest(key, seed=len(words)))
+
+
+def leaves_of(texts: DataFrame) -> DataFrame:
+    """row_key and leaf of every leaf that a text's lines of at least MIN_TOKENS tokens descend to."""
+
+    def run(batches):
+        forget()
+        for batch in batches:
+            rows, leaves = [], []
+            for row, value in enumerate(batch.column("text").cast(pa.binary())):
+                own = {leaf_of(words) for line in value.as_py().split(b"\n") if len(words := line.split()) >= MIN_TOKENS}
+                rows += [row] * len(own)
+                leaves += own
+            yield pa.RecordBatch.from_arrays([batch.column("row_key").take(pa.array(rows, pa.int64())), pa.array(leaves, pa.int64())], names=["row_key", "leaf"])
+
+    return texts.mapInArrow(run, "row_key long, leaf long")
+
+
 def lines_of(texts: DataFrame) -> DataFrame:
-    """row_key, line_no, line (hash) and leaf of every line of at least MIN_TOKENS tokens; tokens (32-bit hashes) once for each line and task."""
+    """row_key, line_no, line (hash) and leaf of every line of at least MIN_TOKENS tokens whose leaf several rows share; tokens (32-bit hashes) once for each line and task.
+
+    A line alone in its leaf cannot recur. Which leaves are shared is told by a map of bits; what it lets through beyond
+    them changes nothing.
+    """
+    rows = leaves_of(texts).groupBy("leaf").agg(F.min("row_key").alias("x"), F.max("row_key").alias("y"))
+    sent = texts.sparkSession.sparkContext.broadcast(jaccard.marked(rows.where("x <> y"), "leaf"))
 
     def run(batches):
         forget()
         seen: set[int] = set()
+        shared = sent.value
         for batch in batches:
             cols: dict[str, list] = {k: [] for k in ("row", "line_no", "line", "leaf", "tokens")}
             held = 0
@@ -85,9 +116,12 @@ def lines_of(texts: DataFrame) -> DataFrame:
                     n = len(words)
                     if n < MIN_TOKENS:
                         continue
+                    leaf = leaf_of(words)
+                    spot = leaf % jaccard.MAP_BITS
+                    if not shared[spot >> 3] >> (spot & 7) & 1:
+                        continue
                     hashed, tokens = token_hashes(words), None
                     one = _signed(xxhash.xxh3_64_intdigest(hashed.tobytes()))
-                    leaf = _signed(xxhash.xxh3_64_intdigest(hashed[:DEPTH].tobytes(), seed=n))
                     if one not in seen:
                         seen.add(one)
                         tokens = np.where(hashed == VARIABLE, 0, hashed | np.uint64(1)).astype(np.uint32).tobytes()
