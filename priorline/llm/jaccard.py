@@ -291,11 +291,14 @@ def entries(source: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
                     continue
                 seen.add(one)
                 k = first_entries(len(row))
-                is_late = np.zeros(len(row), bool)
-                if len(late):
-                    high = (row >> np.uint64(32)).astype(np.uint32)
-                    at = np.minimum(np.searchsorted(late, high), len(late) - 1)
-                    is_late = late[at] == high
+                for looked in (2 * k, len(row)):  # mostly the front of a row has enough columns that are not hot
+                    is_late = np.zeros(min(looked, len(row)), bool)
+                    if len(late):
+                        high = (row[:looked] >> np.uint64(32)).astype(np.uint32)
+                        at = np.minimum(np.searchsorted(late, high), len(late) - 1)
+                        is_late = late[at] == high
+                    if len(is_late) - np.count_nonzero(is_late) >= k:
+                        break
                 order = np.concatenate([np.flatnonzero(~is_late)[:k], np.flatnonzero(is_late)[:k]])[:k]
                 cols.append(row[order])
                 hots.append(is_late[order])

@@ -99,6 +99,7 @@ def lines_of(texts: DataFrame) -> DataFrame:
     def run(batches):
         forget()
         seen: set[int] = set()
+        known: dict[int, int] = {}  # lines as they are written; what is not in ``seen`` was not met before in any writing
         shared = sent.value
         for batch in batches:
             cols: dict[str, list] = {k: [] for k in ("row", "line_no", "line", "leaf", "tokens")}
@@ -120,8 +121,11 @@ def lines_of(texts: DataFrame) -> DataFrame:
                     spot = leaf % jaccard.MAP_BITS
                     if not shared[spot >> 3] >> (spot & 7) & 1:
                         continue
-                    hashed, tokens = token_hashes(words), None
-                    one = _signed(xxhash.xxh3_64_intdigest(hashed.tobytes()))
+                    raw, tokens = xxhash.xxh3_64_intdigest(line), None
+                    one = known.get(raw)
+                    if one is None:
+                        hashed = token_hashes(words)
+                        one = known[raw] = _signed(xxhash.xxh3_64_intdigest(hashed.tobytes()))
                     if one not in seen:
                         seen.add(one)
                         tokens = np.where(hashed == VARIABLE, 0, hashed | np.uint64(1)).astype(np.uint32).tobytes()
@@ -135,8 +139,9 @@ def lines_of(texts: DataFrame) -> DataFrame:
                         v.clear()
                     held = 0
             yield flushed()
-            if len(seen) > REMEMBERED_LINES:
+            if len(known) > REMEMBERED_LINES:
                 seen.clear()
+                known.clear()
 
     return texts.mapInArrow(run, "row_key long, line_no int, line long, leaf long, tokens binary")
 
