@@ -95,16 +95,17 @@ select entry, min_by(game_date, event_id) as game_date, min_by(team, event_id) a
 def fed(rows: DataFrame, kind: str, order: str, last: dict, files: int = 4) -> DataFrame:
     """A stream of ``rows`` in a handful of files, one a micro-batch: spans of ``order``, unordered within each.
 
-    ``last`` (columns by name, the others null) ends the feed, so that nothing is left waiting for the watermark.
+    ``last`` (columns by name, the others null) ends the feed in its last file, so that nothing is left waiting for the
+    watermark and no micro-batch is spent on it alone.
     """
     spark = rows.sparkSession
     end = spark.range(1).select(*[F.lit(last.get(c)).cast(t).alias(c) for c, t in rows.dtypes])
     source = scratch(spark, kind)
     rows.repartitionByRange(files, order).sortWithinPartitions(F.xxhash64(order)).write.parquet(f"{source}/rows")
-    names = sorted(r[0] for r in spark.read.parquet(f"{source}/rows").select(F.input_file_name()).distinct().collect())
+    names = sorted(spark.read.schema(rows.schema).parquet(f"{source}/rows").inputFiles())
     for i, name in enumerate(names):
-        spark.read.parquet(name).coalesce(1).write.parquet(f"{source}/feed/part={i}")
-    end.coalesce(1).write.parquet(f"{source}/feed/part={len(names)}")
+        part = spark.read.schema(rows.schema).parquet(name)
+        (part if i + 1 < len(names) else part.union(end)).coalesce(1).write.parquet(f"{source}/feed/part={i}")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/feed")
 
 

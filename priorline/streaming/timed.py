@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 #: Lots that keys are dealt to; a checkpoint belongs to one number.
 LOTS = 512
 
@@ -266,13 +267,13 @@ def form_stream(sides: DataFrame, delay: str = "0 seconds") -> DataFrame:
 def run(stream: DataFrame, checkpoint: str, sink: str) -> tuple[DataFrame, int]:
     """All there is of a stream, into Parquet, and how many rows were refused as late; goes on from its checkpoint.
 
-    State is parted by the session's shuffle partitions, but into no more parts than twice the cluster's cores: each is a
-    store of its own, opened in every micro-batch.
+    State is parted by the session's shuffle partitions, but into no more parts than the cluster has cores: each is a
+    store of its own, opened in every micro-batch, which then writes what has changed and not the store anew.
     """
     spark = stream.sparkSession
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    own = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(parts)}
-    before = {name: spark.conf.get(name) for name in own}
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKS, CHANGES: "true", "spark.sql.shuffle.partitions": str(parts)}
+    before = {name: spark.conf.get(name, None) for name in own}
     try:
         for name, value in own.items():
             spark.conf.set(name, value)
@@ -280,7 +281,7 @@ def run(stream: DataFrame, checkpoint: str, sink: str) -> tuple[DataFrame, int]:
         query.awaitTermination()
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return spark.read.schema(stream.schema).parquet(sink), refused(query)
 
 
