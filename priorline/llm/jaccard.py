@@ -74,6 +74,7 @@ BASE = 0x9E3779B97F4A7C15
 LETTERS = mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1))
 BLANKS = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 LETTERS[BLANKS] = 0
+IS_BLANK = BLANKS.tobytes()
 
 
 def _powers(base: int) -> np.ndarray:
@@ -107,11 +108,13 @@ def word_hashes(text: bytes) -> np.ndarray:
             continue
         raw = np.frombuffer(piece, np.uint8)
         blank = np.ones(len(raw) + 2, bool)
-        blank[1:-1] = BLANKS[raw]
+        blank[1:-1] = np.frombuffer(piece.translate(IS_BLANK), bool)
         edges = np.flatnonzero(blank[1:] != blank[:-1])
         start, end = edges[::2], edges[1::2]
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(LETTERS[raw] * POWERS[: len(raw)], out=sums[1:])
+        values = LETTERS.take(raw)
+        values *= POWERS[: len(raw)]
+        np.cumsum(values, out=sums[1:])
         w = mixed((sums[end] - sums[start]) * INVERSES[start])
         for i in np.flatnonzero(end - start > WORD_BYTES):
             w[i] = xxhash.xxh3_64_intdigest(piece[start[i] : end[i]].lower())
@@ -133,7 +136,9 @@ def row_of(text: bytes) -> np.ndarray:
             sums += w[k : k + n] * FACTORS[k]
     row = mixed(sums)
     row.sort()
-    return row[np.r_[True, row[1:] != row[:-1]]]
+    new = np.ones(len(row), bool)
+    np.not_equal(row[1:], row[:-1], out=new[1:])
+    return row if new.all() else row[new]
 
 
 def signature(row: np.ndarray) -> int:

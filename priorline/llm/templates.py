@@ -42,6 +42,8 @@ BROADCAST_LINES = 500_000
 #: Distinct lines that a task remembers as sent; a line forgotten is sent once more.
 REMEMBERED_LINES = 200_000
 DIGIT = re.compile(rb"[0-9]")
+#: What parts words, but for line ends and single blanks.
+OTHER_BLANKS = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
 VARIABLE = xxhash.xxh3_64_intdigest(b"<*>")
 
 
@@ -63,12 +65,24 @@ def _signed(x: int) -> int:
     return x - (1 << 63)
 
 
-def leaf_of(words: list[bytes]) -> int:
-    """The leaf that a line of these words descends to: their number and the leading ones."""
-    key = b" ".join(words[:DEPTH])
+def leaf_of(head: list[bytes], n: int) -> int:
+    """The leaf that a line of n words descends to: by their number and the leading ones (``head``)."""
+    key = b" ".join(head)
     if DIGIT.search(key):
-        key = b" ".join(b"<*>" if DIGIT.search(w) else w for w in words[:DEPTH])
-    return _signed(xxhash.xxh3_64_intdigest(key, seed=len(words)))
+        key = b" ".join(b"<*>" if DIGIT.search(w) else w for w in head)
+    return _signed(xxhash.xxh3_64_intdigest(key, seed=n))
+
+
+def long_lines(text: bytes):
+    """Number, line and leaf of every line of at least MIN_TOKENS words; where single blanks part them, they are counted, not cut out."""
+    plain = not any(c in text for c in OTHER_BLANKS)
+    for number, line in enumerate(text.split(b"\n")):
+        if plain and line[:1] != b" " and line[-1:] != b" ":
+            n = line.count(b" ") + 1
+        else:
+            n = len(line.split())
+        if n >= MIN_TOKENS:
+            yield number, line, leaf_of(line.split(None, DEPTH)[:DEPTH], n)
 
 
 def leaves_of(texts: DataFrame) -> DataFrame:
@@ -79,7 +93,7 @@ def leaves_of(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows, leaves = [], []
             for row, value in enumerate(batch.column("text").cast(pa.binary())):
-                own = {leaf_of(words) for line in value.as_py().split(b"\n") if len(words := line.split()) >= MIN_TOKENS}
+                own = {leaf for _, _, leaf in long_lines(value.as_py())}
                 rows += [row] * len(own)
                 leaves += own
             yield pa.RecordBatch.from_arrays([batch.column("row_key").take(pa.array(rows, pa.int64())), pa.array(leaves, pa.int64())], names=["row_key", "leaf"])
@@ -112,19 +126,14 @@ def lines_of(texts: DataFrame) -> DataFrame:
                 )
 
             for row, value in enumerate(batch.column("text").cast(pa.binary())):
-                for number, line in enumerate(value.as_py().split(b"\n")):
-                    words = line.split()
-                    n = len(words)
-                    if n < MIN_TOKENS:
-                        continue
-                    leaf = leaf_of(words)
+                for number, line, leaf in long_lines(value.as_py()):
                     spot = leaf % jaccard.MAP_BITS
                     if not shared[spot >> 3] >> (spot & 7) & 1:
                         continue
                     raw, tokens = xxhash.xxh3_64_intdigest(line), None
                     one = known.get(raw)
                     if one is None:
-                        hashed = token_hashes(words)
+                        hashed = token_hashes(line.split())
                         one = known[raw] = _signed(xxhash.xxh3_64_intdigest(hashed.tobytes()))
                     if one not in seen:
                         seen.add(one)
