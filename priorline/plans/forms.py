@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from priorline.functions import box as box_math
 from priorline.functions.rating import shrunk_rating
+from priorline.functions.values import DAY_SECONDS
 from priorline.operators import recursive, rotation, sequence
-from priorline.plans.views import BOX, CONTESTS, SIDES, box, contests
+from priorline.plans.views import BOX, CONTESTS, SIDES, box, contests, line_tasks, stints, table
 
 #: Added before rounding where quotients of small whole numbers would often fall on halves of the last place.
 NUDGE = 1e-9
@@ -429,15 +430,17 @@ QUALITY = f"""with {BOX} select game_id, team, player, round(coalesce(case when
 from box window w as (partition by season, team, player order by ts, game_id rows between unbounded preceding and 1 preceding)"""
 
 
+#: Sides that contests are between, by the derived tables.
+SIDES_A_DAY = 30
+
+
 def rotation_strength(spark, d):
     """Sum of share times quality over the recent window."""
-    b = rotation.numbered(box(spark, d))
-    upto = W.partitionBy("season", "team", "player").orderBy("game_no").rowsBetween(W.unboundedPreceding, 0)
-    rated = b.select("season", "team", "player", "game_no", shrunk_rating(F.sum("plus_minus").over(upto), F.sum("minutes").over(upto), F.count(F.lit(1)).over(upto)).alias("quality"))
-    sent = rated.select("season", "team", "player", F.col("game_no").alias("from_no"), "quality", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("a")).withColumn("game_no", F.col("from_no") + F.col("a"))
-    latest = sent.groupBy("season", "team", "player", "game_no").agg(F.max_by("quality", "from_no").alias("quality"))
-    both = rotation.window_minutes(b, "recent").join(latest, ["season", "team", "player", "game_no"])
-    return both.groupBy("season", "team", "game_no").agg(F.round(F.sum(F.col("share") * F.col("quality")), 6).alias("strength"))
+    tasks = line_tasks(spark, table(spark, d, "lineitem"))
+    # Spans as long as a side's lines of a fifth of a task take, on the days that have contests.
+    days = contests(spark, d).agg(F.approx_count_distinct("day")).first()[0]
+    seconds = max(60, DAY_SECONDS * max(days, 1) * SIDES_A_DAY // (5 * tasks))
+    return rounded(rotation.strength(stints(spark, d, tasks), seconds, tasks), "strength")
 
 
 STRENGTH = f"""with {NUMBERED}, {_window_sql('w', 'recent')},

@@ -79,13 +79,31 @@ anchors as (select event_id as anchor_id, user_id as market, cast(floor(epoch(ts
 LINES_A_TASK = 250_000
 
 
+def line_tasks(spark: SparkSession, lines: DataFrame) -> int:
+    return max(lines.count() // LINES_A_TASK + 1, spark.sparkContext.defaultParallelism)
+
+
+def _with_contests(spark: SparkSession, sf_dir: str, lines: DataFrame, tasks: int) -> DataFrame:
+    """Order lines beside game_id, ts, season, home and away of their contest."""
+    c = contests(spark, sf_dir).select("game_id", "ts", "season", "home", "away")
+    return lines.repartition(tasks, "l_orderkey").join(c.repartition(tasks, "game_id"), F.col("l_orderkey") == F.col("game_id"))
+
+
+def stints(spark: SparkSession, sf_dir: str, tasks: int) -> DataFrame:
+    """What ``box`` adds up, with minutes and plus-minus alone: one row an order line, made before lines are sent."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    one = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", (F.col("l_linenumber") % 2 == 1).alias("_odd"), (F.col("l_partkey") % 12).cast("int").alias("player"),
+        F.col("l_quantity").alias("minutes"), (cents % 41 - 20).cast("int").alias("plus_minus"),
+    )
+    team = F.when(F.col("_odd"), F.col("home")).otherwise(F.col("away")).alias("team")
+    return _with_contests(spark, sf_dir, one, tasks).select("game_id", "ts", "season", team, "player", "minutes", "plus_minus")
+
+
 def box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One appearance for each order line: side by line number, twelve players a side, minutes by quantity."""
     li = table(spark, sf_dir, "lineitem")
-    c = contests(spark, sf_dir).select("game_id", "ts", "season", "home", "away")
-    parts = max(li.count() // LINES_A_TASK + 1, spark.sparkContext.defaultParallelism)
-    li, c = li.repartition(parts, "l_orderkey"), c.repartition(parts, "game_id")
-    rows = li.join(c, F.col("l_orderkey") == F.col("game_id"))
+    rows = _with_contests(spark, sf_dir, li, line_tasks(spark, li))
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     one = rows.select(
         "game_id", "ts", "season", F.when(F.col("l_linenumber") % 2 == 1, F.col("home")).otherwise(F.col("away")).alias("team"),
