@@ -99,46 +99,84 @@ def _pieces(text: bytes):
     yield text[at:] if at else text
 
 
+def _hashed(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of a piece of at most PIECE bytes, and where the word begins."""
+    raw = np.frombuffer(piece, np.uint8)
+    blank = np.ones(len(raw) + 2, bool)
+    blank[1:-1] = np.frombuffer(piece.translate(IS_BLANK), bool)
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edges[::2], edges[1::2]
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    values = LETTERS.take(raw)
+    values *= POWERS[: len(raw)]
+    np.cumsum(values, out=sums[1:])
+    w = mixed((sums[end] - sums[start]) * INVERSES[start])
+    for i in np.flatnonzero(end - start > WORD_BYTES):
+        w[i] = xxhash.xxh3_64_intdigest(piece[start[i] : end[i]].lower())
+    return w, start
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each word of ``text``, A-Z as a-z: a polynomial of its bytes, by whole arrays, mixed."""
     out = []
     for piece in _pieces(text):
         if len(piece) > PIECE:  # one long word, behind a blank at most
             out.append(np.array([xxhash.xxh3_64_intdigest(w.lower()) for w in piece.split()], np.uint64))
-            continue
-        raw = np.frombuffer(piece, np.uint8)
-        blank = np.ones(len(raw) + 2, bool)
-        blank[1:-1] = np.frombuffer(piece.translate(IS_BLANK), bool)
-        edges = np.flatnonzero(blank[1:] != blank[:-1])
-        start, end = edges[::2], edges[1::2]
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        values = LETTERS.take(raw)
-        values *= POWERS[: len(raw)]
-        np.cumsum(values, out=sums[1:])
-        w = mixed((sums[end] - sums[start]) * INVERSES[start])
-        for i in np.flatnonzero(end - start > WORD_BYTES):
-            w[i] = xxhash.xxh3_64_intdigest(piece[start[i] : end[i]].lower())
-        out.append(w)
+        else:
+            out.append(_hashed(piece)[0])
     return out[0] if len(out) == 1 else np.concatenate(out)
 
 
-def row_of(text: bytes) -> np.ndarray:
-    """Sorted distinct shingle hashes of one text; A-Z count as a-z."""
-    w = word_hashes(text)
+def _shingles(w: np.ndarray) -> np.ndarray:
+    """A hash of every SHINGLE words in sequence."""
+    n = len(w) - SHINGLE + 1
+    sums = w[:n] * FACTORS[0]
+    for k in range(1, SHINGLE):
+        sums += w[k : k + n] * FACTORS[k]
+    return mixed(sums)
+
+
+def _row(w: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The sorted distinct hashes of ``row``, the shingles of words ``w``; fewer words than SHINGLE are one."""
     if not len(w):
         return w
     if len(w) < SHINGLE:
-        sums = (w * FACTORS[: len(w)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(w))
-    else:
-        n = len(w) - SHINGLE + 1
-        sums = w[:n] * FACTORS[0]
-        for k in range(1, SHINGLE):
-            sums += w[k : k + n] * FACTORS[k]
-    row = mixed(sums)
+        return mixed((w * FACTORS[: len(w)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(w)))
     row.sort()
-    new = np.ones(len(row), bool)
-    np.not_equal(row[1:], row[:-1], out=new[1:])
-    return row if new.all() else row[new]
+    new = row[1:] != row[:-1]
+    return row if new.all() else row[np.r_[True, new]]
+
+
+def row_of(text: bytes) -> np.ndarray:
+    """Sorted distinct shingle hashes of one text; A-Z count as a-z."""
+    w = word_hashes(text)
+    return _row(w, _shingles(w) if len(w) >= SHINGLE else w)
+
+
+def _together(texts: list[bytes]):
+    """``row_of`` of each of some texts of at most PIECE bytes in all, line ends between them: most passes are over all at once."""
+    w, start = _hashed(b"\n".join(texts))
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    cuts = np.searchsorted(start, begins).tolist()
+    every = _shingles(w) if len(w) >= SHINGLE else w
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield _row(w[a:b], every[a : max(b - SHINGLE + 1, a)])
+
+
+def rows_of_texts(texts):
+    """``row_of`` of each text, in order; short ones are hashed as many at a time as a piece holds."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > PIECE:
+            yield from _together(held)
+            held, size = [], 0
+        if len(text) > PIECE:
+            yield row_of(text)
+        else:
+            held.append(text)
+            size += len(text) + 1
+    if held:
+        yield from _together(held)
 
 
 def signature(row: np.ndarray) -> int:
@@ -187,8 +225,7 @@ def signatures(texts: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             id_type = batch.column("doc_id").type
             n, sig = [], []
-            for value in batch.column("text").cast(pa.binary()):
-                row = row_of(value.as_py())
+            for row in _rows_of(batch):
                 one = signature(row) if len(row) else None
                 n.append(len(row))
                 sig.append(one)
@@ -249,7 +286,7 @@ def _rows_of(batch: pa.RecordBatch):
     """The rows of a batch of texts, or of whole rows."""
     if "set" in batch.schema.names:
         return (np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("set"))
-    return (row_of(x.as_py()) for x in batch.column("text").cast(pa.binary()))
+    return rows_of_texts(x.as_py() for x in batch.column("text").cast(pa.binary()))
 
 
 def entries(source: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
@@ -465,8 +502,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = np.flatnonzero(have[spots >> 3] >> (spots & 7) & 1)
             part = batch.take(pa.array(rows))
             keys, sigs, sets, held = [], [], [], 0
-            for key, value in zip(part.column("row_key"), part.column("text").cast(pa.binary()), strict=True):
-                row = row_of(value.as_py())
+            for key, row in zip(part.column("row_key"), _rows_of(part.select(["text"])), strict=True):
                 if not len(row):
                     continue
                 keys.append(key)
